@@ -9,6 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 from . import common
 
 
+#: The key of the registered query; a deployment passes its own.
+KEY = "quillstone-demonstration-key"
+
+
 def word_bpe() -> str:
     import public_tokenizers
 
@@ -21,6 +25,12 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(common.table(spark, sf_dir, "documents", "doc_id", "text"), word_bpe())
 
 
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pii import pseudonymise
+
+    return pseudonymise(common.table(spark, sf_dir, "documents", "doc_id", "text"), KEY)
+
+
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .sharding import shard_documents
 
@@ -34,9 +44,18 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.withColumn("over_limit", got["n_tokens"] > 2048)
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import toxicity
+
+    docs = common.table(spark, sf_dir, "documents", "doc_id", "text")
+    model = toxicity.fit(docs, toxicity.toxic_labels(common.table(spark, sf_dir, "labels", "doc_id", "toxic")))
+    scored = toxicity.score(docs, model)
+    return scored.select("doc_id", toxicity.held_out(scored["doc_id"]).alias("held_out"), "score", (scored["score"] >= 0.5).cast("int").alias("predicted"), "nearest_id", "nearest_cosine", "evidence")
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return importlib.import_module("corpus_pipeline").run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op2_packing, op4_sharding, op7_token_counts)}
+QUERIES = {f.__name__: f for f in (op2_packing, op3_pii, op4_sharding, op7_token_counts, op9_toxicity)}
 ORACLES: dict[str, str] = {}
