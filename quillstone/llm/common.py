@@ -19,6 +19,10 @@ SPACED_WORD = re.compile(r"[^\x20\x09-\x0D]+")
 ALNUM_WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
 
+#: Stands for a null id inside packed arrays.
+NULL_ID = -(1 << 63)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
     """The named columns of one input table; others are never read."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet").select(*columns)

@@ -82,12 +82,8 @@ def _send(path: str, shards: int):
     return run
 
 
-#: Stands for a null doc_id inside packed arrays.
-NULL_ID = -(1 << 63)
-
-
 def _packed_ids(ids: pa.Array) -> bytes:
-    return ids.fill_null(NULL_ID).to_numpy().astype("<i8").tobytes()
+    return ids.fill_null(common.NULL_ID).to_numpy().astype("<i8").tobytes()
 
 
 def _answer(path: str, keep: int):
@@ -124,7 +120,7 @@ def _add_up(rows: pa.Table) -> pa.Table:
     total = np.zeros(len(ids), np.int64)
     for r in got:
         np.add.at(total, np.frombuffer(r["docs"], "<u2"), np.frombuffer(r["sums"], "<u4").astype(np.int64))
-    return pa.table({"doc_id": pa.array(ids, mask=ids == NULL_ID), "n_bytes": pa.array(np.frombuffer(head["bytes"], "<i8")), "n_tokens": pa.array(total)})
+    return pa.table({"doc_id": pa.array(ids, mask=ids == common.NULL_ID), "n_bytes": pa.array(np.frombuffer(head["bytes"], "<i8")), "n_tokens": pa.array(total)})
 
 
 def count_tokens(docs: DataFrame, tokenizer: str, keep: int = 4_000_000) -> DataFrame:
