@@ -59,11 +59,17 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", toxicity.held_out(scored["doc_id"]).alias("held_out"), "score", (scored["score"] >= 0.5).cast("int").alias("predicted"), "nearest_id", "nearest_cosine", "evidence")
 
 
+def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .minhash import near_duplicates
+
+    return near_duplicates(common.table(spark, sf_dir, "documents", "doc_id", "text"), 4)
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return importlib.import_module("corpus_pipeline").run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op2_packing, op3_pii, op4_sharding, op7_token_counts, op8_decontamination, op9_toxicity)}
+QUERIES = {f.__name__: f for f in (op2_packing, op3_pii, op4_sharding, op7_token_counts, op8_decontamination, op9_toxicity, op10_minhash)}
 
 _FOLD = "translate(coalesce({0}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _ALNUM = "regexp_extract_all(" + _FOLD + r", '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
