@@ -9,9 +9,9 @@ or 1 in 13,000, for a single pair.
 1. Sets are hashed to 64 bits; equal sets are folded to one node.
 2. Each task deals its (key, node) entries to shards in packed arrays; a shard
    keeps the buckets of two or more.
-3. In each bucket every node is tried against a leader, drawn anew in each
-   table, and against its neighbour in a random order: a linear number of
-   pairs.  Pairs are confirmed on full sets, which only candidates carry, and
+3. In each bucket every node is tried against one other: a leader drawn anew in
+   each table or, in half of the tables, its neighbour in a random order.  That
+   is a linear number of pairs.  Pairs are confirmed on full sets, which only candidates carry, and
    links are united to components.
 4. Buckets that still hold several components are finished exactly: small ones
    by their pairs across components, large ones in bounded pairs of blocks
@@ -159,7 +159,7 @@ _PAIRS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
 
 def _linear_pairs(batches):
-    """Of each bucket's nodes (sorted by key): each with a leader and with a neighbour, in an order drawn by key."""
+    """Of each bucket's nodes (sorted by key): each with the leader or, in half of the keys, the one before, in an order drawn by key."""
     for b in batches:
         key, node = b.column(0).to_numpy().view(np.uint64), b.column(1).to_numpy()
         order = np.lexsort((mix(node.view(np.uint64) * _ODD[2] ^ key), key))
@@ -167,8 +167,8 @@ def _linear_pairs(batches):
         fresh = np.ones(len(key), bool)
         fresh[1:] = key[1:] != key[:-1]
         lead = node[np.maximum.accumulate(np.where(fresh, np.arange(len(key)), 0))]
-        a, c = np.concatenate([lead[~fresh], node[:-1][~fresh[1:]]]), np.concatenate([node[~fresh], node[1:][~fresh[1:]]])
-        pairs = np.unique(np.stack([np.minimum(a, c), np.maximum(a, c)], 1), axis=0)
+        other = np.where(key & np.uint64(1), lead, np.roll(node, 1))[~fresh]
+        pairs = np.unique(np.stack([np.minimum(other, node[~fresh]), np.maximum(other, node[~fresh])], 1), axis=0)
         pairs = pairs[pairs[:, 0] != pairs[:, 1]]
         if len(pairs):
             yield common.record(_PAIRS, pairs[:, 0], pairs[:, 1])
