@@ -49,6 +49,12 @@ def op5_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(common.table(spark, sf_dir, "embeddings", "vec_id", "embedding", "label"), 0.93)
 
 
+def op6_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .katz import score
+
+    return score(common.table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .token_counts import count_tokens
 
@@ -81,7 +87,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return importlib.import_module("corpus_pipeline").run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_packing, op3_pii, op4_sharding, op5_embeddings, op7_token_counts, op8_decontamination, op9_toxicity, op10_minhash)}
+QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_packing, op3_pii, op4_sharding, op5_embeddings, op6_katz, op7_token_counts, op8_decontamination, op9_toxicity, op10_minhash)}
 
 _FOLD = "translate(coalesce({0}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _ALNUM = "regexp_extract_all(" + _FOLD + r", '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
