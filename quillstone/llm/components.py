@@ -1,4 +1,4 @@
-"""Connected components by least labels and pointer jumping, on DataFrames only."""
+"""Connected components by hooking to least neighbours and contraction, on DataFrames only."""
 
 from __future__ import annotations
 
@@ -11,29 +11,53 @@ from . import common
 def connected_components(edges: DataFrame, most: int = 64) -> DataFrame:
     """(node, component) of every node of an edge (a, b); component is its least node.
 
-    A round gives each node the least label among its own and its neighbours',
-    then jumps to the label's label; rounds go on until no label falls, about
-    the logarithm of the longest path.  Each round is written to the shared
-    folder, so lineage stays short; labels are added up by partial minima, so a
-    node of very many links is no task's burden.  Loops and repeated or
-    reversed edges are allowed; nulls are dropped; no edges give no rows.
+    A round points each node to the least of itself and its neighbours (found by
+    partial minima, so a node of very many links is no task's burden), follows
+    two pointers, and contracts the edges to what still joins different nodes.
+    At least half of the nodes that have edges vanish in a round.  Each round is
+    written to the shared folder, so lineage stays short.  Loops and repeated or
+    reversed edges are allowed; edges with a null end are dropped; no edges give
+    no rows.
     """
-    links = edges.where("a IS NOT NULL AND b IS NOT NULL AND a <> b").select("a", "b").dropDuplicates()
-    links = common.scratch(links, "links")
-    both = links.union(links.select("b", "a"))
-    labels = common.scratch(both.groupBy("a").agg(F.min("b").alias("least")).select(F.col("a").alias("node"), F.least("a", "least").alias("component")), "labels")
-    if labels.isEmpty():
-        return labels
+    links = common.scratch(edges.where("a IS NOT NULL AND b IS NOT NULL").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").dropDuplicates(), "links")
+    known = None
     for _ in range(most):
-        heard = both.join(labels, F.col("b") == F.col("node")).groupBy("a").agg(F.min("component").alias("heard"))
-        lower = labels.join(heard, F.col("node") == F.col("a")).select("node", "component", F.least("component", "heard").alias("near"))
-        far = labels.select(F.col("node").alias("near"), F.col("component").alias("far"))
-        jumped = lower.join(far, "near", "left").select("node", F.least("near", F.coalesce("far", "near")).alias("component"), (F.least("near", F.coalesce("far", "near")) < F.col("component")).alias("fell"))
-        fresh = common.scratch(jumped, "labels")
-        fell = not fresh.where("fell").isEmpty()
-        common.drop_scratch(labels)
-        labels = fresh.select("node", "component")
-        if not fell:
-            common.drop_scratch(links)
-            return labels
-    raise RuntimeError("components did not settle")
+        if links.isEmpty():
+            break
+        hooked = links.union(links.select("b", "a")).groupBy("a").agg(F.min("b").alias("least")).select(F.col("a").alias("node"), F.least("a", "least").alias("to"))
+        hooked = common.scratch(hooked, "hooks")
+        further = hooked.select(F.col("node").alias("to"), F.col("to").alias("next"))
+        labels = common.scratch(hooked.join(further, "to").select("node", F.col("next").alias("component")), "labels")
+        common.drop_scratch(hooked)
+        fresh = links.join(labels.select(F.col("node").alias("a"), F.col("component").alias("p")), "a").join(labels.select(F.col("node").alias("b"), F.col("component").alias("q")), "b")
+        fresh = common.scratch(fresh.where("p <> q").select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).dropDuplicates(), "links")
+        common.drop_scratch(links)
+        links = fresh
+        if known is None:
+            known = labels
+        else:
+            moved = common.scratch(follow(known, labels), "labels")
+            common.drop_scratch(known)
+            known = moved
+    else:
+        raise RuntimeError("components did not settle")
+    return known if known is not None else links.select(F.col("a").alias("node"), F.col("b").alias("component"))
+
+
+def follow(known: DataFrame, labels: DataFrame) -> DataFrame:
+    """Components moved on by labels of components; every node of ``labels`` must be a component of ``known``."""
+    moves = labels.select(F.col("node").alias("component"), F.col("component").alias("next"))
+    return known.join(moves, "component", "left").select("node", F.coalesce("next", "component").alias("component"))
+
+
+def refine(known: DataFrame, edges: DataFrame) -> DataFrame:
+    """Components after more edges (a, b): only the edges between components are looked at again."""
+
+    def renamed(name: str) -> DataFrame:
+        return known.select(F.col("node").alias(name), F.col("component").alias(f"of_{name}"))
+
+    named = edges.join(renamed("a"), "a", "left").join(renamed("b"), "b", "left")
+    added = named.select("a", "b").select(F.explode(F.array("a", "b")).alias("node")).dropDuplicates().join(known, "node", "left_anti")
+    every = known.unionByName(added.select("node", F.col("node").alias("component")))
+    moved = connected_components(named.select(F.coalesce("of_a", "a").alias("a"), F.coalesce("of_b", "b").alias("b")))
+    return follow(every, moved)

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common
-from .components import connected_components
+from .components import connected_components, refine
 
 M = 10
 SMALL, BLOCK = 48, 512
@@ -342,7 +342,7 @@ def near_duplicates(docs: DataFrame, size: int, percent: int = 80) -> DataFrame:
     components = connected_components(links)
     rest = common.scratch(_leftover(buckets, components, nodes, sets, percent), "confirmed")
     if not rest.isEmpty():
-        components = connected_components(links.unionByName(rest))
+        components = refine(components, rest)
     # folded copies: a doc_id may stand for several sets, so the groups are links as well
     found = groups.join(components, "node", "left").select("s1", "s2", F.coalesce("component", "node").alias("found"))
     out = signed.join(found, ["s1", "s2"], "left").withColumn("component_id", F.when(F.col("n_shingles") > 0, F.col("found")).otherwise(F.col("doc_id")))
