@@ -87,7 +87,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return importlib.import_module("corpus_pipeline").run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_packing, op3_pii, op4_sharding, op5_embeddings, op6_katz, op7_token_counts, op8_decontamination, op9_toxicity, op10_minhash)}
+QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_packing, op3_pii, op4_sharding, op5_embeddings, op6_katz, op7_token_counts, op8_decontamination, op9_toxicity, op10_minhash, pipeline)}
 
 _FOLD = "translate(coalesce({0}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _ALNUM = "regexp_extract_all(" + _FOLD + r", '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"

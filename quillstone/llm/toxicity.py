@@ -249,3 +249,22 @@ def held_out(doc_id: Column) -> Column:
 def toxic_labels(labels: DataFrame) -> DataFrame:
     """The rows that may be learned from: (doc_id, label)."""
     return labels.where(~held_out(F.col("doc_id"))).select(F.col("doc_id").cast("long"), F.col("toxic").alias("label"))
+
+
+def _clean(shared, limit: float, text_at: int):
+    def run(batches):
+        judge = _score(shared)
+        for b in batches:
+            for part in common.blocks([b], text_at):
+                pair = pa.RecordBatch.from_arrays([pa.nulls(part.num_rows, pa.int64()), part.column(text_at)], ["doc_id", "text"])
+                scores = np.concatenate([x.column(1).to_numpy() for x in judge(iter([pair]))])
+                yield part.filter(pa.array(scores < limit))
+
+    return run
+
+
+def drop_toxic(docs: DataFrame, model: Model | None, limit: float = 0.5) -> DataFrame:
+    """The rows of ``docs``, all columns, that score below ``limit``; nothing is shuffled."""
+    if model is None:
+        return docs
+    return docs.mapInArrow(_clean(docs.sparkSession.sparkContext.broadcast(model), limit, docs.columns.index("text")), docs.schema)
