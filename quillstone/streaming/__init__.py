@@ -1,0 +1,6 @@
+"""Bound queries over streams.
+
+The dialect has no streaming statement; a SELECT of filters and projections
+(with or without aggregates) is a DataFrame plan like any other and also runs
+over a streaming source that is registered as an external table.
+"""
