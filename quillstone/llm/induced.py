@@ -70,7 +70,7 @@ def _types(text: np.ndarray) -> np.ndarray:
     """True where the suffix is S.  The last symbol must be the least and unique."""
     n = len(text)
     rising = np.zeros(n, np.int8)
-    rising[:-1] = np.sign(text[1:].astype(np.int64) - text[:-1].astype(np.int64))
+    rising[:-1] = (text[1:] > text[:-1]).astype(np.int8) - (text[1:] < text[:-1])
     rising[-1] = 1
     at = np.where(rising != 0, np.arange(n), n)
     nearest = np.minimum.accumulate(at[::-1])[::-1]

@@ -78,21 +78,36 @@ class Block:
         value ^= value >> np.uint64(32)
         value *= _ODD[2]
         value ^= value >> np.uint64(29)
-        index = np.arange(len(value), dtype=np.int32)
-        whole, low, at, size = value, value, index, 1
+        short = (value >> np.uint64(32)).astype(np.uint32)
+        low, size = short, 1
         while size < SPAN:
             step = min(size, SPAN - size)
-            right = low[step:] < low[:-step]
-            low, at = np.where(right, low[step:], low[:-step]), np.where(right, at[step:], at[:-step])
+            low = np.minimum(low[:-step], low[step:])
             size += step
-        windows = np.repeat(self.ends, n)[: len(low)] - np.arange(len(low)) >= LENGTH
-        place = np.flatnonzero(windows)
-        anchor = at[place]
-        fresh = np.flatnonzero(np.concatenate(([True], anchor[1:] != anchor[:-1])))
-        self.first = place[fresh]
-        self.last = place[np.append(fresh[1:], len(place)) - 1]
-        self.anchor = anchor[fresh].astype(np.int64)
-        self.hash = mix(whole[self.anchor])
+        # runs of windows with one least hash
+        inside = np.ones(len(low) + 2, bool)
+        inside[0] = inside[-1] = False
+        dead = _ranges(self.ends - LENGTH + 2, np.full(len(n), LENGTH - 1))
+        inside[dead[dead < len(low) + 1]] = False
+        fresh = inside[1:-1].copy()
+        fresh[1:] &= ~inside[1:-2] | (low[1:] != low[:-1])
+        first = np.flatnonzero(fresh)
+        fresh = np.append(fresh, True)
+        last = np.flatnonzero(inside[1:-1] & (fresh[1:] | ~inside[2:]))
+        # the leftmost place of that hash; windows beyond it have the next place
+        parts = []
+        while len(first):
+            anchor = first + (short[first[:, None] + np.arange(SPAN)] == low[first][:, None]).argmax(1)
+            upto = np.minimum(last, anchor)
+            parts.append((first, upto, anchor))
+            more = last > upto
+            first, last = upto[more] + 1, last[more]
+        first, last, anchor = (np.concatenate(x) for x in zip(*parts, strict=True))
+        if len(parts) > 1:
+            order = np.argsort(first, kind="stable")
+            first, last, anchor = first[order], last[order], anchor[order]
+        self.first, self.last, self.anchor = first, last, anchor
+        self.hash = mix(value[anchor])
         self.segment = np.searchsorted(self.starts, self.first, side="right") - 1
 
     def region_hash(self, keep: np.ndarray) -> np.ndarray:
@@ -235,96 +250,102 @@ MARKS = "block long, ids binary, keys binary, docs binary, starts binary, ends b
 _MARKS = pa.schema([("block", pa.int64())] + [(c, pa.binary()) for c in ("ids", "keys", "docs", "starts", "ends")])
 
 
-def settle(h: np.ndarray, fold: np.ndarray, length: np.ndarray, owner: np.ndarray, content, memory: int) -> list[np.ndarray]:
-    """For each region, the places of its windows that a lesser owner also holds.
+#: Symbols of one suffix sort.  Anchors are sorted in groups of about this size; one anchor's regions stay together.
+SORT_SYMBOLS = 1 << 20
+
+
+def settle(h: np.ndarray, fold: np.ndarray, length: np.ndarray, owner: np.ndarray, content, memory: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(region, from, to): the bytes of regions under windows that a lesser owner also holds, by region.
 
     ``content(i)`` gives the bytes of the regions numbered ``i``, concatenated.
     """
-    n = len(h)
     order = np.lexsort((owner, fold, h))
-    fresh = np.concatenate(([True], (h[order][1:] != h[order][:-1]) | (fold[order][1:] != fold[order][:-1])))
+    ho = h[order]
+    fresh = np.concatenate(([True], (ho[1:] != ho[:-1]) | (fold[order][1:] != fold[order][:-1])))
     group = np.cumsum(fresh) - 1
     lead = order[fresh]
-    windows = length.astype(np.int64) - LENGTH + 1
-    lost: list[np.ndarray | None] = [None] * n
+    least = owner[lead][group]
+    later = order[owner[order] != least]
+    found = [(later, np.zeros(len(later), np.int64), length[later].astype(np.int64))]
     # anchors with several different regions
     lead_hash = h[lead]
     many = np.zeros(len(lead), bool)
     many[1:] |= lead_hash[1:] == lead_hash[:-1]
     many[:-1] |= lead_hash[1:] == lead_hash[:-1]
-    told = {}
     chosen = np.flatnonzero(many)
-    if len(chosen):
-        regions = lead[chosen]
-        size = length[regions].astype(np.int64)
-        raw = content(regions)
-        base = np.cumsum(size + 1) - (size + 1)
-        text = np.full(int(base[-1] + size[-1]) + 2, 1, np.int64)
-        text[-1] = 0
-        text[_ranges(base, size)] = raw.astype(np.int64) + 2
-        of = np.full(len(text), -1)
-        of[_ranges(base, windows[regions])] = np.repeat(np.arange(len(regions)), windows[regions])
-        suffixes = suffix_array(text, 258, memory)
-        suffixes = suffixes[of[suffixes] >= 0]
-        prefix = common_prefixes(text, suffixes, LENGTH)
-        run = np.cumsum(prefix < LENGTH) - 1
-        mine = owner[regions][of[suffixes]]
-        least = np.full(int(run[-1]) + 1, np.iinfo(np.int64).max)
-        np.minimum.at(least, run, mine)
-        gone = suffixes[least[run] < mine]
-        which = of[gone]
-        by = np.lexsort((gone, which))
-        cut = np.searchsorted(which[by], np.arange(len(regions) + 1))
-        for k, r in enumerate(regions.tolist()):
-            told[r] = gone[by[cut[k] : cut[k + 1]]] - base[k]
-    none = np.zeros(0, np.int64)
-    for i, g in zip(order.tolist(), group.tolist(), strict=True):
-        r = int(lead[g])
-        lost[i] = told.get(r, none) if owner[i] == owner[r] else np.arange(windows[i])
-    return lost
+    first = order[owner[order] == least]  # regions of the least owner: more than one where it has several blocks
+    first_group = group[owner[order] == least]
+    upto = np.cumsum(length[lead[chosen]].astype(np.int64) + 1)
+    at = 0
+    while at < len(chosen):
+        stop = int(np.searchsorted(upto, (upto[at - 1] if at else 0) + SORT_SYMBOLS, side="right"))
+        stop = max(stop, at + 1)
+        while stop < len(chosen) and lead_hash[chosen[stop]] == lead_hash[chosen[stop - 1]]:
+            stop += 1
+        part = chosen[at:stop]
+        which, lo, hi = _shared_windows(lead[part], length, owner, content, memory)
+        a, b = np.searchsorted(first_group, part[which]), np.searchsorted(first_group, part[which], side="right")
+        found.append((first[_ranges(a, b - a)], np.repeat(lo, b - a), np.repeat(hi, b - a)))
+        at = stop
+    region, lo, hi = (np.concatenate(x) for x in zip(*found, strict=True))
+    by = np.argsort(region, kind="stable")
+    return region[by], lo[by], hi[by]
+
+
+def _shared_windows(regions: np.ndarray, length: np.ndarray, owner: np.ndarray, content, memory: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Suffix-sort some regions: (place among them, from, to) of bytes under windows that a lesser owner's region holds."""
+    size = length[regions].astype(np.int64)
+    windows = size - LENGTH + 1
+    base = np.cumsum(size + 1) - (size + 1)
+    text = np.full(int(base[-1] + size[-1]) + 2, 1, np.int16)
+    text[-1] = 0
+    text[_ranges(base, size)] = content(regions).astype(np.int16) + 2
+    of = np.full(len(text), -1, np.int32)
+    of[_ranges(base, windows)] = np.repeat(np.arange(len(regions)), windows)
+    suffixes = suffix_array(text, 258, memory)
+    suffixes = suffixes[of[suffixes] >= 0]
+    run = np.cumsum(common_prefixes(text, suffixes, LENGTH) < LENGTH) - 1
+    mine = owner[regions][of[suffixes]]
+    fresh = np.flatnonzero(np.concatenate(([True], run[1:] != run[:-1])))
+    gone = np.sort(suffixes[np.minimum.reduceat(mine, fresh)[run] < mine])
+    if not len(gone):
+        return (np.zeros(0, np.int64),) * 3
+    cut = np.flatnonzero(np.concatenate(([True], (np.diff(gone) > 1) | (of[gone[1:]] != of[gone[:-1]]))))
+    start, end = gone[cut], gone[np.append(cut[1:], len(gone)) - 1] + LENGTH
+    which = of[start].astype(np.int64)
+    return which, start - base[which], end - base[which]
 
 
 def _search(memory: int):
     """Marks of one shard's regions, by block; head rows pass through."""
 
     def run(batches):
-        rows = []
+        by_shard: dict[int, list[dict]] = {}
         for b in batches:
-            heads = [r for r in b.to_pylist() if r["ids"] is not None]
+            heads = []
+            for r in b.to_pylist():
+                if r["ids"] is not None:
+                    heads.append((r["block"], r["ids"], r["keys"], r["docs"], r["starts"], r["ends"]))
+                else:
+                    by_shard.setdefault(r["shard"], []).append(r)
             if heads:
-                yield common.record(_MARKS, *zip(*[(r["block"], r["ids"], r["keys"], r["docs"], r["starts"], r["ends"]) for r in heads], strict=True))
-            rows += [r for r in b.to_pylist() if r["ids"] is None]
-        by_shard: dict[int, list[dict]] = {}
-        for r in rows:
-            by_shard.setdefault(r["shard"], []).append(r)
-        for part in by_shard.values():
-            h, fold = (np.concatenate([np.frombuffer(r[c], "<u8") for r in part]) for c in ("hashes", "folds"))
-            length = np.concatenate([np.frombuffer(r["lengths"], np.uint8) for r in part])
-            owner = np.concatenate([np.frombuffer(r["owners"], "<i8") for r in part])
-            data = np.frombuffer(b"".join(r["bytes"] for r in part), np.uint8)
+                yield common.record(_MARKS, *zip(*heads, strict=True))
+        while by_shard:
+            part = by_shard.popitem()[1]
+
+            def joined(column: str, kind: str, part=part) -> np.ndarray:
+                return np.frombuffer(b"".join(r[column] for r in part), kind)
+
+            h, fold, length, owner, data = joined("hashes", "<u8"), joined("folds", "<u8"), joined("lengths", "u1"), joined("owners", "<i8"), joined("bytes", "u1")
+            uses, docs, starts = joined("uses", "<u4").astype(np.int64), joined("docs", "<u4"), joined("starts", "<i8")
+            held = np.cumsum([len(r["lengths"]) for r in part])
             base = np.cumsum(length.astype(np.int64)) - length
-            lost = settle(h, fold, length, owner, lambda i, data=data, base=base, length=length: data[_ranges(base[i], length[i].astype(np.int64))], memory)
-            at = 0
-            out = []
-            for r in part:
-                uses = np.frombuffer(r["uses"], "<u4")
-                docs, starts = np.frombuffer(r["docs"], "<u4"), np.frombuffer(r["starts"], "<i8")
-                found = [[], [], []]
-                use = 0
-                for n in uses.tolist():
-                    w = lost[at]
-                    at += 1
-                    if len(w):
-                        gap = np.flatnonzero(np.diff(w) > 1)
-                        lo, hi = w[np.concatenate(([0], gap + 1))], w[np.append(gap, len(w) - 1)] + LENGTH
-                        for k in range(use, use + n):
-                            found[0].append(np.full(len(lo), docs[k]))
-                            found[1].append(starts[k] + lo)
-                            found[2].append(starts[k] + hi)
-                    use += n
-                if found[0]:
-                    d, s, e = (np.concatenate(x) for x in found)
-                    out.append((r["block"], None, None, d.astype("<u4").tobytes(), s.astype("<i8").tobytes(), e.astype("<i8").tobytes()))
+            region, lo, hi = settle(h, fold, length, owner, lambda i, data=data, base=base, length=length: data[_ranges(base[i], length[i].astype(np.int64))], memory)
+            n = uses[region]
+            each = _ranges((np.cumsum(uses) - uses)[region], n)
+            d, s, e = docs[each], starts[each] + np.repeat(lo, n), starts[each] + np.repeat(hi, n)
+            edge = np.concatenate(([0], np.cumsum(n)))[np.searchsorted(region, np.concatenate(([0], held)))]
+            out = [(r["block"], None, None, d[a:b].astype("<u4").tobytes(), s[a:b].astype("<i8").tobytes(), e[a:b].astype("<i8").tobytes()) for r, a, b in zip(part, edge[:-1].tolist(), edge[1:].tolist(), strict=True) if b > a]
             if out:
                 yield common.record(_MARKS, *zip(*out, strict=True))
 
