@@ -6,8 +6,9 @@ from contextlib import contextmanager
 from dataclasses import dataclass, field, replace
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from .errors import BatchError, DialectError, IndexExistsError, IndexNotFoundError, InternalError, InvalidColumnLengthError, StatementNotFoundError, TableExistsError, TableNotFoundError, TransactionAbortError, ColumnNotFoundError
+from .errors import BatchError, ColumnNotFoundError, DialectError, IndexExistsError, IndexNotFoundError, InternalError, InvalidColumnLengthError, InvalidValueCountError, StatementNotFoundError, TableExistsError, TableNotFoundError, TransactionAbortError
 from .functions.types import ColumnType
 from .operators import explain, mutations
 from .plans import ast, parameters
@@ -54,6 +55,24 @@ class Prepared:
     is_query: bool
 
 
+@dataclass(frozen=True)
+class Ingest:
+    table: str
+    frame: DataFrame
+
+    def rows(self, types: dict[str, ColumnType]) -> DataFrame:
+        if len(self.frame.columns) != len(types):
+            raise InvalidValueCountError(f"{self.table} has {len(types)} columns, not {len(self.frame.columns)}")
+        out = []
+        for old, (name, of) in zip(self.frame.columns, types.items(), strict=True):
+            value = F.col(f"`{old}`").cast(of.spark)
+            if of.family == "text":
+                long = F.raise_error(F.concat(F.lit(f"{name}: longer than {of.length} bytes: "), value)).cast("string")
+                value = F.when(value.isNull() | (F.octet_length(value) <= of.length), value).otherwise(long)
+            out.append(value.alias(name))
+        return self.frame.select(*out)
+
+
 class Session:
     """Statements of the dialect over declared tables of a warehouse and registered external ones."""
 
@@ -61,6 +80,7 @@ class Session:
         self.spark = spark
         self._root, self._house = warehouse, None
         self.external: dict[str, Table] = {}
+        self.paths: dict[str, str] = {}
         self.isolation = "read committed"
         self.transaction: Transaction | None = None
         self.output_path, self.output_on = output_path, output_path is not None
@@ -84,6 +104,19 @@ class Session:
     def register_parquet(self, name: str, path: str) -> None:
         self.register(name, self.spark.read.parquet(path))
 
+    def lazily(self, name: str, path: str) -> None:
+        """An external Parquet table whose footer is read when a statement first names it."""
+        self.paths[name] = path
+
+    def ingest(self, name: str, frame: DataFrame) -> None:
+        """Append a DataFrame's columns, by position, to a declared table: LOAD for data that Spark reads already.
+
+        Values are cast to the declared types (a number that doesn't fit stops
+        it); texts longer than their column stop it; keys are not checked.
+        """
+        with self._rules():
+            self._define(Ingest(name, frame))
+
     def _state(self) -> State:
         t = self.transaction
         if t is None:
@@ -100,12 +133,14 @@ class Session:
     def _table(self, name: str) -> Stored:
         found = self._state().tables.get(name)
         if found is None:
-            if name in self.external:
+            if name in self.external or name in self.paths:
                 raise InternalError(f"{name} is an external table and cannot be changed")
             raise TableNotFoundError(name)
         return found
 
     def _lookup(self, name: str) -> Table:
+        if name in self.paths:
+            self.register_parquet(name, self.paths.pop(name))
         if name in self.external:
             return self.external[name]
         stored = self._table(name)
@@ -254,7 +289,7 @@ class Session:
 
     def _defined(self, s, state: State) -> State:
         if isinstance(s, ast.CreateTable):
-            if s.name in state.tables or s.name in self.external:
+            if s.name in state.tables or s.name in self.external or s.name in self.paths:
                 raise TableExistsError(s.name)
             names = [c.name for c in s.columns]
             if len(set(names)) < len(names):
@@ -272,6 +307,8 @@ class Session:
         if isinstance(s, ast.Load):
             rows = csv_load.read(self.spark, s.path, table.types())
             return state.put(name, self.house.append(name, table, rows))
+        if isinstance(s, Ingest):
+            return state.put(name, self.house.append(name, table, s.rows(table.types())))
         if isinstance(s, ast.CreateIndex):
             for c in s.columns:
                 if c not in table.types():
@@ -292,7 +329,7 @@ class Session:
             found = self._lookup(s.table).indexes
             return output.text_frame(self.spark, ["Tables", "Type", "Column"], [(s.table, "unique", f"({','.join(i)})") for i in found])
         if s.what == "show_tables":
-            return output.text_frame(self.spark, ["Tables"], [(n,) for n in [*self._state().tables, *self.external]])
+            return output.text_frame(self.spark, ["Tables"], [(n,) for n in [*self._state().tables, *self.external, *self.paths]])
         if s.what == "help":
             return output.text_frame(self.spark, ["help"], [(x,) for x in HELP])
         if s.what == "begin":
