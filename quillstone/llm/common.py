@@ -12,9 +12,6 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Upper-case ASCII and its lower case, for the "lower-case A-Z only" contracts.
-UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-_FOLD = str.maketrans(UPPER, LOWER)
 SPACED_WORD = re.compile(r"[^\x20\x09-\x0D]+")
 ALNUM_WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
@@ -32,7 +29,7 @@ def fold(text: str | None) -> str:
     """Lower-case A-Z and nothing else; null is empty."""
     if not text:
         return ""
-    return text.lower() if text.isascii() else text.translate(_FOLD)
+    return text.lower() if text.isascii() else text.encode().lower().decode()  # of bytes, only A-Z have a lower case
 
 
 def partitions(spark: SparkSession) -> int:

@@ -24,6 +24,7 @@ weight 1.  a(h) is such that P(. | h) adds up to 1 over known words and unknown.
 
 from __future__ import annotations
 
+from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
@@ -81,12 +82,13 @@ def _hot_counts(hot: list[str]):
     def run(batches):
         total = dict.fromkeys(hot, 0)
         texts = 0
-        for b in batches:
+        for b in (part for b in batches for part in common.blocks([b], 0)):
+            words: Counter = Counter()
             for t in b.column(0).to_pylist():
                 texts += 1
-                for x in common.SPACED_WORD.findall(common.fold(t)):
-                    if x in total:
-                        total[x] += 1
+                words.update(common.SPACED_WORD.findall(common.fold(t)))
+            for x in total.keys() & words.keys():
+                total[x] += words[x]
         yield pa.RecordBatch.from_pydict({"word": pa.array([*total, None], pa.string()), "n": pa.array([*total.values(), texts], pa.int64())})
 
     return run
@@ -210,9 +212,10 @@ def _count(shards: int, hot: dict[int, int]):
             yield common.record(_OUT, ["t"], [at_shard], [0], [tw[s][first].tobytes()], [np.diff(np.append(first, len(tw[s]))).astype("<u4").tobytes()], [np.ascontiguousarray(th[s]).view(np.uint8).reshape(-1, 8)[:, :6].tobytes()], [planes(tr[s].astype("<u4"))], [None])
         yield from _types_by_history(th, tr, tc, shards, hot_h)
         # sums by document
-        at, type_at = 0, 0
-        for p in parts:
-            m, t = len(p["tag"]), len(p["spread"])
+        misses = []
+        type_at = 0
+        for k, p in enumerate(parts):
+            t = len(p["spread"])
             e = np.repeat(np.arange(type_at, type_at + t), p["spread"])
             f, d = p["freq"].astype(np.int64), (p["tag"] & 0x7FFF).astype(np.int64)
             r, c, is_end = r_row[e], c_row[e], word[e] == END
@@ -233,21 +236,29 @@ def _count(shards: int, hot: dict[int, int]):
             )
             miss = np.flatnonzero(r == 0)
             if len(miss):
-                hm = h[e[miss]]
-                hot_one = np.isin(hm, hot_h)
-                to = np.where(hot_one, np.uint64(p["block"]) % np.uint64(shards), mix(hm) % np.uint64(shards)).astype(np.int64)
-                by = np.lexsort((hm, to))
-                cut = np.flatnonzero(np.concatenate(([True], to[by][1:] != to[by][:-1])))
-                rows = []
-                for lo, hi in zip(cut.tolist(), [*cut[1:].tolist(), len(by)], strict=True):
-                    i = miss[by[lo:hi]]
-                    rows.append(("m", int(to[by[lo]]), p["block"], planes(h[e[i]]), d[i].astype("<u2").tobytes(), planes(f[i].astype("<u4")), None, None))
-                yield common.record(_OUT, *zip(*rows, strict=True))
-            at, type_at = at + m, type_at + t
+                misses.append((h[e[miss]], np.full(len(miss), k, np.int64), d[miss], f[miss]))
+            type_at += t
+        if misses:
+            yield _miss_rows(*(np.concatenate(x) for x in zip(*misses, strict=True)), np.array([p["block"] for p in parts], np.uint64), shards, hot_h)
 
     return run
 
 
+def _miss_rows(h: np.ndarray, part: np.ndarray, doc: np.ndarray, freq: np.ndarray, blocks: np.ndarray, shards: int, hot_h: np.ndarray) -> pa.RecordBatch:
+    """Unseen bigrams, one row for each shard of their histories; those of hot histories are spread by block."""
+    to = np.where(np.isin(h, hot_h), blocks[part] % np.uint64(shards), mix(h) % np.uint64(shards)).astype(np.int64)
+    order = np.lexsort((h, part, to))
+    cut = np.searchsorted(to[order], np.arange(shards + 1))
+    rows = []
+    for s in range(shards):
+        i = order[cut[s] : cut[s + 1]]
+        if len(i):
+            first = np.flatnonzero(np.concatenate(([True], part[i][1:] != part[i][:-1])))
+            runs = np.stack([blocks[part[i[first]]], np.diff(np.append(first, len(i))).astype(np.uint64)])
+            rows.append(("m", s, 0, planes(h[i]), doc[i].astype("<u2").tobytes(), planes(freq[i].astype("<u4")), runs.tobytes(), None))
+    return common.record(_OUT, *zip(*rows, strict=True))
+
+
 def _types_by_history(h: np.ndarray, r: np.ndarray, c: np.ndarray, shards: int, hot_h: np.ndarray):
     hot_one = np.isin(h, hot_h)
     if hot_one.any():
@@ -352,6 +363,7 @@ def _weigh(shared):
         fix = model.correction(counts)
         hot = np.array(sorted(model.hot), np.uint64)
         hot_fix = np.array([model.hot[int(x)] for x in hot])
+        fixes: dict[int, list] = {}
         for m in misses:
             hm = unplanes(m["a"], "<u8")
             doc, f = np.frombuffer(m["b"], "<u2").astype(np.int64), unplanes(m["c"], "<u4")
@@ -360,9 +372,18 @@ def _weigh(shared):
                 if len(known):
                     k = np.minimum(np.searchsorted(known, hm), len(known) - 1)
                     value += np.where(known[k] == hm, amount[k], 0)
-            total = np.bincount(doc, value * f)
+            blocks, lengths = np.frombuffer(m["d"], "<u8").reshape(2, -1)
+            ends = np.cumsum(lengths.astype(np.int64)).tolist()
+            for block, lo, hi in zip(blocks.tolist(), [0, *ends[:-1]], ends, strict=True):
+                fixes.setdefault(block, []).append((doc[lo:hi], value[lo:hi] * f[lo:hi]))
+        rows = []
+        for block, got in sorted(fixes.items()):
+            doc, value = (np.concatenate(x) for x in zip(*got, strict=True))
+            total = np.bincount(doc, value)
             touched = np.unique(doc)
-            yield common.record(schema, ["d"], [m["block"]], [touched.astype("<u2").tobytes()], [total[touched].tobytes()])
+            rows.append(("d", block, touched.astype("<u2").tobytes(), total[touched].tobytes()))
+        if rows:
+            yield common.record(schema, *zip(*rows, strict=True))
 
     return run
 
