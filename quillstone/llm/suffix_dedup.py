@@ -372,9 +372,9 @@ def _by_document(rows: pa.Table) -> pa.Table:
     start, end = (np.concatenate([np.frombuffer(r[c], "<i8") for r in got]) for c in ("starts", "ends"))
     order = np.argsort(doc, kind="stable")
     doc, start, end = doc[order], start[order], end[order]
-    cut = np.flatnonzero(np.concatenate(([True], doc[1:] != doc[:-1]))) if len(doc) else []
+    cut = np.flatnonzero(np.concatenate(([True], doc[1:] != doc[:-1]))).tolist() if len(doc) else []
     out = []
-    for lo, hi in zip(list(cut), [*list(cut)[1:], len(doc)], strict=True):
+    for lo, hi in zip(cut, [*cut[1:], len(doc)][: len(cut)], strict=True):
         a, b = union(start[lo:hi], end[lo:hi])
         out.append((ids[doc[lo]], keys[doc[lo]], np.stack([a, b], 1).astype("<i8").tobytes()))
     return pa.Table.from_batches([common.record(_SPANS, *(zip(*out, strict=True) if out else ([], [], [])))], schema=_SPANS)
