@@ -19,18 +19,18 @@ def connected_components(edges: DataFrame, most: int = 64) -> DataFrame:
     reversed edges are allowed; edges with a null end are dropped; no edges give
     no rows.
     """
-    links = common.scratch(edges.where("a IS NOT NULL AND b IS NOT NULL").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").dropDuplicates(), "links")
+    links = common.scratch(edges.where("a IS NOT NULL AND b IS NOT NULL").select(F.least("a", "b").alias("low"), F.greatest("a", "b").alias("high")).where("low < high").dropDuplicates(), "links")
     known = None
     for _ in range(most):
         if links.isEmpty():
             break
-        hooked = links.union(links.select("b", "a")).groupBy("a").agg(F.min("b").alias("least")).select(F.col("a").alias("node"), F.least("a", "least").alias("to"))
+        hooked = links.union(links.select("high", "low")).groupBy("low").agg(F.min("high").alias("least")).select(F.col("low").alias("node"), F.least("low", "least").alias("to"))
         hooked = common.scratch(hooked, "hooks")
         further = hooked.select(F.col("node").alias("to"), F.col("to").alias("next"))
         labels = common.scratch(hooked.join(further, "to").select("node", F.col("next").alias("component")), "labels")
         common.drop_scratch(hooked)
-        fresh = links.join(labels.select(F.col("node").alias("a"), F.col("component").alias("p")), "a").join(labels.select(F.col("node").alias("b"), F.col("component").alias("q")), "b")
-        fresh = common.scratch(fresh.where("p <> q").select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).dropDuplicates(), "links")
+        fresh = links.join(labels.select(F.col("node").alias("low"), F.col("component").alias("p")), "low").join(labels.select(F.col("node").alias("high"), F.col("component").alias("q")), "high")
+        fresh = common.scratch(fresh.where("p <> q").select(F.least("p", "q").alias("low"), F.greatest("p", "q").alias("high")).dropDuplicates(), "links")
         common.drop_scratch(links)
         links = fresh
         if known is None:
@@ -41,7 +41,7 @@ def connected_components(edges: DataFrame, most: int = 64) -> DataFrame:
             known = moved
     else:
         raise RuntimeError("components did not settle")
-    return known if known is not None else links.select(F.col("a").alias("node"), F.col("b").alias("component"))
+    return known if known is not None else links.select(F.col("low").alias("node"), F.col("high").alias("component"))
 
 
 def follow(known: DataFrame, labels: DataFrame) -> DataFrame:
@@ -56,6 +56,7 @@ def refine(known: DataFrame, edges: DataFrame) -> DataFrame:
     def renamed(name: str) -> DataFrame:
         return known.select(F.col("node").alias(name), F.col("component").alias(f"of_{name}"))
 
+    edges = edges.where("a IS NOT NULL AND b IS NOT NULL AND a <> b")
     named = edges.join(renamed("a"), "a", "left").join(renamed("b"), "b", "left")
     added = named.select("a", "b").select(F.explode(F.array("a", "b")).alias("node")).dropDuplicates().join(known, "node", "left_anti")
     every = known.unionByName(added.select("node", F.col("node").alias("component")))

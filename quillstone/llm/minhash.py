@@ -110,8 +110,8 @@ def _sign(size: int):
     return run
 
 
-SENT = "shard int, keys binary, nodes binary"
-_SENT = pa.schema([("shard", pa.int32()), ("keys", pa.binary()), ("nodes", pa.binary())])
+SENT = "shard int, keys binary, nodes binary, sizes binary"
+_SENT = pa.schema([("shard", pa.int32()), ("keys", pa.binary()), ("nodes", pa.binary()), ("sizes", pa.binary())])
 
 
 def _deal(shards: int):
@@ -124,54 +124,66 @@ def _deal(shards: int):
                 sig = np.frombuffer(b"".join(part.column(1).to_pylist()), "<u8").reshape(-1, 2 * M)
                 node = part.column(0).to_numpy()
                 keys = np.concatenate([mix(sig[:, i] * _ODD[0] + sig[:, M + j] * _ODD[1] + np.uint64(i * M + j)) for i in range(M) for j in range(M)])
-                nodes = np.tile(node, M * M)
+                nodes, sizes = np.tile(node, M * M), np.tile(part.column(2).to_numpy().astype("<i4"), M * M)
                 at = (keys % np.uint64(shards)).astype(np.int64)
                 order = np.argsort(at, kind="stable")
                 cut = np.searchsorted(at[order], np.arange(shards + 1))
-                rows = [(s, keys[order[cut[s] : cut[s + 1]]].tobytes(), nodes[order[cut[s] : cut[s + 1]]].tobytes()) for s in range(shards) if cut[s] < cut[s + 1]]
+                at = {s: order[cut[s] : cut[s + 1]] for s in range(shards) if cut[s] < cut[s + 1]}
+                rows = [(s, keys[i].tobytes(), nodes[i].tobytes(), sizes[i].tobytes()) for s, i in at.items()]
                 yield common.record(_SENT, *zip(*rows, strict=True))
 
     return run
 
 
-_BUCKETS = pa.schema([("key", pa.int64()), ("node", pa.int64())])
+_BUCKETS = pa.schema([("key", pa.int64()), ("node", pa.int64()), ("n", pa.int32())])
 
 
 def _gather(batches):
     """The entries of a shard that share their key with another node."""
-    keys, nodes = [], []
+    keys, nodes, sizes = [], [], []
     for b in batches:
-        for k, v in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
+        for k, v, n in zip(*(b.column(i).to_pylist() for i in (1, 2, 3)), strict=True):
             keys.append(np.frombuffer(k, "<u8"))
             nodes.append(np.frombuffer(v, "<i8"))
+            sizes.append(np.frombuffer(n, "<i4"))
     if keys:
-        key, node = np.concatenate(keys), np.concatenate(nodes)
+        key, node, size = np.concatenate(keys), np.concatenate(nodes), np.concatenate(sizes)
         order = np.lexsort((node, key))
-        key, node = key[order], node[order]
+        key, node, size = key[order], node[order], size[order]
         same = key[1:] == key[:-1]
         keep = np.concatenate(([False], same)) | np.concatenate((same, [False]))
-        key, node = key[keep].view(np.int64), node[keep]
+        key, node, size = key[keep].view(np.int64), node[keep], size[keep]
         for lo in range(0, len(key), 200_000):
-            yield common.record(_BUCKETS, key[lo : lo + 200_000], node[lo : lo + 200_000])
+            yield common.record(_BUCKETS, key[lo : lo + 200_000], node[lo : lo + 200_000], size[lo : lo + 200_000])
 
 
 _PAIRS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
 
-def _linear_pairs(batches):
-    """Of each bucket's nodes (sorted by key): each with the leader or, in half of the keys, the one before, in an order drawn by key."""
-    for b in batches:
-        key, node = b.column(0).to_numpy().view(np.uint64), b.column(1).to_numpy()
-        order = np.lexsort((mix(node.view(np.uint64) * _ODD[2] ^ key), key))
-        key, node = key[order], node[order]
-        fresh = np.ones(len(key), bool)
-        fresh[1:] = key[1:] != key[:-1]
-        lead = node[np.maximum.accumulate(np.where(fresh, np.arange(len(key)), 0))]
-        other = np.where(key & np.uint64(1), lead, np.roll(node, 1))[~fresh]
-        pairs = np.unique(np.stack([np.minimum(other, node[~fresh]), np.maximum(other, node[~fresh])], 1), axis=0)
-        pairs = pairs[pairs[:, 0] != pairs[:, 1]]
-        if len(pairs):
-            yield common.record(_PAIRS, pairs[:, 0], pairs[:, 1])
+def _linear_pairs(percent: int):
+    """Of each bucket's nodes (sorted by key): each with the leader or, in half of the keys, the one before, in an order drawn by key.
+
+    A pair too unlike in size is dropped at once.
+    """
+
+    def run(batches):
+        for b in batches:
+            key, node, n = b.column(0).to_numpy().view(np.uint64), b.column(1).to_numpy(), b.column(2).to_numpy()
+            order = np.lexsort((mix(node.view(np.uint64) * _ODD[2] ^ key), key))
+            key, node, n = key[order], node[order], n[order]
+            fresh = np.ones(len(key), bool)
+            fresh[1:] = key[1:] != key[:-1]
+            at = np.arange(len(key))
+            lead = np.maximum.accumulate(np.where(fresh, at, 0))
+            y = at[~fresh]
+            x = np.where(key & np.uint64(1), lead, at - 1)[~fresh]
+            near = 100 * np.minimum(n[x], n[y]) >= percent * np.maximum(n[x], n[y])
+            a, c = node[x[near]], node[y[near]]
+            pairs = np.unique(np.stack([np.minimum(a, c), np.maximum(a, c)], 1), axis=0)
+            if len(pairs):
+                yield common.record(_PAIRS, pairs[:, 0], pairs[:, 1])
+
+    return run
 
 
 #: Bits of the filter of candidate nodes: 4 MB, whatever the data.
@@ -224,11 +236,8 @@ def _confirm(percent: int):
 
 
 def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets are similar enough; a pair too unlike in size is dropped before sets are sent."""
-    sizes = sets.select("node", "n")
-    near = pairs.join(sizes.select(F.col("node").alias("a"), F.col("n").alias("na")), "a").join(sizes.select(F.col("node").alias("b"), F.col("n").alias("nb")), "b")
-    near = near.where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")).select("a", "b")
-    left = near.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("left")), "a")
+    """The pairs (a, b) whose full sets are similar enough."""
+    left = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("left")), "a")
     both = left.join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("right")), "b")
     return both.select("a", "b", "left", "right").mapInArrow(_confirm(percent), "a long, b long")
 
@@ -297,7 +306,7 @@ def _leftover(buckets: DataFrame, components: DataFrame, nodes: DataFrame, sets:
     mixed = labelled.groupBy("key").agg(F.min("component").alias("c0"), F.max("component").alias("c1"), F.count(F.lit(1)).alias("size")).where("c0 <> c1").select("key", "size")
     mixed = common.scratch(mixed, "mixed")
     small = labelled.join(mixed.where(F.col("size") <= SMALL), "key")
-    pairs = small.alias("x").join(small.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.component") != F.col("y.component")))
+    pairs = small.alias("x").join(small.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.component") != F.col("y.component")) & (100 * F.least("x.n", "y.n") >= percent * F.greatest("x.n", "y.n")))
     links = confirm(pairs.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).dropDuplicates(), sets, percent)
     large = labelled.join(mixed.where(F.col("size") > SMALL), "key").select("node", "component").dropDuplicates()
     large = common.scratch(large.join(nodes.select("node", "keys"), "node"), "large")
@@ -327,17 +336,17 @@ def near_duplicates(docs: DataFrame, size: int, percent: int = 80) -> DataFrame:
     signed = common.scratch(texts.mapInArrow(_sign(size), SIGNED), "signed")
     full = signed.where("n_shingles > 0 AND doc_id IS NOT NULL")
     groups = common.scratch(full.groupBy("s1", "s2").agg(F.min("doc_id").alias("node")), "groups")
-    nodes = full.select(F.col("doc_id").alias("node"), "s1", "s2", "keys").join(groups, ["node", "s1", "s2"]).select("node", "keys").dropDuplicates(["node"])
+    nodes = full.select(F.col("doc_id").alias("node"), "s1", "s2", "keys", F.col("n_shingles").alias("n")).join(groups, ["node", "s1", "s2"]).select("node", "keys", "n").dropDuplicates(["node"])
     nodes = common.scratch(nodes, "nodes")
     dealt = common.deal(nodes.mapInArrow(_deal(shards), SENT), "shard")
-    buckets = common.scratch(dealt.mapInArrow(_gather, "key long, node long"), "buckets")
+    buckets = common.scratch(dealt.mapInArrow(_gather, "key long, node long, n int"), "buckets")
     marks = buckets.select("node").mapInArrow(_filter_words, "at long").dropDuplicates()
     held = np.zeros(FILTER_BITS >> 3, bool)
     for part in marks.toArrow().to_batches():
         held[part.column(0).to_numpy()] = True
     shared = docs.sparkSession.sparkContext.broadcast(held.tobytes())
     sets = common.scratch(texts.where("doc_id IS NOT NULL").mapInArrow(_full_sets(shared, size), SETS).join(nodes.select("node"), "node", "left_semi").dropDuplicates(["node"]), "sets")
-    tried = buckets.mapInArrow(_linear_pairs, "a long, b long").dropDuplicates()
+    tried = buckets.mapInArrow(_linear_pairs(percent), "a long, b long").dropDuplicates()
     links = common.scratch(confirm(tried, sets, percent), "confirmed")
     components = connected_components(links)
     rest = common.scratch(_leftover(buckets, components, nodes, sets, percent), "confirmed")
