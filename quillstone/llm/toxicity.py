@@ -57,6 +57,20 @@ def _positive_terms(batches):
         yield pa.RecordBatch.from_pydict({"term": list(df), "n": pa.array(df.values(), pa.int64())})
 
 
+def _frequencies(terms: dict[str, int]):
+    """Per term number: positive and negative examples that hold it, summed in the task."""
+
+    def run(batches):
+        total = np.zeros((2, len(terms)), np.int64)
+        for b in batches:
+            for text, label in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                total[int(label), [terms[t] for t in _term_counts(text)[0] if t in terms]] += 1
+        at = np.flatnonzero(total.sum(0))
+        yield pa.RecordBatch.from_pydict({"term": pa.array(at, pa.int32()), "neg": pa.array(total[0, at]), "pos": pa.array(total[1, at])})
+
+    return run
+
+
 def _vectors(terms: dict[str, int]):
     def run(batches):
         for b in batches:
@@ -158,35 +172,36 @@ def fit(docs: DataFrame, labelled: DataFrame, max_examples: int = 10_000, max_te
         return None
     floor = max(2 if positives < 100 else 3, int(0.004 * positives))
     df = rows.select("text", "label").mapInArrow(_positive_terms, "term string, n long").groupBy("term").agg(F.sum("n").alias("n")).where(F.col("n") >= floor)
-    frequent = [r["term"] for r in df.orderBy(F.desc("n"), "term").limit(50 * max_terms).collect()]
-    got = rows.mapInArrow(_vectors({t: i for i, t in enumerate(frequent)}), "doc_id long, label int, n long, terms array<int>, counts array<long>").orderBy("doc_id").collect()
-    common.drop_scratch(rows)
-    labels = np.array([r["label"] for r in got])
+    frequent = [str(r["term"]) for r in df.orderBy(F.desc("n"), "term").limit(50 * max_terms).collect()]
+    numbered = {t: i for i, t in enumerate(frequent)}
+    summed = rows.select("text", "label").mapInArrow(_frequencies(numbered), "term int, neg long, pos long").groupBy("term").agg(F.sum("neg").alias("neg"), F.sum("pos").alias("pos")).toArrow()
     pos, neg = np.zeros(len(frequent)), np.zeros(len(frequent))
-    for r in got:
-        (pos if r["label"] else neg)[r["terms"]] += 1
-    n1 = labels.sum()
-    n0 = len(labels) - n1
+    pos[summed["term"].to_numpy()], neg[summed["term"].to_numpy()] = summed["pos"].to_numpy(), summed["neg"].to_numpy()
+    n, n1 = rows.count(), positives
+    n0 = n - n1
     odds = np.log(((pos + 0.5) / (n1 + 1)) / ((neg + 0.5) / (n0 + 1)))
     merit = np.where(odds > 1.5, pos * odds, 0)
     order = [i for i in np.argsort(-merit, kind="stable")[:max_terms] if merit[i] > 0]
     if not order:
+        common.drop_scratch(rows)
         return None
-    to = {old: new for new, old in enumerate(order)}
-    idf = np.log((1 + len(got)) / (1 + pos[order] + neg[order]))
-    model = Model({frequent[old]: new for old, new in to.items()}, idf, background, k, np.zeros(0), np.zeros(0), np.zeros((0, 0)), block, np.zeros((0, 0)), 0.0)
+    chosen_terms = {frequent[old]: new for new, old in enumerate(order)}
+    got = rows.mapInArrow(_vectors(chosen_terms), "doc_id long, label int, n long, terms array<int>, counts array<long>").orderBy("doc_id").toArrow()
+    common.drop_scratch(rows)
+    idf = np.log((1 + n) / (1 + pos[order] + neg[order]))
+    model = Model(chosen_terms, idf, background, k, np.zeros(0), np.zeros(0), np.zeros((0, 0)), block, np.zeros((0, 0)), 0.0)
     held, plain = [], [0, 0]
-    for r in got:
-        hits = {to[t]: c for t, c in zip(r["terms"], r["counts"], strict=True) if t in to}
-        if hits:
-            v = model.vector(hits, r["n"])
-            held.append((int(np.argmax(v[:-1])), r["doc_id"], r["label"], v))
-        else:
-            plain[r["label"]] += 1
+    for batch in got.to_batches(1000):
+        for r in batch.to_pylist():
+            if r["terms"]:
+                v = model.vector(dict(zip(r["terms"], r["counts"], strict=True)), r["n"])
+                held.append((int(np.argmax(v[:-1])), r["doc_id"], r["label"], v))
+            else:
+                plain[r["label"]] += 1
     held.sort(key=lambda x: x[:2])
     model.ids, model.labels, model.matrix = np.array([h[1] for h in held]), np.array([h[2] for h in held]), np.stack([h[3] for h in held])
     model.tops = np.stack([model.matrix[i : i + block].max(0) for i in range(0, len(held), block)])
-    model.plain = (plain[1] + 0.5 * n1 / len(labels)) / (sum(plain) + 1)
+    model.plain = (plain[1] + 0.5 * n1 / n) / (sum(plain) + 1)
     if len(held) > 2:
         votes = model.vote(*model.nearest(model.matrix, skip_self=True))
         model.slope, model.shift = _platt(np.concatenate([votes, np.full(sum(plain), model.plain)]), np.concatenate([model.labels, np.repeat([0, 1], plain)]))
