@@ -180,16 +180,19 @@ def _count(shards: int, hot: dict[int, int]):
                 })
         if not parts:
             return
-        word, h = np.concatenate([p["word"] for p in parts]), np.concatenate([p["h"] for p in parts])
-        spread = np.concatenate([p["spread"] for p in parts])
-        tag, freq = np.concatenate([p["tag"] for p in parts]), np.concatenate([p["freq"] for p in parts]).astype(np.int64)
-        entry = np.repeat(np.arange(len(spread)), spread)
-        seen = np.bincount(entry, freq * (tag >> 15), len(spread)).astype(np.int64)
-        order = np.lexsort((h, word))
+        bounds = [(p["block"], len(p["spread"]), len(p["tag"])) for p in parts]
+
+        def joined(column: str) -> np.ndarray:
+            return np.concatenate([p.pop(column) for p in parts])
+
+        word, h, spread, tag, freq = map(joined, ("word", "h", "spread", "tag", "freq"))
+        first = np.cumsum(spread) - spread
+        seen = np.add.reduceat(freq.astype(np.int64) * (tag >> 15), first)
+        order = np.lexsort((h, word)).astype(np.int32)
         w, hh = word[order], h[order]
         fresh_word = np.concatenate(([True], w[1:] != w[:-1]))
         fresh = fresh_word | np.concatenate(([True], hh[1:] != hh[:-1]))
-        type_of, word_of = np.cumsum(fresh) - 1, np.cumsum(fresh_word) - 1
+        type_of, word_of = (np.cumsum(x, dtype=np.int32) - 1 for x in (fresh, fresh_word))
         r_type = np.bincount(type_of, seen[order]).astype(np.int64)
         words = w[fresh_word]
         c_word = np.bincount(word_of, seen[order]).astype(np.int64)
@@ -197,6 +200,7 @@ def _count(shards: int, hot: dict[int, int]):
         c_word[is_hot] = [hot[int(x)] for x in words[is_hot]]
         r_row, c_row = np.empty(len(order), np.int64), np.empty(len(order), np.int64)
         r_row[order], c_row[order] = r_type[type_of], c_word[word_of]
+        del seen, order
         # statistics: hot words are counted by the driver
         own = c_word[~is_hot]
         uni = np.bincount(np.minimum(own, K + 2), minlength=K + 3)[1:].astype("<i8")
@@ -206,18 +210,20 @@ def _count(shards: int, hot: dict[int, int]):
         tw, th, tc = w[fresh], hh[fresh], c_word[word_of[fresh]]
         held = r_type > 0
         tw, th, tc, tr = tw[held], th[held], tc[held], r_type[held]
+        del w, hh, fresh, fresh_word, type_of, word_of, held
         for lo in range(0, len(tw), 1 << 20):
             s = slice(lo, lo + (1 << 20))
             first = np.flatnonzero(np.concatenate(([True], tw[s][1:] != tw[s][:-1]))) if len(tw[s]) else np.zeros(0, np.int64)
-            yield common.record(_OUT, ["t"], [at_shard], [0], [tw[s][first].tobytes()], [np.diff(np.append(first, len(tw[s]))).astype("<u4").tobytes()], [np.ascontiguousarray(th[s]).view(np.uint8).reshape(-1, 8)[:, :6].tobytes()], [planes(tr[s].astype("<u4"))], [None])
+            yield common.record(_OUT, ["t"], [at_shard], [0], [tw[s][first].tobytes()], [np.diff(np.append(first, len(tw[s]))).astype("<u4").tobytes()], [np.ascontiguousarray(th[s]).view(np.uint8).reshape(-1, 8)[:, :6].tobytes()], [planes(tr[s].astype("<u8"))], [None])
         yield from _types_by_history(th, tr, tc, shards, hot_h)
+        del tw, th, tc, tr
         # sums by document
         misses = []
-        type_at = 0
-        for k, p in enumerate(parts):
-            t = len(p["spread"])
-            e = np.repeat(np.arange(type_at, type_at + t), p["spread"])
-            f, d = p["freq"].astype(np.int64), (p["tag"] & 0x7FFF).astype(np.int64)
+        type_at = at = 0
+        for k, (block, t, m) in enumerate(bounds):
+            e = np.repeat(np.arange(type_at, type_at + t), spread[type_at : type_at + t])
+            f, d = freq[at : at + m].astype(np.int64), (tag[at : at + m] & 0x7FFF).astype(np.int64)
+            at += m
             r, c, is_end = r_row[e], c_row[e], word[e] == END
             n = int(d.max()) + 1
             base = _sum_by(d, n, f * np.log10(c + 1.0))
@@ -231,7 +237,7 @@ def _count(shards: int, hot: dict[int, int]):
             waiting[:, 2 * K + 1] = _sum_by(d, n, f * ((r == 0) & (c > 0)))
             touched = np.unique(d)
             yield common.record(
-                _OUT, ["d"], [1], [p["block"]], [touched.astype("<u2").tobytes()], [base[touched].tobytes()], [known[touched].astype("<u4").tobytes()],
+                _OUT, ["d"], [1], [block], [touched.astype("<u2").tobytes()], [base[touched].tobytes()], [known[touched].astype("<u4").tobytes()],
                 [_sum_by(d, n, f * fixed)[touched].tobytes()], [planes(waiting[touched].astype("<u4").ravel())],
             )
             miss = np.flatnonzero(r == 0)
@@ -239,7 +245,7 @@ def _count(shards: int, hot: dict[int, int]):
                 misses.append((h[e[miss]], np.full(len(miss), k, np.int64), d[miss], f[miss]))
             type_at += t
         if misses:
-            yield _miss_rows(*(np.concatenate(x) for x in zip(*misses, strict=True)), np.array([p["block"] for p in parts], np.uint64), shards, hot_h)
+            yield _miss_rows(*(np.concatenate(x) for x in zip(*misses, strict=True)), np.array([x[0] for x in bounds], np.uint64), shards, hot_h)
 
     return run
 
@@ -274,7 +280,7 @@ def _types_by_history(h: np.ndarray, r: np.ndarray, c: np.ndarray, shards: int,
         i = order[cut[s] : cut[s + 1]]
         if len(i):
             code = (np.minimum(r[i], K + 1) * 8 + np.minimum(c[i], K + 1)).astype(np.uint8)
-            rows.append(("h", s, 0, planes(h[i]), code.tobytes(), planes(r[i][r[i] > K].astype("<u4")), planes(c[i][c[i] > K].astype("<u4")), None))
+            rows.append(("h", s, 0, planes(h[i]), code.tobytes(), planes(r[i][r[i] > K].astype("<u8")), planes(c[i][c[i] > K].astype("<u8")), None))
     if rows:
         yield common.record(_OUT, *zip(*rows, strict=True))
 
@@ -353,7 +359,7 @@ def _weigh(shared):
         code = np.concatenate([np.frombuffer(r["b"], np.uint8) for r in types] or [np.zeros(0, np.uint8)]).astype(np.int64)
         r, c = code >> 3, code & 7
         for which, column in ((r, "c"), (c, "d")):
-            which[which > K] = np.concatenate([unplanes(x[column], "<u4") for x in types] or [np.zeros(0, np.uint32)])
+            which[which > K] = np.concatenate([unplanes(x[column], "<u8") for x in types] or [np.zeros(0, np.uint64)])
         names, index = np.unique(h, return_inverse=True)
         counts = _mass_counts(index, len(names), r, c)
         weight = model.backoff(counts)
