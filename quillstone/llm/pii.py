@@ -22,7 +22,7 @@ SHAPES = {
     "ip": r"(?<![0-9.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9]|\.[0-9])",
     "date": r"(?<![0-9/.-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}/[0-9]{2}/[0-9]{4}|[0-9]{2}\.[0-9]{2}\.[0-9]{4})(?![0-9]|[/.-][0-9])",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9]|-[0-9])",
-    "phone": r"(?<![0-9A-Za-z+])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9]|-[0-9])",
+    "phone": r"(?<![0-9A-Za-z+])(?:(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}|\+[0-9]{8,15}|\+[0-9]{1,3}(?:[ .-]\(?[0-9]{2,4}\)?){2,4})(?![0-9]|-[0-9])",
     "card": r"(?<![0-9A-Za-z])(?:[0-9]{13,19}|[0-9]{4}(?: [0-9]{4}){2,3}(?: [0-9]{1,3})?|[0-9]{4}(?:-[0-9]{4}){2,3}(?:-[0-9]{1,3})?|[0-9]{4}[ -][0-9]{6}[ -][0-9]{5})(?![0-9A-Za-z])",
 }
 ANY = "|".join(f"(?:{p})" for p in SHAPES.values())
@@ -63,7 +63,7 @@ def permute_digits(digits: Column, key: str, tweak: str) -> Column:
 
 def let(value: Column, then) -> Column:
     """``then`` of a value that is computed once."""
-    return F.transform(F.array(value), then)[0]
+    return F.get(F.transform(F.array(value), then), F.lit(0))
 
 
 def walk(start: Column, move, valid, most: int = 64) -> Column:
@@ -148,9 +148,11 @@ def ssn(x: Column, key: str) -> Column:
 
 
 def phone(x: Column, key: str) -> Column:
-    """The last ten digits are permuted; a country code stays."""
+    """The last ten digits are permuted, or all but the first of a shorter international number."""
     d = only_digits(x)
-    return let(permute_digits(d.substr(F.length(d) - 9, F.lit(10)), key, "phone"), lambda p: pour(x, F.concat(d.substr(F.lit(1), F.length(d) - 10), p)))
+    n = F.length(d)
+    moved = F.when(x.startswith("+"), F.least(F.lit(10), n - 1)).otherwise(n)
+    return let(permute_digits(d.substr(n - moved + 1, moved), key, "phone"), lambda p: pour(x, F.concat(d.substr(F.lit(1), n - moved), p)))
 
 
 def valid_ip(x: Column) -> Column:
@@ -175,10 +177,10 @@ def _date_at(x: Column, fmt: str) -> Column:
     return F.when(x.substr(mark, F.lit(1)) == next(c for c in fmt if not c.isalpha()), F.try_to_date(text, "yyyy-MM-dd"))
 
 
-def date_days(x: Column) -> Column:
-    """Days since FIRST_DAY where ``x`` is a date that is permuted, else null."""
-    day = F.datediff(F.coalesce(*[_date_at(x, f) for f in DATE_FORMATS]), F.lit(FIRST_DAY).cast("date"))
-    return F.when(day.between(0, DAYS - 1), day)
+def date_read(x: Column) -> Column:
+    """(days since FIRST_DAY, shape) where ``x`` is a date that is permuted, else null days."""
+    tries = [F.struct(F.datediff(_date_at(x, f), F.lit(FIRST_DAY).cast("date")).alias("days"), F.lit(i).alias("shape")) for i, f in enumerate(DATE_FORMATS)]
+    return F.get(F.filter(F.array(*tries), lambda t: t["days"].between(0, DAYS - 1)), F.lit(0))
 
 
 def date(x: Column, key: str) -> Column:
@@ -187,19 +189,17 @@ def date(x: Column, key: str) -> Column:
     def move(day: Column) -> Column:
         return let(feistel(F.floor(day / n), day % n, F.lit(m), F.lit(n), key, "date"), lambda p: p["a"] * n + p["b"])
 
-    fresh = walk(date_days(x).cast("long"), move, lambda d: d < DAYS)
-    shape = F.when(_date_at(x, DATE_FORMATS[0]).isNotNull(), 0)
-    for i, f in enumerate(DATE_FORMATS[1:], 1):
-        shape = shape.when(_date_at(x, f).isNotNull(), i)
+    def written(t: Column) -> Column:
+        fresh = walk(t["days"].cast("long"), move, lambda d: d < DAYS)
+        iso = F.date_add(F.lit(FIRST_DAY).cast("date"), fresh.cast("int")).cast("string")
 
-    def written(d: Column) -> Column:
-        day = F.date_add(F.lit(FIRST_DAY).cast("date"), d.cast("int"))
-        out = F.date_format(day, DATE_FORMATS[-1])
-        for i, f in reversed(list(enumerate(DATE_FORMATS[:-1]))):
-            out = F.when(shape == i, F.date_format(day, f)).otherwise(out)
-        return out
+        def shaped(s: Column) -> Column:
+            y, mm, d = s.substr(1, 4), s.substr(6, 2), s.substr(9, 2)
+            return F.when(t["shape"] == 0, s).when(t["shape"] == 1, F.concat_ws("/", mm, d, y)).when(t["shape"] == 2, F.concat_ws("/", d, mm, y)).otherwise(F.concat_ws(".", d, mm, y))
 
-    return let(fresh, written)
+        return let(iso, shaped)
+
+    return let(date_read(x), written)
 
 
 def email(x: Column, key: str) -> Column:
@@ -214,10 +214,10 @@ def kind(x: Column) -> Column:
     return (
         F.when(F.instr(x, "@") > 0, "email")
         .when(full["ip"] & valid_ip(x), "ip")
-        .when(full["date"] & date_days(x).isNotNull(), "date")
+        .when(full["date"] & date_read(x)["days"].isNotNull(), "date")
         .when(full["ssn"] & valid_ssn(only_digits(x)), "ssn")
         .when(full["card"] & valid_card(x), "card")
-        .when(full["phone"], "phone")
+        .when(full["phone"] & F.length(only_digits(x)).between(8, 15), "phone")
         .when(full["iban"] & valid_iban(x), "iban")
     )
 

@@ -217,7 +217,7 @@ def pseudonyms(spark, texts, key="k"):
 
 def test_pseudonyms_keep_formats_and_links(spark):
     texts = ["4845168114407329", "4845-1681-1440-7329 x 4845 1681 1440 7329", "7536784127813050 4845168114407329", "9807915762804490 no card", "+1 (017) 555-7713, (017) 555-7713", "ip 97.51.17.173. and 999.1.1.1 v1.2.3.4.5",
-             "2001-02-28 28.02.2001 02/28/2001 2001-02-30", "123-45-6789 666-45-6789 000-12-3456", "DE89 3704 0044 0532 0130 00 GB82WEST12345698765432 DE00 3704 0044 0532 0130 00", "a.b@x.example.com A.B@x.example.com.", None, "", "plain 123 text"]
+             "2001-02-28 28.02.2001 02/28/2001 2001-02-30", "123-45-6789 666-45-6789 000-12-3456", "DE89 3704 0044 0532 0130 00 GB82WEST12345698765432 DE00 3704 0044 0532 0130 00", "a.b@x.example.com A.B@x.example.com.", None, "", "plain 123 text", "+44 20 7946 0958 and +442079460958 or +10175557713"]
     out, kinds = pseudonyms(spark, texts)
     card = out[0]
     assert luhn(card) and card != texts[0] and len(card) == 16
@@ -236,6 +236,8 @@ def test_pseudonyms_keep_formats_and_links(spark):
     a, b = out[9].rstrip(".").split()
     assert a == b and a.endswith("@x.example.com") and "a.b" not in a
     assert out[10] is None and out[11] == "" and out[12] == texts[12]
+    london, same, other = (x.strip().replace(" ", "") for x in out[13].replace("and", "|").replace("or", "|").split("|"))
+    assert london == same != "+442079460958" and london.startswith("+44") and other == "+1" + "".join(c for c in out[4].split(", ")[1] if c.isdigit())
     assert pseudonyms(spark, texts, "other")[0][0] != card
 
 
