@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common
-from .pretokens import Pieces
+from .pretokens import pieces
 
 END_ID = 2
 UNITS = 64
@@ -37,11 +37,11 @@ _PIECES = pa.schema([(c, pa.int64()) for c in ("doc_id", "start", "length", "ids
 
 def _tokenise(path: str, end_id: int):
     def run(batches):
-        pieces = Pieces(path)
-        kind = np.dtype("<u2" if pieces.narrow else "<u4")
+        splitter = pieces(path)
+        kind = np.dtype("<u2" if splitter.narrow else "<u4")
         end = np.array([end_id], kind).tobytes()
         for b in common.blocks(batches, 1):
-            ids = [pieces.ids(t or "") + end for t in b.column(1).to_pylist()]
+            ids = [x + end for x in splitter.ids_of([t or "" for t in b.column(1).to_pylist()])]
             yield common.record(_IDS, b.column(0), [len(x) // kind.itemsize for x in ids], ids)
 
     return run
@@ -199,7 +199,6 @@ def pack(docs: DataFrame, tokenizer: str, window: int = 4096, depth: int = 4, en
     ignored; an empty table gives no pieces.  Sequence ids are unique, not
     gapless: the task stands in their upper bits.
     """
-    spark = docs.sparkSession
     table = common.scratch(token_ids(docs, tokenizer, end_id), "ids")
     unit = max(1, window // UNITS)
     rest = F.col("n") % window
@@ -210,6 +209,5 @@ def pack(docs: DataFrame, tokenizer: str, window: int = 4096, depth: int = 4, en
             histogram[r["u"] - 1] = r["c"]
     mix, repeats = solve_mix(histogram, depth) if histogram.any() else ((), np.zeros(0))
     documents = sum(r["c"] for r in counted)
-    narrow = Pieces(tokenizer).narrow
-    del spark
+    narrow = pieces(tokenizer).narrow
     return table.mapInArrow(_pack(window, mix, repeats, documents, narrow), PIECES)

@@ -12,6 +12,10 @@ from __future__ import annotations
 import os
 import re
 import unicodedata
+from functools import lru_cache
+from itertools import chain
+
+import numpy as np
 
 _LIMIT = 0x130
 _SPACE = {0x20, 0x85, 0xA0, *range(9, 14)}
@@ -69,23 +73,43 @@ class Pieces:
         """Pieces in each pre-token."""
         return [len(e) for e in self.plain.encode_batch_fast(tokens, add_special_tokens=False)]
 
-    def ids(self, text: str, keep: int = 1_500_000):
-        """Ids of a text as bytes, 2 little-endian bytes each (4 for large vocabularies)."""
-        import numpy as np
+    def ids_of(self, texts: list[str], keep: int = 400_000) -> list[bytes]:
+        """Ids of each text as bytes, 2 little-endian bytes an id (4 for large vocabularies).
 
+        Up to ``keep`` pre-tokens are remembered from call to call.
+        """
         kind = np.dtype("<u2" if self.narrow else "<u4")
-        got = self.split(text)
-        if got is None:
-            return np.array(self.whole.encode(text, add_special_tokens=False).ids, kind).tobytes()
-        tokens, marks = got
+        found = [self.split(t) for t in texts]
+        need: set[str] = set()
+        for got in found:
+            if got is not None:
+                need.update(got[0])
+        if len(self.known) > keep:
+            self.known.clear()
         known = self.known
-        if new := list({t for t in tokens if t not in known}):
-            if len(known) > keep:
-                known.clear()
-                new = list(set(tokens))
-            for t, e in zip(new, self.plain.encode_batch_fast(new, add_special_tokens=False), strict=True):
-                known[t] = np.array(e.ids, kind).tobytes()
-        parts = [known[t] for t in tokens]
-        for place, special in reversed(marks):
-            parts.insert(place, np.array([special], kind).tobytes())
-        return b"".join(parts)
+        if new := list(need - known.keys()):
+            coded = self.plain.encode_batch_fast(new, add_special_tokens=False)
+            ids = [e.ids for e in coded]
+            raw = np.fromiter(chain.from_iterable(ids), kind, sum(map(len, ids))).tobytes()
+            at = 0
+            for t, x in zip(new, ids, strict=True):
+                known[t] = raw[at : (at := at + kind.itemsize * len(x))]
+        out = []
+        for text, got in zip(texts, found, strict=True):
+            if got is None:
+                out.append(np.array(self.whole.encode(text, add_special_tokens=False).ids, kind).tobytes())
+                continue
+            parts = list(map(known.__getitem__, got[0]))
+            for place, special in reversed(got[1]):
+                parts.insert(place, np.array([special], kind).tobytes())
+            out.append(b"".join(parts))
+        return out
+
+    def ids(self, text: str) -> bytes:
+        return self.ids_of([text])[0]
+
+
+@lru_cache(maxsize=2)
+def pieces(path: str) -> Pieces:
+    """One splitter per file and worker, with what it remembers from task to task."""
+    return Pieces(path)
