@@ -371,3 +371,35 @@ def test_settings_are_put_back(g, spark):
     spark.conf.set("spark.sql.caseSensitive", "false")
     g.execute("SELECT id FROM g;")
     assert spark.conf.get("spark.sql.caseSensitive") == "false"
+
+
+def test_select_over_a_stream(s, spark, tmp_path):
+    spark.createDataFrame([(1, 5.0), (2, 7.0), (3, 9.0)], "k long, v double").write.parquet(f"{tmp_path}/in")
+    s.register("e", spark.readStream.schema("k long, v double").parquet(f"{tmp_path}/in"))
+    out = s.execute("SELECT k, v FROM e WHERE v > 6;")
+    assert out.isStreaming
+    q = out.writeStream.format("memory").queryName(f"q{uuid.uuid4().hex}").start()
+    try:
+        q.processAllAvailable()
+        assert sorted(tuple(r) for r in spark.table(q.name).collect()) == [(2, 7.0), (3, 9.0)]
+    finally:
+        q.stop()
+
+
+def test_failed_statement_leaves_no_trace(s):
+    run(s, "CREATE TABLE t (k INT, v INT);", "CREATE INDEX t (k);", *[f"INSERT INTO t VALUES ({i}, 0);" for i in range(4)])
+    before = s.house.latest()[0]
+    for bad in ("UPDATE t SET k = 1 WHERE k > 1;", "UPDATE t SET v = v / 0;", "INSERT INTO t VALUES (3, 3);"):
+        with pytest.raises(errors.DialectError):
+            s.execute(bad)
+    assert s.house.latest()[0] == before and bag(s, "SELECT k FROM t;") == [(0,), (1,), (2,), (3,)]
+
+
+def test_two_writers_both_count(s, spark):
+    from concurrent.futures import ThreadPoolExecutor
+
+    run(s, "CREATE TABLE t (k INT);")
+    sessions = [Session(spark, s.house.root) for _ in range(4)]
+    with ThreadPoolExecutor(4) as pool:
+        list(pool.map(lambda x: [x[1].execute(f"INSERT INTO t VALUES ({10 * x[0] + i});") for i in range(3)], enumerate(sessions)))
+    assert len(rows(s, "SELECT k FROM t;")) == 12
