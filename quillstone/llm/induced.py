@@ -7,8 +7,14 @@ kept in memory up to a limit and on the task's disk beyond it.  A whole bucket
 generation is taken at a time, so that the induction runs on arrays.  LMS
 substrings are sorted by a first induction and named; the string of names is
 sorted by the same routine while its alphabet is small, else by doubling; a
-second induction gives the order of all suffixes.  Common prefixes of
-neighbours, up to a cap, follow from comparing eight symbols at a time.
+second induction gives the order of all suffixes.
+
+A tuple carries, beside its suffix, the prefix (up to a cap) that it shares with
+the tuple before it in its bucket.  When suffixes induce their predecessors, two
+that follow each other in a bucket share one symbol more than the least of the
+values between their sources; what lies between is kept as one minimum per
+bucket from batch to batch.  Only LMS suffixes and the seams between the L and
+the S part of a bucket are compared with the text.
 """
 
 from __future__ import annotations
@@ -77,47 +83,138 @@ def _types(text: np.ndarray) -> np.ndarray:
     return rising[nearest] > 0
 
 
-def _induce(text: np.ndarray, small: np.ndarray, lms: np.ndarray, symbols: int, memory: int) -> np.ndarray:
-    """All suffixes, from LMS suffixes in order (of their leading symbols at least)."""
+#: Bits of a tuple that hold its common prefix.
+BITS = 6
+CAP = (1 << BITS) - 1
+
+
+class _Prefixes:
+    """Common prefixes of what a pass pushes, from those of what it takes."""
+
+    def __init__(self, symbols: int, cap: int):
+        self.cap = cap
+        self.between = np.full(symbols, cap, np.int64)  # least value since the last push to each bucket
+
+    def pushed(self, prefix: np.ndarray, at: np.ndarray, lead: np.ndarray) -> np.ndarray:
+        """For sources at places ``at`` of a batch, pushed to buckets ``lead``: the values of the pushed tuples.
+
+        ``prefix`` has those of the batch, each with the one taken before it.
+        """
+        order = np.argsort(lead, kind="stable")
+        i, c = at[order], lead[order]
+        fresh = np.concatenate(([True], c[1:] != c[:-1]))
+        start = np.where(fresh, 0, np.concatenate(([0], i[:-1] + 1)))
+        tables = [prefix.astype(np.int8)]
+        most = int((i - start).max(initial=0)) + 1
+        while 2 << (len(tables) - 1) <= most:
+            half = 1 << (len(tables) - 1)
+            tables.append(np.minimum(tables[-1][:-half], tables[-1][half:]))
+        low = np.empty(len(i), np.int64)
+        size = np.frexp((i - start + 1).astype(float))[1] - 1
+        for k, table in enumerate(tables):
+            q = np.flatnonzero(size == k)
+            low[q] = np.minimum(table[start[q]], table[i[q] - (1 << k) + 1])
+        low[fresh] = np.minimum(low[fresh], self.between[c[fresh]])
+        np.minimum(self.between, int(prefix.min(initial=self.cap)), out=self.between)
+        last = np.flatnonzero(np.append(fresh[1:], True))
+        rest = np.minimum.accumulate(prefix[::-1])[::-1]
+        after = i[last] + 1
+        self.between[c[last]] = np.where(after < len(prefix), rest[np.minimum(after, len(prefix) - 1)], self.cap)
+        out = np.empty(len(i), np.int64)
+        out[order] = np.minimum(low + 1, self.cap)
+        return out
+
+    def passed(self, prefix: np.ndarray) -> None:
+        """A batch that pushes nothing."""
+        np.minimum(self.between, int(prefix.min(initial=self.cap)), out=self.between)
+
+
+def _seam(text: np.ndarray, a: int, b: int, cap: int) -> int:
+    n = 0
+    while n < cap and max(a, b) + n < len(text) and text[a + n] == text[b + n]:
+        n += 1
+    return n
+
+
+def _induce(text: np.ndarray, small: np.ndarray, lms: np.ndarray, symbols: int, memory: int, shared: np.ndarray | None = None, cap: int = 0) -> tuple[np.ndarray, np.ndarray | None]:
+    """All suffixes, from LMS suffixes in order (of their leading symbols at least).
+
+    With ``shared``, the common prefixes of neighbouring LMS suffixes, also
+    those of all neighbours.
+    """
+    carry = shared is not None
+
+    def step(now: np.ndarray, prefix: np.ndarray | None, queue: BucketQueue, prefixes: _Prefixes | None, of_type: bool) -> None:
+        """Push the predecessors of a batch that have the type."""
+        at = np.flatnonzero(now > 0)
+        before = now[at] - 1
+        keep = small[before] == of_type
+        at, before = at[keep], before[keep]
+        lead = text[before]
+        if not carry:
+            queue.push(before, lead)
+        elif len(before):
+            queue.push(before << BITS | prefixes.pushed(prefix, at, lead.astype(np.int64)), lead)
+        elif len(prefix):
+            prefixes.passed(prefix)
+
+    def taken(queue: BucketQueue, c: int) -> tuple[np.ndarray, np.ndarray | None]:
+        got = queue.take(c)
+        return (got >> BITS, got & CAP) if carry else (got, None)
+
     starts = np.searchsorted(text[lms], np.arange(symbols + 1))
-    queue = BucketQueue(symbols, memory)
+    queue, prefixes = BucketQueue(symbols, memory), _Prefixes(symbols, cap) if carry else None
+    none = np.zeros(0, np.int64)
     large: list[np.ndarray] = []
+    large_shared: list[np.ndarray] = []
     for c in range(symbols):
-        parts, now = [], queue.take(c)
+        parts, values = [], []
+        now, prefix = taken(queue, c)
         while len(now):
+            if carry and not parts:
+                prefix[0] = 0
             parts.append(now)
-            before = now[now > 0] - 1
-            before = before[~small[before]]
-            lead = text[before]
-            same = lead == c
-            queue.push(before[~same], lead[~same])
-            now = before[same]
+            values.append(prefix)
+            step(now, prefix, queue, prefixes, False)
+            now, prefix = taken(queue, c)
+        large.append(np.concatenate(parts) if parts else none)
         stars = lms[starts[c] : starts[c + 1]]
-        before = stars[stars > 0] - 1
-        queue.push(before, text[before])
-        large.append(np.concatenate(parts) if parts else np.zeros(0, np.int64))
+        if carry:
+            large_shared.append(np.concatenate(values) if values else none)
+            prefix = shared[starts[c] : starts[c + 1]].copy()
+            if len(stars):
+                prefix[0] = _seam(text, int(large[c][-1]), int(stars[0]), cap) if parts else 0
+        step(stars, prefix if carry else None, queue, prefixes, False)
     queue.close()
-    queue = BucketQueue(symbols, memory)
-    queue.push(np.array([len(text) - 1]), text[-1:].astype(np.int64))
+    queue, prefixes = BucketQueue(symbols, memory), _Prefixes(symbols, cap) if carry else None
+    end = np.array([len(text) - 1])
+    queue.push(end << BITS if carry else end, text[-1:].astype(np.int64))
     out: list[np.ndarray] = []
+    out_shared: list[np.ndarray] = []
     for c in range(symbols - 1, -1, -1):
-        parts, now = [], queue.take(c)
+        parts, values = [], []
+        now, prefix = taken(queue, c)
         while len(now):
+            if carry and not parts:
+                prefix[0] = 0
             parts.append(now)
-            before = now[now > 0] - 1
-            before = before[small[before]]
-            lead = text[before]
-            same = lead == c
-            queue.push(before[~same], lead[~same])
-            now = before[same]
+            values.append(prefix)
+            step(now, prefix, queue, prefixes, True)
+            now, prefix = taken(queue, c)
+        up = np.concatenate(parts)[::-1] if parts else none
         down = large[c][::-1]
-        before = down[down > 0] - 1
-        before = before[small[before]]
-        queue.push(before, text[before])
-        out += [np.concatenate(parts)[::-1] if parts else np.zeros(0, np.int64), large[c]]
-        large[c] = np.zeros(0, np.int64)
+        if carry:
+            seam = _seam(text, int(large[c][-1]), int(up[0]), cap) if len(up) and len(down) else 0
+            rising = large_shared[c]
+            prefix = np.append(seam, rising[:0:-1]) if len(down) else none
+            of_up = np.concatenate(values) if parts else none
+            out_shared += [np.append(seam, of_up[:0:-1]) if len(up) else none, rising]
+            large_shared[c] = none
+        step(down, prefix if carry else None, queue, prefixes, True)
+        out += [up, large[c]]
+        large[c] = none
     queue.close()
-    return np.concatenate(out[::-1])
+    return np.concatenate(out[::-1]), np.concatenate(out_shared[::-1]) if carry else None
 
 
 def _same_substrings(text: np.ndarray, small: np.ndarray, a: np.ndarray, b: np.ndarray, length: np.ndarray) -> np.ndarray:
@@ -150,13 +247,18 @@ def _doubled(names: np.ndarray) -> np.ndarray:
             return order
 
 
-def suffix_array(text: np.ndarray, symbols: int, memory: int = 64 << 20) -> np.ndarray:
-    """The suffixes of a text in order.  Its last symbol must be 0, which occurs nowhere else."""
+def suffix_array(text: np.ndarray, symbols: int, memory: int = 64 << 20, cap: int = 0) -> np.ndarray | tuple[np.ndarray, np.ndarray]:
+    """The suffixes of a text in order.  Its last symbol must be 0, which occurs nowhere else.
+
+    With a ``cap`` (at most CAP) also the symbols, up to it, that each suffix
+    shares with the one before it.
+    """
     if len(text) == 1:
-        return np.zeros(1, np.int64)
+        one = np.zeros(1, np.int64)
+        return (one, one) if cap else one
     small = _types(text)
     stars = np.flatnonzero(small[1:] & ~small[:-1]) + 1
-    first = _induce(text, small, stars[np.argsort(text[stars], kind="stable")], symbols, memory)
+    first, _ = _induce(text, small, stars[np.argsort(text[stars], kind="stable")], symbols, memory)
     is_star = np.zeros(len(text), bool)
     is_star[stars] = True
     ordered = first[is_star[first]]
@@ -171,7 +273,9 @@ def suffix_array(text: np.ndarray, symbols: int, memory: int = 64 << 20) -> np.n
         reduced = at[stars]
         order = suffix_array(reduced, int(name[-1]) + 1, memory) if name[-1] < 2048 else _doubled(reduced)
         ordered = stars[order]
-    return _induce(text, small, ordered, symbols, memory)
+    shared = common_prefixes(text, ordered, cap) if cap else None
+    out, prefix = _induce(text, small, ordered, symbols, memory, shared, cap)
+    return (out, prefix) if cap else out
 
 
 def common_prefixes(text: np.ndarray, order: np.ndarray, cap: int) -> np.ndarray:

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common
-from .induced import common_prefixes, suffix_array
+from .induced import suffix_array
 from .minhash import _ODD, mix
 
 LENGTH, GRAM = 50, 16
@@ -302,12 +302,14 @@ def _shared_windows(regions: np.ndarray, length: np.ndarray, owner: np.ndarray,
     text[_ranges(base, size)] = content(regions).astype(np.int16) + 2
     of = np.full(len(text), -1, np.int32)
     of[_ranges(base, windows)] = np.repeat(np.arange(len(regions)), windows)
-    suffixes = suffix_array(text, 258, memory)
-    suffixes = suffixes[of[suffixes] >= 0]
-    run = np.cumsum(common_prefixes(text, suffixes, LENGTH) < LENGTH) - 1
+    suffixes, shared = suffix_array(text, 258, memory, cap=LENGTH)
+    run = np.cumsum(shared < LENGTH) - 1
+    held = of[suffixes] >= 0
+    suffixes, run = suffixes[held], run[held]
     mine = owner[regions][of[suffixes]]
     fresh = np.flatnonzero(np.concatenate(([True], run[1:] != run[:-1])))
-    gone = np.sort(suffixes[np.minimum.reduceat(mine, fresh)[run] < mine])
+    least = np.repeat(np.minimum.reduceat(mine, fresh), np.diff(np.append(fresh, len(run))))
+    gone = np.sort(suffixes[least < mine])
     if not len(gone):
         return (np.zeros(0, np.int64),) * 3
     cut = np.flatnonzero(np.concatenate(([True], (np.diff(gone) > 1) | (of[gone[1:]] != of[gone[:-1]]))))

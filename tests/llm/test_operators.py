@@ -72,9 +72,9 @@ def test_suffix_order(seed):
     a = int(r.integers(1, 6))
     t = np.append(np.repeat(r.integers(1, a + 1, r.integers(1, 40)), r.integers(1, 4)), 0).astype(np.int16)
     want = sorted(range(len(t)), key=lambda i: t[i:].tolist())
-    got = induced.suffix_array(t, a + 1, memory=64)
-    assert got.tolist() == want
-    prefix = induced.common_prefixes(t, got, 5)
+    got, prefix = induced.suffix_array(t, a + 1, memory=64, cap=5)
+    assert got.tolist() == want == induced.suffix_array(t, a + 1).tolist()
+    assert prefix.tolist() == induced.common_prefixes(t, got, 5).tolist()
     for k in range(1, len(t)):
         x, y, n = t[want[k - 1] :].tolist(), t[want[k] :].tolist(), 0
         while n < min(5, len(x), len(y)) and x[n] == y[n]:
