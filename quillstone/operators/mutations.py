@@ -79,7 +79,7 @@ def _condition(house: Warehouse, name: str, table: Stored, where: tuple) -> Colu
 
 def delete(house: Warehouse, name: str, table: Stored, where: tuple) -> Stored:
     chosen = _condition(house, name, table, where)
-    return house.write(name, table, house.frame(table).where(~chosen))
+    return house.rewrite(name, table, chosen, lambda frame: frame.where(~chosen))
 
 
 def _number(value: ast.Literal) -> float:
@@ -128,12 +128,16 @@ def update(house: Warehouse, name: str, table: Stored, sets: tuple, where: tuple
     for s in sets:
         new[s.column] = _assigned(s, types)
     chosen = _condition(house, name, table, where)
-    frame = house.frame(table).withColumn("__chosen", chosen)
-    after = frame.select(*[(F.when(F.col("__chosen"), new[c]).otherwise(quoted(c)) if c in new else quoted(c)).alias(c) for c in types], *[X.key_part(quoted(c), types[c]).alias(f"__old_{c}") for c in new], "__chosen")
+
+    def after(frame: DataFrame, *more: Column) -> DataFrame:
+        frame = frame.withColumn("__chosen", chosen)
+        return frame.select(*[(F.when(F.col("__chosen"), new[c]).otherwise(quoted(c)) if c in new else quoted(c)).alias(c) for c in types], *more)
+
+    old = [X.key_part(quoted(c), types[c]).alias(f"__old_{c}") for c in new]
     for index in table.indexes:
         if set(index) & set(new):
-            _unique(after, name, index, types, set(new))
-    return house.write(name, table, after.select(*[quoted(c) for c in types]))
+            _unique(after(house.frame(table), *old, "__chosen"), name, index, types, set(new))
+    return house.rewrite(name, table, chosen, after)
 
 
 def _unique(after: DataFrame, name: str, index, types, changed: set[str]) -> None:

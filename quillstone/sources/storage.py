@@ -1,7 +1,8 @@
-"""Snapshots: immutable Parquet parts under a numbered sequence of manifests.
+"""Snapshots: immutable Parquet files under a numbered sequence of manifests.
 
-A manifest names, for every table, its columns, indexes and parts; few fresh
-rows are kept in the manifest itself.  Publishing renames a finished file to the
+A manifest names, for every table, its columns, indexes and files (parts); few
+fresh rows are kept in the manifest itself.  A mutation writes anew only the
+files that hold a row it changes.  Publishing renames a finished file to the
 next number, which fails if another writer has taken it, so the first committer
 wins and a reader always sees a whole state.  All file access goes through
 Hadoop's file systems, as any store that Spark writes to has one.
@@ -11,10 +12,13 @@ from __future__ import annotations
 
 import json
 import uuid
+from collections.abc import Callable
 from dataclasses import dataclass, field, replace
+from urllib.parse import unquote
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.types import ColumnType
@@ -22,8 +26,10 @@ from ..plans.analyzer import Table
 
 #: Rows that a manifest keeps itself; more are written to a part.
 INLINE_ROWS = 512
-#: Parts of a table beyond which a mutation that appends also compacts.
-MOST_PARTS = 16
+#: Bytes below which a checkpoint merges a file with others.
+SMALL_FILE = 64 << 20
+#: Manifests that stay at a checkpoint, for readers that are still at one of them.
+OLD_MANIFESTS = 8
 
 
 @dataclass(frozen=True)
@@ -128,45 +134,56 @@ class Warehouse:
     def view(self, name: str, table: Stored) -> Table:
         return Table(name, table.types(), lambda: self.frame(table), True, table.indexes)
 
-    def write(self, name: str, table: Stored, rows: DataFrame) -> Stored:
-        """The table with these rows instead of its own."""
-        if not table.parts and len(table.rows) <= INLINE_ROWS:
-            return replace(table, rows=tuple(map(tuple, rows.collect())), version=table.version + 1)
-        return replace(table, parts=(self._part(name, table, rows),), rows=(), version=table.version + 1)
+    def rewrite(self, name: str, table: Stored, chosen: Column, change: Callable[[DataFrame], DataFrame]) -> Stored:
+        """The table after ``change``, which keeps all rows but the ``chosen`` as they are.
+
+        Files without a chosen row are kept.  Rows of the manifest stay there.
+        """
+        rows = table.rows and tuple(map(tuple, change(self.frame(replace(table, parts=()))).collect()))
+        touched: set[str] = set()
+        if table.parts:
+            hit = self.frame(replace(table, rows=())).withColumn("__file", F.input_file_name()).where(chosen)
+            touched = {"/".join(unquote(r["__file"]).split("/")[-2:]) for r in hit.select("__file").distinct().collect()}
+        old = tuple(p for p in table.parts if p.removeprefix(f"{name}/") in touched)
+        fresh = self._part(name, table, change(self.frame(replace(table, parts=old, rows=())))) if old else ()
+        return replace(table, parts=(*(p for p in table.parts if p not in old), *fresh), rows=rows, version=table.version + 1)
 
     def append(self, name: str, table: Stored, rows: DataFrame) -> Stored:
-        return self._settled(name, replace(table, parts=(*table.parts, self._part(name, table, rows)), version=table.version + 1))
+        return replace(table, parts=(*table.parts, *self._part(name, table, rows)), version=table.version + 1)
 
     def append_row(self, name: str, table: Stored, row: tuple) -> Stored:
-        return self._settled(name, replace(table, rows=(*table.rows, row), version=table.version + 1))
-
-    def _settled(self, name: str, table: Stored) -> Stored:
-        if len(table.parts) > MOST_PARTS:
-            return self.compact(name, table)
+        table = replace(table, rows=(*table.rows, row), version=table.version + 1)
         if len(table.rows) > INLINE_ROWS:
-            part = self._part(name, table, self.frame(replace(table, parts=())))
-            return replace(table, parts=(*table.parts, part), rows=())
+            return replace(table, parts=(*table.parts, *self._part(name, table, self.frame(replace(table, parts=())))), rows=())
         return table
 
     def compact(self, name: str, table: Stored) -> Stored:
-        """All rows in one part, sorted within files by the first index so that Parquet statistics prune."""
-        if len(table.parts) + bool(table.rows) <= 1 and not table.rows:
+        """The manifest's rows and small files of a table in files of Spark's size, sorted by the first index."""
+        sizes = {p: self.fs.getFileStatus(self._path(p)).getLen() for p in table.parts}
+        few = tuple(p for p in table.parts if sizes[p] < SMALL_FILE)
+        if not table.rows and len(few) < 2:
             return table
-        return replace(table, parts=(self._part(name, table, self.frame(table)),), rows=())
+        total = sum(sizes[p] for p in few)
+        merged = self.frame(replace(table, parts=few)).coalesce(max(1, total // SMALL_FILE))
+        return replace(table, parts=(*(p for p in table.parts if p not in few), *self._part(name, table, merged)), rows=())
 
-    def _part(self, name: str, table: Stored, rows: DataFrame) -> str:
+    def _part(self, name: str, table: Stored, rows: DataFrame) -> tuple[str, ...]:
+        """Write rows to files, sorted in each by the first index so that Parquet statistics prune; empty files are not kept."""
         part = f"{name}/v={uuid.uuid4().hex}"
         if table.indexes:
             rows = rows.sortWithinPartitions(*[f"`{c}`" for c in table.indexes[0]])
         rows.write.parquet(f"{self.root}/{part}")
-        return part
+        return tuple(sorted(f"{part}/{n}" for s in self.fs.listStatus(self._path(part)) if (n := s.getPath().getName()).endswith(".parquet")))
 
     def sweep(self, state: State) -> None:
-        """Remove parts that the latest state does not name.  Frames of older snapshots can't be read then."""
-        live = {p for t in state.tables.values() for p in t.parts}
+        """Remove files that the latest state does not name, and old manifests.  Frames of older snapshots can't be read then."""
+        live = {p.rsplit("/", 1)[0] for t in state.tables.values() for p in t.parts}
         for top in self.fs.listStatus(self._path("")):
             name = top.getPath().getName()
             if top.isDirectory() and not name.startswith("_"):
                 for part in self.fs.listStatus(top.getPath()):
                     if f"{name}/{part.getPath().getName()}" not in live:
                         self.fs.delete(part.getPath(), True)
+        old = sorted(s.getPath().getName() for s in self.fs.listStatus(self._path("_manifest")) if s.getPath().getName().endswith(".json"))
+        for manifest in old[:-OLD_MANIFESTS]:
+            self.fs.delete(self._path(f"_manifest/{manifest}"), False)

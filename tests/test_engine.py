@@ -197,6 +197,22 @@ def test_many_rows_move_to_parts(s):
     assert rows(s, "SELECT COUNT(*) FROM t;") == [(9,)] and len(s.house.latest()[1].tables["t"].parts) == 1
 
 
+def test_a_mutation_writes_only_the_files_it_changes(s, spark):
+    run(s, "CREATE TABLE t (k INT, v INT);")
+    s.ingest("t", spark.range(0, 100).selectExpr("id", "id").repartitionByRange(4, "id"))
+    s.ingest("t", spark.createDataFrame([(500, 5)], "k int, v int"))
+    run(s, "INSERT INTO t VALUES (600, 6);")
+    before = s.house.latest()[1].tables["t"]
+    run(s, "UPDATE t SET v = v + 1 WHERE k < 10;", "DELETE FROM t WHERE k = 600;")
+    now = s.house.latest()[1].tables["t"]
+    assert len(set(before.parts) - set(now.parts)) == 1 and len(before.parts) >= 5 and now.rows == ()
+    assert rows(s, "SELECT COUNT(*), SUM(v) FROM t;") == [(101, sum(range(100)) + 10 + 5)]
+    run(s, "DELETE FROM t WHERE k > 1000;")
+    assert set(s.house.latest()[1].tables["t"].parts) == set(now.parts)
+    run(s, "CREATE STATIC_CHECKPOINT;")
+    assert len(s.house.latest()[1].tables["t"].parts) == 1 and rows(s, "SELECT COUNT(*) FROM t;") == [(101,)]
+
+
 def csv(tmp_path, text):
     p = tmp_path / f"{uuid.uuid4().hex}.csv"
     p.write_text(text)
