@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import re
 import tempfile
 import uuid
@@ -80,7 +82,38 @@ def deal(df: DataFrame, column: str, n: int | None = None) -> DataFrame:
     return df.repartitionById(n, F.col(column).cast("int")) if hasattr(df, "repartitionById") else df.repartition(n, column)
 
 
-def blocks(batches, text_at: int, max_bytes: int = 6 << 20, max_rows: int = 16384):
+def _give_back() -> None:
+    """Return freed memory to the system: workers outlive tasks, and several share an executor."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def tidy(run):
+    """A mapInArrow function that gives memory back when its task ends."""
+
+    def tidied(batches):
+        try:
+            yield from run(batches)
+        finally:
+            _give_back()
+
+    return tidied
+
+
+def tidy_group(run):
+    """The same for an applyInArrow function, for groups that are large."""
+
+    def tidied(rows: pa.Table) -> pa.Table:
+        out = run(rows)
+        if rows.nbytes > 1 << 20:
+            _give_back()
+        return out
+
+    return tidied
+
+
+def blocks(batches, text_at: int, max_bytes: int = 4 << 20, max_rows: int = 16384):
     """Arrow batches cut to at most ``max_bytes`` of text (one long row may exceed it)."""
     for batch in batches:
         n = batch.num_rows

@@ -236,18 +236,18 @@ def _merge(rows: pa.Table) -> pa.Table:
 def build_index(docs: DataFrame, windows: Windows, size: int) -> DataFrame:
     """Index shards of (row, text) over a vocabulary, written to the shared folder."""
     shared = docs.sparkSession.sparkContext.broadcast(windows.vocabulary)
-    return common.scratch(docs.mapInArrow(_index(shared, size), SHARD), "postings")
+    return common.scratch(docs.mapInArrow(common.tidy(_index(shared, size)), SHARD), "postings")
 
 
 def search(index: DataFrame, windows: Windows, slop: int) -> DataFrame:
     """Exact window occurrences and proximity matches: (row, n_words, hits, items, near)."""
     terms = max(1, len(windows.vocabulary))
-    counted = index.select("terms", "spread").mapInArrow(_frequencies(terms), "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()
+    counted = index.select("terms", "spread").mapInArrow(common.tidy(_frequencies(terms)), "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()
     frequency = np.zeros(terms, np.int64)
     for r in counted:
         frequency[r["term"]] = r["n"]
     plan = Plan.of(windows, frequency, slop)
-    return index.mapInArrow(_intersect(index.sparkSession.sparkContext.broadcast(plan)), FOUND)
+    return index.mapInArrow(common.tidy(_intersect(index.sparkSession.sparkContext.broadcast(plan))), FOUND)
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, slop: int = 26, max_bytes: int = 32 << 20) -> DataFrame:
@@ -273,10 +273,10 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, slo
         got = search(build_index(numbered, windows, size), windows, slop)
         found = got if found is None else found.unionByName(got)
     if slices == 1:
-        out = found.mapInArrow(_digests, RESULT).withColumnRenamed("row", "doc_id")
+        out = found.mapInArrow(common.tidy(_digests), RESULT).withColumnRenamed("row", "doc_id")
         out = out.withColumn("doc_id", F.when(F.col("doc_id") != F.lit(common.NULL_ID), F.col("doc_id")))
     else:
-        merged = found.groupBy("row").applyInArrow(_merge, RESULT)
+        merged = found.groupBy("row").applyInArrow(common.tidy_group(_merge), RESULT)
         out = source.select("row", "doc_id").join(merged, "row").drop("row")
     contaminated = (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))
     return out.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", contaminated.alias("contaminated"), "n_near")

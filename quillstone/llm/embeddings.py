@@ -311,10 +311,10 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.93, shard_size: int
     sizes = dims.groupBy("label", "dim").agg(F.ceil(F.count(F.lit(1)) / shard_size).cast("int").alias("slices"))
     dealt = dims.join(sizes, ["label", "dim"]).withColumn("slice", F.pmod(F.xxhash64("node"), F.col("slices")).cast("int"))
     n = common.partitions(vectors.sparkSession)  # said outright: few bytes, much work
-    shards = common.scratch(dealt.repartition(n, "label", "dim", "slice").groupBy("label", "dim", "slice").applyInArrow(_build, SHARD), "graphs")
+    shards = common.scratch(dealt.repartition(n, "label", "dim", "slice").groupBy("label", "dim", "slice").applyInArrow(common.tidy_group(_build), SHARD), "graphs")
     other = shards.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)))
     paired = other.withColumn("low", F.least("slice", "other")).withColumn("high", F.greatest("slice", "other"))
-    found = common.scratch(paired.repartition(n, "label", "dim", "low", "high").groupBy("label", "dim", "low", "high").applyInArrow(_compare(threshold, ef, audit), FOUND), "links")
+    found = common.scratch(paired.repartition(n, "label", "dim", "low", "high").groupBy("label", "dim", "low", "high").applyInArrow(common.tidy_group(_compare(threshold, ef, audit)), FOUND), "links")
     components = connected_components(found.select(F.col("node").alias("a"), F.col("root").alias("b")))
     links = found.groupBy("node").agg(F.sum("links").alias("others"))
     known = nodes.join(links, "node", "left").join(components, "node", "left")

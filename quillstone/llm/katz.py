@@ -440,15 +440,15 @@ def score(docs: DataFrame, sample: int = 64) -> DataFrame:
     spark = docs.sparkSession
     shards = common.partitions(spark)
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), training(F.col("doc_id")).alias("train"))
-    few = rows.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(sample)) == 0).select("text").mapInArrow(_hot_sample, "word string, n long")
+    few = rows.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(sample)) == 0).select("text").mapInArrow(common.tidy(_hot_sample), "word string, n long")
     named = [r["word"] for r in few.groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(HOT_WORDS).collect()]
-    counted = rows.where("train").select("text").mapInArrow(_hot_counts(named), "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).collect()
+    counted = rows.where("train").select("text").mapInArrow(common.tidy(_hot_counts(named)), "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).collect()
     exact = {r["word"]: r["n"] for r in counted}
     texts = exact.pop(None, 0)
     hot = {int(k): exact.get(w, 0) for w, k in zip(named, word_keys(named), strict=True)}
     hot |= {int(END): texts, int(START): texts}
-    dealt = common.deal(rows.mapInArrow(_send(shards, np.array(list(hot), np.uint64)), SENT), "shard")
-    made = common.scratch(dealt.mapInArrow(_count(shards, hot), OUT), "katz", "kind")
+    dealt = common.deal(rows.mapInArrow(common.tidy(_send(shards, np.array(list(hot), np.uint64))), SENT), "shard")
+    made = common.scratch(dealt.mapInArrow(common.tidy(_count(shards, hot)), OUT), "katz", "kind")
 
     uni, bi, tokens = np.zeros(K + 2, np.int64), np.zeros(K + 2, np.int64), 0
     for r in made.where("kind = 's'").select("a", "b", "c").toLocalIterator():
@@ -466,15 +466,15 @@ def score(docs: DataFrame, sample: int = 64) -> DataFrame:
         freed = RESERVE  # no rare word at all: the unknown word gets a share, and the rest is scaled with it
     model = Model(max(tokens, 1), vocabulary, texts, d1, d2, freed / tokens if tokens else 1.0, {})
     partial = {}
-    for r in made.where("kind = 'p'").select("a", "b").mapInArrow(_hot_rows, "history long, counts array<long>").groupBy("history").agg(*[F.sum(F.col("counts")[i]).alias(f"c{i}") for i in range(MASS)]).collect():
+    for r in made.where("kind = 'p'").select("a", "b").mapInArrow(common.tidy(_hot_rows), "history long, counts array<long>").groupBy("history").agg(*[F.sum(F.col("counts")[i]).alias(f"c{i}") for i in range(MASS)]).collect():
         partial[r["history"] & ((1 << 64) - 1)] = np.array([r[f"c{i}"] for i in range(MASS)], float)
     if partial:
         model.hot = dict(zip(partial, model.correction(np.stack(list(partial.values()))).tolist(), strict=True))
     routed = common.deal(made.where("kind IN ('h', 'm')").select("kind", "shard", "block", "a", "b", "c", "d"), "shard")
-    weighed = common.scratch(routed.mapInArrow(_weigh(spark.sparkContext.broadcast(model)), WEIGHTS), "weights", "kind")
+    weighed = common.scratch(routed.mapInArrow(common.tidy(_weigh(spark.sparkContext.broadcast(model))), WEIGHTS), "weights", "kind")
     corrections = weighed.where("kind = 'd'").select(F.lit(2).alias("shard"), "block", F.col("docs").alias("a"), F.col("sums").alias("b"), *[F.lit(None).cast("binary").alias(c) for c in "cde"])
     sums = made.where("kind = 'd'").select("shard", "block", *"abcde").unionByName(corrections)
-    out = sums.groupBy("block").applyInArrow(_finish(tokens, vocabulary, texts, d1, d2, model.unknown), SCORED)
+    out = sums.groupBy("block").applyInArrow(common.tidy_group(_finish(tokens, vocabulary, texts, d1, d2, model.unknown)), SCORED)
     return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(tokens).cast("long").alias("train_tokens"), "base_score", "score")
 
 

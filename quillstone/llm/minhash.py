@@ -239,7 +239,7 @@ def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose full sets are similar enough."""
     left = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("left")), "a")
     both = left.join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("right")), "b")
-    return both.select("a", "b", "left", "right").mapInArrow(_confirm(percent), "a long, b long")
+    return both.select("a", "b", "left", "right").mapInArrow(common.tidy(_confirm(percent)), "a long, b long")
 
 
 def _block_links(percent: int):
@@ -319,7 +319,7 @@ def _leftover(buckets: DataFrame, components: DataFrame, nodes: DataFrame, sets:
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.select("table", "left", "node", "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
     rows = dealt.join(large, "node").join(sets.select("node", "shingles"), "node")
-    return links.unionByName(rows.groupBy("table", "left", "low", "high").applyInArrow(_block_links(percent), "a long, b long"))
+    return links.unionByName(rows.groupBy("table", "left", "low", "high").applyInArrow(common.tidy_group(_block_links(percent)), "a long, b long"))
 
 
 def near_duplicates(docs: DataFrame, size: int, percent: int = 80) -> DataFrame:
@@ -333,20 +333,20 @@ def near_duplicates(docs: DataFrame, size: int, percent: int = 80) -> DataFrame:
     """
     shards = common.partitions(docs.sparkSession)
     texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    signed = common.scratch(texts.mapInArrow(_sign(size), SIGNED), "signed")
+    signed = common.scratch(texts.mapInArrow(common.tidy(_sign(size)), SIGNED), "signed")
     full = signed.where("n_shingles > 0 AND doc_id IS NOT NULL")
     groups = common.scratch(full.groupBy("s1", "s2").agg(F.min("doc_id").alias("node")), "groups")
     nodes = full.select(F.col("doc_id").alias("node"), "s1", "s2", "keys", F.col("n_shingles").alias("n")).join(groups, ["node", "s1", "s2"]).select("node", "keys", "n").dropDuplicates(["node"])
     nodes = common.scratch(nodes, "nodes")
-    dealt = common.deal(nodes.mapInArrow(_deal(shards), SENT), "shard")
-    buckets = common.scratch(dealt.mapInArrow(_gather, "key long, node long, n int"), "buckets")
-    marks = buckets.select("node").mapInArrow(_filter_words, "at long").dropDuplicates()
+    dealt = common.deal(nodes.mapInArrow(common.tidy(_deal(shards)), SENT), "shard")
+    buckets = common.scratch(dealt.mapInArrow(common.tidy(_gather), "key long, node long, n int"), "buckets")
+    marks = buckets.select("node").mapInArrow(common.tidy(_filter_words), "at long").dropDuplicates()
     held = np.zeros(FILTER_BITS >> 3, bool)
     for part in marks.toArrow().to_batches():
         held[part.column(0).to_numpy()] = True
     shared = docs.sparkSession.sparkContext.broadcast(held.tobytes())
-    sets = common.scratch(texts.where("doc_id IS NOT NULL").mapInArrow(_full_sets(shared, size), SETS).join(nodes.select("node"), "node", "left_semi").dropDuplicates(["node"]), "sets")
-    tried = buckets.mapInArrow(_linear_pairs(percent), "a long, b long").dropDuplicates()
+    sets = common.scratch(texts.where("doc_id IS NOT NULL").mapInArrow(common.tidy(_full_sets(shared, size)), SETS).join(nodes.select("node"), "node", "left_semi").dropDuplicates(["node"]), "sets")
+    tried = buckets.mapInArrow(common.tidy(_linear_pairs(percent)), "a long, b long").dropDuplicates()
     links = common.scratch(confirm(tried, sets, percent), "confirmed")
     components = connected_components(links)
     rest = common.scratch(_leftover(buckets, components, nodes, sets, percent), "confirmed")

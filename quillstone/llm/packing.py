@@ -49,7 +49,7 @@ def _tokenise(path: str, end_id: int):
 
 def token_ids(docs: DataFrame, tokenizer: str, end_id: int = END_ID) -> DataFrame:
     """(doc_id, n, ids): ids little-endian, 2 bytes each where the vocabulary allows, else 4."""
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_tokenise(tokenizer, end_id), IDS)
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(common.tidy(_tokenise(tokenizer, end_id)), IDS)
 
 
 @lru_cache(maxsize=8)
@@ -210,4 +210,4 @@ def pack(docs: DataFrame, tokenizer: str, window: int = 4096, depth: int = 4, en
     mix, repeats = solve_mix(histogram, depth) if histogram.any() else ((), np.zeros(0))
     documents = sum(r["c"] for r in counted)
     narrow = pieces(tokenizer).narrow
-    return table.mapInArrow(_pack(window, mix, repeats, documents, narrow), PIECES)
+    return table.mapInArrow(common.tidy(_pack(window, mix, repeats, documents, narrow)), PIECES)

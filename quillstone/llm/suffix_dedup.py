@@ -420,12 +420,12 @@ def remove_repeats(docs: DataFrame, with_bytes: bool = False, memory: int = 64 <
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = docs.select(F.col("doc_id").cast("long"), F.encode(text, "UTF-8").alias("text"), F.xxhash64(text).alias("key"))
     ordered = rows.where("doc_id IS NOT NULL")
-    seen = common.deal(ordered.select("doc_id", "text").mapInArrow(_anchor_rows(shards), SEEN), "shard")
-    filters = {r["shard"]: bytes(r["bits"]) for r in seen.mapInArrow(_shared_anchors(shards), "shard int, bits binary").toLocalIterator()}
-    dealt = common.deal(ordered.mapInArrow(_regions(spark.sparkContext.broadcast(filters), shards), REGIONS), "shard")
-    marks = dealt.mapInArrow(_search(memory), MARKS)
-    spans = marks.groupBy("block").applyInArrow(_by_document, SPANS)
+    seen = common.deal(ordered.select("doc_id", "text").mapInArrow(common.tidy(_anchor_rows(shards)), SEEN), "shard")
+    filters = {r["shard"]: bytes(r["bits"]) for r in seen.mapInArrow(common.tidy(_shared_anchors(shards)), "shard int, bits binary").toLocalIterator()}
+    dealt = common.deal(ordered.mapInArrow(common.tidy(_regions(spark.sparkContext.broadcast(filters), shards)), REGIONS), "shard")
+    marks = dealt.mapInArrow(common.tidy(_search(memory)), MARKS)
+    spans = marks.groupBy("block").applyInArrow(common.tidy_group(_by_document), SPANS)
     spans = common.scratch(spans.groupBy("doc_id", "key").agg(F.collect_list("spans").alias("spans")), "spans")
     joined = rows.join(spans, ["doc_id", "key"], "left").select("doc_id", "text", "spans")
-    out = joined.mapInArrow(_cut_out(with_bytes), CUT)
+    out = joined.mapInArrow(common.tidy(_cut_out(with_bytes)), CUT)
     return out if with_bytes else out.drop("kept")

@@ -171,10 +171,10 @@ def fit(docs: DataFrame, labelled: DataFrame, max_examples: int = 10_000, max_te
     if not positives:
         return None
     floor = max(2 if positives < 100 else 3, int(0.004 * positives))
-    df = rows.select("text", "label").mapInArrow(_positive_terms, "term string, n long").groupBy("term").agg(F.sum("n").alias("n")).where(F.col("n") >= floor)
+    df = rows.select("text", "label").mapInArrow(common.tidy(_positive_terms), "term string, n long").groupBy("term").agg(F.sum("n").alias("n")).where(F.col("n") >= floor)
     frequent = [str(r["term"]) for r in df.orderBy(F.desc("n"), "term").limit(50 * max_terms).collect()]
     numbered = {t: i for i, t in enumerate(frequent)}
-    summed = rows.select("text", "label").mapInArrow(_frequencies(numbered), "term int, neg long, pos long").groupBy("term").agg(F.sum("neg").alias("neg"), F.sum("pos").alias("pos")).toArrow()
+    summed = rows.select("text", "label").mapInArrow(common.tidy(_frequencies(numbered)), "term int, neg long, pos long").groupBy("term").agg(F.sum("neg").alias("neg"), F.sum("pos").alias("pos")).toArrow()
     pos, neg = np.zeros(len(frequent)), np.zeros(len(frequent))
     pos[summed["term"].to_numpy()], neg[summed["term"].to_numpy()] = summed["pos"].to_numpy(), summed["neg"].to_numpy()
     n, n1 = rows.count(), positives
@@ -186,7 +186,7 @@ def fit(docs: DataFrame, labelled: DataFrame, max_examples: int = 10_000, max_te
         common.drop_scratch(rows)
         return None
     chosen_terms = {frequent[old]: new for new, old in enumerate(order)}
-    got = rows.mapInArrow(_vectors(chosen_terms), "doc_id long, label int, n long, terms array<int>, counts array<long>").orderBy("doc_id").toArrow()
+    got = rows.mapInArrow(common.tidy(_vectors(chosen_terms)), "doc_id long, label int, n long, terms array<int>, counts array<long>").orderBy("doc_id").toArrow()
     common.drop_scratch(rows)
     idf = np.log((1 + n) / (1 + pos[order] + neg[order]))
     model = Model(chosen_terms, idf, background, k, np.zeros(0), np.zeros(0), np.zeros((0, 0)), block, np.zeros((0, 0)), 0.0)
@@ -224,7 +224,7 @@ def _score(shared):
                 for w in got:
                     t = known.get(w)
                     if t is None:
-                        if len(known) > 1_000_000:
+                        if len(known) > 200_000:
                             known.clear()
                         t = known[w] = tuple(model.terms[x] for x in terms_of(w) if x in model.terms)
                     for j in t:
@@ -254,7 +254,7 @@ def score(docs: DataFrame, model: Model | None) -> DataFrame:
     kept = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     if model is None:
         return kept.select("doc_id", F.lit(0.0).alias("score"), F.lit(None).cast("long").alias("nearest_id"), F.lit(None).cast("double").alias("nearest_cosine"), F.lit(None).cast("string").alias("evidence"))
-    return kept.mapInArrow(_score(docs.sparkSession.sparkContext.broadcast(model)), SCORED)
+    return kept.mapInArrow(common.tidy(_score(docs.sparkSession.sparkContext.broadcast(model))), SCORED)
 
 
 def held_out(doc_id: Column) -> Column:
@@ -282,4 +282,4 @@ def drop_toxic(docs: DataFrame, model: Model | None, limit: float = 0.5) -> Data
     """The rows of ``docs``, all columns, that score below ``limit``; nothing is shuffled."""
     if model is None:
         return docs
-    return docs.mapInArrow(_clean(docs.sparkSession.sparkContext.broadcast(model), limit, docs.columns.index("text")), docs.schema)
+    return docs.mapInArrow(common.tidy(_clean(docs.sparkSession.sparkContext.broadcast(model), limit, docs.columns.index("text"))), docs.schema)
