@@ -58,11 +58,23 @@ def shared_dir(spark: SparkSession) -> str:
 _own: str | None = None
 
 
-def scratch(df: DataFrame, tag: str, *partition_by: str) -> DataFrame:
-    """Write a table to the shared folder and read it back: lineage ends there."""
+#: Rows of a narrow table that are worth a file of their own.
+ROWS_PER_FILE = 200_000
+
+
+def files_for(rows: int, spark: SparkSession) -> int:
+    """Files for so many narrow rows: as many as the session's partitions, or fewer where these would be tiny."""
+    return min(partitions(spark), rows // ROWS_PER_FILE + 1)
+
+
+def scratch(df: DataFrame, tag: str, *partition_by: str, files: int | None = None) -> DataFrame:
+    """Write a table to the shared folder and read it back: lineage ends there.
+
+    ``files``: write at most so many, where the rows are known to be few.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/quillstone/{tag}-{uuid.uuid4().hex}"
-    writer = df.write.option("compression", "zstd")
+    writer = (df.coalesce(files) if files else df).write.option("compression", "zstd")
     (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

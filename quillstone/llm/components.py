@@ -22,21 +22,23 @@ def connected_components(edges: DataFrame, most: int = 64) -> DataFrame:
     links = common.scratch(edges.where("a IS NOT NULL AND b IS NOT NULL").select(F.least("a", "b").alias("low"), F.greatest("a", "b").alias("high")).where("low < high").dropDuplicates(), "links")
     known = None
     for _ in range(most):
-        if links.isEmpty():
+        rows = links.count()
+        if not rows:
             break
+        files = common.files_for(2 * rows, links.sparkSession)
         hooked = links.union(links.select("high", "low")).groupBy("low").agg(F.min("high").alias("least")).select(F.col("low").alias("node"), F.least("low", "least").alias("to"))
-        hooked = common.scratch(hooked, "hooks")
+        hooked = common.scratch(hooked, "hooks", files=files)
         further = hooked.select(F.col("node").alias("to"), F.col("to").alias("next"))
-        labels = common.scratch(hooked.join(further, "to").select("node", F.col("next").alias("component")), "labels")
+        labels = common.scratch(hooked.join(further, "to").select("node", F.col("next").alias("component")), "labels", files=files)
         common.drop_scratch(hooked)
         fresh = links.join(labels.select(F.col("node").alias("low"), F.col("component").alias("p")), "low").join(labels.select(F.col("node").alias("high"), F.col("component").alias("q")), "high")
-        fresh = common.scratch(fresh.where("p <> q").select(F.least("p", "q").alias("low"), F.greatest("p", "q").alias("high")).dropDuplicates(), "links")
+        fresh = common.scratch(fresh.where("p <> q").select(F.least("p", "q").alias("low"), F.greatest("p", "q").alias("high")).dropDuplicates(), "links", files=files)
         common.drop_scratch(links)
         links = fresh
         if known is None:
-            known = labels
+            known, most_files = labels, files
         else:
-            moved = common.scratch(follow(known, labels), "labels")
+            moved = common.scratch(follow(known, labels), "labels", files=most_files)
             common.drop_scratch(known)
             known = moved
     else:

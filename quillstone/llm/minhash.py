@@ -302,14 +302,15 @@ def _block_links(percent: int):
 def _leftover(buckets: DataFrame, components: DataFrame, nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Links across components in buckets that hold several of them."""
     labelled = buckets.join(components, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    labelled = common.scratch(labelled, "labelled")
+    files = common.files_for(buckets.count(), buckets.sparkSession)
+    labelled = common.scratch(labelled, "labelled", files=files)
     mixed = labelled.groupBy("key").agg(F.min("component").alias("c0"), F.max("component").alias("c1"), F.count(F.lit(1)).alias("size")).where("c0 <> c1").select("key", "size")
-    mixed = common.scratch(mixed, "mixed")
+    mixed = common.scratch(mixed, "mixed", files=files)
     small = labelled.join(mixed.where(F.col("size") <= SMALL), "key")
     pairs = small.alias("x").join(small.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.component") != F.col("y.component")) & (100 * F.least("x.n", "y.n") >= percent * F.greatest("x.n", "y.n")))
     links = confirm(pairs.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).dropDuplicates(), sets, percent)
     large = labelled.join(mixed.where(F.col("size") > SMALL), "key").select("node", "component").dropDuplicates()
-    large = common.scratch(large.join(nodes.select("node", "keys"), "node"), "large")
+    large = common.scratch(large.join(nodes.select("node", "keys"), "node"), "large", files=files)
     if large.isEmpty():
         return links
     tables = large.select("node", F.posexplode(F.array(*[F.substring("keys", 8 * i + 1, 8) for i in range(M)])).alias("table", "left"))
@@ -340,6 +341,7 @@ def near_duplicates(docs: DataFrame, size: int, percent: int = 80) -> DataFrame:
     nodes = common.scratch(nodes, "nodes")
     dealt = common.deal(nodes.mapInArrow(common.tidy(_deal(shards)), SENT), "shard")
     buckets = common.scratch(dealt.mapInArrow(common.tidy(_gather), "key long, node long, n int"), "buckets")
+    entries = buckets.count()
     marks = buckets.select("node").mapInArrow(common.tidy(_filter_words), "at long").dropDuplicates()
     held = np.zeros(FILTER_BITS >> 3, bool)
     for part in marks.toArrow().to_batches():
@@ -347,6 +349,7 @@ def near_duplicates(docs: DataFrame, size: int, percent: int = 80) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(held.tobytes())
     sets = common.scratch(texts.where("doc_id IS NOT NULL").mapInArrow(common.tidy(_full_sets(shared, size)), SETS).join(nodes.select("node"), "node", "left_semi").dropDuplicates(["node"]), "sets")
     tried = buckets.mapInArrow(common.tidy(_linear_pairs(percent)), "a long, b long").dropDuplicates()
+    tried = common.scratch(tried, "tried", files=common.files_for(entries, docs.sparkSession))
     links = common.scratch(confirm(tried, sets, percent), "confirmed")
     components = connected_components(links)
     rest = common.scratch(_leftover(buckets, components, nodes, sets, percent), "confirmed")
