@@ -38,11 +38,9 @@ _PIECES = pa.schema([(c, pa.int64()) for c in ("doc_id", "start", "length", "ids
 def _tokenise(path: str, end_id: int):
     def run(batches):
         splitter = pieces(path)
-        kind = np.dtype("<u2" if splitter.narrow else "<u4")
-        end = np.array([end_id], kind).tobytes()
         for b in common.blocks(batches, 1):
-            ids = [x + end for x in splitter.ids_of([t or "" for t in b.column(1).to_pylist()])]
-            yield common.record(_IDS, b.column(0), [len(x) // kind.itemsize for x in ids], ids)
+            ids = splitter.ids_of([t or "" for t in b.column(1).to_pylist()], end_id)
+            yield common.record(_IDS, b.column(0), [len(x) // splitter.kind.itemsize for x in ids], ids)
 
     return run
 

@@ -16,6 +16,7 @@ from functools import lru_cache
 from itertools import chain
 
 import numpy as np
+import pyarrow as pa
 
 _LIMIT = 0x130
 _SPACE = {0x20, 0x85, 0xA0, *range(9, 14)}
@@ -52,7 +53,13 @@ class Pieces:
         self.specials = {t.content: i for i, t in self.whole.get_added_tokens_decoder().items() if t.special}
         self.special_pattern = re.compile("(" + "|".join(map(re.escape, sorted(self.specials, key=len, reverse=True))) + ")") if self.specials else None
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.narrow = self.whole.get_vocab_size(True) <= 65536
+        vocabulary, mark = self.plain.get_vocab(True), getattr(self.plain.model, "end_of_word_suffix", None)
+        self.is_end = np.zeros(max(vocabulary.values()) + 1, bool)
+        if mark:
+            self.is_end[[i for t, i in vocabulary.items() if t.endswith(mark)]] = True
+        self.kind = np.dtype("<u2" if self.narrow else "<u4")
 
     def split(self, text: str) -> tuple[list[str], list[tuple[int, int]]] | None:
         """(pre-tokens, [(place among them, special id)]), or None: use the library."""
@@ -69,41 +76,80 @@ class Pieces:
                 found += FAST.findall(part.lower())
         return found, marks
 
-    def count_new(self, tokens: list[str]) -> list[int]:
-        """Pieces in each pre-token."""
-        return [len(e) for e in self.plain.encode_batch_fast(tokens, add_special_tokens=False)]
+    def encode_new(self, words: list[str], chunk: int = 4096) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of pre-tokens, one after the other, and how many each has.
 
-    def ids_of(self, texts: list[str], keep: int = 400_000) -> list[bytes]:
-        """Ids of each text as bytes, 2 little-endian bytes an id (4 for large vocabularies).
+        Where the vocabulary marks the ends of words, many pre-tokens go to the
+        library as one text and the ids are parted at the marks.
+        """
+        ids, sizes = [], []
+        for lo in range(0, len(words), chunk):
+            part = words[lo : lo + chunk]
+            got = np.array(self.plain.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, np.int64)
+            last = np.flatnonzero(self.is_end[got])
+            if len(last) == len(part):
+                sizes.append(np.diff(last, prepend=-1))
+            else:
+                each = [e.ids for e in self.plain.encode_batch_fast(part, add_special_tokens=False)]
+                sizes.append(np.fromiter(map(len, each), np.int64, len(each)))
+                got = np.fromiter(chain.from_iterable(each), np.int64, int(sizes[-1].sum()))
+            ids.append(got)
+        return np.concatenate(ids), np.concatenate(sizes)
 
-        Up to ``keep`` pre-tokens are remembered from call to call.
+    def count_new(self, tokens: list[str]) -> list[int]:
+        """Pieces in each pre-token."""
+        return self.encode_new(tokens)[1].tolist()
+
+    def _known(self, words: list[str], keep: int) -> list[bytes]:
+        """Ids of pre-tokens.  Those used of late are remembered, up to twice ``keep``, from call to call."""
+        young, old = self.known, self.older
+        if len(young) > keep:
+            old = self.older = young
+            young = self.known = {}
+        need = set(words) - young.keys()
+        for t in need & old.keys():
+            young[t] = old[t]
+        if new := list(need - old.keys()):
+            ids, sizes = self.encode_new(new)
+            raw = ids.astype(self.kind).tobytes()
+            edge = (np.cumsum(sizes) * self.kind.itemsize).tolist()
+            young.update(zip(new, (raw[a:b] for a, b in zip([0, *edge], edge, strict=False)), strict=True))
+        return list(map(young.__getitem__, words))
+
+    def ids_of(self, texts: list[str], end: int | None = None, keep: int = 300_000) -> list[bytes]:
+        """Ids of each text as bytes, 2 little-endian bytes an id (4 for large vocabularies), ``end`` after each.
+
+        Equal pre-tokens of a call are looked up once; ids are gathered as arrays.
         """
-        kind = np.dtype("<u2" if self.narrow else "<u4")
         found = [self.split(t) for t in texts]
-        need: set[str] = set()
-        for got in found:
-            if got is not None:
-                need.update(got[0])
-        if len(self.known) > keep:
-            self.known.clear()
-        known = self.known
-        if new := list(need - known.keys()):
-            coded = self.plain.encode_batch_fast(new, add_special_tokens=False)
-            ids = [e.ids for e in coded]
-            raw = np.fromiter(chain.from_iterable(ids), kind, sum(map(len, ids))).tobytes()
-            at = 0
-            for t, x in zip(new, ids, strict=True):
-                known[t] = raw[at : (at := at + kind.itemsize * len(x))]
-        out = []
-        for text, got in zip(texts, found, strict=True):
-            if got is None:
-                out.append(np.array(self.whole.encode(text, add_special_tokens=False).ids, kind).tobytes())
-                continue
-            parts = list(map(known.__getitem__, got[0]))
-            for place, special in reversed(got[1]):
-                parts.insert(place, np.array([special], kind).tobytes())
-            out.append(b"".join(parts))
-        return out
+        flat: list[str] = []
+        lengths = np.zeros(len(texts), np.int64)
+        for i, got in enumerate(found):
+            if got is not None and not got[1]:
+                flat += got[0]
+                lengths[i] = len(got[0])
+        coded = pa.array(flat, pa.string()).dictionary_encode()
+        parts = self._known(coded.dictionary.to_pylist(), keep)
+        size = np.fromiter(map(len, parts), np.int64, len(parts)) // self.kind.itemsize
+        raw = np.frombuffer(b"".join(parts), self.kind)
+        code = coded.indices.to_numpy()
+        n = size[code]
+        ends = np.cumsum(n)
+        place = np.repeat((np.cumsum(size) - size)[code] - (ends - n), n)
+        place += np.arange(len(place))
+        ids = raw[place]
+        edge = np.concatenate(([0], ends))[np.concatenate(([0], np.cumsum(lengths)))].tolist()
+        tail = b"" if end is None else np.array([end], self.kind).tobytes()
+        return [self._apart(t, got, keep) + tail if got is None or got[1] else ids[edge[i] : edge[i + 1]].tobytes() + tail for i, (t, got) in enumerate(zip(texts, found, strict=True))]
+
+    def _apart(self, text: str, got, keep: int) -> bytes:
+        """Ids of a text with special strings, or of one that only the library splits."""
+        if got is None:
+            return np.array(self.whole.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
+        parts = self._known(got[0], keep)
+        for place, special in reversed(got[1]):
+            parts.insert(place, np.array([special], self.kind).tobytes())
+        return b"".join(parts)
 
     def ids(self, text: str) -> bytes:
         return self.ids_of([text])[0]
