@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
+import functools
 import importlib
+import os
+import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -87,7 +92,29 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return importlib.import_module("corpus_pipeline").run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_packing, op3_pii, op4_sharding, op5_embeddings, op6_katz, op7_token_counts, op8_decontamination, op9_toxicity, op10_minhash, pipeline)}
+def ship(spark: SparkSession) -> None:
+    """Send this package to the workers of a session, once, where they cannot be expected to find it themselves."""
+    package = Path(__file__).resolve().parents[1]
+    known = [os.getcwd(), *os.environ.get("PYTHONPATH", "").split(os.pathsep)]
+    if str(package.parent) in map(os.path.realpath, filter(None, known)) or any(f"/{package.name}.zip" in x for x in spark.sparkContext.listFiles):
+        return
+    path = f"{tempfile.mkdtemp(prefix='quillstone-')}/{package.name}.zip"
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
+        for f in sorted(package.rglob("*.py")):
+            z.write(f, f.relative_to(package.parent))
+    spark.sparkContext.addPyFile(path)
+
+
+def _shipped(query):
+    @functools.wraps(query)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        ship(spark)
+        return query(spark, sf_dir)
+
+    return run
+
+
+QUERIES = {f.__name__: _shipped(f) for f in (op1_suffix_dedup, op2_packing, op3_pii, op4_sharding, op5_embeddings, op6_katz, op7_token_counts, op8_decontamination, op9_toxicity, op10_minhash, pipeline)}
 
 _FOLD = "translate(coalesce({0}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _ALNUM = "regexp_extract_all(" + _FOLD + r", '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
