@@ -218,9 +218,10 @@ def _regions(shared, shards: int):
             start, end = block.first[kept] + offset, block.last[kept] + LENGTH + offset
             fold, h = block.region_hash(kept), block.hash[kept]
             order = np.lexsort((start, own, fold, h))
-            same = np.concatenate(([False], (h[order][1:] == h[order][:-1]) & (fold[order][1:] == fold[order][:-1])))
+            same = np.zeros(len(order), bool)  # no region may be kept
+            same[1:] = (h[order][1:] == h[order][:-1]) & (fold[order][1:] == fold[order][:-1])
             group = np.cumsum(~same) - 1
-            least = own[order][~same][group] if len(order) else own
+            least = own[order][~same][group]
             later = own[order] != least
             done, send = order[later], order[~later]
             head = (number % shards, number, ids.astype("<i8").tobytes(), b.column(2).to_numpy().astype("<i8").tobytes(), doc[done].astype("<u4").tobytes(), start[done].astype("<i8").tobytes(), end[done].astype("<i8").tobytes(), None, None, None, None, None, None, None)

@@ -115,6 +115,17 @@ def test_remove_repeats_edges(spark, monkeypatch):
     assert bytes(kept.kept) == b"q"
 
 
+@pytest.mark.parametrize("partitions", [1, 6])
+def test_blocks_without_shared_regions(spark, partitions):
+    r = random.Random(8)
+    unique = [(i, " ".join(f"u{r.randrange(10**9)}" for _ in range(20))) for i in range(12)]
+    short = [(i, "short" * (i % 10)) for i in range(12)]
+    shared = [(20, "x" * 70), (21, "y" + "x" * 70)]
+    for rows in ([(i, None) for i in range(12)], [(i, "") for i in range(12)], short, unique, unique[:1], [(None, "x" * 70)], [*unique, *short, (30, None), *shared]):
+        got = suffix_dedup.remove_repeats(with_text(spark, rows).repartition(partitions)).collect()
+        assert sorted(map(tuple, got), key=repr) == repeats(rows)
+
+
 def test_long_texts_are_cut_in_segments(spark, monkeypatch):
     r = random.Random(2)
     long = "".join(r.choice("abcdefgh") for _ in range(3000))
