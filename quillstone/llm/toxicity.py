@@ -2,20 +2,24 @@
 
 A bounded sample of labelled rows (``max_examples``, the least by a hash of
 doc_id) gives the examples.  Terms are whole words and word beginnings of four
-and five letters; those that mark the positive examples are kept, and all other
-words of a text share one background term, so that a text's length counts.
-Examples are held in an inverted index of blocks with the greatest weight of
-each term in a block.  A query's bound on a block is the dot product with these
-weights; a block is scored only for queries whose bound reaches their current
-k-th cosine, which never changes the k nearest.  Distance-weighted votes are
-calibrated by a logistic fitted on leave-one-out votes of the examples.
+and five letters; every term of the examples is indexed, and every text that
+shares a term with an example is compared with all examples.  A term weighs its
+IDF times a factor that grows with its label odds and is never 0.  Frequent
+terms are dense columns, the others have postings (example, weight); their sum
+in single precision bounds each cosine, and all examples within the bound of
+the k-th are computed again in double precision, so the k nearest are exact.
+Distance-weighted votes are calibrated by a logistic fitted on leave-one-out
+votes of the examples.
 """
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections import Counter
 from dataclasses import dataclass
+from functools import cached_property
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -37,99 +41,204 @@ def words(text: str | None) -> list[str]:
     return WORD.findall(text.lower()) if text else []
 
 
-def _term_counts(text: str | None) -> tuple[Counter, int]:
-    found = words(text)
+def _term_counts(text: str | None) -> Counter:
     out: Counter = Counter()
-    for w, n in Counter(found).items():
+    for w, n in Counter(words(text)).items():
         for t in terms_of(w):
             out[t] += n
-    return out, len(found)
+    return out
 
 
-def _positive_terms(batches):
-    """Document frequencies of terms among positive examples, summed in the task."""
-    df: Counter = Counter()
+def _ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """All numbers of the ranges, one range after the other."""
+    ends = np.cumsum(lengths)
+    return np.repeat(starts - (ends - lengths), lengths) + np.arange(int(ends[-1]) if len(ends) else 0)
+
+
+def _frequencies(batches):
+    """Negative and positive examples that hold a term, summed in the task."""
+    total: tuple[Counter, Counter] = (Counter(), Counter())
     for b in batches:
         for text, label in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-            if label:
-                df.update(_term_counts(text)[0].keys())
-    if df:
-        yield pa.RecordBatch.from_pydict({"term": list(df), "n": pa.array(df.values(), pa.int64())})
+            total[bool(label)].update(_term_counts(text).keys())
+    names = list(total[0].keys() | total[1].keys())
+    for at in range(0, len(names), 50_000):
+        part = names[at : at + 50_000]
+        yield pa.RecordBatch.from_pydict({"term": pa.array(part, pa.string()), "neg": pa.array([total[0][t] for t in part], pa.int64()), "pos": pa.array([total[1][t] for t in part], pa.int64())})
 
 
-def _frequencies(terms: dict[str, int]):
-    """Per term number: positive and negative examples that hold it, summed in the task."""
+VECTORS = "doc_id long, label int, terms binary, counts binary"
+_VECTORS = pa.schema([("doc_id", pa.int64()), ("label", pa.int32()), ("terms", pa.binary()), ("counts", pa.binary())])
 
+
+def _vectors(shared):
     def run(batches):
-        total = np.zeros((2, len(terms)), np.int64)
+        reader = Reader(shared.value)
         for b in batches:
-            for text, label in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                total[int(label), [terms[t] for t in _term_counts(text)[0] if t in terms]] += 1
-        at = np.flatnonzero(total.sum(0))
-        yield pa.RecordBatch.from_pydict({"term": pa.array(at, pa.int32()), "neg": pa.array(total[0, at]), "pos": pa.array(total[1, at])})
+            for part in common.blocks([b], 1):
+                rows = []
+                for doc_id, text, label in zip(*(part.column(i).to_pylist() for i in range(3)), strict=True):
+                    t, c = reader.read(text)
+                    rows.append((doc_id, int(label), t.astype("<i4").tobytes(), c.astype("<i4").tobytes()))
+                yield common.record(_VECTORS, *zip(*rows, strict=True))
 
     return run
 
 
-def _vectors(terms: dict[str, int]):
-    def run(batches):
-        for b in batches:
-            rows = []
-            for doc_id, text, label in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
-                counts, n = _term_counts(text)
-                hit = [(terms[t], c) for t, c in counts.items() if t in terms]
-                rows.append((doc_id, int(label), n, [h[0] for h in hit], [h[1] for h in hit]))
-            yield common.record(pa.schema([("doc_id", pa.int64()), ("label", pa.int32()), ("n", pa.int64()), ("terms", pa.list_(pa.int32())), ("counts", pa.list_(pa.int64()))]), *zip(*rows, strict=True))
-
-    return run
+class Reader:
+    """Numbers and counts of a text's terms; terms that no example holds get numbers from ``len(names)``."""
+
+    def __init__(self, names: list[str]):
+        self.size = len(names)
+        self.terms = {t: i for i, t in enumerate(names)}
+        self.more: dict[str, int] = {}
+        self.known: dict[str, tuple[int, ...]] = {}
+
+    def _number(self, term: str) -> int:
+        found = self.terms.get(term)
+        return self.more.setdefault(term, self.size + len(self.more)) if found is None else found
+
+    def read(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
+        if len(self.known) > 100_000:
+            self.known.clear()
+            self.more.clear()
+        counts = Counter(words(text))
+        if not counts:
+            return np.zeros(0, np.int64), np.zeros(0)
+        known = self.known
+        found = []
+        for w in counts:
+            t = known.get(w)
+            if t is None:
+                t = known[w] = tuple(map(self._number, terms_of(w)))
+            found.append(t)
+        sizes = np.fromiter(map(len, found), np.int64, len(found))
+        ids = np.fromiter(chain.from_iterable(found), np.int64, int(sizes.sum()))
+        times = np.repeat(np.fromiter(counts.values(), np.int64, len(found)), sizes)
+        t, inverse = np.unique(ids, return_inverse=True)
+        return t, np.bincount(inverse, times)
+
+
+#: Bytes of the dense columns of frequent terms; all other terms have postings.
+DENSE_BYTES = 64 << 20
 
 
 @dataclass
 class Model:
-    terms: dict[str, int]
-    idf: np.ndarray
-    background: float
+    names: list[str]  # all terms of the examples, the most frequent first
+    weight: np.ndarray
+    unseen: float  # weight of a term that no example holds
+    marks: np.ndarray  # terms that are likelier in positive examples
+    frequent: int  # the first terms, which are dense columns
     k: int
+    block: int  # texts that are scored together
     ids: np.ndarray
     labels: np.ndarray
-    matrix: np.ndarray  # examples that hold a term, unit rows, in index order
-    block: int
-    tops: np.ndarray  # blocks x dimensions: the greatest weights
+    ends: np.ndarray  # examples that hold a term: their terms and counts, one after the other
+    cols: np.ndarray
+    counts: np.ndarray
+    same: np.ndarray  # the first example with equal terms and counts
     plain: float  # share of positives among examples that hold no term
     slope: float = 1.0
     shift: float = 0.0
 
-    def vector(self, hits: dict[int, int], n: int) -> np.ndarray:
-        v = np.zeros(len(self.idf) + 1)
-        for i, c in hits.items():
-            v[i] = c * self.idf[i]
-        v[-1] = self.background * n
-        size = np.linalg.norm(v)
-        return v / size if size else v
-
-    def nearest(self, q: np.ndarray, skip_self: bool = False) -> tuple[np.ndarray, np.ndarray]:
-        """Cosines and rows of the k nearest examples of each query, exactly."""
-        k = min(self.k, len(self.matrix) - skip_self)
-        n = len(q)
-        best, rows = np.full((n, k), -1.0), np.full((n, k), -1)
-        bounds = q @ self.tops.T
-        for b in np.argsort(-bounds.sum(0), kind="stable"):
-            at = np.flatnonzero(bounds[:, b] >= best[:, -1] - 1e-12)
-            if not len(at):
-                continue
-            lo = b * self.block
-            part = self.matrix[lo : lo + self.block]
-            sims = q[at] @ part.T
-            if skip_self:
-                own = at - lo
-                inside = (own >= 0) & (own < len(part))
-                sims[np.flatnonzero(inside), own[inside]] = -2.0
-            both = np.concatenate([best[at], sims], 1)
-            names = np.concatenate([rows[at], np.broadcast_to(np.arange(lo, lo + len(part)), sims.shape)], 1)
-            order = np.lexsort((names, -both), axis=1)[:, :k]
-            best[at], rows[at] = np.take_along_axis(both, order, 1), np.take_along_axis(names, order, 1)
+    def __getstate__(self):
+        return {f: self.__dict__[f] for f in self.__dataclass_fields__}
+
+    @cached_property
+    def starts(self) -> np.ndarray:
+        return np.concatenate(([0], self.ends[:-1]))
+
+    @cached_property
+    def norm(self) -> np.ndarray:
+        out = np.array([np.sqrt(((self.counts[a:b] * self.weight[self.cols[a:b]]) ** 2).sum()) for a, b in zip(self.starts, self.ends, strict=True)])
+        return np.where(out > 0, out, 1.0)
+
+    def _entries(self, a: int, b: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Row, term and weight of the examples a to b."""
+        lo, hi = self.starts[a], self.ends[b - 1]
+        row = np.repeat(np.arange(a, b), (self.ends - self.starts)[a:b])
+        term = self.cols[lo:hi]
+        return row, term, self.counts[lo:hi] * self.weight[term] / self.norm[row]
+
+    @property
+    def matrix(self) -> np.ndarray:
+        """The examples' unit rows, dense: for small models only."""
+        out = np.zeros((len(self.ids), len(self.names)))
+        row, term, value = self._entries(0, len(self.ids))
+        out[row, term] = value
+        return out
+
+    @cached_property
+    def _index(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Dense columns; and the ends, examples and weights of the other terms' postings."""
+        n = len(self.ids)
+        dense = np.zeros((n, self.frequent), np.float32)
+        row, term, value = (np.empty(len(self.cols), x) for x in (np.int32, np.int32, np.float32))
+        at = 0
+        for a in range(0, n, 500):
+            r, t, v = self._entries(a, min(n, a + 500))
+            often = t < self.frequent
+            dense[r[often], t[often]] = v[often]
+            m = at + len(r) - int(often.sum())
+            row[at:m], term[at:m], value[at:m] = r[~often], t[~often] - self.frequent, v[~often]
+            at = m
+        order = np.argsort(term[:at], kind="stable")
+        ends = np.cumsum(np.bincount(term[:at], minlength=len(self.names) - self.frequent))
+        return dense, np.concatenate(([0], ends)), row[order], value[order]
+
+    @cached_property
+    def _spread(self) -> np.ndarray:
+        return np.zeros(len(self.names))
+
+    def vector(self, terms: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """A text's unit vector; terms that no example holds count in its length."""
+        held = int(np.searchsorted(terms, len(self.names)))
+        v = counts[:held] * self.weight[terms[:held]]
+        size = np.sqrt((v**2).sum() + ((counts[held:] * self.unseen) ** 2).sum())
+        return terms[:held], v / size if size else v
+
+    def _cosines(self, terms: np.ndarray, values: np.ndarray, rows: np.ndarray) -> np.ndarray:
+        first, inverse = np.unique(self.same[rows], return_inverse=True)
+        lengths = (self.ends - self.starts)[first]
+        at = _ranges(self.starts[first], lengths)
+        self._spread[terms] = values * self.weight[terms]
+        sums = np.add.reduceat(self._spread[self.cols[at]] * self.counts[at], np.cumsum(lengths) - lengths)
+        self._spread[terms] = 0
+        return (sums / self.norm[first])[inverse]
+
+    def search(self, queries: list[tuple[np.ndarray, np.ndarray]], own: list[int] | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Cosines and rows of the k nearest examples of each query (terms in order, values), exactly; without the row ``own``."""
+        n = len(self.ids)
+        k = min(self.k, n - (own is not None))
+        best, rows = np.empty((len(queries), k)), np.empty((len(queries), k), np.int64)
+        dense, ends, at_row, at_value = self._index
+        error = (self.frequent + 16) * 2.0**-23  # twice what single precision can lose of a cosine
+        for lo in range(0, len(queries), self.block):
+            part = queries[lo : lo + self.block]
+            q = np.zeros((len(part), self.frequent), np.float32)
+            for j, (t, v) in enumerate(part):
+                often = np.searchsorted(t, self.frequent)
+                q[j, t[:often]] = v[:often]
+            near = q @ dense.T
+            for j, (t, v) in enumerate(part):
+                often = np.searchsorted(t, self.frequent)
+                rare = t[often:] - self.frequent
+                lengths = ends[rare + 1] - ends[rare]
+                at = _ranges(ends[rare], lengths)
+                sims = near[j] + np.bincount(at_row[at], np.repeat(v[often:], lengths) * at_value[at], minlength=n)
+                if own is not None:
+                    sims[own[lo + j]] = -2.0
+                maybe = np.flatnonzero(sims >= np.partition(sims, n - k)[n - k] - 2 * error)
+                exact = self._cosines(t, v, maybe)
+                order = np.lexsort((maybe, -exact))[:k]
+                best[lo + j], rows[lo + j] = exact[order], maybe[order]
         return best, rows
 
+    def nearest(self, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The same for dense queries over all terms."""
+        return self.search([(np.flatnonzero(x), x[np.flatnonzero(x)]) for x in q])
+
     def vote(self, sims: np.ndarray, rows: np.ndarray) -> np.ndarray:
         w = 1 / (np.sqrt(np.maximum(0, 2 - 2 * sims)) + 0.02)
         return (w * self.labels[rows]).sum(1) / w.sum(1)
@@ -138,6 +247,23 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(self.slope * (np.asarray(vote, float) - 0.5) + self.shift, -40, 40)))
 
 
+def _left_out(shared):
+    """The vote of all other examples on each example."""
+
+    def run(batches):
+        model: Model = shared.value
+        for b in batches:
+            for at in range(0, b.num_rows, model.block):
+                own = b.column(0)[at : at + model.block].to_pylist()
+                queries = []
+                for i in own:
+                    part = slice(model.starts[i], model.ends[i])
+                    queries.append(model.vector(model.cols[part].astype(np.int64), model.counts[part]))
+                yield pa.RecordBatch.from_pydict({"row": pa.array(own, pa.int64()), "vote": pa.array(model.vote(*model.search(queries, own)), pa.float64())})
+
+    return run
+
+
 def _platt(votes: np.ndarray, labels: np.ndarray) -> tuple[float, float]:
     """Slope and shift of a logistic on votes, with Platt's smoothed targets."""
     pos = labels.sum()
@@ -156,54 +282,56 @@ def _platt(votes: np.ndarray, labels: np.ndarray) -> tuple[float, float]:
     return (float(w[0]), float(w[1])) if w[0] > 0 else (8.0, 0.0)
 
 
-def fit(docs: DataFrame, labelled: DataFrame, max_examples: int = 10_000, max_terms: int = 400, k: int = 11, block: int = 64, background: float = 0.05) -> Model | None:
+def fit(docs: DataFrame, labelled: DataFrame, max_examples: int = 10_000, k: int = 11, block: int = 64) -> Model | None:
     """Fit on at most ``max_examples`` rows of ``labelled`` (doc_id, label); None without positives.
 
     Null labels and ids are ignored; of several labels of a document the
-    greatest counts.  The sample, the term counts and the vectors that reach
-    the driver are bounded by ``max_examples`` and ``max_terms``.
+    greatest counts.  All terms of the sample are kept; they and the vectors
+    that reach the driver are bounded by ``max_examples`` texts.
     """
+    spark = docs.sparkSession
     known = labelled.where(F.col("label").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max(F.col("label").cast("int")).alias("label"))
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_examples)
     texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     rows = common.scratch(texts.join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "label"), "examples")
-    positives = rows.where("label = 1").count()
-    if not positives:
+    n, n1 = rows.count(), rows.where("label = 1").count()
+    if not n1:
         return None
-    floor = max(2 if positives < 100 else 3, int(0.004 * positives))
-    df = rows.select("text", "label").mapInArrow(common.tidy(_positive_terms), "term string, n long").groupBy("term").agg(F.sum("n").alias("n")).where(F.col("n") >= floor)
-    frequent = [str(r["term"]) for r in df.orderBy(F.desc("n"), "term").limit(50 * max_terms).collect()]
-    numbered = {t: i for i, t in enumerate(frequent)}
-    summed = rows.select("text", "label").mapInArrow(common.tidy(_frequencies(numbered)), "term int, neg long, pos long").groupBy("term").agg(F.sum("neg").alias("neg"), F.sum("pos").alias("pos")).toArrow()
-    pos, neg = np.zeros(len(frequent)), np.zeros(len(frequent))
-    pos[summed["term"].to_numpy()], neg[summed["term"].to_numpy()] = summed["pos"].to_numpy(), summed["neg"].to_numpy()
-    n, n1 = rows.count(), positives
     n0 = n - n1
-    odds = np.log(((pos + 0.5) / (n1 + 1)) / ((neg + 0.5) / (n0 + 1)))
-    merit = np.where(odds > 1.5, pos * odds, 0)
-    order = [i for i in np.argsort(-merit, kind="stable")[:max_terms] if merit[i] > 0]
-    if not order:
+    df = rows.select("text", "label").mapInArrow(common.tidy(_frequencies), "term string, neg long, pos long").groupBy("term").agg(F.sum("neg").alias("neg"), F.sum("pos").alias("pos"))
+    got = df.orderBy(F.desc(F.col("neg") + F.col("pos")), "term").toArrow()
+    names = got["term"].to_pylist()
+    if not names:
         common.drop_scratch(rows)
         return None
-    chosen_terms = {frequent[old]: new for new, old in enumerate(order)}
-    got = rows.mapInArrow(common.tidy(_vectors(chosen_terms)), "doc_id long, label int, n long, terms array<int>, counts array<long>").orderBy("doc_id").toArrow()
+    neg, pos = got["neg"].to_numpy(), got["pos"].to_numpy()
+    # as if one more example held each term, with the sample's share of positives: a term of neither kind has odds 0
+    odds = np.log((pos + n1 / n) / n1) - np.log((neg + n0 / n) / n0) if n0 else np.zeros(len(names))
+    weight = np.log((1 + n) / (1 + pos + neg)) * (0.1 + np.abs(odds))
+    shared = spark.sparkContext.broadcast(names)
+    got = rows.mapInArrow(common.tidy(_vectors(shared)), VECTORS).orderBy("doc_id").toArrow()
+    shared.destroy()
     common.drop_scratch(rows)
-    idf = np.log((1 + n) / (1 + pos[order] + neg[order]))
-    model = Model(chosen_terms, idf, background, k, np.zeros(0), np.zeros(0), np.zeros((0, 0)), block, np.zeros((0, 0)), 0.0)
-    held, plain = [], [0, 0]
-    for batch in got.to_batches(1000):
-        for r in batch.to_pylist():
-            if r["terms"]:
-                v = model.vector(dict(zip(r["terms"], r["counts"], strict=True)), r["n"])
-                held.append((int(np.argmax(v[:-1])), r["doc_id"], r["label"], v))
-            else:
-                plain[r["label"]] += 1
-    held.sort(key=lambda x: x[:2])
-    model.ids, model.labels, model.matrix = np.array([h[1] for h in held]), np.array([h[2] for h in held]), np.stack([h[3] for h in held])
-    model.tops = np.stack([model.matrix[i : i + block].max(0) for i in range(0, len(held), block)])
-    model.plain = (plain[1] + 0.5 * n1 / n) / (sum(plain) + 1)
-    if len(held) > 2:
-        votes = model.vote(*model.nearest(model.matrix, skip_self=True))
+    ids, labels, parts, first, same, plain = [], [], [], {}, [], [0, 0]
+    for doc_id, label, t, c in zip(*(got[x].to_pylist() for x in ("doc_id", "label", "terms", "counts")), strict=True):
+        if not t:
+            plain[label] += 1
+            continue
+        same.append(first.setdefault(hashlib.sha256(t + c).digest(), len(ids)))
+        ids.append(doc_id)
+        labels.append(label)
+        parts.append((t, c))
+    del got
+    cols, counts = (np.frombuffer(b"".join(x), "<i4") for x in zip(*parts, strict=True))
+    ends = np.cumsum([len(t) // 4 for t, _ in parts])
+    del parts
+    frequent = min(int((16 * (pos + neg) >= n).sum()), DENSE_BYTES // (4 * len(ids)))
+    share = (plain[1] + 0.5 * n1 / n) / (sum(plain) + 1)
+    model = Model(names, weight, 0.1 * float(np.log(1 + n)), odds > 0, frequent, k, block, np.array(ids), np.array(labels), ends, cols, counts, np.array(same), share)
+    if len(ids) > 2:
+        shared = spark.sparkContext.broadcast(model)
+        votes = spark.range(0, len(ids), 1, min(common.partitions(spark), len(ids) // 100 + 1)).mapInArrow(common.tidy(_left_out(shared)), "row long, vote double").orderBy("row").toArrow()["vote"].to_numpy()
+        shared.destroy()
         model.slope, model.shift = _platt(np.concatenate([votes, np.full(sum(plain), model.plain)]), np.concatenate([model.labels, np.repeat([0, 1], plain)]))
     return model
 
@@ -211,34 +339,25 @@ def fit(docs: DataFrame, labelled: DataFrame, max_examples: int = 10_000, max_te
 def _score(shared):
     def run(batches):
         model: Model = shared.value
-        names = list(model.terms)
-        known: dict[str, tuple[int, ...]] = {}
+        reader = model.__dict__.get("reader") or model.__dict__.setdefault("reader", Reader(model.names))
         base = float(model.calibrated(model.plain))
         for b in common.blocks(batches, 1):
             n = b.num_rows
             score, near, cosine, evidence = np.full(n, base), [None] * n, [None] * n, [None] * n
-            at, queries, found = [], [], []
+            at, queries = [], []
             for i, text in enumerate(b.column(1).to_pylist()):
-                got = words(text)
-                hits: dict[int, int] = {}
-                for w in got:
-                    t = known.get(w)
-                    if t is None:
-                        if len(known) > 200_000:
-                            known.clear()
-                        t = known[w] = tuple(model.terms[x] for x in terms_of(w) if x in model.terms)
-                    for j in t:
-                        hits[j] = hits.get(j, 0) + 1
-                if hits:
+                t, v = model.vector(*reader.read(text))
+                if len(t):
                     at.append(i)
-                    queries.append(model.vector(hits, len(got)))
-                    found.append(hits)
+                    queries.append((t, v))
+                    marked = model.marks[t]
+                    best = t[marked][np.argsort(-v[marked], kind="stable")[:5]]
+                    evidence[i] = " ".join(model.names[j] for j in best) or None
             if at:
-                sims, rows = model.nearest(np.stack(queries))
+                sims, rows = model.search(queries)
                 score[at] = model.calibrated(model.vote(sims, rows))
                 for j, i in enumerate(at):
                     near[i], cosine[i] = int(model.ids[rows[j, 0]]), float(sims[j, 0])
-                    evidence[i] = " ".join(sorted((names[t] for t in found[j]), key=lambda t: -found[j][model.terms[t]] * model.idf[model.terms[t]])[:5])
             yield common.record(_SCORED, b.column(0), score, near, cosine, evidence)
 
     return run
@@ -247,8 +366,8 @@ def _score(shared):
 def score(docs: DataFrame, model: Model | None) -> DataFrame:
     """(doc_id, score, nearest_id, nearest_cosine, evidence) for every row.
 
-    Null and empty texts, and texts without a marked term, get the calibrated
-    share of positives among such examples; without a model every score is 0.
+    Null and empty texts, and texts that share no term with any example, get the
+    calibrated share of positives among examples without terms; without a model every score is 0.
     Repeated rows are scored alike; other columns are ignored.
     """
     kept = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))

@@ -514,6 +514,32 @@ def test_blocks_never_change_the_nearest(spark, judged):
     assert np.allclose(sims, want)
 
 
+def test_every_term_of_the_examples_is_searched(spark):
+    r = random.Random(12)
+    rows, toxic = [], {}
+    for i in range(1500):  # a lexicon of 700 words, each in two or three examples
+        toxic[i] = int(i % 2 == 0)
+        w = [r.choice(WORDS) for _ in range(20)]
+        if toxic[i]:
+            w[3:6] = [f"bad{chr(97 + (i * 3 // 2 + j) % 700 // 26)}{chr(97 + (i * 3 // 2 + j) % 26)}slur{(i * 3 // 2 + j) % 700}" for j in range(3)]
+            w = [x.translate(str.maketrans("0123456789", "qrstuvwxyz")) for x in w]
+        rows.append((i, " ".join(w)))
+    docs = with_text(spark, rows)
+    model = toxicity.fit(docs, spark.createDataFrame(list(toxic.items()), "doc_id long, label int").where("doc_id % 10 > 1"))
+    vocabulary = {t for i, x in rows if i % 10 > 1 for w in toxicity.words(x) for t in toxicity.terms_of(w)}
+    assert set(model.names) == vocabulary and len(vocabulary) > 700
+    got = {x.doc_id: x for x in toxicity.score(docs.union(with_text(spark, [(9000, "the of and")])), model).collect()}
+    assert got[9000].nearest_id is not None and got[9000].nearest_cosine > 0
+    m = model.matrix
+    for i, x in rows[:40]:
+        c = toxicity._term_counts(x)
+        v = np.array([c[t] for t in model.names]) * model.weight
+        size = math.sqrt((v**2).sum() + sum((n * model.unseen) ** 2 for t, n in c.items() if t not in vocabulary))
+        assert got[i].nearest_cosine == pytest.approx((m @ v / size).max(), rel=1e-9)
+    held = [i for i in toxic if i % 10 < 2]
+    assert np.mean([(got[i].score >= 0.5) == bool(toxic[i]) for i in held]) > 0.97
+
+
 # --- 10 MinHash
 
 
