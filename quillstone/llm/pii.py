@@ -15,15 +15,31 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 ROUNDS = 8
-#: The shapes of what is looked for.
+#: Characters of the IBANs of countries.
+IBAN_SIZES = {
+    15: "NO", 16: "BE", 18: "DK FI FO GL NL", 19: "MK SI", 20: "AT BA EE KZ LT LU XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ TL OM",
+    24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HU LB PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU", 31: "MT SC", 32: "LC",
+}
+_NATIONAL = "|".join(c for names in IBAN_SIZES.values() for c in names.split())
+#: What a group of a card number or an IBAN must not begin: a value of another kind stands there.
+_NEXT = r"(?!(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}[/.][0-9]{2}[/.][0-9]{4}|[0-9]{3}-[0-9]{2}-[0-9]{4}|[0-9]{3}[ .-][0-9]{3}[ .-][0-9]{4}|[0-9]{1,3}(?:\.[0-9]{1,3}){3})(?![0-9])|(?:" + _NATIONAL + r")[0-9]{2} ?[A-Z0-9]{4})"
+_IBAN_GROUP = f"(?: {_NEXT}[A-Z0-9]{{4}}|[A-Z0-9]{{4}})"
+
+
+def _national(size: int, names: str) -> str:
+    groups, left = divmod(size - 4, 4)
+    return f"(?:{names.replace(' ', '|')})[0-9]{{2}}(?: ?[A-Z0-9]{{4}}){{{groups}}}" + (f" ?[A-Z0-9]{{{left}}}" if left else "")
+
+
+#: The shapes of what is looked for.  Groups of four digits are found as whole runs, in which cards() looks.
 SHAPES = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+@[A-Za-z0-9](?:[A-Za-z0-9-]{0,62}[A-Za-z0-9])?(?:\.[A-Za-z0-9](?:[A-Za-z0-9-]{0,62}[A-Za-z0-9])?){1,8}",
-    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
+    "iban": r"(?<![A-Za-z0-9])(?:" + "|".join(_national(n, c) for n, c in IBAN_SIZES.items()) + "|[A-Z]{2}[0-9]{2}" + _IBAN_GROUP + "{2,7}(?: " + _NEXT + "[A-Z0-9]{1,3}|[A-Z0-9]{1,3})?)(?![A-Za-z0-9])",
     "ip": r"(?<![0-9.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9]|\.[0-9])",
     "date": r"(?<![0-9/.-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}/[0-9]{2}/[0-9]{4}|[0-9]{2}\.[0-9]{2}\.[0-9]{4})(?![0-9]|[/.-][0-9])",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9]|-[0-9])",
     "phone": r"(?<![0-9A-Za-z+])(?:(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}|\+[0-9]{8,15}|\+[0-9]{1,3}(?:[ .-]\(?[0-9]{2,4}\)?){2,4})(?![0-9]|-[0-9])",
-    "card": r"(?<![0-9A-Za-z])(?:[0-9]{13,19}|[0-9]{4}(?: [0-9]{4}){2,3}(?: [0-9]{1,3})?|[0-9]{4}(?:-[0-9]{4}){2,3}(?:-[0-9]{1,3})?|[0-9]{4}[ -][0-9]{6}[ -][0-9]{5})(?![0-9A-Za-z])",
+    "card": r"(?<![0-9A-Za-z])(?:[0-9]{13,19}|[0-9]{4}(?: " + _NEXT + r"[0-9]{4}){2,}(?: " + _NEXT + r"[0-9]{1,3})?|[0-9]{4}(?:-[0-9]{4}){2,}(?:-[0-9]{1,3})?|[0-9]{4}[ -][0-9]{6}[ -][0-9]{5})(?![0-9A-Za-z])",
 }
 ANY = "|".join(f"(?:{p})" for p in SHAPES.values())
 #: Days that dates are permuted among: from 1900-01-01 to 2099-12-31.
@@ -230,6 +246,50 @@ def pseudonym(x: Column, of: Column, key: str) -> Column:
     return out
 
 
+#: What a found string may begin with, the longest first.
+CARD_STARTS = [f"^[0-9]{{4}}(?:{m}[0-9]{{4}}){{{n}}}{t}(?![0-9A-Za-z])" for n, tail in ((3, True), (3, False), (2, True)) for m in " -" for t in [f"{m}[0-9]{{1,3}}" if tail else ""]]
+IBAN_STARTS = [f"^[A-Z]{{2}}[0-9]{{2}}(?: ?[A-Z0-9]{{4}}){{{n}}}{t}(?![A-Za-z0-9])" for n in range(7, 1, -1) for t in (" ?[A-Z0-9]{1,3}", "")]
+
+
+def _start(x: Column, shapes: list[str], valid) -> Column:
+    """The longest valid value that ``x`` begins with; null: none."""
+    tries = F.array(*[F.regexp_extract(x, p, 0) for p in shapes])
+    return F.get(F.filter(tries, lambda t: (t != "") & valid(t)), F.lit(0))
+
+
+def cards(x: Column, key: str) -> Column:
+    """(kinds, value) of a run of groups of digits: at each group the longest valid card number, else the group stays."""
+    nothing = F.struct(x.alias("rest"), F.lit("").alias("value"), F.array().cast("array<string>").alias("kinds"))
+
+    def step(acc: Column, _: Column) -> Column:
+        def moved(found: Column) -> Column:
+            n = F.length(found)
+            plain = F.regexp_extract(acc["rest"], "^(?:[0-9]+|[ -])", 0)
+            hit = F.struct(acc["rest"].substr(n + 1, F.length(acc["rest"])).alias("rest"), F.concat(acc["value"], card(found, key)).alias("value"), F.concat(acc["kinds"], F.array(F.lit("card"))).alias("kinds"))
+            miss = F.struct(acc["rest"].substr(F.length(plain) + 1, F.length(acc["rest"])).alias("rest"), F.concat(acc["value"], plain).alias("value"), acc["kinds"].alias("kinds"))
+            return F.when(n > 0, hit).otherwise(miss)
+
+        return let(_start(acc["rest"], CARD_STARTS, valid_card), moved)
+
+    places = F.sequence(F.lit(1), F.length(F.regexp_replace(x, "[0-9]", "")) * 2 + 1)
+    return F.aggregate(places, nothing, step, lambda acc: F.struct(acc["kinds"].alias("kinds"), acc["value"].alias("value")))
+
+
+def rewritten(x: Column, key: str) -> Column:
+    """(kinds, value) of a found string; where it is not valid as a whole, of the valid values in it."""
+
+    def whole(k: Column) -> Column:
+        begun = let(_start(x, IBAN_STARTS, valid_iban), lambda b: F.struct(F.when(b.isNotNull(), F.array(F.lit("iban"))).otherwise(F.array().cast("array<string>")).alias("kinds"), F.when(b.isNotNull(), F.concat(iban(b, key), x.substr(F.length(b) + 1, F.length(x)))).otherwise(x).alias("value")))
+        return (
+            F.when(k.isNotNull(), F.struct(F.array(k).alias("kinds"), pseudonym(x, k, key).alias("value")))
+            .when(x.rlike("^[0-9]{4}[ -][0-9]{4}[ -][0-9]{4}"), cards(x, key))
+            .when(x.rlike("^[A-Z]{2}[0-9]{2}"), begun)
+            .otherwise(F.struct(F.array().cast("array<string>").alias("kinds"), x.alias("value")))
+        )
+
+    return let(kind(x), whole)
+
+
 def pseudonymise(docs: DataFrame, key: str, column: str = "text") -> DataFrame:
     """``docs`` with ``column`` rewritten and one more column, ``pii_kinds`` (array of kinds found).
 
@@ -238,11 +298,11 @@ def pseudonymise(docs: DataFrame, key: str, column: str = "text") -> DataFrame:
     """
     text = F.col(column)
     found = F.when(text.rlike("[0-9@]"), F.regexp_extract_all(text, F.lit(ANY), F.lit(0)))
-    values = F.transform(found, lambda x: let(kind(x), lambda k: F.struct(k.alias("kind"), pseudonym(x, k, key).alias("value"))))
+    values = F.transform(found, lambda x: rewritten(x, key))
     staged = docs.withColumn("__values", F.when(F.size(found) > 0, values))
     joined = F.array_join(F.zip_with(F.split(text, ANY, -1), F.col("__values"), lambda piece, v: F.concat(piece, F.coalesce(v["value"], F.lit("")))), "")
     return (
-        staged.withColumn("pii_kinds", F.coalesce(F.filter(F.transform("__values", lambda v: v["kind"]), lambda k: k.isNotNull()), F.array().cast("array<string>")))
+        staged.withColumn("pii_kinds", F.coalesce(F.flatten(F.transform("__values", lambda v: v["kinds"])), F.array().cast("array<string>")))
         .withColumn(column, F.when(F.size("pii_kinds") > 0, joined).otherwise(text))
         .drop("__values")
     )

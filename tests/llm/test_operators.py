@@ -252,6 +252,19 @@ def test_pseudonyms_keep_formats_and_links(spark):
     assert pseudonyms(spark, texts, "other")[0][0] != card
 
 
+def test_pseudonyms_of_values_with_neighbours(spark):
+    card, es, be = "4111 1111 1111 1111", "ES91 2100 0418 4502 0005 1332", "BE68539007547034"
+    texts = [card, f"{card} 12/27", f"{card} 123", f"1234 {card} x", f"{card} 5500 0000 0000 0004", "4111-1111-1111-1111-123", es, f"{es} EUR", f"{es} {card}", be, f"{be} THIS", f"XX12 {es}", f"{card} 123-45-6789", f"{es} 2001-02-28", "XX82 1234 5678 9012 NOTE", "6304 0000 0000 0000 000 12/27", "1234 5678 9012 3456 789"]
+    out, kinds = pseudonyms(spark, texts)
+    c, e, b = out[0], out[6], out[9]
+    assert c != card and e != es and b != be and luhn(c.replace(" ", "")) and mod97(e) == mod97(b) == 1
+    assert out[1] == f"{c} 12/27" and out[2] == f"{c} 123" and out[3] == f"1234 {c} x" and out[5] == c.replace(" ", "-") + "-123"
+    assert out[4].startswith(c) and out[4][19:] != " 5500 0000 0000 0004" and luhn(out[4][20:].replace(" ", "")) and kinds[4] == ["card", "card"]
+    assert out[7] == f"{e} EUR" and out[8] == f"{e} {c}" and out[10] == f"{b} THIS" and out[11] == f"XX12 {e}"
+    assert out[12].startswith(c + " ") and kinds[12] == ["card", "ssn"] and out[13].startswith(e + " ") and kinds[13] == ["iban", "date"]
+    assert kinds[2] == ["card"] and kinds[8] == ["iban", "card"] and kinds[16] == [] and out[16] == texts[16]
+
+
 def test_permutations_are_one_to_one(spark):
     digits = spark.range(1000).select(F.lpad(F.col("id").cast("string"), 3, "0").alias("d"))
     assert digits.select(pii.permute_digits(F.col("d"), "k", "t").alias("p")).distinct().count() == 1000
