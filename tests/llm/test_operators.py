@@ -350,6 +350,16 @@ def test_embeddings(spark):
     assert sorted((tuple(r) for r in embeddings.near_duplicates(odd).collect()), key=repr) == [(1, 1, 1, True), (1, 1, 1, True), (None, 0, None, True)]
 
 
+def test_embeddings_by_the_graph(spark):
+    rows = vectors(2, 900)  # 300 and more in a shard: over 8 * ef, and so searched by the graph
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    got = {r.vec_id: r.n_links for r in embeddings.near_duplicates(frame, 0.93, shard_size=2048, ef=8).collect()}
+    want = {r[0]: r[1] for r in links_by_force(rows, 0.93)}
+    recall = sum(got.values()) / sum(want.values())
+    print("recall", recall)
+    assert all(got[i] <= n for i, n in want.items()) and recall > 0.99
+
+
 def test_graph_finds_neighbours():
     r = np.random.default_rng(4)
     v = embeddings._unit(r.normal(size=(1500, 16)) + 3 * r.normal(size=(30, 16))[r.integers(0, 30, 1500)])
