@@ -7,15 +7,18 @@ all right keys differ: at s = 0.8 and m = 10 that is below (1 - 0.64) ** 10 * 2,
 or 1 in 13,000, for a single pair.
 
 1. Sets are hashed to 64 bits; equal sets are folded to one node.
-2. Each task deals its (key, node) entries to shards in packed arrays; a shard
-   keeps the buckets of two or more.
-3. In each bucket every node is tried against one other: a leader drawn anew in
-   each table or, in half of the tables, its neighbour in a random order.  That
-   is a linear number of pairs.  Pairs are confirmed on full sets, which only candidates carry, and
-   links are united to components.
-4. Buckets that still hold several components are finished exactly: small ones
-   by their pairs across components, large ones in bounded pairs of blocks
-   whose intersections are counted by matrix products; only links leave a task.
+2. The tables are asked in rounds.  A block of nodes sends each of its keys once
+   to a shard, with its least node in the round's random order; the shard names
+   one leader per bucket and answers blocks whose bucket holds several
+   components.  A node is paired with leaders of components other than its own:
+   in buckets of two with all, of larger ones with the first in the round's
+   order.  A hot bucket so costs a shard one entry per block and a round makes
+   about one pair per node of a group, however large the group.
+3. Pairs are confirmed on full sets, which only candidates carry, and links are
+   united to components before the next round.  The first round asks m tables,
+   the second all m * m, later ones only the buckets that are still open.
+4. Buckets that stay open are finished exactly in bounded pairs of blocks, whose
+   intersections are counted by matrix products; only links leave a task.
 5. Links are united again.
 """
 
@@ -24,6 +27,8 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -31,7 +36,9 @@ from . import common
 from .components import connected_components, refine
 
 M = 10
-SMALL, BLOCK = 48, 512
+BLOCK, SALTS = 512, 16
+#: Rounds at most, and the share (1 / FEW) of tried pairs that must be links for another, before the exact step.
+ROUNDS, FEW = 4, 10
 #: Odd 64-bit multipliers of public mixing functions.
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], np.uint64)
 _S32 = np.uint64(32)
@@ -110,82 +117,171 @@ def _sign(size: int):
     return run
 
 
-SENT = "shard int, keys binary, nodes binary, sizes binary"
-_SENT = pa.schema([("shard", pa.int32()), ("keys", pa.binary()), ("nodes", pa.binary()), ("sizes", pa.binary())])
+#: Tables (i, j) by number, and those of the first round.
+ALL = [(i, j) for i in range(M) for j in range(M)]
+DIAGONAL = [M * i + i for i in range(M)]
 
+ASKED = "shard int, block long, keys binary, leads binary, of binary, sizes binary, counts binary, mixed binary, opens binary"
+_ASKED = pa.schema([("shard", pa.int32()), ("block", pa.int64()), *((c, pa.binary()) for c in ("keys", "leads", "of", "sizes", "counts", "mixed", "opens"))])
 
-def _deal(shards: int):
-    """Entries (table key, node) of each batch, packed by shard."""
+
+def table_keys(sig: np.ndarray, tables: list[int]) -> np.ndarray:
+    """Keys of the numbered tables, one column each."""
+    return np.stack([mix(sig[:, i] * _ODD[0] + sig[:, M + j] * _ODD[1] + np.uint64(i * M + j)) for i, j in (ALL[t] for t in tables)], 1)
+
+
+def _rank(node: np.ndarray, seed: int) -> np.ndarray:
+    """A random order of nodes, another in each round and the same in all of its tables, so that leaders agree."""
+    return mix(node.view(np.uint64) ^ mix(np.array([seed + 1], np.uint64) * _ODD[2]))
+
+
+def _entries(sig: np.ndarray, opens: np.ndarray | None, tables: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    """Keys and rows of the open buckets of a block."""
+    keys = table_keys(sig, tables)
+    if opens is None:
+        return keys.ravel(), np.repeat(np.arange(len(sig)), len(tables))
+    row, column = np.nonzero(np.unpackbits(opens, axis=1, count=M * M)[:, tables])
+    return keys[row, column], row
+
+
+def _ask(tables: list[int], seed: int, shards: int):
+    """Blocks of (node, component, n, keys, open): one row with the block's own nodes, and its distinct keys by shard."""
 
     def run(batches):
+        task, k = TaskContext.get().partitionId(), 0
         for b in batches:
             for lo in range(0, b.num_rows, 4096):
                 part = b.slice(lo, 4096)
-                sig = np.frombuffer(b"".join(part.column(1).to_pylist()), "<u8").reshape(-1, 2 * M)
-                node = part.column(0).to_numpy()
-                keys = np.concatenate([mix(sig[:, i] * _ODD[0] + sig[:, M + j] * _ODD[1] + np.uint64(i * M + j)) for i in range(M) for j in range(M)])
-                nodes, sizes = np.tile(node, M * M), np.tile(part.column(2).to_numpy().astype("<i4"), M * M)
-                at = (keys % np.uint64(shards)).astype(np.int64)
-                order = np.argsort(at, kind="stable")
-                cut = np.searchsorted(at[order], np.arange(shards + 1))
-                at = {s: order[cut[s] : cut[s + 1]] for s in range(shards) if cut[s] < cut[s + 1]}
-                rows = [(s, keys[i].tobytes(), nodes[i].tobytes(), sizes[i].tobytes()) for s, i in at.items()]
-                yield common.record(_SENT, *zip(*rows, strict=True))
+                node, of, n = (part.column(i).to_numpy() for i in range(3))
+                raw = b"".join(part.column(3).to_pylist())
+                opens = None if part.column(4).null_count else b"".join(part.column(4).to_pylist())
+                block = (task << 32) | k
+                k += 1
+                sig = np.frombuffer(raw, "<u8").reshape(-1, 2 * M)
+                key, row = _entries(sig, None if opens is None else np.frombuffer(opens, np.uint8).reshape(len(sig), -1), tables)
+                order = np.lexsort((_rank(node, seed)[row], key))
+                key, row = key[order], row[order]
+                start = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))) if len(key) else np.zeros(0, np.int64)
+                rows = [(block % shards, block, raw, node.astype("<i8").tobytes(), of.astype("<i8").tobytes(), n.astype("<i4").tobytes(), None, None, opens)]
+                if len(start):
+                    many = np.diff(np.append(start, len(key)))
+                    mixed = np.minimum.reduceat(of[row], start) != np.maximum.reduceat(of[row], start)
+                    key, lead = key[start], row[start]
+                    at = (key % np.uint64(shards)).astype(np.int64)
+                    order = np.argsort(at, kind="stable")
+                    cut = np.searchsorted(at[order], np.arange(shards + 1))
+                    for s in np.flatnonzero(cut[1:] > cut[:-1]).tolist():
+                        i = order[cut[s] : cut[s + 1]]
+                        x = lead[i]
+                        rows.append((s, block, key[i].astype("<u8").tobytes(), node[x].astype("<i8").tobytes(), of[x].astype("<i8").tobytes(), n[x].astype("<i4").tobytes(), np.minimum(many[i], 3).astype("u1").tobytes(), mixed[i].astype("u1").tobytes(), None))
+                yield common.record(_ASKED, *zip(*rows, strict=True))
 
     return run
 
 
-_BUCKETS = pa.schema([("key", pa.int64()), ("node", pa.int64()), ("n", pa.int32())])
+def _lead(seed: int):
+    """Of each bucket that holds several components: its leader, to every block that asked; heads pass."""
 
+    def run(batches):
+        held: list[list[np.ndarray]] = [[] for _ in range(7)]
+        for b in batches:
+            head = pc.is_null(b.column(6))
+            if heads := b.filter(head):
+                yield heads
+            rows = b.filter(pc.invert(head))
+            if rows.num_rows:
+                got = [np.frombuffer(b"".join(rows.column(i).to_pylist()), t) for i, t in ((2, "<u8"), (3, "<i8"), (4, "<i8"), (5, "<i4"), (6, "u1"), (7, "u1"))]
+                sizes = pc.binary_length(rows.column(2)).to_numpy() // 8
+                for x, y in zip(held, [*got, np.repeat(rows.column(1).to_numpy(), sizes)], strict=True):
+                    x.append(y)
+        if not held[0]:
+            return
+        key, lead, of, n, many, mixed, block = (np.concatenate(x) for x in held)
+        del held
+        order = np.lexsort((_rank(lead, seed), key))
+        key, lead, of, n, many, mixed, block = (x[order] for x in (key, lead, of, n, many, mixed, block))
+        start = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+        size = np.diff(np.append(start, len(key)))
+        several = np.repeat(np.maximum.reduceat(mixed, start).astype(bool) | (np.minimum.reduceat(of, start) != np.maximum.reduceat(of, start)), size)
+        more = np.repeat(np.add.reduceat(many.astype(np.int64), start) > 2, size)
+        first = np.repeat(start, size)
+        at = np.flatnonzero(several)
+        at = at[np.argsort(block[at], kind="stable")]
+        edge = np.flatnonzero(np.concatenate(([True], block[at][1:] != block[at][:-1], [True]))) if len(at) else [0]
+        for lo in range(0, len(edge) - 1, 256):
+            rows = []
+            for a, z in zip(edge[lo : lo + 256], edge[lo + 1 : lo + 257], strict=False):
+                i, f = at[a:z], first[at[a:z]]
+                rows.append((0, int(block[i[0]]), key[i].tobytes(), lead[f].tobytes(), of[f].tobytes(), n[f].tobytes(), more[i].astype("u1").tobytes(), None, None))
+            yield common.record(_ASKED, *zip(*rows, strict=True))
 
-def _gather(batches):
-    """The entries of a shard that share their key with another node."""
-    keys, nodes, sizes = [], [], []
-    for b in batches:
-        for k, v, n in zip(*(b.column(i).to_pylist() for i in (1, 2, 3)), strict=True):
-            keys.append(np.frombuffer(k, "<u8"))
-            nodes.append(np.frombuffer(v, "<i8"))
-            sizes.append(np.frombuffer(n, "<i4"))
-    if keys:
-        key, node, size = np.concatenate(keys), np.concatenate(nodes), np.concatenate(sizes)
-        order = np.lexsort((node, key))
-        key, node, size = key[order], node[order], size[order]
-        same = key[1:] == key[:-1]
-        keep = np.concatenate(([False], same)) | np.concatenate((same, [False]))
-        key, node, size = key[keep].view(np.int64), node[keep], size[keep]
-        for lo in range(0, len(key), 200_000):
-            yield common.record(_BUCKETS, key[lo : lo + 200_000], node[lo : lo + 200_000], size[lo : lo + 200_000])
+    return run
 
 
-_PAIRS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+TRIED = "a long, b long, n int, keys binary, open binary"
+_TRIED = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("n", pa.int32()), ("keys", pa.binary()), ("open", pa.binary())])
 
 
-def _linear_pairs(percent: int):
-    """Of each bucket's nodes (sorted by key): each with the leader or, in half of the keys, the one before, in an order drawn by key.
+def _tries(tables: list[int], seed: int, percent: int):
+    """Pairs of a block's nodes with leaders of other components; and, with b null, nodes of buckets of three or more that are open.
 
-    A pair too unlike in size is dropped at once.
+    A pair too unlike in size is dropped at once.  A bucket of two is settled by its pair.
     """
 
-    def run(batches):
-        for b in batches:
-            key, node, n = b.column(0).to_numpy().view(np.uint64), b.column(1).to_numpy(), b.column(2).to_numpy()
-            order = np.lexsort((mix(node.view(np.uint64) * _ODD[2] ^ key), key))
-            key, node, n = key[order], node[order], n[order]
-            fresh = np.ones(len(key), bool)
-            fresh[1:] = key[1:] != key[:-1]
-            at = np.arange(len(key))
-            lead = np.maximum.accumulate(np.where(fresh, at, 0))
-            y = at[~fresh]
-            x = np.where(key & np.uint64(1), lead, at - 1)[~fresh]
-            near = 100 * np.minimum(n[x], n[y]) >= percent * np.maximum(n[x], n[y])
-            a, c = node[x[near]], node[y[near]]
-            pairs = np.unique(np.stack([np.minimum(a, c), np.maximum(a, c)], 1), axis=0)
-            if len(pairs):
-                yield common.record(_PAIRS, pairs[:, 0], pairs[:, 1])
+    def run(rows: pa.Table) -> pa.Table:
+        rows = rows.combine_chunks()
+        head = pc.is_null(rows["counts"])
+        answers, own = rows.filter(pc.invert(head)), rows.filter(head).to_pylist()
+        if not answers.num_rows or not own:
+            return _TRIED.empty_table()
+        own = own[0]
+        node, of, n = (np.frombuffer(own[c], t) for c, t in (("leads", "<i8"), ("of", "<i8"), ("sizes", "<i4")))
+        opens = own["opens"] and np.frombuffer(own["opens"], np.uint8).reshape(len(node), -1)
+        key, row = _entries(np.frombuffer(own["keys"], "<u8").reshape(len(node), 2 * M), opens, tables)
+        asked, lead, lead_of, lead_n, more = (np.frombuffer(b"".join(answers[c].to_pylist()), t) for c, t in (("keys", "<u8"), ("leads", "<i8"), ("of", "<i8"), ("sizes", "<i4"), ("counts", "u1")))
+        order = np.argsort(asked, kind="stable")
+        at = np.minimum(np.searchsorted(asked[order], key), len(asked) - 1)
+        hit = asked[order][at] == key
+        row, at, where = row[hit], order[at[hit]], np.flatnonzero(hit)
+        new = np.flatnonzero((of[row] != lead_of[at]) & (100 * np.minimum(n[row], lead_n[at]).astype(np.int64) >= percent * np.maximum(n[row], lead_n[at]).astype(np.int64)))
+        # of larger buckets' leaders, which later rounds or the exact step stand in for, a node meets the first in the round's order
+        new = new[np.lexsort((_rank(lead[at[new]], seed), more[at[new]], row[new]))]
+        before = np.concatenate(([False], (row[new][1:] == row[new][:-1]) & (more[at[new]][:-1] > 0)))
+        new = new[~before]
+        a, c = node[row[new]], lead[at[new]]
+        pairs = np.unique(np.stack([np.minimum(a, c), np.maximum(a, c)], 1), axis=0)
+        bits = np.zeros((len(node), M * M), np.uint8)
+        if opens is None:
+            column = np.asarray(tables)[where % len(tables)]
+        else:
+            column = np.asarray(tables)[np.nonzero(np.unpackbits(opens, axis=1, count=M * M)[:, tables])[1][where]]
+        still = more[at] > 0
+        bits[row[still], column[still]] = 1
+        left = np.flatnonzero(bits.any(1))
+        packed = np.packbits(bits[left], axis=1)
+        raw, width = own["keys"], 16 * M
+        nothing = [None] * len(pairs)
+        return pa.Table.from_batches(
+            [
+                common.record(_TRIED, pairs[:, 0], pairs[:, 1], nothing, nothing, nothing),
+                common.record(_TRIED, node[left], [None] * len(left), n[left], [raw[width * i : width * (i + 1)] for i in left.tolist()], [x.tobytes() for x in packed]),
+            ]
+        )
 
     return run
 
 
+def ask(state: DataFrame, tables: list[int], seed: int, percent: int) -> DataFrame:
+    """One round over ``state`` (node, component, n, keys, open): pairs to confirm (a, b), and open nodes (a, n, keys, open) with b null."""
+    shards = common.partitions(state.sparkSession)
+    asked = state.select("node", "component", "n", "keys", "open").mapInArrow(common.tidy(_ask(tables, seed, shards)), ASKED)
+    told = common.deal(asked, "shard").mapInArrow(common.tidy(_lead(seed)), ASKED)
+    return told.groupBy("block").applyInArrow(common.tidy_group(_tries(tables, seed, percent)), TRIED)
+
+
+_PAIRS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+
 #: Bits of the filter of candidate nodes: 4 MB, whatever the data.
 FILTER_BITS = 1 << 25
 
@@ -206,7 +302,7 @@ _SETS = pa.schema([("node", pa.int64()), ("n", pa.int32()), ("shingles", pa.bina
 
 def _full_sets(shared, size: int):
     def run(batches):
-        held = np.frombuffer(shared.value, bool)
+        held = np.frombuffer(shared.value, bool)  # by bytes of the filter
         for b in common.blocks(batches, 1):
             ids = b.column(0).fill_null(common.NULL_ID).to_numpy()
             b = b.filter(pa.array(held[_bit(ids) >> 3]))
@@ -242,85 +338,106 @@ def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.select("a", "b", "left", "right").mapInArrow(common.tidy(_confirm(percent)), "a long, b long")
 
 
-def _block_links(percent: int):
+def _block_links(group: list[dict], percent: int) -> list[tuple[int, int]]:
     """Links across components in one pair of blocks, thinned to a forest."""
+    node, component, side = (np.array([r[c] for r in group]) for c in ("node", "component", "block"))
+    sig = np.frombuffer(b"".join(r["keys"] for r in group), "<u8").reshape(len(node), -1)[:, :M]
+    sets = [np.frombuffer(r["shingles"], "<u8") for r in group]
+    n = np.array([len(s) for s in sets])
+    table, low = group[0]["table"], group[0]["low"]
+    first = np.flatnonzero(side == low)
+    second = first if low == group[0]["high"] else np.flatnonzero(side != low)
+    root = {c: c for c in set(component.tolist())}
+
+    def find(c):
+        while root[c] != c:
+            root[c] = root[root[c]]
+            c = root[c]
+        return c
+
+    links = []
+    step = 128
+    for lo in range(0, len(first), step):
+        f = first[lo : lo + step]
+        for hi in range(0, len(second), step):
+            s = second[hi : hi + step]
+            wanted = component[f][:, None] != component[s][None, :]
+            for earlier in range(table):
+                wanted &= sig[f, earlier][:, None] != sig[s, earlier][None, :]
+            wanted &= 100 * np.minimum(n[f][:, None], n[s][None, :]) >= percent * np.maximum(n[f][:, None], n[s][None, :])
+            if not wanted.any():
+                continue
+            f_at, s_at = np.flatnonzero(wanted.any(1)), np.flatnonzero(wanted.any(0))
+            common_ids = np.intersect1d(np.concatenate([sets[i] for i in f[f_at]]), np.concatenate([sets[i] for i in s[s_at]]))
+            shared_by = np.zeros((len(f_at), len(s_at)), np.float32)
+            for c0 in range(0, len(common_ids), 20_000):
+                ids = common_ids[c0 : c0 + 20_000]
+
+                def incidence(rows, ids=ids):
+                    out = np.zeros((len(rows), len(ids)), np.float32)
+                    for r, i in enumerate(rows):
+                        k = np.minimum(np.searchsorted(ids, sets[i]), len(ids) - 1)
+                        out[r, k[ids[k] == sets[i]]] = 1
+                    return out
+
+                shared_by += incidence(f[f_at]) @ incidence(s[s_at]).T
+            union = n[f[f_at]][:, None] + n[s[s_at]][None, :] - shared_by
+            for x, y in zip(*np.nonzero(wanted[np.ix_(f_at, s_at)] & (100 * shared_by >= percent * union)), strict=True):
+                a, b = find(component[f[f_at[x]]]), find(component[s[s_at[y]]])
+                if a != b:
+                    root[a] = b
+                    links.append((int(node[f[f_at[x]]]), int(node[s[s_at[y]]])))
+    return links
+
+
+_GROUP = ("table", "left", "low", "high")
+
+
+def _sorted_groups(percent: int):
+    """Rows sorted by pair of blocks: one pair, of at most about 2 * BLOCK nodes, is held at a time."""
 
-    def run(rows: pa.Table) -> pa.Table:
-        got = rows.to_pydict()
-        node, component, side = np.array(got["node"]), np.array(got["component"]), np.array(got["block"])
-        sig = np.frombuffer(b"".join(got["keys"]), "<u8").reshape(len(node), -1)[:, :M]
-        sets = [np.frombuffer(s, "<u8") for s in got["shingles"]]
-        n = np.array([len(s) for s in sets])
-        table, own = got["table"][0], side == got["low"][0]
-        first, second = np.flatnonzero(own), np.flatnonzero(~own)
-        second = second if len(second) else first
-        root = {c: c for c in set(component.tolist())}
-
-        def find(c):
-            while root[c] != c:
-                root[c] = root[root[c]]
-                c = root[c]
-            return c
-
-        links = []
-        step = 128
-        for lo in range(0, len(first), step):
-            f = first[lo : lo + step]
-            for hi in range(0, len(second), step):
-                s = second[hi : hi + step]
-                wanted = component[f][:, None] != component[s][None, :]
-                for earlier in range(table):
-                    wanted &= sig[f, earlier][:, None] != sig[s, earlier][None, :]
-                wanted &= 100 * np.minimum(n[f][:, None], n[s][None, :]) >= percent * np.maximum(n[f][:, None], n[s][None, :])
-                if not wanted.any():
-                    continue
-                f_at, s_at = np.flatnonzero(wanted.any(1)), np.flatnonzero(wanted.any(0))
-                common_ids = np.intersect1d(np.concatenate([sets[i] for i in f[f_at]]), np.concatenate([sets[i] for i in s[s_at]]))
-                shared_by = np.zeros((len(f_at), len(s_at)), np.float32)
-                for c0 in range(0, len(common_ids), 20_000):
-                    ids = common_ids[c0 : c0 + 20_000]
-
-                    def incidence(group, ids=ids):
-                        out = np.zeros((len(group), len(ids)), np.float32)
-                        for r, i in enumerate(group):
-                            k = np.minimum(np.searchsorted(ids, sets[i]), len(ids) - 1)
-                            out[r, k[ids[k] == sets[i]]] = 1
-                        return out
-
-                    shared_by += incidence(f[f_at]) @ incidence(s[s_at]).T
-                union = n[f[f_at]][:, None] + n[s[s_at]][None, :] - shared_by
-                for x, y in zip(*np.nonzero(wanted[np.ix_(f_at, s_at)] & (100 * shared_by >= percent * union)), strict=True):
-                    a, b = find(component[f[f_at[x]]]), find(component[s[s_at[y]]])
-                    if a != b:
-                        root[a] = b
-                        links.append((node[f[f_at[x]]], node[s[s_at[y]]]))
-        return pa.table({"a": pa.array([p[0] for p in links], pa.int64()), "b": pa.array([p[1] for p in links], pa.int64())})
+    def run(batches):
+        at, held = None, []
+        for b in batches:
+            rows = b.to_pylist()
+            for r in rows:
+                own = tuple(r[c] for c in _GROUP)
+                if own != at:
+                    if len(held) > 1 and (links := _block_links(held, percent)):
+                        yield common.record(_PAIRS, *zip(*links, strict=True))
+                    at, held = own, []
+                held.append(r)
+        if len(held) > 1 and (links := _block_links(held, percent)):
+            yield common.record(_PAIRS, *zip(*links, strict=True))
 
     return run
 
 
-def _leftover(buckets: DataFrame, components: DataFrame, nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links across components in buckets that hold several of them."""
-    labelled = buckets.join(components, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    files = common.files_for(buckets.count(), buckets.sparkSession)
-    labelled = common.scratch(labelled, "labelled", files=files)
-    mixed = labelled.groupBy("key").agg(F.min("component").alias("c0"), F.max("component").alias("c1"), F.count(F.lit(1)).alias("size")).where("c0 <> c1").select("key", "size")
-    mixed = common.scratch(mixed, "mixed", files=files)
-    small = labelled.join(mixed.where(F.col("size") <= SMALL), "key")
-    pairs = small.alias("x").join(small.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.component") != F.col("y.component")) & (100 * F.least("x.n", "y.n") >= percent * F.greatest("x.n", "y.n")))
-    links = confirm(pairs.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).dropDuplicates(), sets, percent)
-    large = labelled.join(mixed.where(F.col("size") > SMALL), "key").select("node", "component").dropDuplicates()
-    large = common.scratch(large.join(nodes.select("node", "keys"), "node"), "large", files=files)
-    if large.isEmpty():
-        return links
-    tables = large.select("node", F.posexplode(F.array(*[F.substring("keys", 8 * i + 1, 8) for i in range(M)])).alias("table", "left"))
-    counts = tables.groupBy("table", "left").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    dealt = tables.join(counts.withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int")).drop("size"), ["table", "left"])
+def _leftover(left: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links across components among nodes of open buckets (node, component, keys).
+
+    Open nodes are grouped by each left key, so every pair of a bucket meets.
+    The size of a group goes to its rows by a salted join; a group of more than
+    ``BLOCK`` nodes is compared in pairs of blocks.
+    """
+    tables = left.select("node", "component", F.posexplode(F.array(*[F.substring("keys", 8 * i + 1, 8) for i in range(M)])).alias("table", "left"))
+    counts = tables.groupBy("table", "left").agg(F.count(F.lit(1)).alias("size"), F.min("component").alias("c0"), F.max("component").alias("c1")).where("c0 <> c1")
+    counts = counts.select("table", "left", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    dealt = tables.withColumn("salt", F.pmod(F.xxhash64("node", "table"), F.lit(SALTS)).cast("int")).join(counts, ["table", "left", "salt"])
     dealt = dealt.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.select("table", "left", "node", "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
-    rows = dealt.join(large, "node").join(sets.select("node", "shingles"), "node")
-    return links.unionByName(rows.groupBy("table", "left", "low", "high").applyInArrow(common.tidy_group(_block_links(percent)), "a long, b long"))
+    rows = dealt.join(left, "node").join(sets.select("node", "shingles"), "node")
+    rows = rows.repartition(common.partitions(left.sparkSession), *_GROUP).sortWithinPartitions(*_GROUP)
+    return rows.select("table", "left", "low", "high", "block", "node", "component", "keys", "shingles").mapInArrow(common.tidy(_sorted_groups(percent)), "a long, b long")
+
+
+def _wanted(nodes: DataFrame) -> np.ndarray:
+    """The filter of these nodes, by bytes."""
+    held = np.zeros(FILTER_BITS >> 3, bool)
+    for part in nodes.mapInArrow(common.tidy(_filter_words), "at long").dropDuplicates().toArrow().to_batches():
+        held[part.column(0).to_numpy()] = True
+    return held
 
 
 def near_duplicates(docs: DataFrame, size: int, percent: int = 80) -> DataFrame:
@@ -332,31 +449,56 @@ def near_duplicates(docs: DataFrame, size: int, percent: int = 80) -> DataFrame:
     shingle.  Rows that share a doc_id are one node of the graph; a row without
     doc_id has no component and is kept.  Other columns are ignored.
     """
-    shards = common.partitions(docs.sparkSession)
+    spark = docs.sparkSession
     texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     signed = common.scratch(texts.mapInArrow(common.tidy(_sign(size)), SIGNED), "signed")
     full = signed.where("n_shingles > 0 AND doc_id IS NOT NULL")
     groups = common.scratch(full.groupBy("s1", "s2").agg(F.min("doc_id").alias("node")), "groups")
-    nodes = full.select(F.col("doc_id").alias("node"), "s1", "s2", "keys", F.col("n_shingles").alias("n")).join(groups, ["node", "s1", "s2"]).select("node", "keys", "n").dropDuplicates(["node"])
+    nodes = full.select(F.col("doc_id").alias("node"), "s1", "s2", "keys", F.col("n_shingles").cast("int").alias("n")).join(groups, ["node", "s1", "s2"]).select("node", "keys", "n").dropDuplicates(["node"])
     nodes = common.scratch(nodes, "nodes")
-    dealt = common.deal(nodes.mapInArrow(common.tidy(_deal(shards)), SENT), "shard")
-    buckets = common.scratch(dealt.mapInArrow(common.tidy(_gather), "key long, node long, n int"), "buckets")
-    entries = buckets.count()
-    marks = buckets.select("node").mapInArrow(common.tidy(_filter_words), "at long").dropDuplicates()
-    held = np.zeros(FILTER_BITS >> 3, bool)
-    for part in marks.toArrow().to_batches():
-        held[part.column(0).to_numpy()] = True
-    shared = docs.sparkSession.sparkContext.broadcast(held.tobytes())
-    sets = common.scratch(texts.where("doc_id IS NOT NULL").mapInArrow(common.tidy(_full_sets(shared, size)), SETS).join(nodes.select("node"), "node", "left_semi").dropDuplicates(["node"]), "sets")
-    tried = buckets.mapInArrow(common.tidy(_linear_pairs(percent)), "a long, b long").dropDuplicates()
-    tried = common.scratch(tried, "tried", files=common.files_for(entries, docs.sparkSession))
-    links = common.scratch(confirm(tried, sets, percent), "confirmed")
-    components = connected_components(links)
-    rest = common.scratch(_leftover(buckets, components, nodes, sets, percent), "confirmed")
-    if not rest.isEmpty():
-        components = refine(components, rest)
+    named = texts.where("doc_id IS NOT NULL")
+
+    def full_sets(held: np.ndarray) -> DataFrame:
+        shared = spark.sparkContext.broadcast(held.tobytes())
+        return common.scratch(named.mapInArrow(common.tidy(_full_sets(shared, size)), SETS).join(nodes.select("node"), "node", "left_semi").dropDuplicates(["node"]), "sets")
+
+    components, sets, held, left = None, None, None, None
+    state = nodes.withColumn("open", F.lit(None).cast("binary"))
+    for seed in range(ROUNDS):
+        if components is None:
+            labelled = state.withColumn("component", F.col("node"))
+        else:
+            labelled = state.join(components, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        asked = common.scratch(ask(labelled, DIAGONAL if not seed else list(range(M * M)), seed, percent), "asked")
+        pairs = asked.where("b IS NOT NULL").select("a", "b")
+        left = asked.where("b IS NULL").select(F.col("a").alias("node"), "n", "keys", "open")
+        if seed < 2:
+            wanted = _wanted(pairs.select(F.explode(F.array("a", "b")).alias("node")))
+            if seed:
+                wanted = (wanted | _wanted(left.select("node"))) & ~held
+                sets, held = sets.unionByName(full_sets(wanted)), None
+            else:
+                sets, held = full_sets(wanted), wanted
+        tried = common.scratch(pairs.dropDuplicates(), "tried", files=common.files_for(pairs.count(), spark))
+        links = common.scratch(confirm(tried, sets, percent), "confirmed")
+        found, most = links.count(), tried.count()
+        if found:
+            components = connected_components(links) if components is None else refine(components, links)
+        if seed:
+            if FEW * found < most or left.isEmpty():
+                break
+            state = left
+    if components is None:
+        components = connected_components(links)
+    if not left.isEmpty():
+        left = left.join(components, "node", "left").select("node", F.coalesce("component", "node").alias("component"), "keys")
+        rest = common.scratch(_leftover(common.scratch(left, "left"), sets, percent), "confirmed")
+        if not rest.isEmpty():
+            components = refine(components, rest)
     # folded copies: a doc_id may stand for several sets, so the groups are links as well
     found = groups.join(components, "node", "left").select("s1", "s2", F.coalesce("component", "node").alias("found"))
-    out = signed.join(found, ["s1", "s2"], "left").withColumn("component_id", F.when(F.col("n_shingles") > 0, F.col("found")).otherwise(F.col("doc_id")))
+    # texts without shingles match no group; their keys are spread so that they share no task
+    keyed = signed.withColumn("s2", F.when(F.col("n_shingles") > 0, F.col("s2")).otherwise(F.xxhash64("doc_id")))
+    out = keyed.join(found, ["s1", "s2"], "left").withColumn("component_id", F.when(F.col("n_shingles") > 0, F.col("found")).otherwise(F.col("doc_id")))
     out = out.withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.least(F.coalesce("component_id", "doc_id"), "doc_id")))
     return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))

@@ -595,12 +595,33 @@ def test_large_mixed_buckets_are_finished(spark, monkeypatch):
         for _ in range(r.randrange(0, 4)):
             w[r.randrange(60)] = f"e{r.randrange(1000)}"
         rows.append((i, " ".join(w)))
-    monkeypatch.setattr(minhash, "SMALL", 4)
     monkeypatch.setattr(minhash, "BLOCK", 16)
     got = sorted((tuple(x) for x in minhash.near_duplicates(with_text(spark, rows), 4).collect()), key=repr)
     assert got == near_by_force(rows, 4)
 
 
+@pytest.mark.parametrize("spread", [2, 8])
+def test_pairs_of_one_group_stay_few(spark, monkeypatch, spread):
+    tried, confirm = [], minhash.confirm
+    monkeypatch.setattr(minhash, "confirm", lambda pairs, *a: (tried.append(pairs.count()), confirm(pairs, *a))[1])
+    per_doc = []
+    for n in (250, 2000):
+        r = random.Random(n)
+        base = [f"w{k}" for k in range(120)]
+        rows = []
+        for i in range(n):  # one group of near copies; with a wide spread most pairs are below the threshold
+            w = list(base)
+            for _ in range(r.randrange(0, spread)):
+                w[r.randrange(120)] = f"e{r.randrange(10**6)}"
+            rows.append((i, " ".join(w)))
+        tried.clear()
+        got = sorted((tuple(x) for x in minhash.near_duplicates(with_text(spark, rows), 4).collect()), key=repr)
+        if n == 250:
+            assert got == near_by_force(rows, 4)
+        per_doc.append(sum(tried) / n)
+    assert max(per_doc) < 10, per_doc
+
+
 def test_near_duplicates_edges(spark):
     rows = [(None, "a b c d e"), (None, "a b c d e"), (4, "a b c d e"), (4, "a b c d e"), (5, "A B c d e"), (6, None), (7, ""), (8, "x"), (9, "X")]
     got = sorted((tuple(r) for r in minhash.near_duplicates(with_text(spark, rows), 4).collect()), key=repr)
