@@ -32,7 +32,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, the least doc_id, of each group of near-duplicates.
 
-    Of rows that share a doc_id one stays; rows without doc_id all stay.
+    Of rows that share a doc_id the least by text, lang, source and n_chars
+    stays; rows without doc_id all stay.
     """
     docs = docs.select(*COLUMNS)
     gone = minhash.near_duplicates(docs, SHINGLE, SIMILARITY).where(~F.col("kept")).select("doc_id")
@@ -40,11 +41,12 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     named = docs.where("doc_id IS NOT NULL")
     if named.groupBy("doc_id").count().where("count > 1").isEmpty():
         return kept
-    return kept.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"]).unionByName(kept.where("doc_id IS NULL"))
+    least = kept.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min(F.struct(*COLUMNS[1:])).alias("row"))
+    return least.select("doc_id", "row.*").select(*COLUMNS).unionByName(kept.where("doc_id IS NULL"))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of which benchmark windows cover less than a twentieth.
+    """Documents that hold no benchmark window at all.
 
     Rows are told apart by doc_id and text, so a null or repeated doc_id is no matter.
     """
@@ -52,7 +54,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     key = F.xxhash64("doc_id", "text")
     keyed = docs.select(key.alias("doc_id"), "text")
     found = decontamination.decontaminate(keyed, common.table(spark, sf_dir, "benchmark", "item_id", "text"))
-    gone = found.where("contaminated").select(F.col("doc_id").alias("row")).dropDuplicates()
+    gone = found.where("n_hit > 0").select(F.col("doc_id").alias("row")).dropDuplicates()
     return docs.withColumn("row", key).join(gone, "row", "left_anti").select(*COLUMNS)
 
 
