@@ -4,41 +4,59 @@ A bounded sample of labelled rows (``max_examples``, the least by a hash of
 doc_id) gives the examples.  Terms are whole words and word beginnings of four
 and five letters; every term of the examples is indexed, and every text that
 shares a term with an example is compared with all examples.  A term weighs its
-IDF times a factor that grows with its label odds and is never 0.  Frequent
-terms are dense columns, the others have postings (example, weight); their sum
-in single precision bounds each cosine, and all examples within the bound of
-the k-th are computed again in double precision, so the k nearest are exact.
-Distance-weighted votes are calibrated by a logistic fitted on leave-one-out
+IDF times a factor that grows with its label odds and is never 0.  The index is
+an inverted one with block maxima: postings (example, weight) of all but the
+frequent terms are added up, and the frequent terms, whose postings are long and
+whose weights are small, have their greatest weight in each block of examples;
+blocks and examples that cannot reach the k-th nearest are skipped.  All sums
+are in double precision, so the k nearest are exact.  Distance-weighted votes are calibrated by a logistic fitted on leave-one-out
 votes of the examples.
 """
 
 from __future__ import annotations
 
-import hashlib
-import re
+import math
 from collections import Counter
 from dataclasses import dataclass
 from functools import cached_property
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import common
 
-WORD = re.compile(r"[^\W\d_]+")
+#: Letters of the word beginnings that are terms beside the words.
+BEGINNINGS = (4, 5)
 SCORED = "doc_id long, score double, nearest_id long, nearest_cosine double, evidence string"
 _SCORED = pa.schema([("doc_id", pa.int64()), ("score", pa.float64()), ("nearest_id", pa.int64()), ("nearest_cosine", pa.float64()), ("evidence", pa.string())])
 
 
-def terms_of(word: str) -> tuple[str, ...]:
-    return ("=" + word, *(word[:n] for n in (4, 5) if len(word) >= n))
+def split(texts: pa.Array) -> tuple[np.ndarray, pa.Array]:
+    """The words of all texts, in lower case: maximal runs of letters, one text after the other, each with its text's number."""
+    parts = pc.split_pattern_regex(pc.utf8_lower(texts.cast(pa.string()).fill_null("")), r"[^\p{L}]+")
+    found = pc.list_flatten(parts)
+    some = pc.greater(pc.binary_length(found), 0)  # a text's first and last parts may be empty
+    doc = np.repeat(np.arange(len(texts)), pc.list_value_length(parts).to_numpy(zero_copy_only=False))
+    return doc[some.to_numpy(zero_copy_only=False)], found.filter(some)
 
 
 def words(text: str | None) -> list[str]:
-    return WORD.findall(text.lower()) if text else []
+    return split(pa.array([text], pa.string()))[1].to_pylist()
+
+
+def term_table(known: pa.Array) -> tuple[np.ndarray, pa.Array]:
+    """All terms of distinct words, word by word for each kind of term, and the number of each one's word."""
+    size = pc.utf8_length(known).to_numpy(zero_copy_only=False)
+    kinds = [np.flatnonzero(size >= n) for n in (0, *BEGINNINGS)]
+    terms = [pc.binary_join_element_wise("=", known, "")] + [pc.utf8_slice_codeunits(known.take(pa.array(at)), 0, n) for n, at in zip(BEGINNINGS, kinds[1:], strict=True)]
+    return np.concatenate(kinds), pa.concat_arrays(terms)
+
+
+def terms_of(word: str) -> tuple[str, ...]:
+    return tuple(term_table(pa.array([word]))[1].to_pylist())
 
 
 def _term_counts(text: str | None) -> Counter:
@@ -57,10 +75,24 @@ def _ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
 
 def _frequencies(batches):
     """Negative and positive examples that hold a term, summed in the task."""
-    total: tuple[Counter, Counter] = (Counter(), Counter())
-    for b in batches:
-        for text, label in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-            total[bool(label)].update(_term_counts(text).keys())
+    total = (Counter(), Counter())
+    for b in (part for batch in batches for part in common.blocks([batch], 0)):
+        label = b.column(1).to_numpy(zero_copy_only=False).astype(bool)
+        doc, found = split(b.column(0))
+        coded = found.dictionary_encode()
+        if not len(coded.dictionary):
+            continue
+        of, terms = term_table(coded.dictionary)
+        terms = terms.dictionary_encode()
+        names, of_term = terms.dictionary.to_pylist(), terms.indices.to_numpy()
+        order = np.argsort(of, kind="stable")
+        sizes = np.bincount(of, minlength=len(coded.dictionary))
+        code = coded.indices.to_numpy()
+        at = _ranges((np.cumsum(sizes) - sizes)[code], sizes[code])
+        pair = np.unique(np.repeat(doc, sizes[code]) * len(names) + of_term[order[at]])
+        for which, counts in enumerate(total):
+            n = np.bincount(pair[label[pair // len(names)] == which] % len(names), minlength=len(names))
+            counts.update({names[i]: int(n[i]) for i in np.flatnonzero(n).tolist()})
     names = list(total[0].keys() | total[1].keys())
     for at in range(0, len(names), 50_000):
         part = names[at : at + 50_000]
@@ -76,50 +108,48 @@ def _vectors(shared):
         reader = Reader(shared.value)
         for b in batches:
             for part in common.blocks([b], 1):
-                rows = []
-                for doc_id, text, label in zip(*(part.column(i).to_pylist() for i in range(3)), strict=True):
-                    t, c = reader.read(text)
-                    rows.append((doc_id, int(label), t.astype("<i4").tobytes(), c.astype("<i4").tobytes()))
-                yield common.record(_VECTORS, *zip(*rows, strict=True))
+                t, c, ends = reader.read(part.column(1))
+                edge = [0, *ends.tolist()]
+                t, c = ([x[lo:hi].astype("<i4").tobytes() for lo, hi in zip(edge, edge[1:], strict=False)] for x in (t, c))
+                yield common.record(_VECTORS, part.column(0), part.column(2).cast(pa.int32()), t, c)
 
     return run
 
 
 class Reader:
-    """Numbers and counts of a text's terms; terms that no example holds get numbers from ``len(names)``."""
+    """Numbers and counts of texts' terms; terms that no example holds get numbers from ``size`` on, anew in each block."""
 
     def __init__(self, names: list[str]):
         self.size = len(names)
-        self.terms = {t: i for i, t in enumerate(names)}
-        self.more: dict[str, int] = {}
-        self.known: dict[str, tuple[int, ...]] = {}
-
-    def _number(self, term: str) -> int:
-        found = self.terms.get(term)
-        return self.more.setdefault(term, self.size + len(self.more)) if found is None else found
-
-    def read(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.known) > 100_000:
-            self.known.clear()
-            self.more.clear()
-        counts = Counter(words(text))
-        if not counts:
-            return np.zeros(0, np.int64), np.zeros(0)
-        known = self.known
-        found = []
-        for w in counts:
-            t = known.get(w)
-            if t is None:
-                t = known[w] = tuple(map(self._number, terms_of(w)))
-            found.append(t)
-        sizes = np.fromiter(map(len, found), np.int64, len(found))
-        ids = np.fromiter(chain.from_iterable(found), np.int64, int(sizes.sum()))
-        times = np.repeat(np.fromiter(counts.values(), np.int64, len(found)), sizes)
-        t, inverse = np.unique(ids, return_inverse=True)
-        return t, np.bincount(inverse, times)
-
-
-#: Bytes of the dense columns of frequent terms; all other terms have postings.
+        self.names = pa.array(names, pa.string())
+
+    def read(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of all texts, one after the other: terms in order, their counts; and the end of each text."""
+        doc, found = split(texts)
+        coded = found.dictionary_encode()
+        known = max(1, len(coded.dictionary))
+        of, terms = term_table(coded.dictionary)
+        ids = pc.index_in(terms, value_set=self.names)
+        new = terms.filter(pc.is_null(ids)).dictionary_encode()
+        held = ids.is_valid().to_numpy(zero_copy_only=False)
+        ids = ids.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+        ids[~held] = self.size + new.indices.to_numpy()
+        ids, sizes = ids[np.argsort(of, kind="stable")], np.bincount(of, minlength=known)
+        key, times = np.unique(doc * known + coded.indices.to_numpy(), return_counts=True)
+        doc, word = key // known, key % known
+        lengths = sizes[word]
+        every = self.size + len(new.dictionary) + 1
+        key = np.repeat(doc, lengths) * every + ids[_ranges((np.cumsum(sizes) - sizes)[word], lengths)]
+        order = np.argsort(key, kind="stable")
+        key, times = key[order], np.repeat(times, lengths)[order]
+        first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))) if len(key) else np.zeros(0, np.int64)
+        counts = np.add.reduceat(times, first) if len(key) else key
+        return key[first] % every, counts, np.searchsorted(key[first] // every, np.arange(len(texts)), side="right")
+
+
+#: A term is frequent if one example in so many holds it.  Examples of one block, and those that are tried first.
+OFTEN, BLOCK, FIRST = 16, 128, 48
+#: Bytes at most of the frequent terms' dense columns; where they would take more, fewer terms count as frequent.
 DENSE_BYTES = 64 << 20
 
 
@@ -129,7 +159,7 @@ class Model:
     weight: np.ndarray
     unseen: float  # weight of a term that no example holds
     marks: np.ndarray  # terms that are likelier in positive examples
-    frequent: int  # the first terms, which are dense columns
+    frequent: int  # the first terms, which only bound a text until an example is a candidate
     k: int
     block: int  # texts that are scored together
     ids: np.ndarray
@@ -137,7 +167,6 @@ class Model:
     ends: np.ndarray  # examples that hold a term: their terms and counts, one after the other
     cols: np.ndarray
     counts: np.ndarray
-    same: np.ndarray  # the first example with equal terms and counts
     plain: float  # share of positives among examples that hold no term
     slope: float = 1.0
     shift: float = 0.0
@@ -170,69 +199,101 @@ class Model:
         return out
 
     @cached_property
-    def _index(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Dense columns; and the ends, examples and weights of the other terms' postings."""
+    def _index(self) -> tuple[np.ndarray, ...]:
+        """Postings of the other terms (ends, examples, weights); frequent terms by example (ends, terms, weights), as dense rows, their lengths, and their greatest weight in each block of examples."""
         n = len(self.ids)
+        row = np.repeat(np.arange(n, dtype=np.int32), self.ends - self.starts)
+        value = self.counts * self.weight[self.cols] / self.norm[row]
+        often = self.cols < self.frequent
+        f_row, f_term, f_value = row[often], self.cols[often], value[often]
         dense = np.zeros((n, self.frequent), np.float32)
-        row, term, value = (np.empty(len(self.cols), x) for x in (np.int32, np.int32, np.float32))
-        at = 0
-        for a in range(0, n, 500):
-            r, t, v = self._entries(a, min(n, a + 500))
-            often = t < self.frequent
-            dense[r[often], t[often]] = v[often]
-            m = at + len(r) - int(often.sum())
-            row[at:m], term[at:m], value[at:m] = r[~often], t[~often] - self.frequent, v[~often]
-            at = m
-        order = np.argsort(term[:at], kind="stable")
-        ends = np.cumsum(np.bincount(term[:at], minlength=len(self.names) - self.frequent))
-        return dense, np.concatenate(([0], ends)), row[order], value[order]
+        dense[f_row, f_term] = f_value
+        top = np.stack([dense[lo : lo + BLOCK].max(0) for lo in range(0, n, BLOCK)], 1).astype(float)
+        row, term, value = row[~often], self.cols[~often] - self.frequent, value[~often]
+        order = np.argsort(term, kind="stable")
+        ends = np.concatenate(([0], np.cumsum(np.bincount(term, minlength=len(self.names) - self.frequent))))
+        f_ends = np.concatenate(([0], np.cumsum(np.bincount(f_row, minlength=n))))
+        return ends, row[order], value[order], f_ends, f_term, f_value, dense, np.sqrt(np.bincount(f_row, f_value**2, n)), top
 
     @cached_property
     def _spread(self) -> np.ndarray:
-        return np.zeros(len(self.names))
-
-    def vector(self, terms: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """A text's unit vector; terms that no example holds count in its length."""
-        held = int(np.searchsorted(terms, len(self.names)))
-        v = counts[:held] * self.weight[terms[:held]]
-        size = np.sqrt((v**2).sum() + ((counts[held:] * self.unseen) ** 2).sum())
-        return terms[:held], v / size if size else v
-
-    def _cosines(self, terms: np.ndarray, values: np.ndarray, rows: np.ndarray) -> np.ndarray:
-        first, inverse = np.unique(self.same[rows], return_inverse=True)
-        lengths = (self.ends - self.starts)[first]
-        at = _ranges(self.starts[first], lengths)
-        self._spread[terms] = values * self.weight[terms]
-        sums = np.add.reduceat(self._spread[self.cols[at]] * self.counts[at], np.cumsum(lengths) - lengths)
-        self._spread[terms] = 0
-        return (sums / self.norm[first])[inverse]
+        return np.zeros(self.frequent)
+
+    def vectors(self, terms: np.ndarray, counts: np.ndarray, ends: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Unit vectors (terms, values) of texts; terms that no example holds count in their length only."""
+        held = terms < len(self.names)
+        value = counts * np.where(held, self.weight[np.where(held, terms, 0)], self.unseen)
+        sums = np.concatenate(([0.0], np.cumsum(value**2)))
+        starts = np.concatenate(([0], ends[:-1]))
+        out = []
+        for a, b in zip(starts.tolist(), ends.tolist(), strict=True):
+            if a == b or sums[b] == sums[a]:
+                out.append((terms[:0], value[:0]))
+            else:
+                v, t = value[a:b], terms[a:b]
+                m = int(np.searchsorted(t, len(self.names)))
+                out.append((t[:m], v[:m] / math.sqrt(float(v @ v))))
+        return out
+
+    def _added(self, rows: np.ndarray) -> np.ndarray:
+        """What the frequent terms of the text in ``_spread`` add for some examples, in double precision; equal examples get equal sums."""
+        f_ends, f_term, f_value = self._index[3:6]
+        lengths = f_ends[rows + 1] - f_ends[rows]
+        at = _ranges(f_ends[rows], lengths)
+        out, some = np.zeros(len(rows)), lengths > 0
+        if some.any():
+            out[some] = np.add.reduceat(self._spread[f_term[at]] * f_value[at], (np.cumsum(lengths) - lengths)[some])
+        return out
 
     def search(self, queries: list[tuple[np.ndarray, np.ndarray]], own: list[int] | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """Cosines and rows of the k nearest examples of each query (terms in order, values), exactly; without the row ``own``."""
+        """Cosines and rows of the k nearest examples of each query (terms in order, values), exactly; without the row ``own``.
+
+        Postings of all but the frequent terms give each example a part of its
+        cosine.  What the frequent terms can add is bounded for a block of
+        examples by its greatest weights, and for one example by the lengths of
+        the two parts.  The examples with the greatest parts are computed
+        first; the k-th of them is the bar, and blocks and examples that cannot
+        pass it are skipped.  Single precision picks what is computed in double.
+        """
         n = len(self.ids)
         k = min(self.k, n - (own is not None))
         best, rows = np.empty((len(queries), k)), np.empty((len(queries), k), np.int64)
-        dense, ends, at_row, at_value = self._index
+        ends, at_row, at_value, _, _, _, dense, length, top = self._index
+        few = min(max(FIRST, 2 * k), n)
+        pad, longest = np.full(-n % BLOCK, -3.0), float(length.max(initial=0))
+        spread, single, aside = self._spread, np.zeros(self.frequent, np.float32), np.zeros(n, bool)
         error = (self.frequent + 16) * 2.0**-23  # twice what single precision can lose of a cosine
-        for lo in range(0, len(queries), self.block):
-            part = queries[lo : lo + self.block]
-            q = np.zeros((len(part), self.frequent), np.float32)
-            for j, (t, v) in enumerate(part):
-                often = np.searchsorted(t, self.frequent)
-                q[j, t[:often]] = v[:often]
-            near = q @ dense.T
-            for j, (t, v) in enumerate(part):
-                often = np.searchsorted(t, self.frequent)
-                rare = t[often:] - self.frequent
-                lengths = ends[rare + 1] - ends[rare]
-                at = _ranges(ends[rare], lengths)
-                sims = near[j] + np.bincount(at_row[at], np.repeat(v[often:], lengths) * at_value[at], minlength=n)
-                if own is not None:
-                    sims[own[lo + j]] = -2.0
-                maybe = np.flatnonzero(sims >= np.partition(sims, n - k)[n - k] - 2 * error)
-                exact = self._cosines(t, v, maybe)
-                order = np.lexsort((maybe, -exact))[:k]
-                best[lo + j], rows[lo + j] = exact[order], maybe[order]
+        for j, (t, v) in enumerate(queries):
+            often = int(np.searchsorted(t, self.frequent))
+            rare = t[often:] - self.frequent
+            lengths = ends[rare + 1] - ends[rare]
+            at = _ranges(ends[rare], lengths)
+            sims = np.bincount(at_row[at], np.repeat(v[often:], lengths) * at_value[at], minlength=n)
+            if own is not None:
+                sims[own[j]] = -2.0
+            terms, values = t[:often], v[:often]
+            spread[terms] = single[terms] = values
+            tried = np.argpartition(sims, n - few)[n - few :]
+            about = sims[tried] + dense[tried] @ single
+            bar = np.partition(about, few - k)[few - k] - error
+            size = math.sqrt(float(values @ values))
+            parts = np.concatenate([sims, pad]).reshape(-1, BLOCK)
+            most = parts.max(1)
+            some = np.flatnonzero(most + size * longest >= bar)
+            some = some[most[some] + (values @ top[terms])[some] >= bar]
+            more = (some[:, None] * BLOCK + np.arange(BLOCK)).ravel()
+            more = more[more < n]
+            more = more[sims[more] + size * length[more] >= bar]
+            aside[tried] = True
+            more = more[~aside[more]]
+            aside[tried] = False
+            if len(more):
+                tried, about = np.concatenate([tried, more]), np.concatenate([about, sims[more] + dense[more] @ single])
+            maybe = tried[about >= np.partition(about, len(about) - k)[len(about) - k] - error]
+            exact = sims[maybe] + self._added(maybe)
+            spread[terms] = single[terms] = 0
+            order = np.lexsort((maybe, -exact))[:k]
+            best[j], rows[j] = exact[order], maybe[order]
         return best, rows
 
     def nearest(self, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -255,10 +316,8 @@ def _left_out(shared):
         for b in batches:
             for at in range(0, b.num_rows, model.block):
                 own = b.column(0)[at : at + model.block].to_pylist()
-                queries = []
-                for i in own:
-                    part = slice(model.starts[i], model.ends[i])
-                    queries.append(model.vector(model.cols[part].astype(np.int64), model.counts[part]))
+                part = slice(model.starts[own[0]], model.ends[own[-1]])
+                queries = model.vectors(model.cols[part].astype(np.int64), model.counts[part], model.ends[own] - model.starts[own[0]])
                 yield pa.RecordBatch.from_pydict({"row": pa.array(own, pa.int64()), "vote": pa.array(model.vote(*model.search(queries, own)), pa.float64())})
 
     return run
@@ -312,12 +371,11 @@ def fit(docs: DataFrame, labelled: DataFrame, max_examples: int = 10_000, k: int
     got = rows.mapInArrow(common.tidy(_vectors(shared)), VECTORS).orderBy("doc_id").toArrow()
     shared.destroy()
     common.drop_scratch(rows)
-    ids, labels, parts, first, same, plain = [], [], [], {}, [], [0, 0]
+    ids, labels, parts, plain = [], [], [], [0, 0]
     for doc_id, label, t, c in zip(*(got[x].to_pylist() for x in ("doc_id", "label", "terms", "counts")), strict=True):
         if not t:
             plain[label] += 1
             continue
-        same.append(first.setdefault(hashlib.sha256(t + c).digest(), len(ids)))
         ids.append(doc_id)
         labels.append(label)
         parts.append((t, c))
@@ -325,9 +383,9 @@ def fit(docs: DataFrame, labelled: DataFrame, max_examples: int = 10_000, k: int
     cols, counts = (np.frombuffer(b"".join(x), "<i4") for x in zip(*parts, strict=True))
     ends = np.cumsum([len(t) // 4 for t, _ in parts])
     del parts
-    frequent = min(int((16 * (pos + neg) >= n).sum()), DENSE_BYTES // (4 * len(ids)))
+    frequent = min(int((OFTEN * (pos + neg) >= n).sum()), DENSE_BYTES // (4 * len(ids)))
     share = (plain[1] + 0.5 * n1 / n) / (sum(plain) + 1)
-    model = Model(names, weight, 0.1 * float(np.log(1 + n)), odds > 0, frequent, k, block, np.array(ids), np.array(labels), ends, cols, counts, np.array(same), share)
+    model = Model(names, weight, 0.1 * float(np.log(1 + n)), odds > 0, frequent, k, block, np.array(ids), np.array(labels), ends, cols, counts, share)
     if len(ids) > 2:
         shared = spark.sparkContext.broadcast(model)
         votes = spark.range(0, len(ids), 1, min(common.partitions(spark), len(ids) // 100 + 1)).mapInArrow(common.tidy(_left_out(shared)), "row long, vote double").orderBy("row").toArrow()["vote"].to_numpy()
@@ -345,8 +403,7 @@ def _score(shared):
             n = b.num_rows
             score, near, cosine, evidence = np.full(n, base), [None] * n, [None] * n, [None] * n
             at, queries = [], []
-            for i, text in enumerate(b.column(1).to_pylist()):
-                t, v = model.vector(*reader.read(text))
+            for i, (t, v) in enumerate(model.vectors(*reader.read(b.column(1)))):
                 if len(t):
                     at.append(i)
                     queries.append((t, v))
