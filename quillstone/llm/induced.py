@@ -6,8 +6,9 @@ priority queue per pass: 256-odd first-in first-out buckets by leading symbol,
 kept in memory up to a limit and on the task's disk beyond it.  A whole bucket
 generation is taken at a time, so that the induction runs on arrays.  LMS
 substrings are sorted by a first induction and named; the string of names is
-sorted by the same routine while its alphabet is small, else by doubling; a
-second induction gives the order of all suffixes.
+sorted by the same routine, again and again until all names differ; a second
+induction gives the order of all suffixes.  Where names are many, the buckets of
+the queue are ranges of names, and a range is put in order as a whole.
 
 A tuple carries, beside its suffix, the prefix (up to a cap) that it shares with
 the tuple before it in its bucket.  When suffixes induce their predecessors, two
@@ -30,7 +31,7 @@ class BucketQueue:
     def __init__(self, buckets: int, memory: int = 64 << 20):
         self.held: list[list[np.ndarray]] = [[] for _ in range(buckets)]
         self.on_disk: list[list[tuple[int, int]]] = [[] for _ in range(buckets)]
-        self.memory, self.bytes, self.file = memory, 0, None
+        self.memory, self.bytes, self.spilled, self.file = memory, 0, 0, None
 
     def push(self, values: np.ndarray, symbols: np.ndarray) -> None:
         """Append values to the buckets of their symbols, in the order given."""
@@ -54,6 +55,7 @@ class BucketQueue:
                 self.on_disk[c].append((self.file.tell(), len(part)))
                 self.file.write(part.tobytes())
                 self.held[c] = []
+        self.spilled += self.bytes
         self.bytes = 0
 
     def take(self, c: int) -> np.ndarray:
@@ -136,13 +138,15 @@ def _seam(text: np.ndarray, a: int, b: int, cap: int) -> int:
     return n
 
 
-def _induce(text: np.ndarray, small: np.ndarray, lms: np.ndarray, symbols: int, memory: int, shared: np.ndarray | None = None, cap: int = 0) -> tuple[np.ndarray, np.ndarray | None]:
+def _induce(text: np.ndarray, small: np.ndarray, lms: np.ndarray, symbols: int, memory: int, shared: np.ndarray | None = None, cap: int = 0, trace: list | None = None) -> tuple[np.ndarray, np.ndarray | None]:
     """All suffixes, from LMS suffixes in order (of their leading symbols at least).
 
     With ``shared``, the common prefixes of neighbouring LMS suffixes, also
-    those of all neighbours.
+    those of all neighbours.  Bytes that went to disk are added to ``trace``.
     """
     carry = shared is not None
+    if symbols > FEW and not carry:
+        return _induce_ranges(text, small, lms, symbols, memory, trace), None
 
     def step(now: np.ndarray, prefix: np.ndarray | None, queue: BucketQueue, prefixes: _Prefixes | None, of_type: bool) -> None:
         """Push the predecessors of a batch that have the type."""
@@ -185,7 +189,7 @@ def _induce(text: np.ndarray, small: np.ndarray, lms: np.ndarray, symbols: int,
             if len(stars):
                 prefix[0] = _seam(text, int(large[c][-1]), int(stars[0]), cap) if parts else 0
         step(stars, prefix if carry else None, queue, prefixes, False)
-    queue.close()
+    _close(queue, trace)
     queue, prefixes = BucketQueue(symbols, memory), _Prefixes(symbols, cap) if carry else None
     end = np.array([len(text) - 1])
     queue.push(end << BITS if carry else end, text[-1:].astype(np.int64))
@@ -213,7 +217,7 @@ def _induce(text: np.ndarray, small: np.ndarray, lms: np.ndarray, symbols: int,
         step(down, prefix if carry else None, queue, prefixes, True)
         out += [up, large[c]]
         large[c] = none
-    queue.close()
+    _close(queue, trace)
     return np.concatenate(out[::-1]), np.concatenate(out_shared[::-1]) if carry else None
 
 
@@ -231,34 +235,110 @@ def _same_substrings(text: np.ndarray, small: np.ndarray, a: np.ndarray, b: np.n
     return equal
 
 
-def _doubled(names: np.ndarray) -> np.ndarray:
-    """Suffixes of a string of names, by prefix doubling."""
-    rank, step, n = names.astype(np.int64), 1, len(names)
-    while True:
-        after = np.zeros(n, np.int64)
-        after[: n - step] = rank[step:] + 1
-        key = rank * (n + 1) + after
-        order = np.argsort(key, kind="stable")
-        fresh = np.concatenate(([0], np.cumsum(key[order][1:] != key[order][:-1])))
-        rank = np.empty(n, np.int64)
-        rank[order] = fresh
-        step *= 2
-        if fresh[-1] == n - 1 or step >= n:
-            return order
+#: Symbols beyond which a queue's buckets are ranges of symbols; ranges at most, and suffixes that are worth a range.
+FEW, RANGES, WORTH = 2048, 512, 512
+
+
+def _close(queue: BucketQueue, trace: list | None) -> None:
+    queue.close()
+    if trace is not None:
+        trace[-1]["spilled"] += queue.spilled
 
 
-def suffix_array(text: np.ndarray, symbols: int, memory: int = 64 << 20, cap: int = 0) -> np.ndarray | tuple[np.ndarray, np.ndarray]:
+def _in_order(symbol: np.ndarray, seed: np.ndarray, base: np.ndarray, parent: np.ndarray) -> np.ndarray:
+    """The order of a range's suffixes by symbol, induced ones before seeds, then by base or, where that is -1, as their parents stand.
+
+    Ranks double the distance over which parents are looked at; who has a base
+    has a rank of its own, so chains of any length end.
+    """
+    key = symbol * 2 + seed
+    order = np.lexsort((base, base < 0, key))
+    rank = np.empty(len(key), np.int64)
+
+    def number(order: np.ndarray, *columns: np.ndarray) -> None:
+        fresh = np.zeros(len(order), bool)
+        for x in columns:
+            fresh[1:] |= x[order][1:] != x[order][:-1]
+        rank[order] = np.cumsum(fresh)
+
+    number(order, key, base)
+    above = np.where(base < 0, parent, np.arange(len(key)))
+    while len(key) and rank[order[-1]] < len(key) - 1:
+        next_rank = rank[above]
+        order = np.lexsort((next_rank, rank))
+        number(order, rank.copy(), next_rank)
+        above = above[above]
+    return order
+
+
+def _induce_ranges(text: np.ndarray, small: np.ndarray, lms: np.ndarray, symbols: int, memory: int, trace: list | None = None) -> np.ndarray:
+    """The same for many symbols: buckets are ranges of symbols of about equally many suffixes.
+
+    What a range's suffixes induce inside it is found by following predecessors
+    until none is left; the range is then put in order as a whole.
+    """
+    n = len(text)
+    count = max(1, min(RANGES, n // WORTH))
+    upto = np.cumsum(np.bincount(text, minlength=symbols))
+    edge = np.unique(np.concatenate(([0], np.searchsorted(upto, np.arange(1, count) * n // count) + 1, [symbols])))
+    edge = edge[edge <= symbols]
+    of_symbol = np.repeat(np.arange(len(edge) - 1), np.diff(edge))
+    here = np.full(n, -1, np.int64)
+
+    def settle(r: int, arrived: np.ndarray, seeds: np.ndarray, of_type: bool, sign: int, queue: BucketQueue) -> np.ndarray:
+        """A range's suffixes in the order in which the pass meets them; predecessors in later ranges are pushed."""
+        found, front, lo, hi = [arrived], np.concatenate([arrived, seeds]), edge[r], edge[r + 1]
+        while len(front):
+            front = front[front > 0] - 1
+            front = front[(small[front] == of_type) & (text[front] >= lo) & (text[front] < hi)]
+            found.append(front)
+        induced = np.concatenate(found)
+        every = np.concatenate([induced, seeds])
+        here[every] = np.arange(len(every))
+        base = np.full(len(every), -1, np.int64)
+        base[: len(arrived)] = np.arange(len(arrived))
+        base[len(induced) :] = np.arange(len(seeds))
+        parent = here[np.minimum(every + 1, n - 1)]
+        order = _in_order(sign * text[every].astype(np.int64), np.arange(len(every)) >= len(induced), base, parent)
+        here[every] = -1
+        every = every[order]
+        before = every[every > 0] - 1
+        before = before[(small[before] == of_type) & ((text[before] >= hi) | (text[before] < lo))]
+        queue.push(before, of_symbol[text[before]])
+        return every
+
+    queue = BucketQueue(len(edge) - 1, memory)
+    starts = np.searchsorted(text[lms], edge)
+    large = []
+    for r in range(len(edge) - 1):
+        every = settle(r, queue.take(r), lms[starts[r] : starts[r + 1]], False, 1, queue)
+        large.append(every[~small[every]])
+    _close(queue, trace)
+    queue = BucketQueue(len(edge) - 1, memory)
+    queue.push(np.array([n - 1]), of_symbol[text[-1:]])
+    out = []
+    for r in range(len(edge) - 2, -1, -1):
+        out.append(settle(r, queue.take(r), large[r][::-1], True, -1, queue))
+        large[r] = large[r][:0]
+    _close(queue, trace)
+    return np.concatenate(out)[::-1]
+
+
+def suffix_array(text: np.ndarray, symbols: int, memory: int = 64 << 20, cap: int = 0, trace: list | None = None) -> np.ndarray | tuple[np.ndarray, np.ndarray]:
     """The suffixes of a text in order.  Its last symbol must be 0, which occurs nowhere else.
 
     With a ``cap`` (at most CAP) also the symbols, up to it, that each suffix
-    shares with the one before it.
+    shares with the one before it.  ``trace`` gets a row for each level of the
+    recursion: suffixes, symbols, and bytes of tuples that went to disk.
     """
+    if trace is not None:
+        trace.append({"suffixes": len(text), "symbols": symbols, "spilled": 0})
     if len(text) == 1:
         one = np.zeros(1, np.int64)
         return (one, one) if cap else one
     small = _types(text)
     stars = np.flatnonzero(small[1:] & ~small[:-1]) + 1
-    first, _ = _induce(text, small, stars[np.argsort(text[stars], kind="stable")], symbols, memory)
+    first, _ = _induce(text, small, stars[np.argsort(text[stars], kind="stable")], symbols, memory, trace=trace)
     is_star = np.zeros(len(text), bool)
     is_star[stars] = True
     ordered = first[is_star[first]]
@@ -271,10 +351,12 @@ def suffix_array(text: np.ndarray, symbols: int, memory: int = 64 << 20, cap: in
         at = np.zeros(len(text), np.int64)
         at[ordered] = name
         reduced = at[stars]
-        order = suffix_array(reduced, int(name[-1]) + 1, memory) if name[-1] < 2048 else _doubled(reduced)
-        ordered = stars[order]
+        deeper = None if trace is None else []
+        ordered = stars[suffix_array(reduced, int(name[-1]) + 1, memory, trace=deeper)]
+        if deeper:
+            trace[:0] = deeper  # the row of this level stays last
     shared = common_prefixes(text, ordered, cap) if cap else None
-    out, prefix = _induce(text, small, ordered, symbols, memory, shared, cap)
+    out, prefix = _induce(text, small, ordered, symbols, memory, shared, cap, trace)
     return (out, prefix) if cap else out
 
 

@@ -9,17 +9,20 @@ anchor are a run; its bytes are a region of 50 to 84 bytes.
    a filter that fills up keeps more regions but loses none.
 2. A second pass folds equal regions of a block to one, settles the later
    documents of the block, and deals what the filter keeps to shards by anchor.
-3. In a shard, equal regions are folded again: all but the least document's
-   lose all their windows.  Anchors with several different regions go to an
-   external induced suffix sort; neighbours in its order with a common prefix of
-   LENGTH bytes share a window, and the least document of a run of neighbours
-   keeps it.
+3. A shard that is larger than ``HELD`` bytes goes to the task's disk and is
+   parted there by anchor, and the parts are taken one by one.  Equal regions are
+   folded again: all but the least document's lose all their windows.  Anchors
+   with several different regions go to an external induced suffix sort;
+   neighbours in its order with a common prefix of LENGTH bytes share a window,
+   and the least document of a run of neighbours keeps it.
 4. Removed runs return to their documents, which are cut and digested.
 """
 
 from __future__ import annotations
 
 import hashlib
+import pickle
+import tempfile
 
 import numpy as np
 import pyarrow as pa
@@ -35,7 +38,8 @@ LENGTH, GRAM = 50, 16
 SPAN = LENGTH - GRAM + 1
 #: Bits of the filter of shared anchors: 16 MB, whatever the data.
 FILTER_BITS = 1 << 27
-SEGMENT = 1 << 20
+#: Bytes of a segment of a long text, of the segments whose scratch is held at once, and of regions that a task holds before they go to disk.
+SEGMENT, SCRATCH, HELD = 1 << 20, 2 << 20, 64 << 20
 
 
 def _words8(data: np.ndarray) -> np.ndarray:
@@ -65,15 +69,22 @@ class Block:
         self.ends = np.cumsum(n)
         self.starts = self.ends - n
         self.data = np.frombuffer(b"".join(parts), np.uint8)
-        self._regions(n)
+        # scratch of many words a byte is held for a few segments at a time
+        empty = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
+        found, at = [empty], 0
+        while at < len(n):
+            stop = max(at + 1, int(np.searchsorted(self.ends, self.starts[at] + SCRATCH, side="right")))
+            lo = int(self.starts[at])
+            *places, value = self._regions(self.data[lo : int(self.ends[stop - 1])], n[at:stop], self.ends[at:stop] - lo)
+            found.append((*(x + lo for x in places), value))
+            at = stop
+        self.first, self.last, self.anchor, self.hash = (np.concatenate(x) for x in zip(*found, strict=True))
+        self.segment = np.searchsorted(self.starts, self.first, side="right") - 1
 
-    def _regions(self, n: np.ndarray) -> None:
-        empty = np.zeros(0, np.int64)
-        self.first = self.last = self.anchor = self.segment = empty
-        self.hash, self.words = np.zeros(0, np.uint64), np.zeros(0, np.uint64)
-        if not len(n):
-            return
-        self.words = w = _words8(self.data)
+    @staticmethod
+    def _regions(data: np.ndarray, n: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """First and last window, anchor and its hash of the regions of segments that lie side by side."""
+        w = _words8(data)
         value = w[:-8] * _ODD[0] ^ (w[8:] * _ODD[1] >> np.uint64(29)) ^ w[8:] * _ODD[3]
         value ^= value >> np.uint64(32)
         value *= _ODD[2]
@@ -87,7 +98,7 @@ class Block:
         # runs of windows with one least hash
         inside = np.ones(len(low) + 2, bool)
         inside[0] = inside[-1] = False
-        dead = _ranges(self.ends - LENGTH + 2, np.full(len(n), LENGTH - 1))
+        dead = _ranges(ends - LENGTH + 2, np.full(len(n), LENGTH - 1))
         inside[dead[dead < len(low) + 1]] = False
         fresh = inside[1:-1].copy()
         fresh[1:] &= ~inside[1:-2] | (low[1:] != low[:-1])
@@ -106,19 +117,20 @@ class Block:
         if len(parts) > 1:
             order = np.argsort(first, kind="stable")
             first, last, anchor = first[order], last[order], anchor[order]
-        self.first, self.last, self.anchor = first, last, anchor
-        self.hash = mix(value[anchor])
-        self.segment = np.searchsorted(self.starts, self.first, side="right") - 1
+        return first, last, anchor, mix(value[anchor])
+
+    def _words(self, at: np.ndarray) -> np.ndarray:
+        return np.ascontiguousarray(self.data[at[:, None] + np.arange(8)]).view("<u8").ravel()
 
     def region_hash(self, keep: np.ndarray) -> np.ndarray:
         """A hash of all bytes of regions of LENGTH to LENGTH + SPAN - 1 bytes."""
         a, b = self.first[keep], self.last[keep] + LENGTH
         out = (b - a).astype(np.uint64) * _ODD[0]
         for k in range(6):
-            out = (out ^ self.words[a + 8 * k]) * _ODD[1]
+            out = (out ^ self._words(a + 8 * k)) * _ODD[1]
             out ^= out >> np.uint64(31)
         for k in range(1, 6):
-            out = (out ^ self.words[b - 8 * k]) * _ODD[2]
+            out = (out ^ self._words(b - 8 * k)) * _ODD[2]
             out ^= out >> np.uint64(31)
         return mix(out)
 
@@ -319,37 +331,101 @@ def _shared_windows(regions: np.ndarray, length: np.ndarray, owner: np.ndarray,
     return which, start - base[which], end - base[which]
 
 
+_COLUMNS = {"hashes": "<u8", "folds": "<u8", "lengths": "u1", "owners": "<i8", "uses": "<u4", "docs": "<u4", "starts": "<i8", "bytes": "u1"}
+
+
+class Spool:
+    """Rows of a shard's regions: in memory, or beyond ``HELD`` bytes on the task's disk, where they are parted by anchor."""
+
+    def __init__(self):
+        self.rows: list[dict] = []
+        self.bytes = self.written = 0
+        self.file = None
+
+    def add(self, row: dict) -> None:
+        self.rows.append(row)
+        self.bytes += sum(x.nbytes for x in row.values() if isinstance(x, np.ndarray))
+        if self.bytes > HELD:
+            self.file = self.file or tempfile.TemporaryFile(prefix="regions-")
+            self._write(self.file, self.rows)
+
+    def _write(self, file, rows: list[dict]) -> None:
+        pickle.dump(rows, file, pickle.HIGHEST_PROTOCOL)
+        self.written, self.bytes, self.rows = self.written + self.bytes, 0, []
+
+    @staticmethod
+    def _read(file):
+        file.seek(0)
+        while True:
+            try:
+                yield pickle.load(file)
+            except EOFError:
+                return
+
+    def parts(self):
+        """Lists of rows; all regions of an anchor are in one list."""
+        if self.file is None:
+            if self.rows:
+                yield self.rows
+            return
+        self._write(self.file, self.rows)
+        files = [tempfile.TemporaryFile(prefix="regions-") for _ in range(-(-self.written // HELD))]
+        for rows in self._read(self.file):
+            for row in rows:
+                part = ((row["hashes"] >> np.uint64(20)) % np.uint64(len(files))).astype(np.int64)
+                for p in np.unique(part).tolist():
+                    pickle.dump([_taken(row, np.flatnonzero(part == p))], files[p], pickle.HIGHEST_PROTOCOL)
+        self.file.close()
+        for f in files:
+            yield [row for rows in self._read(f) for row in rows]
+            f.close()
+
+
+def _taken(row: dict, at: np.ndarray) -> dict:
+    """Some regions of a row."""
+    out = {"block": row["block"]} | {c: row[c][at] for c in ("hashes", "folds", "lengths", "owners", "uses")}
+    for sizes, columns in (("uses", ("docs", "starts")), ("lengths", ("bytes",))):
+        size = row[sizes].astype(np.int64)
+        each = _ranges((np.cumsum(size) - size)[at], size[at])
+        out |= {c: row[c][each] for c in columns}
+    return out
+
+
+def _marks(part: list[dict], memory: int) -> list[tuple]:
+    """What the regions of some rows lose, by block."""
+
+    def joined(column: str) -> np.ndarray:
+        return np.concatenate([r[column] for r in part])
+
+    h, fold, length, owner, data = map(joined, ("hashes", "folds", "lengths", "owners", "bytes"))
+    uses, docs, starts = joined("uses").astype(np.int64), joined("docs"), joined("starts")
+    held = np.cumsum([len(r["lengths"]) for r in part])
+    base = np.cumsum(length.astype(np.int64)) - length
+    region, lo, hi = settle(h, fold, length, owner, lambda i: data[_ranges(base[i], length[i].astype(np.int64))], memory)
+    n = uses[region]
+    each = _ranges((np.cumsum(uses) - uses)[region], n)
+    d, s, e = docs[each], starts[each] + np.repeat(lo, n), starts[each] + np.repeat(hi, n)
+    edge = np.concatenate(([0], np.cumsum(n)))[np.searchsorted(region, np.concatenate(([0], held)))]
+    return [(r["block"], None, None, d[a:b].astype("<u4").tobytes(), s[a:b].astype("<i8").tobytes(), e[a:b].astype("<i8").tobytes()) for r, a, b in zip(part, edge[:-1].tolist(), edge[1:].tolist(), strict=True) if b > a]
+
+
 def _search(memory: int):
     """Marks of one shard's regions, by block; head rows pass through."""
 
     def run(batches):
-        by_shard: dict[int, list[dict]] = {}
-        for b in batches:
-            heads = []
-            for r in b.to_pylist():
-                if r["ids"] is not None:
-                    heads.append((r["block"], r["ids"], r["keys"], r["docs"], r["starts"], r["ends"]))
-                else:
-                    by_shard.setdefault(r["shard"], []).append(r)
-            if heads:
-                yield common.record(_MARKS, *zip(*heads, strict=True))
-        while by_shard:
-            part = by_shard.popitem()[1]
-
-            def joined(column: str, kind: str, part=part) -> np.ndarray:
-                return np.frombuffer(b"".join(r[column] for r in part), kind)
-
-            h, fold, length, owner, data = joined("hashes", "<u8"), joined("folds", "<u8"), joined("lengths", "u1"), joined("owners", "<i8"), joined("bytes", "u1")
-            uses, docs, starts = joined("uses", "<u4").astype(np.int64), joined("docs", "<u4"), joined("starts", "<i8")
-            held = np.cumsum([len(r["lengths"]) for r in part])
-            base = np.cumsum(length.astype(np.int64)) - length
-            region, lo, hi = settle(h, fold, length, owner, lambda i, data=data, base=base, length=length: data[_ranges(base[i], length[i].astype(np.int64))], memory)
-            n = uses[region]
-            each = _ranges((np.cumsum(uses) - uses)[region], n)
-            d, s, e = docs[each], starts[each] + np.repeat(lo, n), starts[each] + np.repeat(hi, n)
-            edge = np.concatenate(([0], np.cumsum(n)))[np.searchsorted(region, np.concatenate(([0], held)))]
-            out = [(r["block"], None, None, d[a:b].astype("<u4").tobytes(), s[a:b].astype("<i8").tobytes(), e[a:b].astype("<i8").tobytes()) for r, a, b in zip(part, edge[:-1].tolist(), edge[1:].tolist(), strict=True) if b > a]
-            if out:
+        spool = Spool()
+        for batch in batches:
+            for at in range(0, batch.num_rows, 64):
+                heads = []
+                for r in batch.slice(at, 64).to_pylist():
+                    if r["ids"] is not None:
+                        heads.append((r["block"], r["ids"], r["keys"], r["docs"], r["starts"], r["ends"]))
+                    else:
+                        spool.add({"block": r["block"]} | {c: np.frombuffer(r[c], k) for c, k in _COLUMNS.items()})
+                if heads:
+                    yield common.record(_MARKS, *zip(*heads, strict=True))
+        for part in spool.parts():
+            if out := _marks(part, memory):
                 yield common.record(_MARKS, *zip(*out, strict=True))
 
     return run
@@ -406,7 +482,7 @@ def _cut_out(with_bytes: bool):
     return run
 
 
-def remove_repeats(docs: DataFrame, with_bytes: bool = False, memory: int = 64 << 20) -> DataFrame:
+def remove_repeats(docs: DataFrame, with_bytes: bool = False, memory: int = 1 << 20) -> DataFrame:
     """Per row of ``docs`` (doc_id, text): doc_id, n_bytes, n_removed, n_spans, kept_sha256 (and kept).
 
     A byte goes if a string of LENGTH bytes covers it that also starts in a
