@@ -5,10 +5,13 @@
 2. The nodes of a label are dealt to shards of about ``shard_size`` by a hash;
    one graph is built per shard and stored with its vectors.
 3. Each shard's nodes query every shard of the label (a pair of shards is
-   searched once, links count for both).  A beam that is full of links is
-   widened for its query; audits compare sampled queries with a full scan of
-   the shard and widen all beams until every sampled link is found.  A beam
-   that would hold much of a shard becomes a scan of it, so nothing is capped.
+   searched once, links count for both).  A graph is sent once, to the task that
+   searches it; blocks of queries stream through that task.  A beam that is full
+   of links is widened for its query; audits compare sampled queries with a full
+   scan of the shard and widen all beams until every sampled link is found.  A
+   beam as wide as the shard holds all that the graph reaches; only if an audit
+   fails even there is the shard scanned.  Other sampled queries, which widen
+   nothing, measure the recall that is left.
 4. Candidates are verified by cosine in double precision.  A task sends one row
    per node, its links and the least node it reaches there; components of these
    stars are the components of all links.
@@ -211,87 +214,141 @@ def local_roots(n: int, a: np.ndarray, b: np.ndarray, names: np.ndarray) -> np.n
             return low
 
 
-def _links(graph: Graph, queries: np.ndarray, unit: np.ndarray, threshold: float, ef: int, audit: int) -> tuple[np.ndarray, np.ndarray]:
-    """(query, node) candidates at or just below the threshold."""
-    n = len(unit)
-    margin = np.float32(threshold - 1e-5)
-    step = 256
+def _sample(n: int, size: int, shift: int) -> np.ndarray:
+    """Numbers below n, spread evenly; another ``shift`` gives others where n allows."""
+    return np.unique((np.arange(min(size, n)) * n // max(1, min(size, n)) + shift) % max(1, n))
+
+
+def _links(graph: Graph, queries: np.ndarray, unit: np.ndarray, threshold: float, ef: int, audit: int) -> tuple[np.ndarray, np.ndarray, list[int]]:
+    """(query, node) candidates at or just below the threshold; and [links of the final audit, those found, queries searched, queries scanned]."""
+    n, margin, step = len(unit), np.float32(threshold - 1e-5), 256
 
     def scan(at: np.ndarray):
         for lo in range(0, len(at), step):
             i, j = np.nonzero(queries[at[lo : lo + step]] @ unit.T >= margin)
             yield at[lo : lo + step][i], j
 
-    sample = np.unique(np.linspace(0, len(queries) - 1, min(audit, len(queries))).astype(int))
-    truth = {(int(a), int(b)) for i, j in scan(sample) for a, b in zip(i, j, strict=True)}
+    def codes(pairs, sample: np.ndarray) -> np.ndarray:
+        return np.concatenate([np.zeros(0, np.int64), *(i[np.isin(i, sample)] * n + j[np.isin(i, sample)] for i, j in pairs)])
+
+    sample = _sample(len(queries), audit, 0)
+    truth = codes(scan(sample), sample)
     found: list[tuple[np.ndarray, np.ndarray]] = []
-    todo = np.arange(len(queries))
+    todo, searched, scanned = np.arange(len(queries)), 0, 0
     while len(todo):
-        if 8 * ef >= n:
-            found += list(scan(todo))
-            break
-        wider = []
-        missed = False
-        got_now = []
+        ef = min(ef, n)
+        again, got = [], []
         for lo in range(0, len(todo), step):
             at = todo[lo : lo + step]
             sim, node = graph.search(queries[at], ef)
-            full = (sim[:, -1] >= margin) & (node[:, -1] >= 0)
-            wider.append(at[full])
+            full = (sim[:, -1] >= margin) & (node[:, -1] >= 0) & (ef < n)
+            again.append(at[full])
             i, j = np.nonzero((sim >= margin) & (node >= 0) & ~full[:, None])
-            got_now.append((at[i], node[i, j]))
-        again = np.concatenate(wider)
-        have = {(int(a), int(b)) for i, j in got_now for a, b in zip(i, j, strict=True) if a in sample}
-        checked = set(np.intersect1d(sample, np.setdiff1d(todo, again)).tolist())
-        missed = any(t not in have for t in truth if t[0] in checked)
-        if not missed:
-            found += got_now
+            got.append((at[i], node[i, j]))
+        searched += len(todo)
+        again = np.concatenate(again)
+        checked = np.setdiff1d(np.intersect1d(sample, todo), again)
+        if np.isin(truth[np.isin(truth // n, checked)], codes(got, checked)).all():
+            found += got
             todo = again
+        elif ef == n:  # the graph does not reach all that an audit found
+            found += scan(todo)
+            scanned += len(todo)
+            break
         ef *= 2
-    return np.concatenate([f[0] for f in found] or [np.zeros(0, int)]), np.concatenate([f[1] for f in found] or [np.zeros(0, int)])
+    last = _sample(len(queries), audit, 1)
+    want = codes(scan(last), last)
+    i, j = (np.concatenate([np.zeros(0, np.int64), *x]) for x in (zip(*found, strict=True) if found else ((), ())))
+    return i, j, [len(want), int(np.isin(want, codes([(i, j)], last)).sum()), searched, scanned]
 
 
-FOUND = "node long, links long, root long"
-_FOUND = pa.schema([("node", pa.int64()), ("links", pa.int64()), ("root", pa.int64())])
+#: Of a node: its links to one shard and the least node it reaches there.  With node null: the numbers of an audit of ``label``.
+FOUND = "node long, links long, root long, label string, audit array<long>"
+_FOUND = pa.schema([("node", pa.int64()), ("links", pa.int64()), ("root", pa.int64()), ("label", pa.string()), ("audit", pa.list_(pa.int64()))])
 
 
 def _compare(threshold: float, ef: int, audit: int):
-    """Links between the two shards of a pair (or inside one)."""
-
-    def run(rows: pa.Table) -> pa.Table:
-        got = sorted(rows.to_pylist(), key=lambda r: r["slice"])
-        shards = []
-        for r in got:
-            node = np.frombuffer(r["nodes"], "<i8")
-            v = np.frombuffer(r["vectors"], "<f8").reshape(len(node), r["dim"])
-            shards.append((node, np.frombuffer(r["copies"], "<i8"), v, r["graph"]))
-        alone = len(shards) == 1
-        (qn, qc, qv, _), (sn, sc, sv, packed) = shards[0], shards[-1]
-        unit = _unit(sv)
-        i, j = _links(Graph.unpack(unit, packed), unit if alone else _unit(qv), unit, threshold, ef, audit)
-        keep = []
+    """Links of each shard with itself and with the blocks of queries that follow it."""
+
+    def read(r: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        node = np.frombuffer(r["nodes"], "<i8")
+        return node, np.frombuffer(r["copies"], "<i8"), np.frombuffer(r["vectors"], "<f8").reshape(len(node), r["dim"])
+
+    def verified(qv: np.ndarray, sv: np.ndarray, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         qs, ss = qv / np.abs(qv).max(1, keepdims=True), sv / np.abs(sv).max(1, keepdims=True)
         q_norm, s_norm = np.sqrt((qs * qs).sum(1)), np.sqrt((ss * ss).sum(1))
+        ok = [np.zeros(0, bool)]
         for lo in range(0, len(i), 50_000):
             a, b = i[lo : lo + 50_000], j[lo : lo + 50_000]
-            keep.append(np.einsum("nd,nd->n", qs[a], ss[b]) / (q_norm[a] * s_norm[b]) >= threshold)
-        ok = np.concatenate(keep) if keep else np.zeros(0, bool)
-        i, j = i[ok], j[ok]
-        if alone:
-            pairs = np.unique(np.stack([np.minimum(i, j), np.maximum(i, j)], 1)[i != j], axis=0)
-            i, j = pairs[:, 0], pairs[:, 1]
-            links = np.bincount(i, sc[j], len(sn)) + np.bincount(j, sc[i], len(sn))
-            names, counts, a, b = sn, links, i, j
-        else:
-            links = np.concatenate([np.bincount(i, sc[j], len(qn)), np.bincount(j, qc[i], len(sn))])
-            names, counts, a, b = np.concatenate([qn, sn]), links, i, j + len(qn)
-        root = local_roots(len(names), a, b, names)
-        has = counts > 0
-        return pa.Table.from_batches([common.record(_FOUND, names[has], counts[has].astype(np.int64), root[has])])
+            ok.append(np.einsum("nd,nd->n", qs[a], ss[b]) / (q_norm[a] * s_norm[b]) >= threshold)
+        ok = np.concatenate(ok)
+        return i[ok], j[ok]
+
+    def run(batches):
+        at = None
+        for batch in batches:
+            for k in range(batch.num_rows):
+                r = batch.slice(k, 1).to_pylist()[0]
+                own = r["graph"] is not None
+                if own:
+                    at, (sn, sc, sv) = (r["label"], r["dim"], r["target"]), read(r)
+                    unit = _unit(sv)
+                    graph = Graph.unpack(unit, r["graph"])
+                if at != (r["label"], r["dim"], r["target"]):
+                    raise RuntimeError("queries without their shard")
+                qn, qc, qv = (sn, sc, sv) if own else read(r)
+                i, j, numbers = _links(graph, unit if own else _unit(qv), unit, threshold, ef, audit)
+                i, j = verified(qv, sv, i, j)
+                if own:
+                    pairs = np.unique(np.stack([np.minimum(i, j), np.maximum(i, j)], 1)[i != j], axis=0)
+                    a, b = pairs[:, 0], pairs[:, 1]
+                    names, counts = sn, np.bincount(a, sc[b], len(sn)) + np.bincount(b, sc[a], len(sn))
+                else:
+                    pairs = np.unique(np.stack([i, j], 1), axis=0)
+                    a, b = pairs[:, 0], pairs[:, 1] + len(qn)
+                    names, counts = np.concatenate([qn, sn]), np.concatenate([np.bincount(a, sc[pairs[:, 1]], len(qn)), np.bincount(pairs[:, 1], qc[a], len(sn))])
+                root, has = local_roots(len(names), a, b, names), counts > 0
+                m = int(has.sum())
+                yield common.record(_FOUND, names[has], counts[has].astype(np.int64), root[has], [None] * m, [None] * m)
+                yield common.record(_FOUND, [None], [None], [None], [r["label"]], [numbers])
 
     return run
 
 
+def _usable(vectors: DataFrame) -> DataFrame:
+    """(vec_id, label, vector, k1, k2): two hashes stand for the vector of a usable row; other rows have keys of their own."""
+    rows = vectors.select(F.col("vec_id").cast("long"), F.col("label").cast("string"), F.col("embedding").cast("array<double>").alias("vector"))
+    v = F.col("vector")
+    bad = F.exists(v, lambda e: e.isNull() | F.isnan(e) | (F.abs(e) == F.lit(float("inf")))) | ~F.exists(v, lambda e: e != 0)
+    good = F.coalesce(F.col("vec_id").isNotNull() & F.col("label").isNotNull() & v.isNotNull() & ~bad, F.lit(False))
+    return rows.select("vec_id", "label", "vector", good.alias("good"), F.when(good, F.xxhash64("vector")).otherwise(F.xxhash64("vec_id")).alias("k1"), F.when(good, F.xxhash64(F.lit(1), "vector")).alias("k2"))
+
+
+def _found(rows: DataFrame, threshold: float, shard_size: int, ef: int, audit: int) -> tuple[DataFrame, DataFrame]:
+    """The folded vectors (label, k1, k2, node, copies), and what the searches found."""
+    nodes = rows.where("good").groupBy("label", "k1", "k2").agg(F.min("vec_id").alias("node"), F.count(F.lit(1)).alias("copies"), F.first("vector").alias("vector"))
+    nodes = common.scratch(nodes, "vectors")
+    dims = nodes.select("label", "node", "copies", "vector", F.size("vector").alias("dim"))
+    sizes = dims.groupBy("label", "dim").agg(F.ceil(F.count(F.lit(1)) / shard_size).cast("int").alias("slices"))
+    dealt = dims.join(sizes, ["label", "dim"]).withColumn("slice", F.pmod(F.xxhash64("node"), F.col("slices")).cast("int"))
+    n = common.partitions(rows.sparkSession)  # said outright: few bytes, much work
+    shards = common.scratch(dealt.repartition(n, "label", "dim", "slice").groupBy("label", "dim", "slice").applyInArrow(common.tidy_group(_build), SHARD), "graphs")
+    # each shard queries the half of the others that follow it in a ring, so that a pair meets once and work is even
+    plain = ["label", "dim", "slice", "nodes", "copies", "vectors"]
+    far = (F.col("slices") - F.when((F.col("slices") % 2 == 0) & (F.col("slice") >= F.col("slices") / 2), 2).otherwise(1)) / 2
+    steps = F.when(F.ceil(far) > 0, F.sequence(F.lit(1), F.ceil(far).cast("int"))).otherwise(F.array().cast("array<int>"))
+    queries = shards.withColumn("step", F.explode(steps)).select(*plain, F.pmod(F.col("slice") + F.col("step"), F.col("slices")).alias("target"), F.lit(None).cast("array<binary>").alias("graph"))
+    sent = shards.select(*plain, F.col("slice").alias("target"), "graph").unionByName(queries)
+    sent = sent.repartition(n, "label", "dim", "target").sortWithinPartitions("label", "dim", "target", F.col("graph").isNull(), "slice")
+    return nodes.drop("vector"), common.scratch(sent.mapInArrow(common.tidy(_compare(threshold, ef, audit)), FOUND), "links")
+
+
+def audits(vectors: DataFrame, threshold: float = 0.93, shard_size: int = 2048, ef: int = 64, audit: int = 64) -> DataFrame:
+    """Per label: links of the sampled queries of the final audits, those that were found, and queries answered by graphs and by scans."""
+    _, found = _found(_usable(vectors), threshold, shard_size, ef, audit)
+    return found.where("node IS NULL").groupBy("label").agg(*[F.sum(F.col("audit")[i]).alias(c) for i, c in enumerate(("links", "found", "searched", "scanned"))])
+
+
 def near_duplicates(vectors: DataFrame, threshold: float = 0.93, shard_size: int = 2048, ef: int = 64, audit: int = 64) -> DataFrame:
     """Per row of ``vectors`` (vec_id, embedding, label): vec_id, n_links, component_id, kept.
 
@@ -301,25 +358,16 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.93, shard_size: int
     Rows that share a vec_id count as vectors of their own but are one node of
     the graph; a row without vec_id is not compared and is kept.
     """
-    x = F.col("embedding")
-    all_rows = vectors.select(F.col("vec_id").cast("long"), F.col("label").cast("string"), x.cast("array<double>").alias("vector"))
-    v = F.col("vector")
-    bad = F.exists(v, lambda e: e.isNull() | F.isnan(e) | (F.abs(e) == F.lit(float("inf")))) | ~F.exists(v, lambda e: e != 0)
-    usable = all_rows.where(F.col("vec_id").isNotNull() & F.col("label").isNotNull() & v.isNotNull() & ~bad)
-    nodes = common.scratch(usable.groupBy("label", "vector").agg(F.min("vec_id").alias("node"), F.count(F.lit(1)).alias("copies")), "vectors")
-    dims = nodes.withColumn("dim", F.size("vector"))
-    sizes = dims.groupBy("label", "dim").agg(F.ceil(F.count(F.lit(1)) / shard_size).cast("int").alias("slices"))
-    dealt = dims.join(sizes, ["label", "dim"]).withColumn("slice", F.pmod(F.xxhash64("node"), F.col("slices")).cast("int"))
-    n = common.partitions(vectors.sparkSession)  # said outright: few bytes, much work
-    shards = common.scratch(dealt.repartition(n, "label", "dim", "slice").groupBy("label", "dim", "slice").applyInArrow(common.tidy_group(_build), SHARD), "graphs")
-    other = shards.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)))
-    paired = other.withColumn("low", F.least("slice", "other")).withColumn("high", F.greatest("slice", "other"))
-    found = common.scratch(paired.repartition(n, "label", "dim", "low", "high").groupBy("label", "dim", "low", "high").applyInArrow(common.tidy_group(_compare(threshold, ef, audit)), FOUND), "links")
+    rows = _usable(vectors)
+    nodes, found = _found(rows, threshold, shard_size, ef, audit)
+    found = found.where("node IS NOT NULL")
     components = connected_components(found.select(F.col("node").alias("a"), F.col("root").alias("b")))
     links = found.groupBy("node").agg(F.sum("links").alias("others"))
     known = nodes.join(links, "node", "left").join(components, "node", "left")
-    known = known.select("label", "vector", (F.coalesce("others", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "node").alias("component"))
-    out = all_rows.join(known, ["label", "vector"], "left")
-    component = F.coalesce(F.least("component", "vec_id"), "vec_id")
+    known = known.select("label", "k1", "k2", (F.coalesce("others", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "node").alias("component"))
+    # rows that are not usable have no k2 and match nothing; k1 spreads them
+    out = rows.select("vec_id", "label", "k1", F.coalesce("k2", F.lit(0)).alias("k2"), "good").join(known, ["label", "k1", "k2"], "left")
+    known_row = F.col("good") & F.col("n_links").isNotNull()
+    component = F.when(known_row, F.least("component", "vec_id")).otherwise(F.col("vec_id"))
     has = F.col("vec_id").isNotNull()
-    return out.select("vec_id", F.when(has, F.coalesce("n_links", F.lit(0))).otherwise(0).cast("long").alias("n_links"), F.when(has, component).alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(True)).alias("kept"))
+    return out.select("vec_id", F.when(has & known_row, F.col("n_links")).otherwise(0).cast("long").alias("n_links"), F.when(has, component).alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(True)).alias("kept"))
