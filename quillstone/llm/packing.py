@@ -6,11 +6,13 @@
    driver.  In units of window / 64, all combinations of at most ``depth``
    lengths that fill a window are enumerated and non-negative least squares
    solves how often each repeats.
-3. Each task of the scratch table applies its share of the rounded counts to
-   its own documents.  What rounding leaves is packed greedily: residual
-   documents are cut to fill the slack of the sequences, then whole windows,
-   and the end of a task's stream is cut at powers of two, so that nothing is
-   padded.  No document leaves its task; there is no shuffle of ids.
+3. Each task of the scratch table applies its share of the counts to its own
+   documents, a bounded chunk at a time; shares are rounded up or down in turn,
+   so that they add up over chunks.  Tasks of few documents are merged, as the
+   mix needs enough lengths to choose from.  What rounding leaves is packed
+   greedily: residual documents are cut to fill the slack of the sequences,
+   then whole windows, and the end of a chunk is cut at powers of two, so that
+   nothing is padded.  There is no shuffle of ids.
 """
 
 from __future__ import annotations
@@ -29,6 +31,8 @@ from .pretokens import pieces
 
 END_ID = 2
 UNITS = 64
+#: Bytes of ids that a task holds and plans at once, and the least number of documents of a task.
+CHUNK, PER_TASK = 64 << 20, 2048
 IDS = "doc_id long, n long, ids binary"
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 _IDS = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("ids", pa.binary())])
@@ -110,10 +114,13 @@ def solve_mix(histogram: np.ndarray, depth: int = 4) -> tuple[tuple[tuple[int, .
     return tuple(combos[j] for j in used), repeats[used]
 
 
-def plan(lengths: np.ndarray, window: int, mix, repeats: np.ndarray, share: float) -> list[tuple[int, int, int, int, int]]:
-    """Pieces (document, start, length, sequence, offset) for one task's documents."""
+def plan(lengths: np.ndarray, window: int, mix, repeats: np.ndarray, share: float, number: int = 0, seq: int = 0) -> tuple[list[tuple[int, int, int, int, int]], int]:
+    """Pieces (document, start, length, sequence, offset) for one chunk's documents, and the next sequence.
+
+    ``number`` is the chunk's: the golden ratio's multiples spread over it decide where a share is rounded up.
+    """
     unit = max(1, window // UNITS)
-    out, seq = [], 0
+    out = []
     bins: dict[int, list[int]] = {}
     for i, n in enumerate(lengths.tolist()):
         for k in range(n // window):
@@ -123,9 +130,10 @@ def plan(lengths: np.ndarray, window: int, mix, repeats: np.ndarray, share: floa
             bins.setdefault(-(-(n % window) // unit), []).append(i)
     left = lengths % window
     slack = []
-    for combo, r in sorted(zip(mix, repeats, strict=True), key=lambda x: -x[1]):
+    for j, (combo, r) in enumerate(sorted(zip(mix, repeats, strict=True), key=lambda x: -x[1])):
         need = {u: combo.count(u) for u in combo}
-        for _ in range(min(round(r * share), *(len(bins.get(u, ())) // k for u, k in need.items())) if need else 0):
+        times = int(r * share + (0.5 + 0.6180339887498949 * (number + j)) % 1)
+        for _ in range(min(times, *(len(bins.get(u, ())) // k for u, k in need.items())) if need else 0):
             offset = 0
             for u in combo:
                 i = bins[u].pop()
@@ -161,30 +169,35 @@ def plan(lengths: np.ndarray, window: int, mix, repeats: np.ndarray, share: floa
                 at += 1
             else:
                 holes[at] = (s, o + take, cap - take)
-    return out
+    return out, seq
 
 
 def _pack(window: int, mix, repeats, documents: int, narrow: bool):
+    size, kind = (2, "<u2") if narrow else (4, "<u4")
+
     def run(batches):
-        doc_ids, lengths, ids = [], [], []
-        for b in batches:
-            doc_ids += b.column(0).to_pylist()
-            lengths.append(b.column(1).to_numpy())
-            ids += [x.as_buffer() for x in b.column(2)]
-        if not doc_ids:
-            return
-        n = np.concatenate(lengths)
-        task = TaskContext.get().partitionId()
-        got = plan(n, window, mix, repeats, len(n) / max(documents, 1))
-        for at in range(0, len(got), 50_000):
-            rows = []
-            for i, start, length, seq, offset in got[at : at + 50_000]:
-                if narrow:
-                    raw = np.frombuffer(ids[i], "<u2", length, 2 * start).astype("<u4")
-                else:
-                    raw = np.frombuffer(ids[i], "<u4", length, 4 * start)
-                rows.append((doc_ids[i], start, length, zlib.crc32(raw), int(n[i]), (task << 32) | seq, offset))
-            yield common.record(_PIECES, *zip(*rows, strict=True))
+        task, seq, number = TaskContext.get().partitionId(), 0, 0
+        held: list[pa.RecordBatch] = []
+
+        def packed():
+            nonlocal seq, number
+            doc_ids = [x for b in held for x in b.column(0).to_pylist()]
+            ids = [x.as_buffer() for b in held for x in b.column(2)]
+            n = np.concatenate([b.column(1).to_numpy() for b in held])
+            got, seq = plan(n, window, mix, repeats, len(n) / max(documents, 1), task * 7919 + number, seq)
+            number += 1
+            for at in range(0, len(got), 50_000):
+                rows = [(doc_ids[i], start, length, zlib.crc32(np.frombuffer(ids[i], kind, length, size * start).astype("<u4")), int(n[i]), (task << 32) | s, offset) for i, start, length, s, offset in got[at : at + 50_000]]
+                yield common.record(_PIECES, *zip(*rows, strict=True))
+            held.clear()
+
+        for batch in batches:
+            for b in common.blocks([batch], 2, CHUNK, 1 << 20):
+                if held and sum(x.nbytes for x in held) + b.nbytes > CHUNK:
+                    yield from packed()
+                held.append(b)
+        if held:
+            yield from packed()
 
     return run
 
@@ -208,4 +221,4 @@ def pack(docs: DataFrame, tokenizer: str, window: int = 4096, depth: int = 4, en
     mix, repeats = solve_mix(histogram, depth) if histogram.any() else ((), np.zeros(0))
     documents = sum(r["c"] for r in counted)
     narrow = pieces(tokenizer).narrow
-    return table.mapInArrow(common.tidy(_pack(window, mix, repeats, documents, narrow)), PIECES)
+    return table.coalesce(max(1, documents // PER_TASK)).mapInArrow(common.tidy(_pack(window, mix, repeats, documents, narrow)), PIECES)

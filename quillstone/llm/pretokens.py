@@ -3,8 +3,10 @@
 The library normalises (NFC, white space, lower case), splits by a pattern and
 then merges inside each piece, so the ids of a text are the ids of its pieces,
 one after the other.  For texts up to U+012F (no combining marks, one-to-one
-lower case) the split is done by one compiled pattern; any other text goes to
-the library whole.  Special strings are cut out first, as the library does.
+lower case) the split is done by one compiled pattern; any other text is split
+by the library's own normaliser and pre-tokeniser.  Either way a text becomes
+pre-tokens, and only distinct pre-tokens are merged to ids.  Special strings are
+cut out first, as the library does.
 """
 
 from __future__ import annotations
@@ -61,21 +63,36 @@ class Pieces:
             self.is_end[[i for t, i in vocabulary.items() if t.endswith(mark)]] = True
         self.kind = np.dtype("<u2" if self.narrow else "<u4")
 
-    def split(self, text: str) -> tuple[list[str], list[tuple[int, int]]] | None:
-        """(pre-tokens, [(place among them, special id)]), or None: use the library."""
-        if not text.isascii() and BEYOND.search(text):
-            return None
+    def _cut(self, text: str) -> list[str]:
+        """Pre-tokens of a text without special strings."""
+        if text.isascii() or not BEYOND.search(text):
+            return FAST.findall(text.lower())
+        normal = self.plain.normalizer.normalize_str(text)
+        return [normal[a:b] for _, (a, b) in self.plain.pre_tokenizer.pre_tokenize_str(normal)]
+
+    def split(self, text: str) -> tuple[list[str], list[tuple[int, int]]]:
+        """(pre-tokens, [(place among them, special id)])."""
         if self.special_pattern is None or not any(s in text for s in self.specials):
-            return FAST.findall(text.lower()), []
+            return self._cut(text), []
         found: list[str] = []
         marks = []
         for part in self.special_pattern.split(text):
             if part in self.specials:
                 marks.append((len(found), self.specials[part]))
             else:
-                found += FAST.findall(part.lower())
+                found += self._cut(part)
         return found, marks
 
+    def _settled(self, text: str) -> bool:
+        """Whether the normaliser, which pre-tokens have passed, would leave a text as it is."""
+        return text.isascii() or self.plain.normalizer.normalize_str(text) == text
+
+    def _alone(self, word: str) -> list[int]:
+        """Ids of one pre-token, which the normaliser must not change again (lower case may leave letters that compose)."""
+        if self._settled(word):
+            return self.plain.encode(word, add_special_tokens=False).ids
+        return [t.id for mapped, _ in self.plain.pre_tokenizer.pre_tokenize_str(word) for t in self.plain.model.tokenize(mapped)]
+
     def encode_new(self, words: list[str], chunk: int = 4096) -> tuple[np.ndarray, np.ndarray]:
         """Ids of pre-tokens, one after the other, and how many each has.
 
@@ -85,12 +102,14 @@ class Pieces:
         ids, sizes = [], []
         for lo in range(0, len(words), chunk):
             part = words[lo : lo + chunk]
-            got = np.array(self.plain.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, np.int64)
+            text = " ".join(part)
+            settled = self._settled(text)
+            got = np.array(self.plain.encode_batch_fast([text], add_special_tokens=False)[0].ids if settled else [], np.int64)
             last = np.flatnonzero(self.is_end[got])
             if len(last) == len(part):
                 sizes.append(np.diff(last, prepend=-1))
             else:
-                each = [e.ids for e in self.plain.encode_batch_fast(part, add_special_tokens=False)]
+                each = [e.ids for e in self.plain.encode_batch_fast(part, add_special_tokens=False)] if settled else list(map(self._alone, part))
                 sizes.append(np.fromiter(map(len, each), np.int64, len(each)))
                 got = np.fromiter(chain.from_iterable(each), np.int64, int(sizes[-1].sum()))
             ids.append(got)
@@ -125,7 +144,7 @@ class Pieces:
         flat: list[str] = []
         lengths = np.zeros(len(texts), np.int64)
         for i, got in enumerate(found):
-            if got is not None and not got[1]:
+            if not got[1]:
                 flat += got[0]
                 lengths[i] = len(got[0])
         coded = pa.array(flat, pa.string()).dictionary_encode()
@@ -140,12 +159,10 @@ class Pieces:
         ids = raw[place]
         edge = np.concatenate(([0], ends))[np.concatenate(([0], np.cumsum(lengths)))].tolist()
         tail = b"" if end is None else np.array([end], self.kind).tobytes()
-        return [self._apart(t, got, keep) + tail if got is None or got[1] else ids[edge[i] : edge[i + 1]].tobytes() + tail for i, (t, got) in enumerate(zip(texts, found, strict=True))]
+        return [self._apart(got, keep) + tail if got[1] else ids[edge[i] : edge[i + 1]].tobytes() + tail for i, got in enumerate(found)]
 
-    def _apart(self, text: str, got, keep: int) -> bytes:
-        """Ids of a text with special strings, or of one that only the library splits."""
-        if got is None:
-            return np.array(self.whole.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
+    def _apart(self, got: tuple[list[str], list[tuple[int, int]]], keep: int) -> bytes:
+        """Ids of a text with special strings."""
         parts = self._known(got[0], keep)
         for place, special in reversed(got[1]):
             parts.insert(place, np.array([special], self.kind).tobytes())

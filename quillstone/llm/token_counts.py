@@ -29,19 +29,16 @@ _ANSWER = pa.schema([("block", pa.int64()), ("ids", pa.binary()), ("bytes", pa.b
 
 
 def _fold_block(pieces: Pieces, texts: list, shards: int):
-    """Per shard (tokens, postings per token, docs, freqs); and counts known at once."""
+    """Per shard (tokens, postings per token, docs, freqs); and the special strings of each text."""
     flat: list[str] = []
     lengths = np.zeros(len(texts), np.int64)
     direct = np.zeros(len(texts), np.int64)
     for i, text in enumerate(texts):
         if not text:
             continue
-        got = pieces.split(text)
-        if got is None:
-            direct[i] = len(pieces.whole.encode(text, add_special_tokens=False))
-        else:
-            flat += got[0]
-            lengths[i], direct[i] = len(got[0]), len(got[1])
+        found, specials = pieces.split(text)
+        flat += found
+        lengths[i], direct[i] = len(found), len(specials)
     if not flat:
         return [], direct
     coded = pa.array(flat, pa.string()).dictionary_encode()
