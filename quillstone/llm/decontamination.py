@@ -1,8 +1,9 @@
 """Benchmark decontamination with a distributed positional inverted index.
 
 1. The benchmark's windows (13 words, or a whole shorter item) give the test
-   vocabulary.  Its size is checked: beyond ``max_bytes`` of benchmark text the
-   windows are taken in slices that are broadcast one after the other.
+   vocabulary.  Its size is checked: beyond ``max_bytes`` of benchmark text, so
+   about as many bytes over six in windows, the windows are taken in slices that
+   are broadcast one after the other.
 2. Each task indexes the postings (term, position) of the test vocabulary in
    blocks of documents; blocks are written as index shards to the shared
    folder.  All positions of a document lie in one shard, so nothing is
@@ -65,14 +66,14 @@ class Windows:
         return out
 
 
-def _index(shared, size: int):
+def _index(shared, gap: int):
     def run(batches):
         vocabulary = shared.value
         get = vocabulary.get
         for b in common.blocks(batches, 1):
             lists = [words(t) for t in b.column(1).to_pylist()]
             n = np.array([len(x) for x in lists], np.int64)
-            bases = np.concatenate(([0], np.cumsum(n + size)))[:-1]
+            bases = np.concatenate(([0], np.cumsum(n + gap)))[:-1]
             ids = np.array([get(w, -1) for x in lists for w in x], np.int64)
             place = np.repeat(bases - np.concatenate(([0], np.cumsum(n)))[:-1], n) + np.arange(len(ids))
             keep = ids >= 0
@@ -117,7 +118,7 @@ class Plan:
     def of(cls, windows: Windows, frequency: np.ndarray, slop: int) -> Plan:
         size = max(map(len, windows.terms), default=0)
         n = len(windows.terms)
-        rank_terms, rank_offsets = np.full((n, size), -1, np.int64), np.zeros((n, size), np.int64)
+        rank_terms, rank_offsets = np.full((n, size), -1, np.int32), np.zeros((n, size), np.uint8 if size <= 256 else np.int32)
         first: dict[int, list[int]] = {}
         for i, w in enumerate(windows.terms):
             order = sorted(range(len(w)), key=lambda o: (frequency[w[o]], o))
@@ -125,10 +126,10 @@ class Plan:
             rank_offsets[i, : len(w)] = order
             if frequency[w[order[0]]]:
                 first.setdefault(w[order[0]], []).append(i)
-        near = []
+        near, names = [], list(windows.vocabulary)
         for item, texts in windows.whole.items():
             for ids in texts:
-                rare = sorted(set(ids), key=lambda t: (frequency[t], t))[:4]
+                rare = sorted(set(ids), key=lambda t: (frequency[t], names[t]))[:4]
                 if len(rare) == 4 and all(frequency[t] for t in rare):
                     near.append((item, tuple(rare)))
         return cls(rank_terms, rank_offsets, np.array([len(w) for w in windows.terms]), {t: np.array(v) for t, v in first.items()}, windows.items, near, slop)
@@ -148,7 +149,7 @@ class Plan:
         keep = start >= 0
         start, window = start[keep], window[keep]
         for r in range(1, self.rank_terms.shape[1]):
-            wanted = self.rank_terms[window, r]
+            wanted = self.rank_terms[window, r].astype(np.int64)
             probe = (wanted << 32) | (start + self.rank_offsets[window, r])
             at = np.searchsorted(key, probe)
             ok = (wanted < 0) | (key[np.minimum(at, len(key) - 1)] == probe)
@@ -233,10 +234,10 @@ def _merge(rows: pa.Table) -> pa.Table:
     return pa.Table.from_batches([common.record(_RESULT, *zip(_digest(rows.to_pylist()), strict=True))])
 
 
-def build_index(docs: DataFrame, windows: Windows, size: int) -> DataFrame:
-    """Index shards of (row, text) over a vocabulary, written to the shared folder."""
+def build_index(docs: DataFrame, windows: Windows, gap: int) -> DataFrame:
+    """Index shards of (row, text) over a vocabulary, written to the shared folder; ``gap`` places part two documents."""
     shared = docs.sparkSession.sparkContext.broadcast(windows.vocabulary)
-    return common.scratch(docs.mapInArrow(common.tidy(_index(shared, size)), SHARD), "postings")
+    return common.scratch(docs.mapInArrow(common.tidy(_index(shared, gap)), SHARD), "postings")
 
 
 def search(index: DataFrame, windows: Windows, slop: int) -> DataFrame:
@@ -250,14 +251,16 @@ def search(index: DataFrame, windows: Windows, slop: int) -> DataFrame:
     return index.mapInArrow(common.tidy(_intersect(index.sparkSession.sparkContext.broadcast(plan))), FOUND)
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, slop: int = 26, max_bytes: int = 32 << 20) -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, slop: int = 26, max_bytes: int = 8 << 20) -> DataFrame:
     """Per row of ``docs`` (doc_id, text): doc_id, n_words, n_hit, n_items, items_sha256, contaminated, n_near.
 
     ``benchmark`` has item_id and text.  Null or wordless texts have no words,
     no hits and the digest of no items; items without id or words are ignored;
     items of one id count once; repeated documents are answered each.
-    ``n_near`` counts items that come near (their four rarest words within
-    ``slop`` words) without an exact window.
+    ``n_near`` counts items that come near without an exact window: all of their
+    four words that are rarest in ``docs`` (ties by word) stand within ``slop``
+    words of one place of the rarest; an item of fewer different words, or with
+    one of the four in no document, comes near nowhere.
     """
     items = benchmark.where(F.col("item_id").isNotNull() & F.col("text").isNotNull()).select(F.col("item_id").cast("string").alias("item"), "text")
     total = items.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
@@ -270,7 +273,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, slo
     for i in range(slices):
         part = items if slices == 1 else items.where(F.pmod(F.xxhash64("item"), F.lit(slices)) == i)
         windows = Windows.of(sorted((r["item"], r["text"]) for r in part.collect()), size)
-        got = search(build_index(numbered, windows, size), windows, slop)
+        got = search(build_index(numbered, windows, max(size, slop) + 1), windows, slop)
         found = got if found is None else found.unionByName(got)
     if slices == 1:
         out = found.mapInArrow(common.tidy(_digests), RESULT).withColumnRenamed("row", "doc_id")

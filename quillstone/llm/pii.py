@@ -294,15 +294,24 @@ def pseudonymise(docs: DataFrame, key: str, column: str = "text") -> DataFrame:
     """``docs`` with ``column`` rewritten and one more column, ``pii_kinds`` (array of kinds found).
 
     A null text stays null with no kinds; an empty one stays empty.  Other
-    columns are passed on untouched.  Repeated rows are rewritten alike.
+    columns are passed on untouched: where ``docs`` has a ``pii_kinds`` already,
+    the new column's name gets underscores until it is free.  Repeated rows are
+    rewritten alike.
     """
+
+    def free(name: str) -> str:
+        while name.lower() in {c.lower() for c in docs.columns}:
+            name += "_"
+        return name
+
+    staging, kinds = free("values"), free("pii_kinds")
     text = F.col(column)
     found = F.when(text.rlike("[0-9@]"), F.regexp_extract_all(text, F.lit(ANY), F.lit(0)))
     values = F.transform(found, lambda x: rewritten(x, key))
-    staged = docs.withColumn("__values", F.when(F.size(found) > 0, values))
-    joined = F.array_join(F.zip_with(F.split(text, ANY, -1), F.col("__values"), lambda piece, v: F.concat(piece, F.coalesce(v["value"], F.lit("")))), "")
+    staged = docs.withColumn(staging, F.when(F.size(found) > 0, values))
+    joined = F.array_join(F.zip_with(F.split(text, ANY, -1), F.col(staging), lambda piece, v: F.concat(piece, F.coalesce(v["value"], F.lit("")))), "")
     return (
-        staged.withColumn("pii_kinds", F.coalesce(F.flatten(F.transform("__values", lambda v: v["kinds"])), F.array().cast("array<string>")))
-        .withColumn(column, F.when(F.size("pii_kinds") > 0, joined).otherwise(text))
-        .drop("__values")
+        staged.withColumn(kinds, F.coalesce(F.flatten(F.transform(staging, lambda v: v["kinds"])), F.array().cast("array<string>")))
+        .withColumn(column, F.when(F.size(kinds) > 0, joined).otherwise(text))
+        .drop(staging)
     )

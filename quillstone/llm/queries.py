@@ -70,7 +70,7 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .decontamination import decontaminate
 
-    return decontaminate(common.table(spark, sf_dir, "documents", "doc_id", "text"), common.table(spark, sf_dir, "benchmark", "item_id", "text")).drop("n_near")
+    return decontaminate(common.table(spark, sf_dir, "documents", "doc_id", "text"), common.table(spark, sf_dir, "benchmark", "item_id", "text"))
 
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -130,10 +130,19 @@ dw AS (SELECT doc_id, size, i, array_to_string(w[i:i + size - 1], ' ') AS win
        FROM (SELECT doc_id, w, size, unnest(range(1, len(w) - size + 2)) AS i FROM d, sizes WHERE len(w) >= size)),
 occ AS (SELECT doc_id, i, dw.size, item FROM dw JOIN bw ON dw.size = bw.size AND dw.win = bw.win),
 hit AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + size)) AS p FROM (SELECT DISTINCT doc_id, i, size FROM occ)) GROUP BY doc_id),
-its AS (SELECT doc_id, count(*) AS n_items, sha256(string_agg(item, ',' ORDER BY item)) AS h FROM (SELECT DISTINCT doc_id, item FROM occ) GROUP BY doc_id)
+its AS (SELECT doc_id, count(*) AS n_items, sha256(string_agg(item, ',' ORDER BY item)) AS h FROM (SELECT DISTINCT doc_id, item FROM occ) GROUP BY doc_id),
+pos AS (SELECT doc_id, unnest(w) AS t, unnest(range(len(w))) AS p FROM d),
+fr AS (SELECT t, count(*) AS n FROM pos GROUP BY t),
+bn AS (SELECT row_number() OVER () AS bid, item, w FROM b WHERE len(w) > 0),
+rk AS (SELECT bid, item, t, coalesce(n, 0) AS n, row_number() OVER (PARTITION BY bid ORDER BY coalesce(n, 0), t) AS k FROM (SELECT DISTINCT bid, item, unnest(w) AS t FROM bn) LEFT JOIN fr USING (t)),
+rare AS (SELECT * FROM rk WHERE k <= 4 AND bid IN (SELECT bid FROM rk WHERE k <= 4 GROUP BY bid HAVING count(*) = 4 AND min(n) > 0)),
+rp AS (SELECT bid, item, k, doc_id, p FROM rare JOIN pos USING (t)),
+nr AS (SELECT DISTINCT doc_id, item FROM (SELECT x.bid, x.item, x.doc_id, x.p FROM rp x JOIN rp y ON x.bid = y.bid AND x.doc_id = y.doc_id AND x.k = 1 AND y.k > 1 AND abs(x.p - y.p) <= 26
+       GROUP BY x.bid, x.item, x.doc_id, x.p HAVING count(DISTINCT y.k) = 3)),
+near AS (SELECT doc_id, count(*) AS n_near FROM nr ANTI JOIN (SELECT DISTINCT doc_id, item FROM occ) USING (doc_id, item) GROUP BY doc_id)
 SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, coalesce(h, sha256('')) AS items_sha256,
-       coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
-FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN its USING (doc_id)""",
+       coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated, coalesce(n_near, 0) AS n_near
+FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN its USING (doc_id) LEFT JOIN near USING (doc_id)""",
     "op5_embeddings": """
 WITH RECURSIVE v AS (
   SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings

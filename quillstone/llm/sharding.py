@@ -4,7 +4,7 @@ A document descends region, rack and shard levels.  At a node every child
 draws ``-ln(u) / weight`` from a hash of (doc_id, child), and the least draw
 wins, so a child gets its share of the weight and a changed weight moves rows
 only to or from the child that has it.  Below an unchanged subtree nothing
-moves.  New shards that fill a fresh region take rows only into themselves.
+moves.  A new shard in a region of its own takes rows only into itself.
 Everything is built of DataFrame expressions; each row is placed on its own.
 """
 
@@ -33,8 +33,7 @@ class Node:
 def even_tree(shards: int, racks: int = 2, per_rack: int = 4) -> Node:
     """Shards 0..n-1 of weight 1, ``per_rack`` in a rack, ``racks`` in a region.
 
-    When the last region is full (n a multiple of racks * per_rack), shard n
-    opens a new region, and growth to n + 1 moves rows only into shard n.
+    ``grow`` adds shards to it one by one so that rows move only into the new one.
     """
     regions = []
     size = racks * per_rack
@@ -48,6 +47,15 @@ def even_tree(shards: int, racks: int = 2, per_rack: int = 4) -> Node:
     return Node("root", children=tuple(regions))
 
 
+def grow(tree: Node, shard: int, weight: float = 1.0) -> Node:
+    """The tree and one more shard in a region of its own, so that it takes rows only into itself, whatever the tree."""
+    name = str(len(tree.children))
+    while name in {c.name for c in tree.children}:
+        name += "+"
+    fresh = Node(name, children=(Node(f"{name}/0", children=(Node(f"{name}/0/{shard}", shard, weight),)),))
+    return Node(tree.name, children=(*tree.children, fresh))
+
+
 def _draw(key: Column, node: Node) -> Column:
     """-ln(u) / weight with u in (0, 1) from 52 bits of a hash of the key and the child."""
     bits = F.shiftrightunsigned(F.xxhash64(key, F.lit(node.name)), 12)
@@ -87,8 +95,9 @@ def assign(docs: DataFrame, tree: Node, grown: Node | None = None, buckets: int
         F.crc32(F.encode(text, "UTF-8")).alias("text_crc32"),
         place(key, tree).cast("int").alias("shard"),
         (place(key, grown) if grown else F.lit(None)).cast("int").alias("grown_shard"),
-        F.pmod(F.xxhash64(key, F.lit("slot")), F.lit(buckets)).cast("int").alias("bucket"),
     )
+    # by all that a row is, so that rows of one doc_id are spread
+    placed = placed.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "text_crc32", "size"), F.lit(buckets)).cast("int"))
     counts = placed.groupBy("shard", "bucket").agg(F.count(F.lit(1)).alias("n"))
     before = Window.partitionBy("shard").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.select("shard", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
@@ -98,7 +107,12 @@ def assign(docs: DataFrame, tree: Node, grown: Node | None = None, buckets: int
 
 
 def shard_documents(docs: DataFrame, shards: int, rows_per_bucket: int = 50_000) -> DataFrame:
-    """The ``key`` law: doc_id and the number of shards decide where a row goes."""
+    """The ``key`` law: doc_id and the number of shards decide where a row goes.
+
+    ``grown_shard`` is the place in ``grow(even_tree(shards))``, the tree with
+    one more shard; it differs only for rows that move into that shard, for
+    every number of shards.
+    """
     rows = docs.select("doc_id").count()
     buckets = max(64, -(-rows // (rows_per_bucket * shards)))
-    return assign(docs, even_tree(shards), even_tree(shards + 1), buckets).withColumn("law", F.lit("key"))
+    return assign(docs, even_tree(shards), grow(even_tree(shards), shards), buckets).withColumn("law", F.lit("key"))

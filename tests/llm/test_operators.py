@@ -82,6 +82,63 @@ def test_suffix_order(seed):
         assert prefix[k] == n
 
 
+@pytest.mark.parametrize("seed", range(40))
+def test_suffix_order_by_ranges(seed, monkeypatch):
+    monkeypatch.setattr(induced, "FEW", 3)
+    monkeypatch.setattr(induced, "WORTH", 5)
+    r = np.random.default_rng(seed)
+    a = int(r.integers(1, 30))
+    t = np.append(np.repeat(r.integers(1, a + 1, r.integers(1, 60)), r.integers(1, 4)), 0)
+    assert induced.suffix_array(t, a + 1, memory=64).tolist() == sorted(range(len(t)), key=lambda i: t[i:].tolist())
+
+
+def test_suffix_sort_recurses_and_spills():
+    r = np.random.default_rng(1)
+    vocabulary = [bytes(r.integers(97, 123, r.integers(2, 9)).astype(np.uint8)) for _ in range(2000)]
+    raw = b" ".join(vocabulary[i] for i in np.minimum(r.zipf(1.3, 40_000) - 1, 1999))
+    t = np.append(np.frombuffer(raw, np.uint8).astype(np.int16) + 2, 0).astype(np.int16)
+    trace = []
+    order, shared = induced.suffix_array(t, 258, memory=1 << 14, cap=50, trace=trace)
+    assert len(trace) >= 3 and max(x["symbols"] for x in trace) > induced.FEW and sum(x["spilled"] for x in trace) > 0
+    assert sorted(order.tolist()) == list(range(len(t)))
+    whole = (np.frombuffer(raw, np.uint8).astype(np.uint8) + 1).tobytes() + b"\0"
+    k = r.integers(1, len(t), 3000)
+    assert all(whole[order[i - 1] :][:2000] <= whole[order[i] :][:2000] for i in k.tolist())
+    assert shared.tolist() == induced.common_prefixes(t, order, 50).tolist()
+
+
+def test_a_shard_larger_than_memory_is_parted_by_anchor(monkeypatch):
+    r = np.random.default_rng(5)
+    rows = []
+    anchors = r.integers(1, 1 << 63, 40).astype(np.uint64)
+    bodies = [bytes(r.integers(97, 100, 84).astype(np.uint8)) for _ in range(60)]
+    for block in range(30):
+        n = 12
+        which, uses = r.integers(0, 60, n), r.integers(1, 3, n).astype("<u4")
+        rows.append({
+            "block": block, "hashes": anchors[which % 40], "folds": which.astype(np.uint64), "lengths": np.full(n, 84, np.uint8), "owners": r.integers(0, 50, n).astype("<i8"), "uses": uses,
+            "docs": r.integers(0, 9, uses.sum()).astype("<u4"), "starts": r.integers(0, 900, uses.sum()).astype("<i8"), "bytes": np.frombuffer(b"".join(bodies[i] for i in which), np.uint8),
+        })
+
+    def marks(parts):
+        out = Counter()
+        for part in parts:
+            for block, _, _, docs, starts, ends in suffix_dedup._marks(part, 1 << 12):
+                out.update(zip([block] * (len(docs) // 4), np.frombuffer(docs, "<u4").tolist(), np.frombuffer(starts, "<i8").tolist(), np.frombuffer(ends, "<i8").tolist()))
+        return out
+
+    spool = suffix_dedup.Spool()
+    for row in rows:
+        spool.add(row)
+    want = marks(spool.parts())
+    monkeypatch.setattr(suffix_dedup, "HELD", 8000)
+    spool = suffix_dedup.Spool()
+    for row in rows:
+        spool.add(row)
+    parts = list(spool.parts())
+    assert spool.file and len(parts) > 3 and want and marks(parts) == want
+
+
 def repeats(rows, length=50):
     first = {}
     for i, t in sorted((i, (t or "").encode()) for i, t in rows if i is not None):
@@ -155,8 +212,21 @@ def test_pieces_equal_the_library():
         want = t.encode(x, add_special_tokens=False).ids
         assert np.frombuffer(p.ids(x), "<u2").tolist() == want, repr(x)
         got = p.split(x)
-        if got is not None:
-            assert sum(p.count_new([w])[0] for w in got[0]) + len(got[1]) == len(want)
+        assert sum(p.count_new([w])[0] for w in got[0]) + len(got[1]) == len(want)
+
+
+def test_any_text_is_split_to_pre_tokens():
+    p, t = pretokens.Pieces(BPE), library()
+    texts = ["Ἀθῆναι — “quoted” ’tis", "漢字かな交じり文 and 한국어", "Привет, мир! don’t <|endoftext|> it's", "H\u0331i İstanbul ẞ K\u0301 x\u0301y 👩‍👩‍👧 ½ ٣٤", "naïve ﬁ ǅ Σς ΑΣ"]
+    want = [t.encode(x, add_special_tokens=False).ids for x in texts]
+    p.whole = None  # the library never gets a whole text
+    assert [np.frombuffer(x, "<u2").tolist() for x in p.ids_of(texts)] == want
+    rows, specials = token_counts._fold_block(p, texts, 4)
+    total = specials.copy()
+    for _, tokens, spread, at, freqs in rows:
+        counts = np.repeat(p.count_new(tokens.split(" ")), np.frombuffer(spread, "<u2"))
+        np.add.at(total, np.frombuffer(at, "<u2"), counts * np.frombuffer(freqs, "<u4"))
+    assert total.tolist() == [len(x) for x in want]
 
 
 def test_token_counts(spark, docs):
@@ -198,6 +268,30 @@ def test_packing(spark, docs, window):
     assert packing.pack(with_text(spark, []), BPE).collect() == []
 
 
+@pytest.mark.parametrize("chunk", [40_000, 2048])
+def test_the_mix_places_most_remainders(chunk):
+    r = np.random.default_rng(3)
+    lengths = np.maximum(1, r.lognormal(5.5, 1.2, 40_000).astype(np.int64))
+    mix, repeats = packing.solve_mix(np.bincount(-(-(lengths % 4096) // 64), minlength=65)[1:])
+    whole = pieces = seq = 0
+    for k in range(0, len(lengths), chunk):
+        part = lengths[k : k + chunk]
+        got, seq = packing.plan(part, 4096, mix, repeats, len(part) / len(lengths), k // chunk, seq)
+        tails = Counter(i for i, start, *_ in got if start >= part[i] - part[i] % 4096)
+        whole, pieces = whole + sum(n == 1 for n in tails.values()), pieces + len(got)
+    assert whole > 0.6 * len(lengths) and pieces < 1.4 * len(lengths)
+
+
+def test_packing_of_many_small_partitions(spark, monkeypatch):
+    r = random.Random(4)
+    rows = [(i, text(r, r.randrange(1, 120))) for i in range(600)]
+    docs = with_text(spark, rows).repartition(64)
+    monkeypatch.setattr(packing, "PER_TASK", 200)
+    got = packing.pack(docs, BPE, window=256).collect()
+    check_packing(docs.collect(), got, 256)
+    assert len({p.sequence_id >> 32 for p in got}) <= 3
+
+
 def test_combinations_and_least_squares():
     assert set(packing.combinations(5, 3)) == {(5,), (4, 1), (3, 2), (3, 1, 1), (2, 2, 1)}
     r = np.random.default_rng(1)
@@ -265,6 +359,12 @@ def test_pseudonyms_of_values_with_neighbours(spark):
     assert kinds[2] == ["card"] and kinds[8] == ["iban", "card"] and kinds[16] == [] and out[16] == texts[16]
 
 
+def test_pseudonyms_leave_other_columns(spark):
+    row = spark.createDataFrame([("call 4845168114407329", ["mine"], 7, "x")], "text string, pii_kinds array<string>, `values` int, __values string")
+    got = pii.pseudonymise(row, "k").first()
+    assert got["pii_kinds"] == ["mine"] and got["values"] == 7 and got["__values"] == "x" and got["pii_kinds_"] == ["card"] and got["text"] != "call 4845168114407329"
+
+
 def test_permutations_are_one_to_one(spark):
     digits = spark.range(1000).select(F.lpad(F.col("id").cast("string"), 3, "0").alias("d"))
     assert digits.select(pii.permute_digits(F.col("d"), "k", "t").alias("p")).distinct().count() == 1000
@@ -302,6 +402,13 @@ def test_tree_moves_rows_only_where_weights_change(spark):
     count = Counter(r.a for r in n24)
     assert len(count) == 24 and max(count.values()) < 1.2 * 20000 / 24 and {r.b for r in n24 if r.a != r.b} == {24}
     assert 0.8 < Counter(r.b for r in n24)[24] / (20000 / 25) < 1.2
+    for n in (1, 5, 8, 26):
+        tree = sharding.even_tree(n)
+        for shard in (n, n + 1):  # grown twice, one by one
+            more = sharding.grow(tree, shard)
+            moved = ids.select(sharding.place(F.col("id"), tree).alias("a"), sharding.place(F.col("id"), more).alias("b")).where("a <> b").select("b").distinct().collect()
+            assert [r.b for r in moved] == [shard]
+            tree = more
     N = sharding.Node
     tree = N("root", children=(N("x", children=(N("x0", 0, 1.0), N("x1", 1, 1.0))), N("y", children=(N("y0", 2, 1.0), N("y1", 3, 1.0)))))
     more = N("root", children=(N("x", children=(N("x0", 0, 1.0), N("x1", 1, 2.0))), tree.children[1]))
@@ -360,6 +467,21 @@ def test_embeddings_by_the_graph(spark):
     assert all(got[i] <= n for i, n in want.items()) and recall > 0.99
 
 
+def test_embeddings_of_large_shards(spark):
+    r = np.random.default_rng(9)
+    v = r.normal(size=(400, 16))[r.integers(0, 400, 2600)] + 0.12 * r.normal(size=(2600, 16)) * r.random((2600, 1))
+    unit = v / np.linalg.norm(v, axis=1, keepdims=True)
+    link = (unit @ unit.T >= 0.93) & ~np.eye(len(v), dtype=bool)
+    low = np.arange(len(v))
+    for _ in range(60):
+        low = np.minimum(low, np.where(link, low[None, :], len(v)).min(1))
+    frame = spark.createDataFrame([(int(i), x.tolist(), 1, "extra") for i, x in enumerate(v)], "vec_id long, embedding array<double>, label int, n_links string")
+    got = {x.vec_id: tuple(x) for x in embeddings.near_duplicates(frame, 0.93, shard_size=900, ef=24).collect()}
+    assert got == {i: (i, int(link[i].sum()), int(low[i]), low[i] == i) for i in range(len(v))}
+    audit = embeddings.audits(frame, 0.93, shard_size=900, ef=24).first()
+    assert audit.links > 100 and audit.found >= 0.99 * audit.links and audit.searched >= 2 * len(v) and audit.scanned == 0
+
+
 def test_graph_finds_neighbours():
     r = np.random.default_rng(4)
     v = embeddings._unit(r.normal(size=(1500, 16)) + 3 * r.normal(size=(30, 16))[r.integers(0, 30, 1500)])
@@ -480,8 +602,11 @@ def test_decontamination(spark, docs, max_bytes):
 
 def test_proximity(spark):
     items = spark.createDataFrame([(1, "zebra yak xylophone walrus " + "the " * 9)], "item_id long, text string")
-    near = decontamination.decontaminate(with_text(spark, [(1, "walrus and a zebra or the yak with xylophone"), (2, "zebra " + "q " * 40 + "yak xylophone walrus the"), (3, "zebra yak the")]), items)
+    near = decontamination.decontaminate(with_text(spark, [(1, "walrus and a zebra or the yak with xylophone"), (2, "zebra " + "q " * 40 + "yak xylophone walrus the"), (3, "zebra yak the the the the")]), items)
     assert {r.doc_id: (r.n_near, r.n_hit) for r in near.collect()} == {1: (1, 0), 2: (0, 0), 3: (0, 0)}
+    parted = [(1, "zebra yak xylophone walrus"), (2, "the the the zebra yak"), (3, "xylophone walrus")]  # words of different documents are not near
+    near = decontamination.decontaminate(with_text(spark, parted).coalesce(1), items)
+    assert {r.doc_id: r.n_near + r.n_hit for r in near.collect()} == {1: 1, 2: 0, 3: 0}
 
 
 # --- 9 toxicity
