@@ -7,11 +7,34 @@ from ..plans.builder import Step, plan
 
 
 def report(bound: BoundSelect) -> list[str]:
-    """Lines of the plan tree, children indented.  Every step's rows are counted by running it."""
-    return _lines(plan(bound), 0)
+    """Lines of the plan tree, children indented.
 
+    One run counts the rows of all steps.  It ends below the last sort,
+    projection and limit, whose rows follow: a limit would cut short what is
+    below it, and a sort reads its input twice.
+    """
+    top, again = plan(bound, watched=True), plan(bound)
+    core = top
+    while core.seen is None:
+        core = core.inputs[0]
+    core.frame.count()
+    counts: dict[int, int] = {}
 
-def _lines(step: Step, depth: int) -> list[str]:
+    def count(step: Step, plain: Step) -> None:
+        for a, b in zip(step.inputs, plain.inputs, strict=True):
+            count(a, b)
+        if step.seen is None:
+            below = counts[id(step.inputs[0])]
+            counts[id(step)] = max(0, min(bound.limit, below - bound.offset)) if step.kind == "Limit" else below
+        else:
+            rows = step.seen.get.get("rows")  # a step that the run could leave out, as beside an empty join, has none
+            counts[id(step)] = plain.frame.count() if rows is None else rows
+
+    count(top, again)
+    return _lines(top, 0, counts)
+
+
+def _lines(step: Step, depth: int, counts: dict[int, int]) -> list[str]:
     about = [f"{k}=[{', '.join(v)}]" if isinstance(v, list) else f"{k}={v}" for k, v in step.about.items()]
-    line = "\t" * depth + f"{step.kind}({', '.join([*about, f'rows={step.frame.count()}'])})"
-    return [line] + [x for child in step.inputs for x in _lines(child, depth + 1)]
+    line = "\t" * depth + f"{step.kind}({', '.join([*about, f'rows={counts[id(step)]}'])})"
+    return [line] + [x for child in step.inputs for x in _lines(child, depth + 1, counts)]

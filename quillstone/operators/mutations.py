@@ -144,6 +144,10 @@ def _unique(after: DataFrame, name: str, index, types, changed: set[str]) -> Non
     """No changed key may be there twice; rows that held a key twice before may stay."""
     keys = [X.key_part(quoted(c), types[c]).alias(f"__key_{c}") for c in index]
     moved = F.col("__chosen") & ~F.forall(F.array(*[X.key_part(quoted(c), types[c]) == quoted(f"__old_{c}") for c in index if c in changed]), lambda x: x)
-    double = after.select(*keys, moved.alias("__moved")).groupBy(*[f"__key_{c}" for c in index]).agg(F.count(F.lit(1)).alias("n"), F.max("__moved").alias("moved"))
+    names = [f"__key_{c}" for c in index]
+    held = after.select(*keys, moved.alias("__moved"))
+    # only rows that share a key with one that moved are counted
+    held = held.join(held.where("__moved").select(*names).distinct(), names, "left_semi")
+    double = held.groupBy(*names).agg(F.count(F.lit(1)).alias("n"), F.max("__moved").alias("moved"))
     if not double.where("n > 1 AND moved").limit(1).isEmpty():
         raise UniqueKeyError(f"{name}({', '.join(index)}) would have a key twice")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..functions import expressions as X
@@ -18,12 +18,23 @@ def quoted(name: str) -> Column:
 
 @dataclass
 class Step:
-    """One step of a plan, for reports: what it is, its rows, and what feeds it."""
+    """One step of a plan, for reports: what it is, its rows, and what feeds it.
+
+    A step that is ``watched`` counts its rows while a later one runs.  The last
+    sort, projection and limit need no watching: their rows follow from the rest.
+    """
 
     kind: str
     about: dict
     frame: DataFrame
     inputs: list[Step] = field(default_factory=list)
+    watched: bool = False
+    seen: Observation | None = None
+
+    def __post_init__(self):
+        if self.watched:
+            self.seen = Observation()
+            self.frame = self.frame.observe(self.seen, F.count(F.lit(1)).alias("rows"))
 
 
 def _filter(t: Test) -> Column:
@@ -37,14 +48,14 @@ def _filter(t: Test) -> Column:
     return X.compare(t.op, left, X.literal(t.left.type, t.right))
 
 
-def _scan(bound: BoundSelect, at: int) -> Step:
+def _scan(bound: BoundSelect, at: int, watched: bool) -> Step:
     source = bound.sources[at]
     frame = source.table.load()
     frame = frame.select(*[quoted(n).alias(f"s{at}_{n}") for n in source.table.columns])
     for s, t in bound.filters:
         if s == at:
             frame = frame.where(_filter(t))
-    return Step("Scan", {"table": source.table.name, "type": "SeqScan"}, frame)
+    return Step("Scan", {"table": source.table.name, "type": "SeqScan"}, frame, watched=watched)
 
 
 def _show(t: Test) -> str:
@@ -60,14 +71,14 @@ def _pruned(step: Step, bound: BoundSelect, at: int) -> Step:
     need = sorted({r.shown: r for r in refs if r.source == at}.items())
     if not need:
         return step
-    return Step("Project", {"columns": [n for n, _ in need]}, step.frame.select(*[quoted(r.internal) for _, r in need]), [step])
+    return Step("Project", {"columns": [n for n, _ in need]}, step.frame.select(*[quoted(r.internal) for _, r in need]), [step], step.watched)
 
 
-def _join(bound: BoundSelect) -> Step:
+def _join(bound: BoundSelect, watched: bool) -> Step:
     """All sources joined, each next one by conditions if any source left has some."""
     left = list(range(len(bound.sources)))
     first = left.pop(0)
-    step = _scan(bound, first)
+    step = _scan(bound, first, watched)
     if left:
         step = _pruned(step, bound, first)
     inside, open_ = {first}, list(bound.joins)
@@ -80,13 +91,13 @@ def _join(bound: BoundSelect) -> Step:
         names.append(bound.sources[at].table.name)
         now = [t for t in open_ if {t.left.source, t.right.source} <= inside]
         open_ = [t for t in open_ if t not in now]
-        right = _pruned(_scan(bound, at), bound, at)
+        right = _pruned(_scan(bound, at, watched), bound, at)
         if now:
             on = [X.compare_typed(t.op, quoted(t.left.internal), t.left.type, quoted(t.right.internal), t.right.type) for t in now]
             frame = step.frame.join(right.frame, on, "inner")
         else:
             frame = step.frame.crossJoin(right.frame)
-        step = Step("Join", {"tables": sorted(names), "condition": sorted(map(_show, now))}, frame, [step, right])
+        step = Step("Join", {"tables": sorted(names), "condition": sorted(map(_show, now))}, frame, [step, right], watched)
     return step
 
 
@@ -130,11 +141,11 @@ def _grouped(step: Step, bound: BoundSelect) -> Step:
         types = {c: t for c, (_, t) in made.items()}
         for t in bound.having:
             frame = frame.where(_having(t, types))
-    return Step("Aggregate", {"group": [r.shown for r in bound.group]}, frame, [step])
+    return Step("Aggregate", {"group": [r.shown for r in bound.group]}, frame, [step], step.watched)
 
 
-def plan(bound: BoundSelect) -> Step:
-    step = _join(bound)
+def plan(bound: BoundSelect, watched: bool = False) -> Step:
+    step = _join(bound, watched)
     if bound.grouped:
         step = _grouped(step, bound)
     frame = step.frame

@@ -11,7 +11,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .session import Session
+from .errors import DialectError, UniqueKeyError
+from .session import HELP, Session
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 
@@ -62,6 +63,7 @@ SELECTS: dict[str, tuple[str, str | None]] = {
     "join_agg_A14": ("SELECT o_orderpriority, SUM(l_quantity) AS q, COUNT(*) AS n FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY o_orderpriority;", None),
     "low_stock_A3_A14": (
         "SELECT COUNT(DISTINCT l_partkey) AS low_stock FROM lineitem, part WHERE l_partkey = p_partkey AND p_size < 10 AND l_quantity < 5;", None),
+    "agg_caption_P5": ("SELECT COUNT(*), MAX(p_size), MIN(p_name) FROM part;", 'SELECT COUNT(*) AS "COUNT(*)", MAX(p_size) AS "MAX(p_size)", MIN(p_name) AS "MIN(p_name)" FROM part'),
     "agg_count_A1_A12": ("SELECT COUNT(*) AS n FROM lineitem;", None),
     "agg_count_column_A2": ("SELECT COUNT(o_custkey) AS n FROM orders;", None),
     "agg_distinct_A3": ("SELECT COUNT(DISTINCT (l_suppkey)) AS n, COUNT(DISTINCT l_returnflag) AS f FROM lineitem;", "SELECT COUNT(DISTINCT l_suppkey) AS n, COUNT(DISTINCT l_returnflag) AS f FROM lineitem"),
@@ -217,6 +219,57 @@ DECLARED |= {
 }
 
 
+def _refused(*statements: str, refused: str, error: type[DialectError]) -> Callable[[SparkSession, str], DataFrame]:
+    """Declared table p after statements, of which one must fail with an error and change nothing."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        s = _parts(spark, sf_dir)
+        _run(s, *statements)
+        try:
+            s.execute(refused)
+        except error:
+            return s.execute(ALL)
+        raise AssertionError(f"{refused} was not refused")
+
+    return run
+
+
+def _two_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """READ COMMITTED: a transaction sees what another session has committed since it began."""
+    s = _parts(spark, sf_dir)
+    s.execute("BEGIN;")
+    before = s.execute("SELECT COUNT(*) AS n FROM p;").first()["n"]
+    Session(spark, s.house.root).execute("INSERT INTO p VALUES (-3, 'other', 'B', 1, 1);")
+    out = s.execute("SELECT COUNT(*) AS n, MIN(k) AS lowest FROM p;")
+    return out.selectExpr("n", "lowest", f"n - {before} AS added")
+
+
+def _texts(name: str, values) -> str:
+    return "SELECT * FROM (VALUES " + ", ".join("('" + v.replace("'", "''") + "')" for v in values) + f') AS t("{name}")'
+
+
+DECLARED |= {
+    "join_widths_J9": (
+        _declared("CREATE TABLE w (s CHAR(80), n INT);", "INSERT INTO w VALUES ('Brand#11', 1);", "INSERT INTO w VALUES ('Brand#12', 2);", "INSERT INTO w VALUES ('Brand', 3);", "SELECT p.k, w.n FROM p, w WHERE p.brand = w.s;"),
+        f"SELECT k, n FROM {P} JOIN (VALUES ('Brand#11', 1), ('Brand#12', 2), ('Brand', 3)) AS w(s, n) ON brand = s"),
+    "join_cross_types_J11": (
+        _declared("CREATE TABLE f (x FLOAT);", "INSERT INTO f VALUES (3);", "INSERT INTO f VALUES (4.5);", "INSERT INTO f VALUES (7.0);", "SELECT p.k, f.x FROM p, f WHERE p.size = f.x;"),
+        f"SELECT k, x FROM {P} JOIN (VALUES (CAST(3 AS FLOAT)), (CAST(4.5 AS FLOAT)), (CAST(7 AS FLOAT))) AS f(x) ON CAST(size AS DOUBLE) = CAST(x AS DOUBLE)"),
+    "join_null_keys_J10": (
+        _declared("INSERT INTO p VALUES (-1, NULL, NULL, NULL, NULL);", "CREATE TABLE z (size INT, t INT);", "INSERT INTO z VALUES (NULL, 1);", "INSERT INTO z VALUES (7, 2);", "SELECT p.k, z.t FROM p, z WHERE p.size = z.size;"),
+        f"SELECT k, 2 AS t FROM {P} WHERE size = 7"),
+    "union_nulls_U4": (
+        _declared("INSERT INTO p VALUES (-1, NULL, NULL, NULL, NULL);", "INSERT INTO p VALUES (-2, NULL, NULL, NULL, NULL);", "SELECT * FROM (SELECT size AS v FROM p WHERE k < 0 UNION SELECT size FROM p) AS u;"),
+        f"SELECT size AS v FROM {P} UNION SELECT NULL"),
+    "unique_insert_D10": (_refused("CREATE INDEX p (k);", refused="INSERT INTO p VALUES (5, 'twice', 'B', 1, 1);", error=UniqueKeyError), f"SELECT k, size, price FROM {P}"),
+    "unique_update_D10_D14": (_refused("CREATE INDEX p (k);", "UPDATE p SET price = 2 WHERE k = 4;", refused="UPDATE p SET k = 5, price = 1 WHERE k <= 4;", error=UniqueKeyError),
+        f"SELECT k, size, CASE WHEN k = 4 THEN CAST(2 AS FLOAT) ELSE price END AS price FROM {P}"),
+    "ddl_drop_X2_S12": (_declared("CREATE TABLE gone (a INT);", "CREATE TABLE stays (a INT);", "DROP TABLE gone;", "SHOW TABLES;"), _texts("Tables", ["p", "stays", *TABLES])),
+    "txn_read_committed_T2": (_two_sessions, f"SELECT CAST(COUNT(*) + 1 AS INT) AS n, -3 AS lowest, 1 AS added FROM {P}"),
+    "help_X5": (lambda s, d: external(s, d).execute("HELP;"), _texts("help", HELP)),
+}
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: _select(q) for k, (q, _) in SELECTS.items()} | {k: f for k, (f, _) in DECLARED.items()}
 

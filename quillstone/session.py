@@ -8,7 +8,7 @@ from dataclasses import dataclass, field, replace
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .errors import BatchError, ColumnNotFoundError, DialectError, IndexExistsError, IndexNotFoundError, InternalError, InvalidColumnLengthError, InvalidValueCountError, StatementNotFoundError, TableExistsError, TableNotFoundError, TransactionAbortError
+from .errors import BatchError, ColumnNotFoundError, DialectError, IndexExistsError, IndexNotFoundError, InternalError, InvalidColumnLengthError, InvalidValueCountError, LoadError, StatementNotFoundError, TableExistsError, TableNotFoundError, TransactionAbortError
 from .functions.types import ColumnType
 from .operators import explain, mutations
 from .plans import ast, parameters
@@ -164,11 +164,7 @@ class Session:
         if isinstance(statement, ast.Explain) or isinstance(statement, ast.Simple) and statement.what == "help":
             return "\n".join(r[0] for r in frame.collect()) + "\n"
         counted = isinstance(statement, (ast.Select, ast.Union))
-        rows = [tuple(r) for r in frame.collect()] if self.output_on else None
-        if self.output_on:
-            output.append_lines(self.output_path, frame.columns, rows)
-            return output.table(frame.columns, rows, counted)
-        return output.render(frame, counted)
+        return output.render_to_file(frame, self.output_path, counted) if self.output_on else output.render(frame, counted)
 
     def _run(self, statement_of) -> DataFrame | None:
         if self.closed:
@@ -306,7 +302,12 @@ class Session:
             return state.put(name, None, ddl=True)
         if isinstance(s, ast.Load):
             rows = csv_load.read(self.spark, s.path, table.types())
-            return state.put(name, self.house.append(name, table, rows))
+            try:
+                return state.put(name, self.house.append(name, table, rows))
+            except Exception as e:
+                if bad := csv_load.first_bad(self.spark, s.path, table.types()):
+                    raise LoadError(bad) from e
+                raise
         if isinstance(s, Ingest):
             return state.put(name, self.house.append(name, table, s.rows(table.types())))
         if isinstance(s, ast.CreateIndex):

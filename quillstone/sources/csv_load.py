@@ -34,33 +34,27 @@ def header(line: str, names: list[str]) -> list[int] | None:
     return None
 
 
-def _typed(text: Column, name: str, of: ColumnType) -> Column:
-    def wrong(why: str) -> Column:
-        return F.raise_error(F.concat(F.lit(f"{name}: {why}: "), text))
-
+def _typed(text: Column, name: str, of: ColumnType) -> tuple[Column, Column]:
+    """A field's value, and what is wrong with it (null: nothing)."""
     if of.kind == "INT":
         good = text.rlike(r"^\s*[+-]?[0-9]+$")
-        value = F.when(good, F.trim(text).try_cast("int"))
-        return F.when(text == "", F.lit(None).cast("int")).when(value.isNotNull(), value).otherwise(wrong("no 32-bit whole number").cast("int"))
-    if of.kind == "FLOAT":
+        value, why = F.when(good, F.trim(text).try_cast("int")), "no 32-bit whole number"
+        right = (text == "") | value.isNotNull()
+    elif of.kind == "FLOAT":
         good = text.rlike(r"^\s*[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$")
-        value = F.when(good, F.trim(text).try_cast("double").cast("float"))
-        finite = value.isNotNull() & (F.abs(value) < F.lit(float("inf")))
-        return F.when(text == "", F.lit(None).cast("float")).when(finite, value).otherwise(wrong("no finite number").cast("float"))
-    return F.when(F.octet_length(text) <= of.length, text).otherwise(wrong(f"longer than {of.length} bytes"))
+        value, why = F.when(good, F.trim(text).try_cast("double").cast("float")), "no finite number"
+        right = (text == "") | value.isNotNull() & (F.abs(value) < F.lit(float("inf")))
+    else:
+        value, why = text, f"longer than {of.length} bytes"
+        right = F.octet_length(text) <= of.length
+    return value, F.when(~right, F.concat(F.lit(f"{name}: {why}: "), text))
 
 
-def read(spark: SparkSession, path: str, columns: dict[str, ColumnType]) -> DataFrame:
-    """The rows of a file.
-
-    A first line that names every column once is a header and maps fields by
-    name.  Blank lines are skipped, fields beyond the columns ignored; a line
-    with too few fields, a bad number or too long a text stops the statement.
-    Empty INT and FLOAT fields are null, empty texts stay empty.
-    """
+def _parsed(spark: SparkSession, path: str, columns: dict[str, ColumnType]) -> tuple[DataFrame, DataFrame, list[tuple[str, Column, Column]]]:
+    """All lines with their place (start of the file's split, number within the scan); data lines as fields f; and per column its name, value and what is wrong."""
     try:
-        lines = spark.read.option("lineSep", "\n").text(path)
-        top = lines.limit(1).collect()
+        lines = spark.read.option("lineSep", "\n").text(path).select(F.regexp_replace("value", "\r$", "").alias("line"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("id"))
+        top = lines.where("start = 0").limit(1).collect()
     except Exception as e:
         if "PATH_NOT_FOUND" in str(e):
             raise FileMissingError(path) from e
@@ -68,16 +62,38 @@ def read(spark: SparkSession, path: str, columns: dict[str, ColumnType]) -> Data
     if not top:
         raise LoadError(f"{path} is empty")
     names = list(columns)
-    first = top[0]["value"].removesuffix("\r")
-    places = header(first, names)
-    line = F.regexp_replace("value", "\r$", "")
-    rows = lines.select(line.alias("line")).where(F.length("line") > 0)
-    if places:
-        rows = rows.where(F.col("line") != F.lit(first))
+    places = header(top[0]["line"], names)
+    rows = lines.where(F.length("line") > 0)
+    if places:  # the first line of the file, by its place: a later line may say the same
+        rows = rows.where((F.col("start") != 0) | (F.col("id") != top[0]["id"]))
     else:
         places = list(range(len(names)))
     need = max(places) + 1
-    split = rows.select(fields(F.col("line")).alias("f"), "line")
-    few = F.raise_error(F.concat(F.lit("too few fields: "), F.col("line")))
-    split = split.select(F.when(F.size("f") >= need, F.col("f")).otherwise(few.cast("array<string>")).alias("f"))
-    return split.select(*[_typed(F.col("f")[p], n, t).alias(n) for p, (n, t) in zip(places, columns.items(), strict=True)])
+    rows = rows.select(fields(F.col("line")).alias("f"), "line", "start", "id")
+    few = F.when(F.size("f") < need, F.concat(F.lit("too few fields: "), F.col("line")))
+    typed = [(n, *_typed(F.get(F.col("f"), F.lit(p)), n, t)) for p, (n, t) in zip(places, columns.items(), strict=True)]
+    return lines, rows, [(n, v, F.coalesce(few, wrong)) for n, v, wrong in typed]
+
+
+def read(spark: SparkSession, path: str, columns: dict[str, ColumnType]) -> DataFrame:
+    """The rows of a file.
+
+    A first line that names every column once is a header and maps fields by
+    name; a later line that says the same is data.  Blank lines are skipped,
+    fields beyond the columns ignored; a line with too few fields, a bad number
+    or too long a text stops the statement.  Empty INT and FLOAT fields are
+    null, empty texts stay empty.
+    """
+    _, rows, parsed = _parsed(spark, path, columns)
+    return rows.select(*[F.when(wrong.isNull(), v).otherwise(F.raise_error(wrong).cast(columns[n].spark)).alias(n) for n, v, wrong in parsed])
+
+
+def first_bad(spark: SparkSession, path: str, columns: dict[str, ColumnType]) -> str | None:
+    """What is wrong with the first line that doesn't fit, and its number in the file; None: all lines fit."""
+    lines, rows, parsed = _parsed(spark, path, columns)
+    bad = rows.select("start", "id", F.coalesce(*[wrong for _, _, wrong in parsed]).alias("why")).where("why IS NOT NULL")
+    found = bad.agg(F.min(F.struct("start", "id", "why")).alias("first")).first()["first"]
+    if found is None:
+        return None
+    number = lines.where((F.col("start") < found["start"]) | (F.col("start") == found["start"]) & (F.col("id") <= found["id"])).count()
+    return f"line {number}: {found['why']}"

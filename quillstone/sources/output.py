@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterable
+from itertools import islice
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -25,8 +26,13 @@ def _fit(text: str) -> str:
     return raw[: WIDTH - 3].decode(errors="ignore") + "..." if len(raw) > WIDTH else " " * (WIDTH - len(raw)) + text
 
 
-def table(names: list[str], rows: Iterable[tuple], count: bool = True) -> str:
-    """The bordered table; rows beyond the client's buffer are left out and marked, but counted."""
+def most_shown(names: list[str]) -> int:
+    """More rows than the client's buffer can hold."""
+    return BUFFER // (2 + (WIDTH + 3) * len(names)) + 1
+
+
+def table(names: list[str], rows: Iterable[tuple], count: bool = True, total: int | None = None) -> str:
+    """The bordered table; rows beyond the client's buffer are left out and marked, but counted, or there are ``total``."""
     rule = "+" + ("-" * (WIDTH + 2) + "+") * len(names) + "\n"
 
     def line(cells: Iterable[str]) -> str:
@@ -45,19 +51,35 @@ def table(names: list[str], rows: Iterable[tuple], count: bool = True) -> str:
     out.append(rule)
     if cut:
         out.append("... ...\n")
-    return "".join(out) + (f"Total record(s): {n}\n" if count else "")
+    return "".join(out) + (f"Total record(s): {n if total is None else total}\n" if count else "")
 
 
 def render(frame: DataFrame, count: bool = True) -> str:
-    """A DataFrame as the client shows it; rows stream to the driver one partition at a time."""
-    return table(frame.columns, (tuple(r) for r in frame.toLocalIterator()), count)
+    """A DataFrame as the client shows it: only rows that can be shown reach the driver, the others are counted where they are."""
+    most = most_shown(frame.columns)
+    rows = [tuple(r) for r in frame.limit(most).collect()]
+    return table(frame.columns, rows, count, frame.count() if count and len(rows) == most else len(rows))
+
+
+def render_to_file(frame: DataFrame, path: str, count: bool = True) -> str:
+    """The same, with all rows appended to the output file; they stream through the driver one partition at a time."""
+    most = most_shown(frame.columns)
+    rows = (tuple(r) for r in frame.toLocalIterator())
+    head = list(islice(rows, most))
+    n = append_lines(path, frame.columns, head) + append_lines(path, None, rows)
+    return table(frame.columns, head, count, n)
 
 
-def append_lines(path: str, names: list[str], rows: Iterable[tuple]) -> None:
-    """Compact borderless lines, as the output file takes them."""
+def append_lines(path: str, names: list[str] | None, rows: Iterable[tuple]) -> int:
+    """Compact borderless lines, as the output file takes them; says how many rows there were."""
+    n = 0
     with open(path, "a", encoding="utf-8") as f:
-        for row in [names, *rows]:
+        if names:
+            f.write("|" + "".join(f" {c} |" for c in names) + "\n")
+        for row in rows:
             f.write("|" + "".join(f" {cell(c)} |" for c in row) + "\n")
+            n += 1
+    return n
 
 
 def text_frame(spark, names: list[str], rows: list[tuple]) -> DataFrame:

@@ -246,6 +246,38 @@ def test_load_errors(s, tmp_path, text):
     assert rows(s, "SELECT COUNT(*) FROM t;") == [(0,)]
 
 
+def test_load_keeps_rows_that_repeat_the_header(s, tmp_path):
+    run(s, "CREATE TABLE t (a CHAR(4), b CHAR(4));", f"LOAD {csv(tmp_path, 'b,a' + chr(10) + '1,2' + chr(10) + 'b,a' + chr(10))} INTO t;")
+    assert bag(s, "SELECT a, b FROM t;") == [("2", "1"), ("a", "b")]
+
+
+def test_load_errors_name_the_line(s, tmp_path):
+    run(s, "CREATE TABLE t (id INT, val INT, name CHAR(8));")
+    many = "".join(f"{i},{i},n{i}\n" for i in range(3000))
+    for text, want in (("id,val,name\n1,2,a\n\n2,x,b\n", "line 4: val: no 32-bit whole number: x"), (many + "7\n" + many + "8\n", "line 3001: too few fields: 7"), ("1,2,muchtoolong\n", "line 1: name: longer than 8 bytes")):
+        with pytest.raises(errors.LoadError, match=want):
+            s.execute(f"LOAD {csv(tmp_path, text)} INTO t;")
+    assert rows(s, "SELECT COUNT(*) FROM t;") == [(0,)]
+
+
+def test_long_results_are_cut_but_counted(s, spark, tmp_path):
+    s.register("many", spark.range(5000))
+    text = s.render("SELECT id FROM many ORDER BY id;")
+    assert text.endswith("... ...\nTotal record(s): 5000\n") and len(text) <= 8300 and "| " + " " * 15 + "0 |" in text
+    filed = Session(spark, s.house.root, str(tmp_path / "out.txt"))
+    filed.register("many", spark.range(5000))
+    assert filed.render("SELECT id FROM many ORDER BY id;") == text
+    assert (tmp_path / "out.txt").read_text().splitlines()[0] == "| id |" and len((tmp_path / "out.txt").read_text().splitlines()) == 5001
+
+
+def test_explain_counts_below_a_limit_and_beside_nothing(s):
+    run(s, "CREATE TABLE t (a INT);", "CREATE TABLE u (a INT);", *[f"INSERT INTO t VALUES ({i});" for i in range(6)])
+    lines = s.render("EXPLAIN ANALYZE SELECT a FROM t WHERE a > 0 ORDER BY a LIMIT 3 OFFSET 4;").splitlines()
+    assert [x.split("rows=")[1].rstrip(")") for x in lines] == ["1", "5", "5", "5"]
+    lines = s.render("EXPLAIN ANALYZE SELECT t.a FROM t, u WHERE t.a = u.a;").splitlines()
+    assert [x.split("rows=")[1].rstrip(")") for x in lines] == ["0", "0", "6", "6", "0", "0"]
+
+
 def test_load_floats_and_dates(s, tmp_path):
     run(s, "CREATE TABLE t (id INT, f FLOAT, d DATETIME);", f"LOAD {csv(tmp_path, '1,93.1,2024-01-01 10:00:00' + chr(10) + '2,,' + chr(10))} INTO t;")
     assert bag(s, "SELECT id, d FROM t WHERE f = 93.1;") == [(1, "2024-01-01 10:00:00")]
