@@ -203,7 +203,9 @@ class Model:
         """Postings of the other terms (ends, examples, weights); frequent terms by example (ends, terms, weights), as dense rows, their lengths, and their greatest weight in each block of examples."""
         n = len(self.ids)
         row = np.repeat(np.arange(n, dtype=np.int32), self.ends - self.starts)
-        value = self.counts * self.weight[self.cols] / self.norm[row]
+        value = self.weight[self.cols]
+        value *= self.counts
+        value /= self.norm[row]
         often = self.cols < self.frequent
         f_row, f_term, f_value = row[often], self.cols[often], value[often]
         dense = np.zeros((n, self.frequent), np.float32)
@@ -341,6 +343,13 @@ def _platt(votes: np.ndarray, labels: np.ndarray) -> tuple[float, float]:
     return (float(w[0]), float(w[1])) if w[0] > 0 else (8.0, 0.0)
 
 
+def _offsets(column: pa.ChunkedArray) -> np.ndarray:
+    """Where the values of a binary column of one chunk begin, and the end of the last."""
+    chunk = column.chunk(0)
+    wide = pa.types.is_large_binary(chunk.type)
+    return np.frombuffer(chunk.buffers()[1], "<i8" if wide else "<i4")[chunk.offset : chunk.offset + len(chunk) + 1].astype(np.int64)
+
+
 def fit(docs: DataFrame, labelled: DataFrame, max_examples: int = 10_000, k: int = 11, block: int = 64) -> Model | None:
     """Fit on at most ``max_examples`` rows of ``labelled`` (doc_id, label); None without positives.
 
@@ -371,21 +380,18 @@ def fit(docs: DataFrame, labelled: DataFrame, max_examples: int = 10_000, k: int
     got = rows.mapInArrow(common.tidy(_vectors(shared)), VECTORS).orderBy("doc_id").toArrow()
     shared.destroy()
     common.drop_scratch(rows)
-    ids, labels, parts, plain = [], [], [], [0, 0]
-    for doc_id, label, t, c in zip(*(got[x].to_pylist() for x in ("doc_id", "label", "terms", "counts")), strict=True):
-        if not t:
-            plain[label] += 1
-            continue
-        ids.append(doc_id)
-        labels.append(label)
-        parts.append((t, c))
+    got = got.combine_chunks()  # the columns' buffers are the arrays that the model needs
+    held = np.diff(_offsets(got["terms"])) // 4  # terms of each example
+    label = got["label"].to_numpy()
+    some = held > 0
+    plain = np.bincount(label[~some], minlength=2).tolist()
+    ids, labels, ends = got["doc_id"].to_numpy()[some], label[some], np.cumsum(held[some])
+    cols, counts = (np.frombuffer(got[c].chunk(0).buffers()[2], "<i4", int(ends[-1]), int(_offsets(got[c])[0])) for c in ("terms", "counts"))
+    cols, counts = cols.copy(), counts.astype(np.uint16 if counts.max() < 1 << 16 else np.int32)
     del got
-    cols, counts = (np.frombuffer(b"".join(x), "<i4") for x in zip(*parts, strict=True))
-    ends = np.cumsum([len(t) // 4 for t, _ in parts])
-    del parts
     frequent = min(int((OFTEN * (pos + neg) >= n).sum()), DENSE_BYTES // (4 * len(ids)))
     share = (plain[1] + 0.5 * n1 / n) / (sum(plain) + 1)
-    model = Model(names, weight, 0.1 * float(np.log(1 + n)), odds > 0, frequent, k, block, np.array(ids), np.array(labels), ends, cols, counts, share)
+    model = Model(names, weight, 0.1 * float(np.log(1 + n)), odds > 0, frequent, k, block, ids, labels, ends, cols, counts, share)
     if len(ids) > 2:
         shared = spark.sparkContext.broadcast(model)
         votes = spark.range(0, len(ids), 1, min(common.partitions(spark), len(ids) // 100 + 1)).mapInArrow(common.tidy(_left_out(shared)), "row long, vote double").orderBy("row").toArrow()["vote"].to_numpy()
@@ -398,6 +404,9 @@ def _score(shared):
     def run(batches):
         model: Model = shared.value
         reader = model.__dict__.get("reader") or model.__dict__.setdefault("reader", Reader(model.names))
+        if model.cols is not None:  # the index stands for them from here on
+            _ = model._index
+            model.cols = model.counts = None
         base = float(model.calibrated(model.plain))
         for b in common.blocks(batches, 1):
             n = b.num_rows
