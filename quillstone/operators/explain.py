@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from py4j.protocol import Py4JJavaError
+from pyspark.sql import Observation
+
 from ..plans.analyzer import BoundSelect
 from ..plans.builder import Step, plan
 
@@ -27,13 +30,21 @@ def report(bound: BoundSelect) -> list[str]:
             below = counts[id(step.inputs[0])]
             counts[id(step)] = max(0, min(bound.limit, below - bound.offset)) if step.kind == "Limit" else below
         else:
-            rows = step.seen.get.get("rows")  # a step that the run could leave out, as beside an empty join, has none
+            rows = _seen(step.seen)
             counts[id(step)] = plain.frame.count() if rows is None else rows
 
     count(top, again)
     return _lines(top, 0, counts)
 
 
+def _seen(observed: Observation) -> int | None:
+    """The rows of a step that ran; None where the run could leave it out, as beside an empty join."""
+    try:
+        return observed.get.get("rows")
+    except Py4JJavaError:  # what was left out has a row without columns, which cannot be read
+        return None
+
+
 def _lines(step: Step, depth: int, counts: dict[int, int]) -> list[str]:
     about = [f"{k}=[{', '.join(v)}]" if isinstance(v, list) else f"{k}={v}" for k, v in step.about.items()]
     line = "\t" * depth + f"{step.kind}({', '.join([*about, f'rows={counts[id(step)]}'])})"
