@@ -144,39 +144,39 @@ def _entries(sig: np.ndarray, opens: np.ndarray | None, tables: list[int]) -> tu
     return keys[row, column], row
 
 
-def _ask(tables: list[int], seed: int, shards: int):
+def _ask_rows(batches, tables: list[int], seed: int, shards: int, task: int):
     """Blocks of (node, component, n, keys, open): one row with the block's own nodes, and its distinct keys by shard."""
+    k = 0
+    for b in batches:
+        for lo in range(0, b.num_rows, 4096):
+            part = b.slice(lo, 4096)
+            node, of, n = (part.column(i).to_numpy() for i in range(3))
+            raw = b"".join(part.column(3).to_pylist())
+            opens = None if part.column(4).null_count else b"".join(part.column(4).to_pylist())
+            block = (task << 32) | k
+            k += 1
+            sig = np.frombuffer(raw, "<u8").reshape(-1, 2 * M)
+            key, row = _entries(sig, None if opens is None else np.frombuffer(opens, np.uint8).reshape(len(sig), -1), tables)
+            order = np.lexsort((_rank(node, seed)[row], key))
+            key, row = key[order], row[order]
+            start = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))) if len(key) else np.zeros(0, np.int64)
+            rows = [(block % shards, block, raw, node.astype("<i8").tobytes(), of.astype("<i8").tobytes(), n.astype("<i4").tobytes(), None, None, opens)]
+            if len(start):
+                many = np.diff(np.append(start, len(key)))
+                mixed = np.minimum.reduceat(of[row], start) != np.maximum.reduceat(of[row], start)
+                key, lead = key[start], row[start]
+                at = (key % np.uint64(shards)).astype(np.int64)
+                order = np.argsort(at, kind="stable")
+                cut = np.searchsorted(at[order], np.arange(shards + 1))
+                for s in np.flatnonzero(cut[1:] > cut[:-1]).tolist():
+                    i = order[cut[s] : cut[s + 1]]
+                    x = lead[i]
+                    rows.append((s, block, key[i].astype("<u8").tobytes(), node[x].astype("<i8").tobytes(), of[x].astype("<i8").tobytes(), n[x].astype("<i4").tobytes(), np.minimum(many[i], 3).astype("u1").tobytes(), mixed[i].astype("u1").tobytes(), None))
+            yield common.record(_ASKED, *zip(*rows, strict=True))
 
-    def run(batches):
-        task, k = TaskContext.get().partitionId(), 0
-        for b in batches:
-            for lo in range(0, b.num_rows, 4096):
-                part = b.slice(lo, 4096)
-                node, of, n = (part.column(i).to_numpy() for i in range(3))
-                raw = b"".join(part.column(3).to_pylist())
-                opens = None if part.column(4).null_count else b"".join(part.column(4).to_pylist())
-                block = (task << 32) | k
-                k += 1
-                sig = np.frombuffer(raw, "<u8").reshape(-1, 2 * M)
-                key, row = _entries(sig, None if opens is None else np.frombuffer(opens, np.uint8).reshape(len(sig), -1), tables)
-                order = np.lexsort((_rank(node, seed)[row], key))
-                key, row = key[order], row[order]
-                start = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))) if len(key) else np.zeros(0, np.int64)
-                rows = [(block % shards, block, raw, node.astype("<i8").tobytes(), of.astype("<i8").tobytes(), n.astype("<i4").tobytes(), None, None, opens)]
-                if len(start):
-                    many = np.diff(np.append(start, len(key)))
-                    mixed = np.minimum.reduceat(of[row], start) != np.maximum.reduceat(of[row], start)
-                    key, lead = key[start], row[start]
-                    at = (key % np.uint64(shards)).astype(np.int64)
-                    order = np.argsort(at, kind="stable")
-                    cut = np.searchsorted(at[order], np.arange(shards + 1))
-                    for s in np.flatnonzero(cut[1:] > cut[:-1]).tolist():
-                        i = order[cut[s] : cut[s + 1]]
-                        x = lead[i]
-                        rows.append((s, block, key[i].astype("<u8").tobytes(), node[x].astype("<i8").tobytes(), of[x].astype("<i8").tobytes(), n[x].astype("<i4").tobytes(), np.minimum(many[i], 3).astype("u1").tobytes(), mixed[i].astype("u1").tobytes(), None))
-                yield common.record(_ASKED, *zip(*rows, strict=True))
 
-    return run
+def _ask(tables: list[int], seed: int, shards: int):
+    return lambda batches: _ask_rows(batches, tables, seed, shards, TaskContext.get().partitionId())
 
 
 def _lead(seed: int):
@@ -246,7 +246,8 @@ def _tries(tables: list[int], seed: int, percent: int):
         new = np.flatnonzero((of[row] != lead_of[at]) & (100 * np.minimum(n[row], lead_n[at]).astype(np.int64) >= percent * np.maximum(n[row], lead_n[at]).astype(np.int64)))
         # of larger buckets' leaders, which later rounds or the exact step stand in for, a node meets the first in the round's order
         new = new[np.lexsort((_rank(lead[at[new]], seed), more[at[new]], row[new]))]
-        before = np.concatenate(([False], (row[new][1:] == row[new][:-1]) & (more[at[new]][:-1] > 0)))
+        before = np.zeros(len(new), bool)  # none may be new: all too unlike in size, or of the leader's component
+        before[1:] = (row[new][1:] == row[new][:-1]) & (more[at[new]][:-1] > 0)
         new = new[~before]
         a, c = node[row[new]], lead[at[new]]
         pairs = np.unique(np.stack([np.minimum(a, c), np.maximum(a, c)], 1), axis=0)

@@ -747,6 +747,19 @@ def test_pairs_of_one_group_stay_few(spark, monkeypatch, spread):
     assert max(per_doc) < 10, per_doc
 
 
+def test_buckets_without_a_pair_to_try():
+    sig = np.arange(3 * 2 * minhash.M, dtype=np.uint64).reshape(3, -1)
+    sig[:, [0, minhash.M]] = 7  # all three meet in table (0, 0)
+    schema = minhash._ASKED
+    for n, left in (([10, 100, 1000], 3), ([100, 100, 100], 3)):
+        batch = minhash.pa.RecordBatch.from_pydict({"node": [1, 2, 3], "of": [1, 2, 3] if n[0] == 10 else [1, 1, 3], "n": minhash.pa.array(n, minhash.pa.int32()), "keys": [x.tobytes() for x in sig], "open": minhash.pa.array([None] * 3, minhash.pa.binary())})
+        sent = list(minhash._ask_rows(iter([batch]), [0], 0, 2, 5))
+        told = list(minhash._lead(0)(iter(sent)))
+        got = minhash._tries([0], 0, 80)(minhash.pa.Table.from_batches(told, schema)).to_pylist()
+        pairs = [(r["a"], r["b"]) for r in got if r["b"] is not None]
+        assert len([r for r in got if r["b"] is None]) == left and (not pairs if n[0] == 10 else {a for a, _ in pairs} | {b for _, b in pairs} >= {3})
+
+
 def test_near_duplicates_edges(spark):
     rows = [(None, "a b c d e"), (None, "a b c d e"), (4, "a b c d e"), (4, "a b c d e"), (5, "A B c d e"), (6, None), (7, ""), (8, "x"), (9, "X")]
     got = sorted((tuple(r) for r in minhash.near_duplicates(with_text(spark, rows), 4).collect()), key=repr)
