@@ -120,7 +120,10 @@ class Block:
         return first, last, anchor, mix(value[anchor])
 
     def _words(self, at: np.ndarray) -> np.ndarray:
-        return np.ascontiguousarray(self.data[at[:, None] + np.arange(8)]).view("<u8").ravel()
+        """The 8 bytes from each of some places, as one number."""
+        if not len(at):
+            return np.zeros(0, np.uint64)
+        return np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(self.data, 8)[at]).view("<u8").ravel()
 
     def region_hash(self, keep: np.ndarray) -> np.ndarray:
         """A hash of all bytes of regions of LENGTH to LENGTH + SPAN - 1 bytes."""
