@@ -30,6 +30,8 @@ from . import common
 
 #: Letters of the word beginnings that are terms beside the words.
 BEGINNINGS = (4, 5)
+#: Text that is read to terms at once: their arrays take a hundred times as much.
+READ_BYTES = 1 << 20
 SCORED = "doc_id long, score double, nearest_id long, nearest_cosine double, evidence string"
 _SCORED = pa.schema([("doc_id", pa.int64()), ("score", pa.float64()), ("nearest_id", pa.int64()), ("nearest_cosine", pa.float64()), ("evidence", pa.string())])
 
@@ -76,7 +78,7 @@ def _ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
 def _frequencies(batches):
     """Negative and positive examples that hold a term, summed in the task."""
     total = (Counter(), Counter())
-    for b in (part for batch in batches for part in common.blocks([batch], 0)):
+    for b in (part for batch in batches for part in common.blocks([batch], 0, READ_BYTES)):
         label = b.column(1).to_numpy(zero_copy_only=False).astype(bool)
         doc, found = split(b.column(0))
         coded = found.dictionary_encode()
@@ -107,7 +109,7 @@ def _vectors(shared):
     def run(batches):
         reader = Reader(shared.value)
         for b in batches:
-            for part in common.blocks([b], 1):
+            for part in common.blocks([b], 1, READ_BYTES):
                 t, c, ends = reader.read(part.column(1))
                 edge = [0, *ends.tolist()]
                 t, c = ([x[lo:hi].astype("<i4").tobytes() for lo, hi in zip(edge, edge[1:], strict=False)] for x in (t, c))
@@ -119,9 +121,9 @@ def _vectors(shared):
 class Reader:
     """Numbers and counts of texts' terms; terms that no example holds get numbers from ``size`` on, anew in each block."""
 
-    def __init__(self, names: list[str]):
+    def __init__(self, names: pa.Array):
         self.size = len(names)
-        self.names = pa.array(names, pa.string())
+        self.names = names
 
     def read(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Of all texts, one after the other: terms in order, their counts; and the end of each text."""
@@ -151,11 +153,13 @@ class Reader:
 OFTEN, BLOCK, FIRST = 16, 128, 48
 #: Bytes at most of the frequent terms' dense columns; where they would take more, fewer terms count as frequent.
 DENSE_BYTES = 64 << 20
+#: Dense rows that are copied at once.
+ROWS = 512
 
 
 @dataclass
 class Model:
-    names: list[str]  # all terms of the examples, the most frequent first
+    names: pa.Array  # all terms of the examples, the most frequent first
     weight: np.ndarray
     unseen: float  # weight of a term that no example holds
     marks: np.ndarray  # terms that are likelier in positive examples
@@ -164,7 +168,7 @@ class Model:
     block: int  # texts that are scored together
     ids: np.ndarray
     labels: np.ndarray
-    ends: np.ndarray  # examples that hold a term: their terms and counts, one after the other
+    ends: np.ndarray  # examples that hold a term: their terms in order and counts, one after the other
     cols: np.ndarray
     counts: np.ndarray
     plain: float  # share of positives among examples that hold no term
@@ -200,22 +204,37 @@ class Model:
 
     @cached_property
     def _index(self) -> tuple[np.ndarray, ...]:
-        """Postings of the other terms (ends, examples, weights); frequent terms by example (ends, terms, weights), as dense rows, their lengths, and their greatest weight in each block of examples."""
+        """Postings of the other terms (ends, examples, counts); how many frequent terms each example holds, which are its first; these as dense rows, their lengths, and their greatest weight in each block of examples.
+
+        Built block by block, as each worker holds an index.
+        """
         n = len(self.ids)
-        row = np.repeat(np.arange(n, dtype=np.int32), self.ends - self.starts)
-        value = self.weight[self.cols]
-        value *= self.counts
-        value /= self.norm[row]
-        often = self.cols < self.frequent
-        f_row, f_term, f_value = row[often], self.cols[often], value[often]
-        dense = np.zeros((n, self.frequent), np.float32)
-        dense[f_row, f_term] = f_value
-        top = np.stack([dense[lo : lo + BLOCK].max(0) for lo in range(0, n, BLOCK)], 1).astype(float)
-        row, term, value = row[~often], self.cols[~often] - self.frequent, value[~often]
-        order = np.argsort(term, kind="stable")
-        ends = np.concatenate(([0], np.cumsum(np.bincount(term, minlength=len(self.names) - self.frequent))))
-        f_ends = np.concatenate(([0], np.cumsum(np.bincount(f_row, minlength=n))))
-        return ends, row[order], value[order], f_ends, f_term, f_value, dense, np.sqrt(np.bincount(f_row, f_value**2, n)), top
+        held, length = np.zeros(n, np.int64), np.zeros(n)
+        dense, top = np.zeros((n, self.frequent), np.float32), np.zeros((self.frequent, -(-n // BLOCK)))
+        sizes = np.zeros(len(self.names) - self.frequent, np.int64)
+        for lo in range(0, n, BLOCK):
+            term = self.cols[self.starts[lo] : self.ends[min(n, lo + BLOCK) - 1]]
+            term, times = np.unique(term[term >= self.frequent], return_counts=True)
+            sizes[term - self.frequent] += times
+        ends = np.concatenate(([0], np.cumsum(sizes)))
+        rows, counts = np.empty(int(ends[-1]), np.min_scalar_type(n)), np.empty(int(ends[-1]), self.counts.dtype)
+        free = ends[:-1].copy()  # where a term's next posting goes
+        for lo in range(0, n, BLOCK):
+            hi = min(n, lo + BLOCK)
+            row, term, value = self._entries(lo, hi)
+            often = term < self.frequent
+            order = np.argsort(term, kind="stable")[int(often.sum()) :]
+            new, times = np.unique(term[order], return_counts=True)
+            new -= self.frequent
+            at = _ranges(free[new], times)
+            rows[at], counts[at] = row[order], self.counts[self.starts[lo] : self.ends[hi - 1]][order]
+            free[new] += times
+            row, term, value = row[often], term[often], value[often]
+            dense[row, term] = value
+            top[:, lo // BLOCK] = dense[lo:hi].max(0)
+            held[lo:hi] = np.bincount(row - lo, minlength=hi - lo)
+            length[lo:hi] = np.sqrt(np.bincount(row - lo, value**2, hi - lo))
+        return ends, rows, counts, held, dense, length, top
 
     @cached_property
     def _spread(self) -> np.ndarray:
@@ -239,13 +258,12 @@ class Model:
 
     def _added(self, rows: np.ndarray) -> np.ndarray:
         """What the frequent terms of the text in ``_spread`` add for some examples, in double precision; equal examples get equal sums."""
-        f_ends, f_term, f_value = self._index[3:6]
-        lengths = f_ends[rows + 1] - f_ends[rows]
-        at = _ranges(f_ends[rows], lengths)
+        lengths = self._index[3][rows]
+        at = _ranges(self.starts[rows], lengths)
         out, some = np.zeros(len(rows)), lengths > 0
         if some.any():
-            out[some] = np.add.reduceat(self._spread[f_term[at]] * f_value[at], (np.cumsum(lengths) - lengths)[some])
-        return out
+            out[some] = np.add.reduceat(self._spread[self.cols[at]] * self.counts[at], (np.cumsum(lengths) - lengths)[some])
+        return out / self.norm[rows]
 
     def search(self, queries: list[tuple[np.ndarray, np.ndarray]], own: list[int] | None = None) -> tuple[np.ndarray, np.ndarray]:
         """Cosines and rows of the k nearest examples of each query (terms in order, values), exactly; without the row ``own``.
@@ -260,7 +278,7 @@ class Model:
         n = len(self.ids)
         k = min(self.k, n - (own is not None))
         best, rows = np.empty((len(queries), k)), np.empty((len(queries), k), np.int64)
-        ends, at_row, at_value, _, _, _, dense, length, top = self._index
+        ends, at_row, at_count, _, dense, length, top = self._index
         few = min(max(FIRST, 2 * k), n)
         pad, longest = np.full(-n % BLOCK, -3.0), float(length.max(initial=0))
         spread, single, aside = self._spread, np.zeros(self.frequent, np.float32), np.zeros(n, bool)
@@ -270,11 +288,11 @@ class Model:
             rare = t[often:] - self.frequent
             lengths = ends[rare + 1] - ends[rare]
             at = _ranges(ends[rare], lengths)
-            sims = np.bincount(at_row[at], np.repeat(v[often:], lengths) * at_value[at], minlength=n)
+            sims = np.bincount(at_row[at], np.repeat(v[often:] * self.weight[t[often:]], lengths) * at_count[at], minlength=n) / self.norm
             if own is not None:
                 sims[own[j]] = -2.0
             terms, values = t[:often], v[:often]
-            spread[terms] = single[terms] = values
+            spread[terms], single[terms] = values * self.weight[terms], values
             tried = np.argpartition(sims, n - few)[n - few :]
             about = sims[tried] + dense[tried] @ single
             bar = np.partition(about, few - k)[few - k] - error
@@ -290,7 +308,8 @@ class Model:
             more = more[~aside[more]]
             aside[tried] = False
             if len(more):
-                tried, about = np.concatenate([tried, more]), np.concatenate([about, sims[more] + dense[more] @ single])
+                parts = [sims[x] + dense[x] @ single for x in np.split(more, range(ROWS, len(more), ROWS))]
+                tried, about = np.concatenate([tried, more]), np.concatenate([about, *parts])
             maybe = tried[about >= np.partition(about, len(about) - k)[len(about) - k] - error]
             exact = sims[maybe] + self._added(maybe)
             spread[terms] = single[terms] = 0
@@ -368,8 +387,8 @@ def fit(docs: DataFrame, labelled: DataFrame, max_examples: int = 10_000, k: int
     n0 = n - n1
     df = rows.select("text", "label").mapInArrow(common.tidy(_frequencies), "term string, neg long, pos long").groupBy("term").agg(F.sum("neg").alias("neg"), F.sum("pos").alias("pos"))
     got = df.orderBy(F.desc(F.col("neg") + F.col("pos")), "term").toArrow()
-    names = got["term"].to_pylist()
-    if not names:
+    names = pa.concat_arrays([x.cast(pa.string()) for x in got["term"].chunks]) if got.num_rows else None
+    if names is None:
         common.drop_scratch(rows)
         return None
     neg, pos = got["neg"].to_numpy(), got["pos"].to_numpy()
@@ -404,11 +423,8 @@ def _score(shared):
     def run(batches):
         model: Model = shared.value
         reader = model.__dict__.get("reader") or model.__dict__.setdefault("reader", Reader(model.names))
-        if model.cols is not None:  # the index stands for them from here on
-            _ = model._index
-            model.cols = model.counts = None
         base = float(model.calibrated(model.plain))
-        for b in common.blocks(batches, 1):
+        for b in common.blocks(batches, 1, READ_BYTES):
             n = b.num_rows
             score, near, cosine, evidence = np.full(n, base), [None] * n, [None] * n, [None] * n
             at, queries = [], []
@@ -418,7 +434,7 @@ def _score(shared):
                     queries.append((t, v))
                     marked = model.marks[t]
                     best = t[marked][np.argsort(-v[marked], kind="stable")[:5]]
-                    evidence[i] = " ".join(model.names[j] for j in best) or None
+                    evidence[i] = " ".join(model.names.take(pa.array(best)).to_pylist()) or None
             if at:
                 sims, rows = model.search(queries)
                 score[at] = model.calibrated(model.vote(sims, rows))
