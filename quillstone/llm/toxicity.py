@@ -23,6 +23,7 @@ from functools import cached_property
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -174,9 +175,10 @@ class Model:
     plain: float  # share of positives among examples that hold no term
     slope: float = 1.0
     shift: float = 0.0
+    shared: Broadcast | None = None  # sent once: workers keep one copy and its index from the fit to the last score
 
     def __getstate__(self):
-        return {f: self.__dict__[f] for f in self.__dataclass_fields__}
+        return {f: self.__dict__[f] for f in self.__dataclass_fields__ if f != "shared"}
 
     @cached_property
     def starts(self) -> np.ndarray:
@@ -412,16 +414,16 @@ def fit(docs: DataFrame, labelled: DataFrame, max_examples: int = 10_000, k: int
     share = (plain[1] + 0.5 * n1 / n) / (sum(plain) + 1)
     model = Model(names, weight, 0.1 * float(np.log(1 + n)), odds > 0, frequent, k, block, ids, labels, ends, cols, counts, share)
     if len(ids) > 2:
-        shared = spark.sparkContext.broadcast(model)
+        shared = model.shared = spark.sparkContext.broadcast(model)
         votes = spark.range(0, len(ids), 1, min(common.partitions(spark), len(ids) // 100 + 1)).mapInArrow(common.tidy(_left_out(shared)), "row long, vote double").orderBy("row").toArrow()["vote"].to_numpy()
-        shared.destroy()
         model.slope, model.shift = _platt(np.concatenate([votes, np.full(sum(plain), model.plain)]), np.concatenate([model.labels, np.repeat([0, 1], plain)]))
     return model
 
 
-def _score(shared):
+def _score(shared, slope: float, shift: float):
     def run(batches):
         model: Model = shared.value
+        model.slope, model.shift = slope, shift  # fitted after the model was sent
         reader = model.__dict__.get("reader") or model.__dict__.setdefault("reader", Reader(model.names))
         base = float(model.calibrated(model.plain))
         for b in common.blocks(batches, 1, READ_BYTES):
@@ -445,6 +447,11 @@ def _score(shared):
     return run
 
 
+def _sent(docs: DataFrame, model: Model) -> Broadcast:
+    model.shared = model.shared or docs.sparkSession.sparkContext.broadcast(model)
+    return model.shared
+
+
 def score(docs: DataFrame, model: Model | None) -> DataFrame:
     """(doc_id, score, nearest_id, nearest_cosine, evidence) for every row.
 
@@ -455,7 +462,7 @@ def score(docs: DataFrame, model: Model | None) -> DataFrame:
     kept = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     if model is None:
         return kept.select("doc_id", F.lit(0.0).alias("score"), F.lit(None).cast("long").alias("nearest_id"), F.lit(None).cast("double").alias("nearest_cosine"), F.lit(None).cast("string").alias("evidence"))
-    return kept.mapInArrow(common.tidy(_score(docs.sparkSession.sparkContext.broadcast(model))), SCORED)
+    return kept.mapInArrow(common.tidy(_score(_sent(docs, model), model.slope, model.shift)), SCORED)
 
 
 def held_out(doc_id: Column) -> Column:
@@ -467,11 +474,11 @@ def toxic_labels(labels: DataFrame) -> DataFrame:
     return labels.where(~held_out(F.col("doc_id"))).select(F.col("doc_id").cast("long"), F.col("toxic").alias("label"))
 
 
-def _clean(shared, limit: float, text_at: int):
+def _clean(shared, slope: float, shift: float, limit: float, text_at: int):
     def run(batches):
-        judge = _score(shared)
+        judge = _score(shared, slope, shift)
         for b in batches:
-            for part in common.blocks([b], text_at):
+            for part in common.blocks([b], text_at, READ_BYTES):
                 pair = pa.RecordBatch.from_arrays([pa.nulls(part.num_rows, pa.int64()), part.column(text_at)], ["doc_id", "text"])
                 scores = np.concatenate([x.column(1).to_numpy() for x in judge(iter([pair]))])
                 yield part.filter(pa.array(scores < limit))
@@ -483,4 +490,4 @@ def drop_toxic(docs: DataFrame, model: Model | None, limit: float = 0.5) -> Data
     """The rows of ``docs``, all columns, that score below ``limit``; nothing is shuffled."""
     if model is None:
         return docs
-    return docs.mapInArrow(common.tidy(_clean(docs.sparkSession.sparkContext.broadcast(model), limit, docs.columns.index("text"))), docs.schema)
+    return docs.mapInArrow(common.tidy(_clean(_sent(docs, model), model.slope, model.shift, limit, docs.columns.index("text"))), docs.schema)
