@@ -7,6 +7,7 @@ import ctypes
 import re
 import tempfile
 import uuid
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -101,10 +102,24 @@ def _give_back() -> None:
         ctypes.CDLL(None).malloc_trim(0)
 
 
-def tidy(run):
-    """A mapInArrow function that gives memory back when its task ends."""
+#: What this worker remembers from task to task, by name, and how it is forgotten.
+REMEMBERED: dict[str, Callable[[], None]] = {}
+
+
+def _forget(but: str | None) -> None:
+    for name, drop in REMEMBERED.items():
+        if name != but:
+            drop()
+
+
+def tidy(run, uses: str | None = None):
+    """A mapInArrow function that gives memory back when its task ends.
+
+    What tasks of other kinds left in this worker is forgotten first, but for what it ``uses``.
+    """
 
     def tidied(batches):
+        _forget(uses)
         try:
             yield from run(batches)
         finally:

@@ -51,7 +51,7 @@ def _tokenise(path: str, end_id: int):
 
 def token_ids(docs: DataFrame, tokenizer: str, end_id: int = END_ID) -> DataFrame:
     """(doc_id, n, ids): ids little-endian, 2 bytes each where the vocabulary allows, else 4."""
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(common.tidy(_tokenise(tokenizer, end_id)), IDS)
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(common.tidy(_tokenise(tokenizer, end_id), "pieces"), IDS)
 
 
 @lru_cache(maxsize=8)

@@ -20,6 +20,8 @@ from itertools import chain
 import numpy as np
 import pyarrow as pa
 
+from . import common
+
 _LIMIT = 0x130
 _SPACE = {0x20, 0x85, 0xA0, *range(9, 14)}
 
@@ -176,3 +178,6 @@ class Pieces:
 def pieces(path: str) -> Pieces:
     """One splitter per file and worker, with what it remembers from task to task."""
     return Pieces(path)
+
+
+common.REMEMBERED["pieces"] = pieces.cache_clear

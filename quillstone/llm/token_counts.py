@@ -129,5 +129,5 @@ def count_tokens(docs: DataFrame, tokenizer: str, keep: int = 4_000_000) -> Data
     counted anew, which changes no result.
     """
     shards = common.partitions(docs.sparkSession)
-    sent = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(common.tidy(_send(tokenizer, shards)), SENT)
-    return common.deal(sent, "shard").mapInArrow(common.tidy(_answer(tokenizer, keep)), ANSWER).groupBy("block").applyInArrow(common.tidy_group(_add_up), COUNTED)
+    sent = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(common.tidy(_send(tokenizer, shards), "pieces"), SENT)
+    return common.deal(sent, "shard").mapInArrow(common.tidy(_answer(tokenizer, keep), "pieces"), ANSWER).groupBy("block").applyInArrow(common.tidy_group(_add_up), COUNTED)
