@@ -32,7 +32,7 @@ from . import common
 #: Letters of the word beginnings that are terms beside the words.
 BEGINNINGS = (4, 5)
 #: Text that is read to terms at once: their arrays take a hundred times as much.
-READ_BYTES = 1 << 20
+READ_BYTES = 1 << 19
 SCORED = "doc_id long, score double, nearest_id long, nearest_cosine double, evidence string"
 _SCORED = pa.schema([("doc_id", pa.int64()), ("score", pa.float64()), ("nearest_id", pa.int64()), ("nearest_cosine", pa.float64()), ("evidence", pa.string())])
 
@@ -119,12 +119,60 @@ def _vectors(shared):
     return run
 
 
+def _hashes(strings: pa.Array) -> np.ndarray:
+    """A 64-bit polynomial in the bytes of each string."""
+    ends = np.frombuffer(strings.buffers()[1], "<i4")[strings.offset : strings.offset + len(strings) + 1].astype(np.int64)
+    lengths = np.diff(ends)
+    out = np.zeros(len(strings), np.uint64)
+    if not len(strings) or ends[-1] == ends[0]:
+        return out
+    data = np.frombuffer(strings.buffers()[2], np.uint8)
+    powers = np.cumprod(np.full(int(lengths.max()), 0x9E3779B97F4A7C15, np.uint64))
+    for lo in range(0, len(strings), 1 << 16):  # bounds what is held at once
+        part = ends[lo : lo + (1 << 16) + 1]
+        some = lengths[lo : lo + (1 << 16)]
+        terms = (data[part[0] : part[-1]] + np.uint64(1)) * powers[_ranges(np.zeros_like(some), some)]
+        full = some > 0
+        out[lo : lo + len(some)][full] = np.add.reduceat(terms, (part[:-1] - part[0])[full]) if full.any() else 0
+    return out
+
+
+class Lookup:
+    """Places of strings among distinct names: found by hash, confirmed by comparison.
+
+    Built once; a hash table of Arrow is built anew in each call.
+    """
+
+    def __init__(self, names: pa.Array):
+        self.names = names
+        hashes = _hashes(names)
+        self.order = np.argsort(hashes, kind="stable").astype(np.int32)
+        self.hashes = hashes[self.order]
+
+    def find(self, strings: pa.Array) -> np.ndarray:
+        """The place of each string, or -1."""
+        out = np.full(len(strings), -1, np.int64)
+        wanted = _hashes(strings)
+        at = np.searchsorted(self.hashes, wanted)
+        left = np.arange(len(strings))
+        while True:  # once, and again for names that share a hash
+            left = left[at[left] < len(self.hashes)]
+            left = left[self.hashes[at[left]] == wanted[left]]
+            if not len(left):
+                return out
+            place = self.order[at[left]]
+            same = pc.equal(self.names.take(pa.array(place)), strings.take(pa.array(left))).to_numpy(zero_copy_only=False)
+            out[left[same]] = place[same]
+            left = left[~same]
+            at[left] += 1
+
+
 class Reader:
     """Numbers and counts of texts' terms; terms that no example holds get numbers from ``size`` on, anew in each block."""
 
     def __init__(self, names: pa.Array):
         self.size = len(names)
-        self.names = names
+        self.lookup = Lookup(names)
 
     def read(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Of all texts, one after the other: terms in order, their counts; and the end of each text."""
@@ -132,10 +180,9 @@ class Reader:
         coded = found.dictionary_encode()
         known = max(1, len(coded.dictionary))
         of, terms = term_table(coded.dictionary)
-        ids = pc.index_in(terms, value_set=self.names)
-        new = terms.filter(pc.is_null(ids)).dictionary_encode()
-        held = ids.is_valid().to_numpy(zero_copy_only=False)
-        ids = ids.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+        ids = self.lookup.find(terms)
+        held = ids >= 0
+        new = terms.filter(pa.array(~held)).dictionary_encode()
         ids[~held] = self.size + new.indices.to_numpy()
         ids, sizes = ids[np.argsort(of, kind="stable")], np.bincount(of, minlength=known)
         key, times = np.unique(doc * known + coded.indices.to_numpy(), return_counts=True)
@@ -153,14 +200,14 @@ class Reader:
 #: A term is frequent if one example in so many holds it.  Examples of one block, and those that are tried first.
 OFTEN, BLOCK, FIRST = 16, 128, 48
 #: Bytes at most of the frequent terms' dense columns; where they would take more, fewer terms count as frequent.
-DENSE_BYTES = 64 << 20
+DENSE_BYTES = 48 << 20
 #: Dense rows that are copied at once.
 ROWS = 512
 
 
 @dataclass
 class Model:
-    names: pa.Array  # all terms of the examples, the most frequent first
+    vocabulary: pa.Array  # all terms of the examples, the most frequent first
     weight: np.ndarray
     unseen: float  # weight of a term that no example holds
     marks: np.ndarray  # terms that are likelier in positive examples
@@ -180,6 +227,10 @@ class Model:
     def __getstate__(self):
         return {f: self.__dict__[f] for f in self.__dataclass_fields__ if f != "shared"}
 
+    @property
+    def names(self) -> list[str]:
+        return self.vocabulary.to_pylist()
+
     @cached_property
     def starts(self) -> np.ndarray:
         return np.concatenate(([0], self.ends[:-1]))
@@ -199,21 +250,21 @@ class Model:
     @property
     def matrix(self) -> np.ndarray:
         """The examples' unit rows, dense: for small models only."""
-        out = np.zeros((len(self.ids), len(self.names)))
+        out = np.zeros((len(self.ids), len(self.vocabulary)))
         row, term, value = self._entries(0, len(self.ids))
         out[row, term] = value
         return out
 
     @cached_property
     def _index(self) -> tuple[np.ndarray, ...]:
-        """Postings of the other terms (ends, examples, counts); how many frequent terms each example holds, which are its first; these as dense rows, their lengths, and their greatest weight in each block of examples.
+        """Postings of the other terms (ends, examples, counts); how many frequent terms each example holds, which are its first; these as dense rows, their lengths, and their greatest weight in each block of examples; and these terms with their counts, example by example.
 
         Built block by block, as each worker holds an index.
         """
         n = len(self.ids)
         held, length = np.zeros(n, np.int64), np.zeros(n)
         dense, top = np.zeros((n, self.frequent), np.float32), np.zeros((self.frequent, -(-n // BLOCK)))
-        sizes = np.zeros(len(self.names) - self.frequent, np.int64)
+        sizes = np.zeros(len(self.vocabulary) - self.frequent, np.int64)
         for lo in range(0, n, BLOCK):
             term = self.cols[self.starts[lo] : self.ends[min(n, lo + BLOCK) - 1]]
             term, times = np.unique(term[term >= self.frequent], return_counts=True)
@@ -236,7 +287,14 @@ class Model:
             top[:, lo // BLOCK] = dense[lo:hi].max(0)
             held[lo:hi] = np.bincount(row - lo, minlength=hi - lo)
             length[lo:hi] = np.sqrt(np.bincount(row - lo, value**2, hi - lo))
-        return ends, rows, counts, held, dense, length, top
+        at = _ranges(self.starts, held)
+        return ends, rows, counts, held, dense, length, top, np.cumsum(held) - held, self.cols[at], self.counts[at]
+
+    def slim(self) -> None:
+        """Keep only what searches for other texts need; for a worker's copy."""
+        if len(self.cols):
+            self._index  # noqa: B018 - built from what goes
+            self.cols, self.counts = self.cols[:0], self.counts[:0]
 
     @cached_property
     def _spread(self) -> np.ndarray:
@@ -244,7 +302,7 @@ class Model:
 
     def vectors(self, terms: np.ndarray, counts: np.ndarray, ends: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
         """Unit vectors (terms, values) of texts; terms that no example holds count in their length only."""
-        held = terms < len(self.names)
+        held = terms < len(self.vocabulary)
         value = counts * np.where(held, self.weight[np.where(held, terms, 0)], self.unseen)
         sums = np.concatenate(([0.0], np.cumsum(value**2)))
         starts = np.concatenate(([0], ends[:-1]))
@@ -254,17 +312,17 @@ class Model:
                 out.append((terms[:0], value[:0]))
             else:
                 v, t = value[a:b], terms[a:b]
-                m = int(np.searchsorted(t, len(self.names)))
+                m = int(np.searchsorted(t, len(self.vocabulary)))
                 out.append((t[:m], v[:m] / math.sqrt(float(v @ v))))
         return out
 
     def _added(self, rows: np.ndarray) -> np.ndarray:
         """What the frequent terms of the text in ``_spread`` add for some examples, in double precision; equal examples get equal sums."""
-        lengths = self._index[3][rows]
-        at = _ranges(self.starts[rows], lengths)
+        lengths, (first, cols, counts) = self._index[3][rows], self._index[7:]
+        at = _ranges(first[rows], lengths)
         out, some = np.zeros(len(rows)), lengths > 0
         if some.any():
-            out[some] = np.add.reduceat(self._spread[self.cols[at]] * self.counts[at], (np.cumsum(lengths) - lengths)[some])
+            out[some] = np.add.reduceat(self._spread[cols[at]] * counts[at], (np.cumsum(lengths) - lengths)[some])
         return out / self.norm[rows]
 
     def search(self, queries: list[tuple[np.ndarray, np.ndarray]], own: list[int] | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -280,7 +338,7 @@ class Model:
         n = len(self.ids)
         k = min(self.k, n - (own is not None))
         best, rows = np.empty((len(queries), k)), np.empty((len(queries), k), np.int64)
-        ends, at_row, at_count, _, dense, length, top = self._index
+        ends, at_row, at_count, _, dense, length, top = self._index[:7]
         few = min(max(FIRST, 2 * k), n)
         pad, longest = np.full(-n % BLOCK, -3.0), float(length.max(initial=0))
         spread, single, aside = self._spread, np.zeros(self.frequent, np.float32), np.zeros(n, bool)
@@ -424,7 +482,8 @@ def _score(shared, slope: float, shift: float):
     def run(batches):
         model: Model = shared.value
         model.slope, model.shift = slope, shift  # fitted after the model was sent
-        reader = model.__dict__.get("reader") or model.__dict__.setdefault("reader", Reader(model.names))
+        model.slim()
+        reader = model.__dict__.get("reader") or model.__dict__.setdefault("reader", Reader(model.vocabulary))
         base = float(model.calibrated(model.plain))
         for b in common.blocks(batches, 1, READ_BYTES):
             n = b.num_rows
@@ -436,7 +495,7 @@ def _score(shared, slope: float, shift: float):
                     queries.append((t, v))
                     marked = model.marks[t]
                     best = t[marked][np.argsort(-v[marked], kind="stable")[:5]]
-                    evidence[i] = " ".join(model.names.take(pa.array(best)).to_pylist()) or None
+                    evidence[i] = " ".join(model.vocabulary.take(pa.array(best)).to_pylist()) or None
             if at:
                 sims, rows = model.search(queries)
                 score[at] = model.calibrated(model.vote(sims, rows))

@@ -7,6 +7,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
@@ -652,6 +653,22 @@ def test_toxicity_learns_from_its_part_only(spark, judged):
     assert toxicity.fit(docs, toxicity.toxic_labels(labels.withColumn("toxic", F.lit(None).cast("int")))) is None
 
 
+def test_lookup_confirms_what_a_hash_finds():
+    signs = ["a"]
+    for _ in range(11):
+        signs += ["b" if x == "a" else "a" for x in signs]
+    twin = ("".join(signs), "".join("b" if x == "a" else "a" for x in signs))  # equal polynomials for any base
+    names = pa.array(["x", "schön", *twin, "", "longer name", "x="])
+    assert len(set(toxicity._hashes(pa.array(twin)).tolist())) == 1
+    look = toxicity.Lookup(names)
+    assert look.find(names).tolist() == list(range(7))
+    assert look.find(names.slice(1, 4)).tolist() == [1, 2, 3, 4]
+    assert look.find(pa.array(["y", twin[1], "x", twin[0] + "a", "x"])).tolist() == [-1, 3, 0, -1, 0]
+    assert look.find(pa.array([], pa.string())).tolist() == []
+    assert toxicity.Lookup(pa.array([twin[0]])).find(pa.array(twin)).tolist() == [0, -1]
+    assert toxicity.Lookup(pa.array([], pa.string())).find(pa.array(["x", ""])).tolist() == [-1, -1]
+
+
 def test_blocks_never_change_the_nearest(spark, judged):
     docs, labels = judged
     m = toxicity.fit(docs, toxicity.toxic_labels(labels), block=4)
