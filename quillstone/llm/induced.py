@@ -236,7 +236,7 @@ def _same_substrings(text: np.ndarray, small: np.ndarray, a: np.ndarray, b: np.n
 
 
 #: Symbols beyond which a queue's buckets are ranges of symbols; ranges at most, and suffixes that are worth a range.
-FEW, RANGES, WORTH = 2048, 512, 512
+FEW, RANGES, WORTH = 2048, 64, 4096
 
 
 def _close(queue: BucketQueue, trace: list | None) -> None:

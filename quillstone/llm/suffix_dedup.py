@@ -11,9 +11,11 @@ anchor are a run; its bytes are a region of 50 to 84 bytes.
    documents of the block, and deals what the filter keeps to shards by anchor.
 3. A shard that is larger than ``HELD`` bytes goes to the task's disk and is
    parted there by anchor, and the parts are taken one by one.  Equal regions are
-   folded again: all but the least document's lose all their windows.  Anchors
-   with several different regions go to an external induced suffix sort;
-   neighbours in its order with a common prefix of LENGTH bytes share a window,
+   folded again: all but the least document's lose all their windows.  Of anchors
+   with several different regions, those that share at least half of what a
+   window holds beside the anchor with another one, to its left or to its right,
+   go to an external induced suffix sort; no other region can share a window.
+   Neighbours in its order with a common prefix of LENGTH bytes share a window,
    and the least document of a run of neighbours keeps it.
 4. Removed runs return to their documents, which are cut and digested.
 """
@@ -270,11 +272,39 @@ _MARKS = pa.schema([("block", pa.int64())] + [(c, pa.binary()) for c in ("ids",
 SORT_SYMBOLS = 1 << 20
 
 
-def settle(h: np.ndarray, fold: np.ndarray, length: np.ndarray, owner: np.ndarray, content, memory: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+#: Bytes beside the anchor of a window: one that has fewer than LEFT of them to the left has at least RIGHT to the right.
+LEFT = (LENGTH - GRAM) // 2
+RIGHT = LENGTH - GRAM - LEFT + 1
+
+
+def _may_share(h: np.ndarray, size: np.ndarray, offset: np.ndarray, base: np.ndarray, data: np.ndarray) -> np.ndarray:
+    """Whether another region of the same anchor has the same LEFT bytes before it or the same RIGHT bytes after it.
+
+    Equal windows have their anchor at the same place, so regions that share a
+    window share one of these.  Sides are compared by hashes, which may let more pass.
+    """
+    words = np.lib.stride_tricks.sliding_window_view(data, 8)
+    out = np.zeros(len(h), bool)
+    for held, start, width in ((offset >= LEFT, offset - LEFT, LEFT), (size - offset - GRAM >= RIGHT, offset + GRAM, RIGHT)):
+        i = np.flatnonzero(held)
+        at, side = base[i] + start[i], h[i]
+        for k in (0, 8, width - 8):
+            side = (side ^ np.ascontiguousarray(words[at + k]).view("<u8").ravel()) * _ODD[1]
+            side ^= side >> np.uint64(31)
+        side = mix(side)
+        order = np.argsort(side, kind="stable")
+        same = side[order][1:] == side[order][:-1]
+        out[i[order[1:][same]]] = out[i[order[:-1][same]]] = True
+    return out
+
+
+def settle(h: np.ndarray, fold: np.ndarray, length: np.ndarray, owner: np.ndarray, offset: np.ndarray | None, data: np.ndarray, memory: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(region, from, to): the bytes of regions under windows that a lesser owner also holds, by region.
 
-    ``content(i)`` gives the bytes of the regions numbered ``i``, concatenated.
+    ``data`` has the bytes of all regions, and ``offset`` the place of the anchor
+    in each; without it all regions of anchors with several go to the sort.
     """
+    base = np.cumsum(length.astype(np.int64)) - length
     order = np.lexsort((owner, fold, h))
     ho = h[order]
     fresh = np.concatenate(([True], (ho[1:] != ho[:-1]) | (fold[order][1:] != fold[order][:-1])))
@@ -289,6 +319,9 @@ def settle(h: np.ndarray, fold: np.ndarray, length: np.ndarray, owner: np.ndarra
     many[1:] |= lead_hash[1:] == lead_hash[:-1]
     many[:-1] |= lead_hash[1:] == lead_hash[:-1]
     chosen = np.flatnonzero(many)
+    if offset is not None:
+        near = lead[chosen]
+        chosen = chosen[_may_share(h[near], length[near].astype(np.int64), offset[near].astype(np.int64), base[near], data)]
     first = order[owner[order] == least]  # regions of the least owner: more than one where it has several blocks
     first_group = group[owner[order] == least]
     upto = np.cumsum(length[lead[chosen]].astype(np.int64) + 1)
@@ -299,7 +332,7 @@ def settle(h: np.ndarray, fold: np.ndarray, length: np.ndarray, owner: np.ndarra
         while stop < len(chosen) and lead_hash[chosen[stop]] == lead_hash[chosen[stop - 1]]:
             stop += 1
         part = chosen[at:stop]
-        which, lo, hi = _shared_windows(lead[part], length, owner, content, memory)
+        which, lo, hi = _shared_windows(lead[part], length, owner, base, data, memory)
         a, b = np.searchsorted(first_group, part[which]), np.searchsorted(first_group, part[which], side="right")
         found.append((first[_ranges(a, b - a)], np.repeat(lo, b - a), np.repeat(hi, b - a)))
         at = stop
@@ -308,14 +341,14 @@ def settle(h: np.ndarray, fold: np.ndarray, length: np.ndarray, owner: np.ndarra
     return region[by], lo[by], hi[by]
 
 
-def _shared_windows(regions: np.ndarray, length: np.ndarray, owner: np.ndarray, content, memory: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _shared_windows(regions: np.ndarray, length: np.ndarray, owner: np.ndarray, held_at: np.ndarray, data: np.ndarray, memory: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Suffix-sort some regions: (place among them, from, to) of bytes under windows that a lesser owner's region holds."""
     size = length[regions].astype(np.int64)
     windows = size - LENGTH + 1
     base = np.cumsum(size + 1) - (size + 1)
     text = np.full(int(base[-1] + size[-1]) + 2, 1, np.int16)
     text[-1] = 0
-    text[_ranges(base, size)] = content(regions).astype(np.int16) + 2
+    text[_ranges(base, size)] = data[_ranges(held_at[regions], size)].astype(np.int16) + 2
     of = np.full(len(text), -1, np.int32)
     of[_ranges(base, windows)] = np.repeat(np.arange(len(regions)), windows)
     suffixes, shared = suffix_array(text, 258, memory, cap=LENGTH)
@@ -334,7 +367,7 @@ def _shared_windows(regions: np.ndarray, length: np.ndarray, owner: np.ndarray,
     return which, start - base[which], end - base[which]
 
 
-_COLUMNS = {"hashes": "<u8", "folds": "<u8", "lengths": "u1", "owners": "<i8", "uses": "<u4", "docs": "<u4", "starts": "<i8", "bytes": "u1"}
+_COLUMNS = {"hashes": "<u8", "folds": "<u8", "offsets": "u1", "lengths": "u1", "owners": "<i8", "uses": "<u4", "docs": "<u4", "starts": "<i8", "bytes": "u1"}
 
 
 class Spool:
@@ -386,7 +419,7 @@ class Spool:
 
 def _taken(row: dict, at: np.ndarray) -> dict:
     """Some regions of a row."""
-    out = {"block": row["block"]} | {c: row[c][at] for c in ("hashes", "folds", "lengths", "owners", "uses")}
+    out = {"block": row["block"]} | {c: row[c][at] for c in ("hashes", "folds", "offsets", "lengths", "owners", "uses") if c in row}
     for sizes, columns in (("uses", ("docs", "starts")), ("lengths", ("bytes",))):
         size = row[sizes].astype(np.int64)
         each = _ranges((np.cumsum(size) - size)[at], size[at])
@@ -401,10 +434,10 @@ def _marks(part: list[dict], memory: int) -> list[tuple]:
         return np.concatenate([r[column] for r in part])
 
     h, fold, length, owner, data = map(joined, ("hashes", "folds", "lengths", "owners", "bytes"))
+    offset = joined("offsets") if all("offsets" in r for r in part) else None
     uses, docs, starts = joined("uses").astype(np.int64), joined("docs"), joined("starts")
     held = np.cumsum([len(r["lengths"]) for r in part])
-    base = np.cumsum(length.astype(np.int64)) - length
-    region, lo, hi = settle(h, fold, length, owner, lambda i: data[_ranges(base[i], length[i].astype(np.int64))], memory)
+    region, lo, hi = settle(h, fold, length, owner, offset, data, memory)
     n = uses[region]
     each = _ranges((np.cumsum(uses) - uses)[region], n)
     d, s, e = docs[each], starts[each] + np.repeat(lo, n), starts[each] + np.repeat(hi, n)

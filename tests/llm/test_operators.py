@@ -173,6 +173,36 @@ def test_remove_repeats_edges(spark, monkeypatch):
     assert bytes(kept.kept) == b"q"
 
 
+def test_only_regions_that_may_share_a_window_are_sorted(monkeypatch):
+    r = random.Random(11)
+
+    def noise(n):
+        return "".join(r.choice("bcdfghjklmnpqrstvwxyz") for _ in range(n))
+
+    passage, phrase = noise(90), "the anchor of many regions"
+    rows = [(i, noise(60) + phrase + noise(60)) for i in range(300)]
+    # one window to the left of the phrase, one to its right, one around it, and a near copy
+    a, b = rows[0][1], rows[1][1]
+    rows += [(300, noise(40) + a[30:86] + noise(40)), (301, noise(40) + b[58:120]), (302, a[44:102]), (303, b[:70] + "#" + b[71:])]
+    rows += [(304 + i, noise(20 + i) + passage[i:] + noise(30)) for i in range(20)]
+    block = suffix_dedup.Block([t.encode() for _, t in rows])
+    doc, start, end = block.doc[block.segment], block.first, block.last + suffix_dedup.LENGTH
+    places = start - block.starts[block.segment]
+    row = {
+        "block": 0, "hashes": block.hash, "folds": block.region_hash(np.arange(len(start))), "offsets": (block.anchor - start).astype(np.uint8), "lengths": (end - start).astype(np.uint8), "owners": doc, "uses": np.ones(len(start), "<u4"),
+        "docs": doc.astype("<u4"), "starts": places, "bytes": np.concatenate([block.data[x:y] for x, y in zip(start, end, strict=True)]),
+    }
+    sizes, sort = [], suffix_dedup.suffix_array
+    monkeypatch.setattr(suffix_dedup, "suffix_array", lambda t, *rest, **more: (sizes.append(len(t)), sort(t, *rest, **more))[1])
+    gone = [bytearray(len(t)) for _, t in rows]
+    for _, _, _, docs, starts, ends in suffix_dedup._marks([row], 1 << 12):
+        for d, x, y in zip(*(np.frombuffer(c, k).tolist() for c, k in ((docs, "<u4"), (starts, "<i8"), (ends, "<i8"))), strict=True):
+            gone[d][x:y] = b"\1" * (y - x)
+    assert [sum(x) for x in gone] == [x[2] for x in sorted(repeats(rows), key=lambda x: x[0])] and sum(map(sum, gone)) > 1000
+    several = Counter(block.hash.tolist())
+    assert 0 < 4 * sum(sizes) < sum(n + 1 for n, x in zip((end - start).tolist(), block.hash.tolist(), strict=True) if several[x] > 1)
+
+
 @pytest.mark.parametrize("partitions", [1, 6])
 def test_blocks_without_shared_regions(spark, partitions):
     r = random.Random(8)
