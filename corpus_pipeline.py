@@ -26,7 +26,10 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """
     docs = docs.select(*COLUMNS)
     model = toxicity.fit(docs, toxicity.toxic_labels(common.table(spark, sf_dir, "labels", "doc_id", "toxic")))
-    return toxicity.drop_toxic(docs, model)
+    out = toxicity.drop_toxic(docs, model)
+    del model  # executors have it; the driver gives its memory back before the stage runs
+    common.give_back()
+    return out
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

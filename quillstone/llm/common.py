@@ -95,8 +95,8 @@ def deal(df: DataFrame, column: str, n: int | None = None) -> DataFrame:
     return df.repartitionById(n, F.col(column).cast("int")) if hasattr(df, "repartitionById") else df.repartition(n, column)
 
 
-def _give_back() -> None:
-    """Return freed memory to the system: workers outlive tasks, and several share an executor."""
+def give_back() -> None:
+    """Return freed memory to the system: workers outlive tasks, several share an executor, and the driver outlives all stages."""
     pa.default_memory_pool().release_unused()
     with contextlib.suppress(OSError, AttributeError):
         ctypes.CDLL(None).malloc_trim(0)
@@ -123,7 +123,7 @@ def tidy(run, uses: str | None = None):
         try:
             yield from run(batches)
         finally:
-            _give_back()
+            give_back()
 
     return tidied
 
@@ -134,7 +134,7 @@ def tidy_group(run):
     def tidied(rows: pa.Table) -> pa.Table:
         out = run(rows)
         if rows.nbytes > 1 << 20:
-            _give_back()
+            give_back()
         return out
 
     return tidied

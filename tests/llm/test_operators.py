@@ -827,3 +827,20 @@ def test_components(spark, seed):
     assert {r.node: r.component for r in components.connected_components(frame).collect()} == low
     first = components.connected_components(frame.limit(90))
     assert {r.node: r.component for r in components.refine(first, frame).collect()} == low
+
+
+@pytest.mark.parametrize("one_task", [0, 20, 200_000])
+def test_few_links_are_united_in_one_task(spark, monkeypatch, one_task):
+    r = random.Random(4)
+    path = [(k, k + 1) for k in r.sample(range(1000, 1060), 60)]
+    star = [(5000, 5001 + k) for k in range(10)]
+    edges = [*path, *star, (7, 7), (9, 8), (8, 9), (None, 3), (-5, 1030), (-(1 << 62), 5003)]
+    frame = spark.createDataFrame(edges, "a long, b long").repartition(7)
+    tables, scratch = [], common.scratch
+    monkeypatch.setattr(common, "scratch", lambda df, tag, *rest, **more: (tables.append(tag), scratch(df, tag, *rest, **more))[1])
+    monkeypatch.setattr(components, "ONE_TASK", one_task, raising=False)
+    got = {x.node: x.component for x in components.connected_components(frame).collect()}
+    want = dict.fromkeys([*range(1000, 1061), -5], -5) | dict.fromkeys([*range(5000, 5011), -(1 << 62)], -(1 << 62)) | {8: 8, 9: 8}
+    assert got == want
+    assert components.connected_components(frame.limit(0)).collect() == []
+    assert one_task < 200_000 or tables == ["links", "labels", "links"]

@@ -1,6 +1,8 @@
 """The pipeline's stages against brute force, and the rules that hold for all of it."""
 
 import random
+import weakref
+from types import SimpleNamespace
 
 import pytest
 
@@ -8,7 +10,7 @@ pytest.importorskip("public_tokenizers")
 pipeline = pytest.importorskip("corpus_pipeline")
 from pyspark.sql import functions as F
 
-from quillstone.llm import decontamination
+from quillstone.llm import common, decontamination, toxicity
 from quillstone.llm.queries import QUERIES
 
 from .test_operators import check_packing, leaks, near_by_force
@@ -71,6 +73,22 @@ def test_stages(spark, folder):
     check_packing(kept["pii"][1].collect(), kept["packing"][1].collect(), 4096)
 
 
+def test_the_driver_gives_the_model_back(spark, folder, monkeypatch):
+    fitted, held = [], []
+    fit, seen = toxicity.fit, SimpleNamespace(**vars(common))
+
+    def watched(*args):
+        model = fit(*args)
+        fitted.append(weakref.ref(model))
+        return model
+
+    monkeypatch.setattr(toxicity, "fit", watched)
+    seen.give_back = lambda: held.append([x() for x in fitted])
+    monkeypatch.setattr(pipeline, "common", seen)
+    out = pipeline.drop_toxic(spark, spark.read.parquet(f"{folder}/documents.parquet"), folder)
+    assert fitted and held[-1] == [None] and out.count()
+
+
 def test_run_is_the_stages(spark, folder):
     rows = QUERIES["pipeline"](spark, folder).collect()
     assert rows and sum(r.length for r in rows if r.doc_id == 301) == 1 and not any(r.doc_id == 0 for r in rows)
