@@ -37,13 +37,44 @@ SCORED = "doc_id long, score double, nearest_id long, nearest_cosine double, evi
 _SCORED = pa.schema([("doc_id", pa.int64()), ("score", pa.float64()), ("nearest_id", pa.int64()), ("nearest_cosine", pa.float64()), ("evidence", pa.string())])
 
 
-def split(texts: pa.Array) -> tuple[np.ndarray, pa.Array]:
-    """The words of all texts, in lower case: maximal runs of letters, one text after the other, each with its text's number."""
-    parts = pc.split_pattern_regex(pc.utf8_lower(texts.cast(pa.string()).fill_null("")), r"[^\p{L}]+")
+def _offsets(values: pa.Array) -> np.ndarray:
+    """Where the values of an array of strings or bytes begin, and the end of the last."""
+    wide = pa.types.is_large_binary(values.type)
+    return np.frombuffer(values.buffers()[1], "<i8" if wide else "<i4")[values.offset : values.offset + len(values) + 1].astype(np.int64)
+
+
+#: What a byte becomes before texts are parted: A-Z the lower letter, ASCII that is no letter a space; bytes of other characters stay.
+_FOLDED = np.array([c if c > 127 else ord(chr(c).lower()) if chr(c).isalpha() else 32 for c in range(256)], np.uint8)
+
+
+def split(texts: pa.Array) -> tuple[np.ndarray, pa.DictionaryArray]:
+    """The words of all texts, in lower case: maximal runs of letters, one text after the other, each with its text's number.
+
+    Texts are parted at ASCII first; only distinct parts that hold other characters are looked at letter by letter.
+    """
+    texts = texts.cast(pa.string()).fill_null("")
+    ends = _offsets(texts)
+    data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[ends[0] : ends[-1]]
+    plain = pa.Array.from_buffers(pa.string(), len(texts), [None, pa.py_buffer((ends - ends[0]).astype("<i4")), pa.py_buffer(_FOLDED.take(data))])
+    parts = pc.ascii_split_whitespace(plain)
     found = pc.list_flatten(parts)
     some = pc.greater(pc.binary_length(found), 0)  # a text's first and last parts may be empty
-    doc = np.repeat(np.arange(len(texts)), pc.list_value_length(parts).to_numpy(zero_copy_only=False))
-    return doc[some.to_numpy(zero_copy_only=False)], found.filter(some)
+    doc = np.repeat(np.arange(len(texts)), pc.list_value_length(parts).to_numpy(zero_copy_only=False))[some.to_numpy(zero_copy_only=False)]
+    coded = found.filter(some).dictionary_encode()
+    ascii_ = pc.string_is_ascii(coded.dictionary)
+    odd = ~ascii_.to_numpy(zero_copy_only=False)
+    if not odd.any():
+        return doc, coded
+    parts = pc.split_pattern_regex(pc.utf8_lower(coded.dictionary.filter(pa.array(odd))), r"[^\p{L}]+")
+    letters = pc.list_flatten(parts)
+    some = pc.greater(pc.binary_length(letters), 0)
+    of = np.repeat(np.flatnonzero(odd), pc.list_value_length(parts).to_numpy(zero_copy_only=False))[some.to_numpy(zero_copy_only=False)]
+    every = pa.concat_arrays([coded.dictionary.filter(ascii_), letters.filter(some)]).dictionary_encode()
+    lengths = np.where(odd, np.bincount(of, minlength=len(odd)), 1)
+    starts = np.where(odd, np.count_nonzero(~odd) + np.searchsorted(of, np.arange(len(odd))), np.cumsum(~odd) - 1)
+    code = coded.indices.to_numpy()
+    at = _ranges(starts[code], lengths[code])
+    return np.repeat(doc, lengths[code]), pa.DictionaryArray.from_arrays(every.indices.take(pa.array(at)), every.dictionary)
 
 
 def words(text: str | None) -> list[str]:
@@ -81,8 +112,7 @@ def _frequencies(batches):
     total = (Counter(), Counter())
     for b in (part for batch in batches for part in common.blocks([batch], 0, READ_BYTES)):
         label = b.column(1).to_numpy(zero_copy_only=False).astype(bool)
-        doc, found = split(b.column(0))
-        coded = found.dictionary_encode()
+        doc, coded = split(b.column(0))
         if not len(coded.dictionary):
             continue
         of, terms = term_table(coded.dictionary)
@@ -121,7 +151,7 @@ def _vectors(shared):
 
 def _hashes(strings: pa.Array) -> np.ndarray:
     """A 64-bit polynomial in the bytes of each string."""
-    ends = np.frombuffer(strings.buffers()[1], "<i4")[strings.offset : strings.offset + len(strings) + 1].astype(np.int64)
+    ends = _offsets(strings)
     lengths = np.diff(ends)
     out = np.zeros(len(strings), np.uint64)
     if not len(strings) or ends[-1] == ends[0]:
@@ -153,7 +183,8 @@ class Lookup:
         """The place of each string, or -1."""
         out = np.full(len(strings), -1, np.int64)
         wanted = _hashes(strings)
-        at = np.searchsorted(self.hashes, wanted)
+        at, order = np.empty(len(wanted), np.int64), np.argsort(wanted)
+        at[order] = np.searchsorted(self.hashes, wanted[order])  # in order: neighbours are near in memory
         left = np.arange(len(strings))
         while True:  # once, and again for names that share a hash
             left = left[at[left] < len(self.hashes)]
@@ -176,8 +207,7 @@ class Reader:
 
     def read(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Of all texts, one after the other: terms in order, their counts; and the end of each text."""
-        doc, found = split(texts)
-        coded = found.dictionary_encode()
+        doc, coded = split(texts)
         known = max(1, len(coded.dictionary))
         of, terms = term_table(coded.dictionary)
         ids = self.lookup.find(terms)
@@ -257,12 +287,12 @@ class Model:
 
     @cached_property
     def _index(self) -> tuple[np.ndarray, ...]:
-        """Postings of the other terms (ends, examples, counts); how many frequent terms each example holds, which are its first; these as dense rows, their lengths, and their greatest weight in each block of examples; and these terms with their counts, example by example.
+        """Postings of the other terms (where each term's begin in bytes, pairs of example and count, and the pairs as one value for each term); how many frequent terms each example holds, which are its first; these as dense rows, their lengths, and their greatest weight in each block of examples; and these terms with their counts, example by example.
 
         Built block by block, as each worker holds an index.
         """
         n = len(self.ids)
-        held, length = np.zeros(n, np.int64), np.zeros(n)
+        held, length = np.zeros(n, np.int64), np.zeros(-(-n // BLOCK) * BLOCK)
         dense, top = np.zeros((n, self.frequent), np.float32), np.zeros((self.frequent, -(-n // BLOCK)))
         sizes = np.zeros(len(self.vocabulary) - self.frequent, np.int64)
         for lo in range(0, n, BLOCK):
@@ -270,7 +300,7 @@ class Model:
             term, times = np.unique(term[term >= self.frequent], return_counts=True)
             sizes[term - self.frequent] += times
         ends = np.concatenate(([0], np.cumsum(sizes)))
-        rows, counts = np.empty(int(ends[-1]), np.min_scalar_type(n)), np.empty(int(ends[-1]), self.counts.dtype)
+        pairs = np.empty((int(ends[-1]), 2), np.result_type(np.min_scalar_type(n), self.counts.dtype))
         free = ends[:-1].copy()  # where a term's next posting goes
         for lo in range(0, n, BLOCK):
             hi = min(n, lo + BLOCK)
@@ -280,7 +310,7 @@ class Model:
             new, times = np.unique(term[order], return_counts=True)
             new -= self.frequent
             at = _ranges(free[new], times)
-            rows[at], counts[at] = row[order], self.counts[self.starts[lo] : self.ends[hi - 1]][order]
+            pairs[at, 0], pairs[at, 1] = row[order], self.counts[self.starts[lo] : self.ends[hi - 1]][order]
             free[new] += times
             row, term, value = row[often], term[often], value[often]
             dense[row, term] = value
@@ -288,7 +318,9 @@ class Model:
             held[lo:hi] = np.bincount(row - lo, minlength=hi - lo)
             length[lo:hi] = np.sqrt(np.bincount(row - lo, value**2, hi - lo))
         at = _ranges(self.starts, held)
-        return ends, rows, counts, held, dense, length, top, np.cumsum(held) - held, self.cols[at], self.counts[at]
+        ends *= 2 * pairs.itemsize
+        of_term = pa.Array.from_buffers(pa.large_binary(), len(ends) - 1, [None, pa.py_buffer(ends), pa.py_buffer(pairs)])
+        return ends, pairs.dtype, of_term, held, dense, length, top, np.cumsum(held) - held, self.cols[at], self.counts[at]
 
     def slim(self) -> None:
         """Keep only what searches for other texts need; for a worker's copy."""
@@ -338,37 +370,41 @@ class Model:
         n = len(self.ids)
         k = min(self.k, n - (own is not None))
         best, rows = np.empty((len(queries), k)), np.empty((len(queries), k), np.int64)
-        ends, at_row, at_count, _, dense, length, top = self._index[:7]
+        ends, kind, of_term, _, dense, length, top = self._index[:7]
         few = min(max(FIRST, 2 * k), n)
-        pad, longest = np.full(-n % BLOCK, -3.0), float(length.max(initial=0))
+        longest, lengths = float(length.max(initial=0)), length.reshape(-1, BLOCK)
+        norm = np.concatenate([self.norm, np.ones(len(length) - n)])
         spread, single, aside = self._spread, np.zeros(self.frequent, np.float32), np.zeros(n, bool)
         error = (self.frequent + 16) * 2.0**-23  # twice what single precision can lose of a cosine
         for j, (t, v) in enumerate(queries):
             often = int(np.searchsorted(t, self.frequent))
             rare = t[often:] - self.frequent
-            lengths = ends[rare + 1] - ends[rare]
-            at = _ranges(ends[rare], lengths)
-            sims = np.bincount(at_row[at], np.repeat(v[often:] * self.weight[t[often:]], lengths) * at_count[at], minlength=n) / self.norm
+            held = (ends[rare + 1] - ends[rare]) // (2 * kind.itemsize)
+            pairs = np.frombuffer(of_term.take(pa.array(rare)).buffers()[2] or b"", kind, 2 * int(held.sum())).reshape(-1, 2)
+            sims = np.bincount(pairs[:, 0], np.repeat(v[often:] * self.weight[t[often:]], held) * pairs[:, 1], len(length)) / norm
+            sims[n:] = -3.0
             if own is not None:
                 sims[own[j]] = -2.0
+            parts = sims.reshape(-1, BLOCK)
+            most = parts.max(1)
             terms, values = t[:often], v[:often]
             spread[terms], single[terms] = values * self.weight[terms], values
-            tried = np.argpartition(sims, n - few)[n - few :]
-            about = sims[tried] + dense[tried] @ single
+            # the greatest parts: none is below the greatest of each of so many blocks
+            tried = np.flatnonzero(sims >= np.partition(most, len(most) - few)[len(most) - few]) if len(most) > few else np.arange(n)
+            tried = tried[np.argpartition(sims[tried], len(tried) - few)[len(tried) - few :]]
+            short = values.astype(np.float32) if len(terms) * 4 < self.frequent else None  # few terms: only their columns are read
+            about = sims[tried] + (dense[tried] @ single if short is None else dense[tried[:, None], terms] @ short)
             bar = np.partition(about, few - k)[few - k] - error
             size = math.sqrt(float(values @ values))
-            parts = np.concatenate([sims, pad]).reshape(-1, BLOCK)
-            most = parts.max(1)
             some = np.flatnonzero(most + size * longest >= bar)
             some = some[most[some] + (values @ top[terms])[some] >= bar]
-            more = (some[:, None] * BLOCK + np.arange(BLOCK)).ravel()
-            more = more[more < n]
-            more = more[sims[more] + size * length[more] >= bar]
+            block, more = np.nonzero(parts[some] + size * lengths[some] >= bar)
+            more += some[block] * BLOCK
             aside[tried] = True
             more = more[~aside[more]]
             aside[tried] = False
             if len(more):
-                parts = [sims[x] + dense[x] @ single for x in np.split(more, range(ROWS, len(more), ROWS))]
+                parts = [sims[x] + (dense[x] @ single if short is None else dense[x[:, None], terms] @ short) for x in np.split(more, range(ROWS, len(more), ROWS))]
                 tried, about = np.concatenate([tried, more]), np.concatenate([about, *parts])
             maybe = tried[about >= np.partition(about, len(about) - k)[len(about) - k] - error]
             exact = sims[maybe] + self._added(maybe)
@@ -422,13 +458,6 @@ def _platt(votes: np.ndarray, labels: np.ndarray) -> tuple[float, float]:
     return (float(w[0]), float(w[1])) if w[0] > 0 else (8.0, 0.0)
 
 
-def _offsets(column: pa.ChunkedArray) -> np.ndarray:
-    """Where the values of a binary column of one chunk begin, and the end of the last."""
-    chunk = column.chunk(0)
-    wide = pa.types.is_large_binary(chunk.type)
-    return np.frombuffer(chunk.buffers()[1], "<i8" if wide else "<i4")[chunk.offset : chunk.offset + len(chunk) + 1].astype(np.int64)
-
-
 def fit(docs: DataFrame, labelled: DataFrame, max_examples: int = 10_000, k: int = 11, block: int = 64) -> Model | None:
     """Fit on at most ``max_examples`` rows of ``labelled`` (doc_id, label); None without positives.
 
@@ -460,12 +489,12 @@ def fit(docs: DataFrame, labelled: DataFrame, max_examples: int = 10_000, k: int
     shared.destroy()
     common.drop_scratch(rows)
     got = got.combine_chunks()  # the columns' buffers are the arrays that the model needs
-    held = np.diff(_offsets(got["terms"])) // 4  # terms of each example
+    held = np.diff(_offsets(got["terms"].chunk(0))) // 4  # terms of each example
     label = got["label"].to_numpy()
     some = held > 0
     plain = np.bincount(label[~some], minlength=2).tolist()
     ids, labels, ends = got["doc_id"].to_numpy()[some], label[some], np.cumsum(held[some])
-    cols, counts = (np.frombuffer(got[c].chunk(0).buffers()[2], "<i4", int(ends[-1]), int(_offsets(got[c])[0])) for c in ("terms", "counts"))
+    cols, counts = (np.frombuffer(got[c].chunk(0).buffers()[2], "<i4", int(ends[-1]), int(_offsets(got[c].chunk(0))[0])) for c in ("terms", "counts"))
     cols, counts = cols.copy(), counts.astype(np.uint16 if counts.max() < 1 << 16 else np.int32)
     del got
     frequent = min(int((OFTEN * (pos + neg) >= n).sum()), DENSE_BYTES // (4 * len(ids)))
@@ -488,15 +517,18 @@ def _score(shared, slope: float, shift: float):
         for b in common.blocks(batches, 1, READ_BYTES):
             n = b.num_rows
             score, near, cosine, evidence = np.full(n, base), [None] * n, [None] * n, [None] * n
-            at, queries = [], []
+            at, queries, told = [], [], []
             for i, (t, v) in enumerate(model.vectors(*reader.read(b.column(1)))):
                 if len(t):
                     at.append(i)
                     queries.append((t, v))
                     marked = model.marks[t]
-                    best = t[marked][np.argsort(-v[marked], kind="stable")[:5]]
-                    evidence[i] = " ".join(model.vocabulary.take(pa.array(best)).to_pylist()) or None
+                    told.append(t[marked][np.argsort(-v[marked], kind="stable")[:5]])
             if at:
+                best, end = model.vocabulary.take(pa.array(np.concatenate(told))).to_pylist(), 0
+                for i, some in zip(at, told, strict=True):
+                    end += len(some)
+                    evidence[i] = " ".join(best[end - len(some) : end]) or None
                 sims, rows = model.search(queries)
                 score[at] = model.calibrated(model.vote(sims, rows))
                 for j, i in enumerate(at):

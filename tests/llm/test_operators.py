@@ -8,6 +8,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
@@ -709,6 +710,37 @@ def test_blocks_never_change_the_nearest(spark, judged):
     assert np.allclose(sims, want)
 
 
+def test_only_parts_with_other_letters_are_read_letter_by_letter(monkeypatch):
+    texts = pa.array(["left out", None, "", " Plain, TEXT2go\x1f\x00", "plain go", "Élan—vital “plain” İx \u212a2 中文,x́y é", "—", "left out"]).slice(1, 6)
+    apart = pc.split_pattern_regex
+    want = apart(pc.utf8_lower(texts.fill_null("")), r"[^\p{L}]+").to_pylist()
+    seen = []
+    monkeypatch.setattr(pc, "split_pattern_regex", lambda x, *a: (seen.extend(x.to_pylist()), apart(x, *a))[1])
+    doc, found = toxicity.split(texts)
+    assert list(zip(doc.tolist(), found.to_pylist(), strict=True)) == [(i, w) for i, x in enumerate(want) for w in x if w]
+    assert "k" in found.to_pylist() and seen and not any("text" in x or "go" in x for x in seen)
+
+
+def test_postings_are_taken_term_by_term(spark, judged, monkeypatch):
+    docs, labels = judged
+    m = toxicity.fit(docs, toxicity.toxic_labels(labels))
+    monkeypatch.setattr(toxicity, "BLOCK", 8)  # more blocks than examples that are tried first
+    m.frequent = len(m.names) // 3
+    m._index  # noqa: B018
+    rng = np.random.default_rng(1)
+    few = np.zeros((3, len(m.names)))  # frequent terms only, others only, and both
+    few[0, :3], few[1, -3:], few[2, [1, -1]] = 1.0, 1.0, 1.0
+    q = np.concatenate([m.matrix[:30] + rng.random((30, len(m.names))) * 0.1, m.matrix[:30], few])
+    q /= np.linalg.norm(q, axis=1, keepdims=True)
+    one_by_one, ranges = [], toxicity._ranges
+    monkeypatch.setattr(toxicity, "_ranges", lambda starts, lengths: (one_by_one.append(int(lengths.sum())), ranges(starts, lengths))[1])
+    sims, rows = m.nearest(q)
+    every = q @ m.matrix.T
+    assert np.allclose(sims, -np.sort(-every, axis=1)[:, : m.k]) and np.allclose(np.take_along_axis(every, rows, 1), sims)
+    postings = sum(int(np.isin(m.cols, np.flatnonzero(x)[np.flatnonzero(x) >= m.frequent]).sum()) for x in q[:30])
+    assert sum(one_by_one) < postings / 4
+
+
 def test_every_term_of_the_examples_is_searched(spark):
     r = random.Random(12)
     rows, toxic = [], {}
