@@ -12,6 +12,7 @@ from collections.abc import Callable
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -112,10 +113,21 @@ def _forget(but: str | None) -> None:
             drop()
 
 
-def tidy(run, uses: str | None = None):
+def let_go(shared: Broadcast) -> None:
+    """Drop this worker's copy of a broadcast value; the next task that asks for it reads the executor's file again.
+
+    On the driver, and where the value came encrypted and so has no file, it stays.
+    """
+    if getattr(shared, "_path", None) and getattr(shared, "_sc", None) is None:
+        vars(shared).pop("_value", None)
+
+
+def tidy(run, uses: str | None = None, shared: Broadcast | None = None):
     """A mapInArrow function that gives memory back when its task ends.
 
     What tasks of other kinds left in this worker is forgotten first, but for what it ``uses``.
+    Its copy of ``shared``, with all that was built on it, goes at the end, as
+    an executor may have more workers than cores and an idle one would keep it.
     """
 
     def tidied(batches):
@@ -123,6 +135,8 @@ def tidy(run, uses: str | None = None):
         try:
             yield from run(batches)
         finally:
+            if shared is not None:
+                let_go(shared)
             give_back()
 
     return tidied

@@ -231,6 +231,8 @@ class Reader:
 OFTEN, BLOCK, FIRST = 16, 128, 48
 #: Bytes at most of the frequent terms' dense columns; where they would take more, fewer terms count as frequent.
 DENSE_BYTES = 48 << 20
+#: Examples that a task of the fit votes on at least, as each task builds the index.
+VOTES = 500
 #: Dense rows that are copied at once.
 ROWS = 512
 
@@ -252,7 +254,7 @@ class Model:
     plain: float  # share of positives among examples that hold no term
     slope: float = 1.0
     shift: float = 0.0
-    shared: Broadcast | None = None  # sent once: workers keep one copy and its index from the fit to the last score
+    shared: Broadcast | None = None  # sent once, for the fit's votes and all scores; a worker builds its index in each task and keeps nothing
 
     def __getstate__(self):
         return {f: self.__dict__[f] for f in self.__dataclass_fields__ if f != "shared"}
@@ -286,47 +288,67 @@ class Model:
         return out
 
     @cached_property
-    def _index(self) -> tuple[np.ndarray, ...]:
-        """Postings of the other terms (where each term's begin in bytes, pairs of example and count, and the pairs as one value for each term); how many frequent terms each example holds, which are its first; these as dense rows, their lengths, and their greatest weight in each block of examples; and these terms with their counts, example by example.
+    def _postings(self) -> tuple[np.ndarray, np.dtype, pa.Array]:
+        """Postings of the other terms: where each term's begin in bytes, the kind of a number, and pairs of example and count as one value for each term.
 
-        Built block by block, as each worker holds an index.
+        Built example by example, as each task holds an index.
         """
-        n = len(self.ids)
-        held, length = np.zeros(n, np.int64), np.zeros(-(-n // BLOCK) * BLOCK)
-        dense, top = np.zeros((n, self.frequent), np.float32), np.zeros((self.frequent, -(-n // BLOCK)))
-        sizes = np.zeros(len(self.vocabulary) - self.frequent, np.int64)
-        for lo in range(0, n, BLOCK):
-            term = self.cols[self.starts[lo] : self.ends[min(n, lo + BLOCK) - 1]]
-            term, times = np.unique(term[term >= self.frequent], return_counts=True)
-            sizes[term - self.frequent] += times
-        ends = np.concatenate(([0], np.cumsum(sizes)))
+        n, size = len(self.ids), len(self.vocabulary)
+        sizes = np.zeros(size, np.int64)
+        for lo in range(0, len(self.cols), 1 << 20):
+            sizes += np.bincount(self.cols[lo : lo + (1 << 20)], minlength=size)
+        ends = np.concatenate(([0], np.cumsum(sizes[self.frequent :])))
         pairs = np.empty((int(ends[-1]), 2), np.result_type(np.min_scalar_type(n), self.counts.dtype))
         free = ends[:-1].copy()  # where a term's next posting goes
+        for row, (lo, hi) in enumerate(zip((self.starts + self._often[0]).tolist(), self.ends.tolist(), strict=True)):
+            term = self.cols[lo:hi].astype(np.int64) - self.frequent
+            at = free[term]
+            pairs[at, 0], pairs[at, 1] = row, self.counts[lo:hi]
+            free[term] = at + 1
+        ends *= 2 * pairs.itemsize
+        of_term = pa.Array.from_buffers(pa.large_binary(), len(ends) - 1, [None, pa.py_buffer(ends), pa.py_buffer(pairs)])
+        return ends, pairs.dtype, of_term
+
+    @cached_property
+    def _often(self) -> tuple[np.ndarray, ...]:
+        """How many frequent terms each example holds, which are its first, and where they begin; these terms with their counts, example by example."""
+        n = len(self.ids)
+        held = np.zeros(n, np.int64)
+        for lo in range(0, n, BLOCK):
+            ends = self.ends[lo : lo + BLOCK] - self.starts[lo]
+            less = np.concatenate(([0], np.cumsum(self.cols[self.starts[lo] : self.starts[lo] + ends[-1]] < self.frequent)))
+            held[lo : lo + BLOCK] = np.diff(less[ends], prepend=0)
+        at = _ranges(self.starts, held)
+        return held, np.cumsum(held) - held, self.cols[at], self.counts[at]
+
+    @cached_property
+    def _dense(self) -> tuple[np.ndarray, ...]:
+        """The frequent terms as dense rows, their lengths, and their greatest weight in each block of examples."""
+        n = len(self.ids)
+        held, first, cols, counts = self._often
+        length = np.zeros(-(-n // BLOCK) * BLOCK)
+        dense, top = np.zeros((n, self.frequent), np.float32), np.zeros((self.frequent, -(-n // BLOCK)))
         for lo in range(0, n, BLOCK):
             hi = min(n, lo + BLOCK)
-            row, term, value = self._entries(lo, hi)
-            often = term < self.frequent
-            order = np.argsort(term, kind="stable")[int(often.sum()) :]
-            new, times = np.unique(term[order], return_counts=True)
-            new -= self.frequent
-            at = _ranges(free[new], times)
-            pairs[at, 0], pairs[at, 1] = row[order], self.counts[self.starts[lo] : self.ends[hi - 1]][order]
-            free[new] += times
-            row, term, value = row[often], term[often], value[often]
+            row = np.repeat(np.arange(lo, hi), held[lo:hi])
+            part = slice(first[lo], first[hi - 1] + held[hi - 1])
+            term = cols[part]
+            value = counts[part] * self.weight[term] / self.norm[row]
             dense[row, term] = value
             top[:, lo // BLOCK] = dense[lo:hi].max(0)
-            held[lo:hi] = np.bincount(row - lo, minlength=hi - lo)
             length[lo:hi] = np.sqrt(np.bincount(row - lo, value**2, hi - lo))
-        at = _ranges(self.starts, held)
-        ends *= 2 * pairs.itemsize
-        of_term = pa.Array.from_buffers(pa.large_binary(), len(ends) - 1, [None, pa.py_buffer(ends), pa.py_buffer(pairs)])
-        return ends, pairs.dtype, of_term, held, dense, length, top, np.cumsum(held) - held, self.cols[at], self.counts[at]
+        return dense, length, top
+
+    @property
+    def _index(self) -> tuple[np.ndarray, ...]:
+        return *self._postings, *self._dense
 
     def slim(self) -> None:
         """Keep only what searches for other texts need; for a worker's copy."""
         if len(self.cols):
-            self._index  # noqa: B018 - built from what goes
-            self.cols, self.counts = self.cols[:0], self.counts[:0]
+            self.norm, self._postings, self._often  # noqa: B018 - built from what goes
+            self.cols, self.counts = np.empty(0, self.cols.dtype), np.empty(0, self.counts.dtype)  # a slice would hold all of it
+            common.give_back()  # before the dense rows are made
 
     @cached_property
     def _spread(self) -> np.ndarray:
@@ -350,7 +372,8 @@ class Model:
 
     def _added(self, rows: np.ndarray) -> np.ndarray:
         """What the frequent terms of the text in ``_spread`` add for some examples, in double precision; equal examples get equal sums."""
-        lengths, (first, cols, counts) = self._index[3][rows], self._index[7:]
+        held, first, cols, counts = self._often
+        lengths = held[rows]
         at = _ranges(first[rows], lengths)
         out, some = np.zeros(len(rows)), lengths > 0
         if some.any():
@@ -370,7 +393,7 @@ class Model:
         n = len(self.ids)
         k = min(self.k, n - (own is not None))
         best, rows = np.empty((len(queries), k)), np.empty((len(queries), k), np.int64)
-        ends, kind, of_term, _, dense, length, top = self._index[:7]
+        ends, kind, of_term, dense, length, top = self._index
         few = min(max(FIRST, 2 * k), n)
         longest, lengths = float(length.max(initial=0)), length.reshape(-1, BLOCK)
         norm = np.concatenate([self.norm, np.ones(len(length) - n)])
@@ -485,7 +508,7 @@ def fit(docs: DataFrame, labelled: DataFrame, max_examples: int = 10_000, k: int
     odds = np.log((pos + n1 / n) / n1) - np.log((neg + n0 / n) / n0) if n0 else np.zeros(len(names))
     weight = np.log((1 + n) / (1 + pos + neg)) * (0.1 + np.abs(odds))
     shared = spark.sparkContext.broadcast(names)
-    got = rows.mapInArrow(common.tidy(_vectors(shared)), VECTORS).orderBy("doc_id").toArrow()
+    got = rows.mapInArrow(common.tidy(_vectors(shared), shared=shared), VECTORS).orderBy("doc_id").toArrow()
     shared.destroy()
     common.drop_scratch(rows)
     got = got.combine_chunks()  # the columns' buffers are the arrays that the model needs
@@ -502,7 +525,9 @@ def fit(docs: DataFrame, labelled: DataFrame, max_examples: int = 10_000, k: int
     model = Model(names, weight, 0.1 * float(np.log(1 + n)), odds > 0, frequent, k, block, ids, labels, ends, cols, counts, share)
     if len(ids) > 2:
         shared = model.shared = spark.sparkContext.broadcast(model)
-        votes = spark.range(0, len(ids), 1, min(common.partitions(spark), len(ids) // 100 + 1)).mapInArrow(common.tidy(_left_out(shared)), "row long, vote double").orderBy("row").toArrow()["vote"].to_numpy()
+        # put in order here: a sort by Spark would vote twice, once for its sample
+        got = spark.range(0, len(ids), 1, min(common.partitions(spark), len(ids) // VOTES + 1)).mapInArrow(common.tidy(_left_out(shared), shared=shared), "row long, vote double").toArrow()
+        votes = got["vote"].to_numpy()[np.argsort(got["row"].to_numpy())]
         model.slope, model.shift = _platt(np.concatenate([votes, np.full(sum(plain), model.plain)]), np.concatenate([model.labels, np.repeat([0, 1], plain)]))
     return model
 
@@ -511,8 +536,8 @@ def _score(shared, slope: float, shift: float):
     def run(batches):
         model: Model = shared.value
         model.slope, model.shift = slope, shift  # fitted after the model was sent
-        model.slim()
         reader = model.__dict__.get("reader") or model.__dict__.setdefault("reader", Reader(model.vocabulary))
+        model.slim()
         base = float(model.calibrated(model.plain))
         for b in common.blocks(batches, 1, READ_BYTES):
             n = b.num_rows
@@ -553,7 +578,8 @@ def score(docs: DataFrame, model: Model | None) -> DataFrame:
     kept = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     if model is None:
         return kept.select("doc_id", F.lit(0.0).alias("score"), F.lit(None).cast("long").alias("nearest_id"), F.lit(None).cast("double").alias("nearest_cosine"), F.lit(None).cast("string").alias("evidence"))
-    return kept.mapInArrow(common.tidy(_score(_sent(docs, model), model.slope, model.shift)), SCORED)
+    shared = _sent(docs, model)
+    return kept.mapInArrow(common.tidy(_score(shared, model.slope, model.shift), shared=shared), SCORED)
 
 
 def held_out(doc_id: Column) -> Column:
@@ -581,4 +607,5 @@ def drop_toxic(docs: DataFrame, model: Model | None, limit: float = 0.5) -> Data
     """The rows of ``docs``, all columns, that score below ``limit``; nothing is shuffled."""
     if model is None:
         return docs
-    return docs.mapInArrow(common.tidy(_clean(_sent(docs, model), model.slope, model.shift, limit, docs.columns.index("text"))), docs.schema)
+    shared = _sent(docs, model)
+    return docs.mapInArrow(common.tidy(_clean(shared, model.slope, model.shift, limit, docs.columns.index("text")), shared=shared), docs.schema)

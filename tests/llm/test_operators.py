@@ -2,7 +2,9 @@
 
 import hashlib
 import math
+import pickle
 import random
+import weakref
 import zlib
 from collections import Counter, defaultdict
 
@@ -741,6 +743,56 @@ def test_postings_are_taken_term_by_term(spark, judged, monkeypatch):
     assert sum(one_by_one) < postings / 4
 
 
+def test_workers_keep_no_model_between_tasks(spark, judged):
+    docs, labels = judged
+    model = toxicity.fit(docs, toxicity.toxic_labels(labels))
+    shared = model.shared
+
+    def peek(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_pydict({"held": pa.array(["_value" in vars(shared)] * b.num_rows)})
+
+    def held():
+        return {r.held for r in spark.range(0, 32, 1, 16).mapInArrow(peek, "held boolean").collect()}
+
+    assert held() == {False}  # after the fit's votes
+    for frame in (toxicity.score(docs.repartition(8), model), toxicity.drop_toxic(docs.repartition(8), model)):
+        assert frame.collect() and held() == {False}
+
+
+def test_a_slim_model_gives_its_sources_back(spark, judged):
+    docs, labels = judged
+    m = toxicity.fit(docs, toxicity.toxic_labels(labels))
+    q = m.matrix[:20]
+    want = m.nearest(q)
+    slim = pickle.loads(pickle.dumps(m))
+    sources = [weakref.ref(x) for x in (slim.cols, slim.counts)]
+    slim.slim()
+    assert all(x() is None for x in sources)
+    assert all((a == b).all() for a, b in zip(slim.nearest(q), want, strict=True))
+
+
+def test_each_example_is_voted_on_once(spark, judged, monkeypatch):
+    docs, labels = judged
+    seen, left_out = spark.sparkContext.accumulator(0), toxicity._left_out
+
+    def counted(shared):
+        def run(batches):
+            for b in left_out(shared)(batches):
+                seen.add(b.num_rows)
+                yield b
+
+        return run
+
+    monkeypatch.setattr(toxicity, "_left_out", counted)
+    monkeypatch.setattr(toxicity, "VOTES", 100, raising=False)
+    model = toxicity.fit(docs, toxicity.toxic_labels(labels))
+    assert seen.value == len(model.ids) > 400
+    n = len(model.ids)
+    sims, rows = model.search([(np.flatnonzero(x), x[np.flatnonzero(x)]) for x in model.matrix], list(range(n)))
+    assert np.allclose([model.slope, model.shift], toxicity._platt(model.vote(sims, rows), model.labels))
+
+
 def test_every_term_of_the_examples_is_searched(spark):
     r = random.Random(12)
     rows, toxic = [], {}
